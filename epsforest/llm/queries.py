@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from epsforest.llm import near_dedup
+from epsforest.llm import license_scan, mixing, near_dedup, token_counts
 
 #: Fixed values of the contracts: words by white space, A-Z lower-cased only.
 SQL_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -23,16 +23,16 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = rf"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(string_split_regex({SQL_LOWER}, '{SQL_SPACE}'), x -> x <> '') AS ws FROM documents
+  SELECT doc_id, list_filter(string_split_regex({SQL_LOWER}, '{SQL_SPACE}'), lambda x: x <> '') AS ws FROM documents
 ), s AS (
   SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(ws) - 2), i -> array_to_string(ws[i:i+3], ' '))) END AS sh FROM w
+    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' '))) END AS sh FROM w
 ), n AS (SELECT doc_id, len(sh) AS n FROM s),
 g AS (SELECT doc_id, unnest(sh) AS sh FROM s),
 p AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM g a JOIN g b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM g a JOIN g b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2
 ), e AS (
-  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 80 * (x.n + y.n - both)
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)
 ), both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 c(id, comp) AS (
   SELECT doc_id, doc_id FROM documents UNION SELECT y.b, c.comp FROM c JOIN both_ways y ON y.a = c.id WHERE c.comp < y.b
@@ -41,10 +41,89 @@ SELECT d.doc_id, CAST(n.n AS BIGINT) AS n_shingles, m.comp AS component_id, m.co
 FROM documents d JOIN n USING (doc_id) JOIN m ON m.id = d.doc_id
 """
 
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("regions")
+
+
+def _op2_sql() -> str:
+    base, labels = [], []
+    for phrase, label in license_scan.PHRASES.items():
+        same = " AND ".join(f"ws[i+{k + 1}] = '{w}'" for k, w in enumerate(phrase.split()))
+        base.append(f"SELECT doc_id, '{label}' AS label, list_filter(range(0, len(ws)), lambda i: {same}) AS places FROM w")
+    for label, templates in license_scan.TEMPLATES.items():
+        some = " OR ".join(f"regexp_matches(line, ' {license_scan.regex(t)}')" for t in templates)
+        labels.append(f"CASE WHEN {some} THEN '{label}' END")
+    joined = "array_to_string(list_sort(list_distinct(list_filter({}, lambda x: x IS NOT NULL))), ',')"
+    return rf"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex({SQL_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents
+), p AS ({" UNION ALL ".join(base)}),
+b AS (
+  SELECT doc_id, CAST(sum(len(places)) AS BIGINT) AS n_base, min(list_min(places)) AS first_word, max(list_max(places)) AS last_word,
+    list(CASE WHEN len(places) > 0 THEN label END) AS found FROM p GROUP BY doc_id
+), t AS (SELECT doc_id, [{", ".join(labels)}] AS kinds FROM (SELECT doc_id, ' ' || array_to_string(ws, ' ') || ' ' AS line FROM w))
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, n_base, first_word, last_word, {joined.format("found")} AS base_labels,
+  {joined.format("list_concat(found, kinds)")} AS labels,
+  CASE WHEN len(list_filter(kinds, lambda x: x IS NOT NULL)) > 0 THEN 1.0::DOUBLE WHEN n_base > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score
+FROM w JOIN b USING (doc_id) JOIN t USING (doc_id)
+"""
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("rate")
+
+
+def _op7_sql() -> str:
+    rounds = []
+    for k in range(1, mixing.ROUNDS + 1):
+        rounds.append(f"""
+c{k} AS (
+  SELECT doc_id, source, size, u, sum(size) OVER (PARTITION BY source ORDER BY u, size, doc_id ROWS UNBOUNDED PRECEDING) <= room AS more
+  FROM r{k - 1} JOIN m{k - 1} USING (key) WHERE NOT more AND size > 0 AND size <= room
+), r{k} AS (
+  SELECT r.doc_id, r.source, r.key, r.size, r.u, r.more OR coalesce(c.more, false) AS more FROM r{k - 1} r LEFT JOIN c{k} c ON c.doc_id = r.doc_id
+), m{k} AS (
+  SELECT p.key, p.full_room - coalesce((SELECT sum(size) FROM r{k} WHERE more AND r{k}.key = p.key), 0) AS room, p.full_room FROM m0 p
+)""")
+    return rf"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(source, '<none>') AS key, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) AS u FROM documents
+), s AS (
+  SELECT key, CAST(sum(size) AS BIGINT) AS source_size, CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS weight
+  FROM d GROUP BY key, source
+), o AS (
+  SELECT *, 2 * source_size / weight AS full_at, coalesce(sum(2 * source_size) OVER f, 0) AS held, sum(weight) OVER () - coalesce(sum(weight) OVER f, 0) AS open FROM s
+  WINDOW f AS (ORDER BY 2 * source_size / weight, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), l AS (
+  SELECT min((SELECT sum(source_size) * 3 / 2.0 FROM s) - held) AS x, min_by(((SELECT CAST(sum(source_size) * 3 AS DOUBLE) / 2 FROM s) - held) / open, full_at) AS level
+  FROM o WHERE ((SELECT CAST(sum(source_size) * 3 AS DOUBLE) / 2 FROM s) - held) / open <= full_at
+), g AS (SELECT key, source_size, least(weight * level, CAST(2 * source_size AS DOUBLE)) AS target FROM s, l),
+h AS (SELECT *, CASE WHEN source_size = 0 THEN 0 WHEN target >= 2 * source_size THEN 2 ELSE CAST(floor(target / source_size) AS BIGINT) END AS whole FROM g),
+m0 AS (SELECT key, CAST(floor(target - whole * source_size + 1e-6) AS BIGINT) AS room, CAST(floor(target - whole * source_size + 1e-6) AS BIGINT) AS full_room FROM h),
+r0 AS (SELECT doc_id, source, key, size, u, false AS more FROM d),{",".join(rounds)}
+SELECT doc_id, source, CAST(size AS BIGINT) AS size, source_size, target, CAST(least(whole + CAST(more AS INT), 2) AS BIGINT) AS copies,
+  CAST(least(whole + CAST(more AS INT), 2) * size AS BIGINT) AS taken
+FROM r{mixing.ROUNDS} JOIN h USING (key)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_license_scan": op2_license_scan,
+    "op3_token_counts": op3_token_counts,
+    "op7_source_mixing": op7_source_mixing,
 }
 
 ORACLE: dict[str, str] = {
     "op1_minhash_near_dedup": OP1_SQL,
+    "op2_license_scan": _op2_sql(),
+    "op7_source_mixing": _op7_sql(),
 }
