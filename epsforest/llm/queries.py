@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from epsforest.llm import license_scan, mixing, near_dedup, token_counts
+from epsforest.llm import license_scan, mixing, near_dedup, quality_rules, token_counts
 
 #: Fixed values of the contracts: words by white space, A-Z lower-cased only.
 SQL_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -115,15 +115,43 @@ FROM r{mixing.ROUNDS} JOIN h USING (key)
 """
 
 
+def op8_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = rf"""
+WITH d AS (SELECT doc_id, source AS host, coalesce(source, '<none>') AS hk, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i+7], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+twice AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS later FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1),
+r AS (SELECT doc_id, sum(least(8, coalesce(later - i, 8))) AS n_repeat_words FROM twice GROUP BY doc_id),
+l AS (
+  SELECT doc_id, hk, t, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
+    trim(regexp_replace(regexp_replace(lower(line), '\p{{Nd}}', '0', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS norm FROM (SELECT *, unnest(ls) AS line FROM w)
+), c AS (SELECT hk, norm, count(DISTINCT t) AS n FROM l GROUP BY hk, norm),
+h AS (SELECT hk, count(DISTINCT t) AS documents FROM d GROUP BY hk),
+f AS (SELECT hk, norm FROM c JOIN h USING (hk) WHERE n > greatest(10, 0.1 * documents)),
+x AS (SELECT doc_id, sum(words) AS gone FROM l JOIN f USING (hk, norm) GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed_words
+  FROM w LEFT JOIN r USING (doc_id) LEFT JOIN x USING (doc_id)
+), v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, n_words - n_removed_words AS n_left_words FROM m)
+SELECT *, NOT base_failed AND n_left_words >= 20 AND n_left_words >= 0.5 * n_words AS kept FROM v
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_license_scan": op2_license_scan,
     "op3_token_counts": op3_token_counts,
     "op7_source_mixing": op7_source_mixing,
+    "op8_line_frequency_rules": op8_line_frequency_rules,
 }
 
 ORACLE: dict[str, str] = {
     "op1_minhash_near_dedup": OP1_SQL,
     "op2_license_scan": _op2_sql(),
     "op7_source_mixing": _op7_sql(),
+    "op8_line_frequency_rules": OP8_SQL,
 }
