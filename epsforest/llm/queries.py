@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from epsforest.llm import license_scan, mixing, near_dedup, quality_rules, token_counts
+from epsforest.llm import license_scan, mixing, near_dedup, ppm, quality_rules, token_counts
 
 #: Fixed values of the contracts: words by white space, A-Z lower-cased only.
 SQL_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -141,12 +141,17 @@ m AS (
 SELECT *, NOT base_failed AND n_left_words >= 20 AND n_left_words >= 0.5 * n_words AS kept FROM v
 """
 
+def op10_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_license_scan": op2_license_scan,
     "op3_token_counts": op3_token_counts,
     "op7_source_mixing": op7_source_mixing,
     "op8_line_frequency_rules": op8_line_frequency_rules,
+    "op10_ppm_scoring": op10_ppm_scoring,
 }
 
 ORACLE: dict[str, str] = {
