@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from epsforest.llm import license_scan, mixing, near_dedup, ppm, quality_rules, token_counts
+from epsforest.llm import decontaminate, kneser_ney, language_id, license_scan, mixing, near_dedup, ppm, quality_rules, token_counts
 
 #: Fixed values of the contracts: words by white space, A-Z lower-cased only.
 SQL_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -145,18 +145,47 @@ def op10_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_byte_gru_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# all windows of every item's length, without fingerprints; items of at least five words
+OP6_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS ws FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS ws FROM benchmark),
+dg AS (SELECT doc_id, p, n, array_to_string(ws[p+1:p+5], ' ') AS gram FROM (SELECT doc_id, ws, len(ws) AS n, unnest(range(0, len(ws) - 4)) AS p FROM d)),
+ig AS (SELECT item_id, w, gram, count(*) AS c FROM (SELECT item_id, w, array_to_string(ws[p+1:p+5], ' ') AS gram FROM (SELECT item_id, ws, len(ws) AS w, unnest(range(0, len(ws) - 4)) AS p FROM i)) GROUP BY ALL),
+m AS (SELECT doc_id, item_id, w, gram, c, unnest(range(greatest(0, p - (w - 5)), least(p, n - w) + 1)) AS s FROM dg JOIN ig USING (gram)),
+x AS (SELECT doc_id, item_id, w, s, sum(shared) AS shared FROM (SELECT doc_id, item_id, w, s, gram, least(count(*), any_value(c)) AS shared FROM m GROUP BY doc_id, item_id, w, s, gram) GROUP BY doc_id, item_id, w, s),
+y AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared DESC, s) AS r FROM x WHERE 100 * shared >= 80 * (2 * (w - 4) - shared))
+SELECT doc_id, item_id, s AS start_word, CAST(w AS BIGINT) AS n_words, CAST(shared AS BIGINT) AS shared, CAST(shared AS DOUBLE) / (2 * (w - 4) - shared) AS similarity FROM y WHERE r = 1
+"""
+
+
+def op9_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_license_scan": op2_license_scan,
     "op3_token_counts": op3_token_counts,
+    "op5_byte_gru_language_id": op5_byte_gru_language_id,
+    "op6_simhash_decontamination": op6_simhash_decontamination,
     "op7_source_mixing": op7_source_mixing,
     "op8_line_frequency_rules": op8_line_frequency_rules,
+    "op9_kneser_ney_quality": op9_kneser_ney_quality,
     "op10_ppm_scoring": op10_ppm_scoring,
 }
 
 ORACLE: dict[str, str] = {
     "op1_minhash_near_dedup": OP1_SQL,
     "op2_license_scan": _op2_sql(),
+    "op6_simhash_decontamination": OP6_SQL,
     "op7_source_mixing": _op7_sql(),
     "op8_line_frequency_rules": OP8_SQL,
 }
