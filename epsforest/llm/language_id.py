@@ -112,7 +112,7 @@ def cut_windows(buf: np.ndarray, offs: np.ndarray, lo: int = 0, hi: int | None =
     start = offs[row] + (index - (stops - many)[row]) * WINDOW
     at = start[:, None] + np.arange(WINDOW)
     inside = at < offs[row + 1][:, None]
-    return np.where(inside, buf[np.minimum(at, len(buf) - 1)], PAD).astype(np.int32), row
+    return np.where(inside, buf[np.minimum(at, len(buf) - 1)].astype(np.int32), np.int32(PAD)), row
 
 
 def position_probabilities(net: dict[str, np.ndarray], windows: np.ndarray) -> np.ndarray:
