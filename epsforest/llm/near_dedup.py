@@ -6,8 +6,8 @@ bitmaps; the pairs that pass are confirmed on their full shingle sets. Component
 
 How groups stay bounded: equal shingle sets are one class from the start. Members of a band's bucket are compared with
 the bucket's most central member first, which is linear in the bucket. Only where a bucket still holds several components
-after that are the members outside its largest component compared with all others, in blocks; pairs that the sketch
-turns down are never emitted. No candidate is dropped.
+after that are the members outside its largest component compared with all others, in blocks, by the sketch and then by a
+finer one that only such texts get; pairs that a sketch turns down are never emitted. No candidate is dropped.
 
 Defined results: a null, empty or blank text has the empty set and is linked with nothing. A text with fewer words than
 a shingle is one shingle. Rows that repeat a doc_id stay rows of their own; they meet only through equal or similar texts.
@@ -27,40 +27,43 @@ from epsforest.llm.textscan import U64, mix, pieces, word_shingles
 from epsforest.operators.components import connected_components
 from epsforest.runtime import cut
 
-BANDS, ROWS, SAMPLES, BITS = 32, 4, 192, 1024
-#: Samples that may differ at the least similarity: the mean and more than six deviations of Binomial(SAMPLES, 0.2).
-DEVIATIONS = 6.5
+BANDS, ROWS = 32, 4
+#: Samples and bits of the sketch that every text has, and of the finer one of texts whose groups stay open.
+COARSE, FINE = (192, 1024), (4096, 8192)
 MEMBERS_A_SALT, MEMBERS_A_BLOCK = 256, 256
+COLUMNS = ("probe", "minor", "rep", "comp", "sketch", "fine", "bands")
 
-_seeds = mix(np.arange(1, 2 * SAMPLES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
-MULTIPLIERS = (_seeds[:SAMPLES] >> U64(32)).astype(np.uint32) | np.uint32(1)
-SECONDS = (_seeds[SAMPLES:] >> U64(32)).astype(np.uint32) | np.uint32(1)
 
+def most_apart(percent: int, sketch: tuple[int, int], deviations: float) -> int:
+    """The largest Hamming distance of two odd sketches that a pair of ``percent`` similarity plausibly has.
 
-def most_apart(percent: int) -> int:
-    """The largest Hamming distance of two odd sketches that a pair of ``percent`` similarity plausibly has."""
-    j = percent / 100
-    differ = SAMPLES * (1 - j) + DEVIATIONS * (SAMPLES * j * (1 - j)) ** 0.5
-    expected = BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * differ))
-    return int(min(BITS, expected + 3 * (expected * (1 - expected / BITS)) ** 0.5 * 0.25))
+    So many samples differ: the mean and some deviations of a binomial count. Each puts two flips on the bitmaps; what
+    flips that meet take away again deviates by about the root of twice the number of meetings.
+    """
+    (n, bits), j = sketch, percent / 100
+    differ = n * (1 - j) + deviations * (n * j * (1 - j)) ** 0.5
+    expected = bits / 2 * (1 - (1 - 2 / bits) ** (2 * differ))
+    return int(min(bits, expected + 2 * 2 * (2 * differ * differ / bits) ** 0.5))
 
 
-def sketch_similarity(apart: np.ndarray) -> np.ndarray:
+def sketch_similarity(apart: np.ndarray, sketch: tuple[int, int]) -> np.ndarray:
     """The Jaccard similarity that odd sketches so many bits apart estimate."""
-    x = np.clip(1 - 2 * np.asarray(apart) / BITS, 1e-9, 1)
-    return np.clip(1 + BITS / (4 * SAMPLES) * np.log(x), 0, 1)
+    n, bits = sketch
+    x = np.clip(1 - 2 * np.asarray(apart) / bits, 1e-9, 1)
+    return np.clip(1 + bits / (4 * n) * np.log(x), 0, 1)
 
 
-def samples(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """MinHash samples (SAMPLES x rows with shingles) of the joined sets."""
+def samples(shingles: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
+    """n MinHash samples (n x rows with shingles) of the joined sets."""
     sizes = sizes[sizes > 0]
     firsts = np.cumsum(sizes) - sizes
+    seeds = (mix(np.arange(1, 2 * n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) >> U64(32)).astype(np.uint32) | np.uint32(1)
     hi, lo = (shingles >> U64(32)).astype(np.uint32), shingles.astype(np.uint32)
-    out = np.empty((SAMPLES, len(sizes)), np.uint32)
+    out = np.empty((n, len(sizes)), np.uint32)
     a, b = np.empty_like(hi), np.empty_like(hi)
-    for k in range(SAMPLES):
-        np.multiply(hi, MULTIPLIERS[k], out=a)
-        np.multiply(lo, SECONDS[k], out=b)
+    for k in range(n):
+        np.multiply(hi, seeds[2 * k], out=a)
+        np.multiply(lo, seeds[2 * k + 1], out=b)
         np.bitwise_xor(a, b, out=a)
         np.minimum.reduceat(a, firsts, out=out[k])
     return out
@@ -77,12 +80,13 @@ def bands_of(sample: np.ndarray) -> np.ndarray:
     return out
 
 
-def odd_sketch(sample: np.ndarray) -> np.ndarray:
-    """rows x BITS/64 words: the parity of how many samples fall on each bit."""
+def odd_sketch(sample: np.ndarray, bits: int) -> np.ndarray:
+    """rows x bits/64 words: the parity of how many samples fall on each bit."""
     n = sample.shape[1]
-    where = mix(sample.astype(U64) + (np.arange(SAMPLES, dtype=U64) << U64(32))[:, None]) % U64(BITS)
-    flat = where.astype(np.int64) + np.arange(n, dtype=np.int64)[None, :] * BITS
-    odd = (np.bincount(flat.ravel(), minlength=n * BITS) & 1).astype(np.uint8).reshape(n, BITS)
+    odd = np.zeros((n, bits), np.uint8)
+    for k in range(sample.shape[0]):
+        where = mix(sample[k].astype(U64) + (U64(k) << U64(32))) % U64(bits)
+        odd[np.arange(n), where.astype(np.int64)] ^= 1
     return np.packbits(odd, axis=1).view(U64)
 
 
@@ -102,10 +106,10 @@ def features(size: int):
                 for k, salt in enumerate((U64(0x1F83D9ABFB41BD6B), U64(0x5BE0CD19137E2179))):
                     if len(firsts):
                         key[some, k] = np.add.reduceat(mix(shingles ^ salt), firsts)
-                bands, sketch = np.zeros((len(sizes), BANDS), U64), np.zeros((len(sizes), BITS // 64), U64)
+                bands, sketch = np.zeros((len(sizes), BANDS), U64), np.zeros((len(sizes), COARSE[1] // 64), U64)
                 if len(firsts):
-                    sample = samples(shingles, sizes)
-                    bands[some], sketch[some] = bands_of(sample), odd_sketch(sample)
+                    sample = samples(shingles, sizes, COARSE[0])
+                    bands[some], sketch[some] = bands_of(sample), odd_sketch(sample, COARSE[1])
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(row, end - row), pa.array(sizes), pa.array(key[:, 0].view(np.int64)), pa.array(key[:, 1].view(np.int64)), _long_lists(bands), _long_lists(sketch)],
                     ["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"],
@@ -114,6 +118,17 @@ def features(size: int):
     return run
 
 
+def fine_sketches(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, buf, offs in pieces(batch.column(1), 1 << 18):
+                shingles, sizes = word_shingles(buf, offs, size)
+                some = pa.array(sizes > 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row).filter(some), _long_lists(odd_sketch(samples(shingles, sizes, FINE[0]), FINE[1]))], ["rep", "fine"])
+
+    return run
+
+
 def confirm(size: int, percent: int):
     """Streams rows sorted by group with the group's target first; holds one target's set and one row's at a time."""
 
@@ -162,42 +177,53 @@ def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
 def _apart(x: str, y: str):
     """Population count of the XOR of two sketches, inside generated code."""
     n = F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0]))
-    for k in range(1, BITS // 64):
+    for k in range(1, COARSE[1] // 64):
         n = n + F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k]))
     return n
 
 
-def across(most: int):
-    """Streams rows sorted by bucket block; emits probe and target pairs of different components that the sketch lets pass."""
-
-    def close(rows: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        probe = np.concatenate(rows["probe"])
-        rep, comp, sketch = (np.concatenate(rows[k]) for k in ("rep", "comp", "sketch"))
-        ur, uc, us = rep[probe], comp[probe], sketch[probe]
-        tr, tc, ts = rep[~probe], comp[~probe], sketch[~probe]
-        for lo in range(0, len(ur), 64):
-            apart = np.bitwise_count(us[lo : lo + 64, None, :] ^ ts[None, :, :]).sum(axis=2, dtype=np.int64)
-            i, j = np.nonzero((apart <= most) & (uc[lo : lo + 64, None] != tc[None, :]))
-            a, b = ur[lo : lo + 64][i], tr[j]
-            yield np.maximum(a, b), np.minimum(a, b)
+def across(most: int, most_fine: int):
+    """Streams rows sorted by bucket block; emits probe and target pairs of different components that both sketches let pass.
+
+    A pair that meets in several bands is emitted in the first of them only, and of two probes only by the larger.
+    """
+
+    def close(band: int, rows: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        probe, minor, rep, comp, sketch, fine, bands = (np.concatenate(rows[k]) for k in COLUMNS)
+        p, t = np.flatnonzero(probe), np.flatnonzero(~probe)
+        for lo in range(0, len(p), 64):
+            u = p[lo : lo + 64]
+            apart = np.bitwise_count(sketch[u][:, None, :] ^ sketch[t][None, :, :]).sum(axis=2, dtype=np.int64)
+            i, j = np.nonzero((apart <= most) & (comp[u][:, None] != comp[t][None, :]))
+            for at in range(0, len(i), 4096):
+                a, b = u[i[at : at + 4096]], t[j[at : at + 4096]]
+                once = ~minor[b] | (rep[a] > rep[b])
+                a, b = a[once], b[once]
+                first = (bands[a] == bands[b]).argmax(axis=1)
+                once = bands[a, first] == band
+                a, b = a[once], b[once]
+                ok = np.bitwise_count(fine[a] ^ fine[b]).sum(axis=1, dtype=np.int64) <= most_fine
+                a, b = rep[a[ok]], rep[b[ok]]
+                yield np.maximum(a, b), np.minimum(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, None
         out = lambda m, t: pa.RecordBatch.from_arrays([pa.array(m), pa.array(t)], ["m", "t"])
         for batch in batches:
-            b, k, rep, comp, probe = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            sketch = batch.column(5).flatten().to_numpy().view(U64).reshape(len(b), -1)
+            b, k, probe, minor, rep, comp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            sketch, fine, bands = (batch.column(i).flatten().to_numpy().reshape(len(b), -1) if len(b) else np.zeros((0, 1), np.int64) for i in (6, 7, 8))
+            values = (probe.astype(bool), minor.astype(bool), rep, comp, sketch.view(U64), fine.view(U64), bands)
             edge = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (k[1:] != k[:-1])])) if len(b) else []
             for lo, hi in zip(edge, [*edge[1:], len(b)], strict=True) if len(b) else ():
                 if key != (b[lo], k[lo]):
                     if rows:
-                        for m, t in close(rows):
+                        for m, t in close(key[0], rows):
                             yield out(m, t)
-                    key, rows = (b[lo], k[lo]), {x: [] for x in ("rep", "comp", "probe", "sketch")}
-                for x, v in (("rep", rep), ("comp", comp), ("probe", probe.astype(bool)), ("sketch", sketch)):
-                    rows[x].append(v[lo:hi])
+                    key, rows = (b[lo], k[lo]), {x: [] for x in COLUMNS}
+                for x, v in zip(COLUMNS, values, strict=True):
+                    rows[x].append(v[lo:hi].copy())
         if rows:
-            for m, t in close(rows):
+            for m, t in close(key[0], rows):
                 yield out(m, t)
 
     return run
@@ -217,7 +243,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     leaders = members.join(central, "rep").groupBy("band").agg(F.max(F.struct("score", (-F.col("rep")).alias("minus"))).alias("top"))
     leaders = leaders.select("band", (-F.col("top.minus")).alias("t"))
     sketches = classes.select("rep", "sketch")
-    most = most_apart(percent)
+    most = most_apart(percent, COARSE, 6.5)
 
     def near(pairs: DataFrame) -> DataFrame:
         left, right = sketches.select(F.col("rep").alias("m"), F.col("sketch").alias("sm")), sketches.select(F.col("rep").alias("t"), F.col("sketch").alias("st"))
@@ -234,11 +260,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     rest = cut(placed.join(split, "band"), "rest")
     if not rest.isEmpty():
         main = rest.groupBy("band", "comp").agg(F.count("*").alias("c")).groupBy("band").agg(F.max(F.struct("c", "comp")).alias("top")).select("band", F.col("top.comp").alias("main"))
-        rest = rest.join(main, "band").join(sketches, "rep").withColumn("blocks", F.ceil(F.col("n") / MEMBERS_A_BLOCK).cast("long"))
-        targets = rest.select("band", F.pmod(F.xxhash64("rep"), "blocks").alias("block"), "rep", "comp", F.lit(False).alias("probe"), "sketch")
-        probes = rest.where("comp != main").select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "comp", F.lit(True).alias("probe"), "sketch")
+        open_texts = bodies.join(rest.select("rep").distinct(), "rep", "left_semi").select("rep", "text").repartition("rep")
+        fine = cut(open_texts.mapInArrow(fine_sketches(shingle), "rep long, fine array<long>").dropDuplicates(["rep"]), "fine")
+        rest = rest.join(main, "band").join(classes.select("rep", "sketch", "bands"), "rep").join(fine, "rep").withColumn("minor", F.col("comp") != F.col("main")).withColumn("blocks", F.ceil(F.col("n") / MEMBERS_A_BLOCK).cast("long"))
+        targets = rest.select("band", F.pmod(F.xxhash64("rep"), "blocks").alias("block"), F.lit(False).alias("probe"), *COLUMNS[1:])
+        probes = rest.where("minor").select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("probe"), *COLUMNS[1:])
         blocks = targets.unionByName(probes).repartition("band", "block").sortWithinPartitions("band", "block")
-        more = _links(blocks.mapInArrow(across(most), "m long, t long").distinct(), bodies, shingle, percent)
+        more = _links(blocks.mapInArrow(across(most, most_apart(percent, FINE, 5)), "m long, t long").distinct(), bodies, shingle, percent)
         comps = connected_components(links.unionByName(more))
 
     known = classes.select("k1", "k2", "rep").join(comps, F.col("rep") == F.col("id"), "left").select("k1", "k2", F.coalesce("comp", "rep").alias("comp"))
