@@ -36,7 +36,3 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def session_conf(spark: SparkSession, key: str, default: str) -> str:
-    return spark.conf.get(key, default)

@@ -30,15 +30,15 @@ def labels(found):
 
 def test_two_runs_merge(spark):
     runs = [0, 1, 2, 3, 10, 11, 12, 13]  # within 1; both merge at 7
-    found = scan(line(spark, runs), 1, 9, 2, min_events=3, go_on_decrease=True)
+    found = scan(line(spark, runs), 1, 9, 2, min_events=3, stop_percent=1000, go_on_decrease=True)
     got = labels(found)
     assert {got[k] for k in range(4)} == {1} and {got[k] for k in range(4, 8)} == {2}
 
 
 def test_three_way_merge_and_chain(spark):
-    found = scan(line(spark, [0, 1, 2, 10, 11, 12, 20, 21, 22]), 1, 9, 7, min_events=3, go_on_decrease=True)
+    found = scan(line(spark, [0, 1, 2, 10, 11, 12, 20, 21, 22]), 1, 15, 7, min_events=3, stop_percent=1000, go_on_decrease=True)
     assert found.clusters().count() == 3  # all meet in one pass
-    found = scan(line(spark, [0, 1, 2, 6, 7, 8, 20, 21, 22]), 1, 13, 4, min_events=3, go_on_decrease=True)
+    found = scan(line(spark, [0, 1, 2, 6, 7, 8, 20, 21, 22]), 1, 13, 4, min_events=3, stop_percent=1000, go_on_decrease=True)
     assert sorted(r["size"] for r in found.clusters().collect()) == [3, 3, 3]  # the joined pair is not chosen
 
 
@@ -130,7 +130,7 @@ def test_distributed_scan_is_the_same(spark, seed):
 
 def test_recluster_extract_and_run(spark):
     points = line(spark, [0, 1, 2, 3, 10, 11, 12, 13, 40, 45, 50, 300])
-    run = pipeline(points, 1, 9, 2, min_events=3, sample_every=1)
+    run = pipeline(points, 1, 3, 2, min_events=3, sample_every=1)
     assert run.result.count() == 12
     with pytest.raises(ValueError):
         extract(points, run.labels, with_label=False)
