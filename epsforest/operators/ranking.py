@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from epsforest.runtime import cut
 
@@ -16,7 +17,8 @@ def global_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFram
     at = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "rank")
     part = F.shiftright("_at", 33)
     sizes = at.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    later = sizes.select(F.col("_part").alias("_later"))
-    starts = later.join(sizes, F.col("_part") < F.col("_later"), "left").groupBy("_later").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_start"))
+    # one row a partition
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col("_part").alias("_later"), before.alias("_start"))
     out = at.join(F.broadcast(starts), part == F.col("_later"))
     return out.withColumn(name, F.col("_start") + F.col("_at") - F.shiftleft(part, 33)).drop("_at", "_later", "_start")
