@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from epsforest.operators.ranking import global_rank
 from epsforest.runtime import cut
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), (3, 2), 2
@@ -32,24 +33,13 @@ def words_of(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _ranked(sources: DataFrame) -> DataFrame:
-    """Adds ``rank`` from 0 in code point order, null last; two passes over range partitions, no single task for all."""
-    ordered = cut(sources.withColumn("none", F.col("source").isNull()).repartitionByRange("none", "source").sortWithinPartitions("none", "source").withColumn("at", F.monotonically_increasing_id()), "rank")
-    part = F.shiftright("at", 33)
-    before = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    other = before.select(F.col("part").alias("later"), "n")
-    starts = before.select("part").join(other, F.col("later") < F.col("part"), "left").groupBy("part").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("start"))
-    local = F.col("at") - F.shiftleft(part, 33)
-    return ordered.join(F.broadcast(starts), part == F.col("part")).withColumn("rank", F.col("start") + local).drop("none", "at", "part", "start")
-
-
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, most: int = MOST) -> DataFrame:
     """source, source_size, target from (source, size): water-filling with a cap of ``most`` times a source's size.
 
     Weights repeat in code point order of the sources. Each round reads three sums on the driver.
     """
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranked = _ranked(by_source)
+    ranked = global_rank(by_source.withColumn("none", F.col("source").isNull()), ["none", "source"])
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
     table = cut(ranked.select("source", "source_size", weight.cast("double").alias("weight")), "sources")
     total = table.agg(F.sum("source_size")).first()[0] or 0
