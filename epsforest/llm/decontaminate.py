@@ -6,9 +6,8 @@ fingerprints at most RADIUS bits apart some part is at most RADIUS // BLOCKS apa
 fingerprints within the radius, guaranteed. Matches are verified exactly: shingles weighted by how often they occur, the
 weights' overlap over their union at least ``percent``.
 
-Where windows are laid: a window as similar as that shares a shingle with the item, so they are laid where a document's
-shingle is one of the benchmark's, in line with its place in the item and SLACK words to either side. Words are runs of
-letters and digits, lower-cased. An item with fewer words than a shingle has its whole sequence as its only shingle.
+Where windows are laid: at every start from which a window holds a shingle of an item of its length, wherever in the item
+that stands, and so many shingles of the benchmark that it can be similar enough. Words are runs of letters and digits, lower-cased. An item with fewer words than a shingle has its whole sequence as its only shingle.
 
 What travels: the benchmark's shingles, as a set in the plan of at most about SET members. A larger benchmark is taken in
 several rounds of whole items, each a scan of its own, so documents are never shuffled; all later steps move windows only.
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 
 from epsforest.runtime import cut
 
-SHINGLE, RADIUS, BLOCKS, SLACK = 5, 15, 4, 2
+SHINGLE, RADIUS, BLOCKS = 5, 15, 4
 SET, MOST_COUNTED = 50_000, 1 << 20
 LANES = 21
 COUNTERS = 1 | 1 << LANES | 1 << 2 * LANES
@@ -81,35 +80,47 @@ def index(benchmark: DataFrame) -> DataFrame:
     return with_simhash(items, "h", "item_fp")
 
 
-def _near(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, w, low, near: stretches of word hashes from word ``low`` that hold the windows in line with a shared shingle.
+def _step(sizes: list[int], k: int, percent: int) -> int:
+    """How many places in a row surely hold one of the item's shingles, in any window of these items that is similar enough."""
+    runs = []
+    for most in {w - k + 1 for w in sizes}:
+        lost = most * (100 - percent) // (100 + percent)
+        runs.append(-(-(most - lost) // (lost + 1)))
+    return max(1, min(runs))
 
-    The items' shingles are a set inside the scan's projection, so documents are not moved. In a run of shared shingles
-    every ``step``-th is used, and the first; a window that is similar enough shares longer runs with its item.
+
+def _near(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """doc_id, w, start, x: the windows of ``w`` words that hold enough shared shingles for an item of ``w`` words.
+
+    The items' shingles are a set inside the scan's projection, so documents are not moved. Of the places of shared
+    shingles every ``step``-th is used, which leaves one in any window that is similar enough.
     """
-    places = items.select("w", F.least("w", F.lit(SHINGLE)).alias("k"), F.posexplode(shingles("h")).alias("q", "gram")).distinct()
+    places = items.select("w", F.least("w", F.lit(SHINGLE)).alias("k"), F.explode(shingles("h")).alias("gram")).distinct()
     found = None
-    known = places.select("k", "w", "gram").distinct().collect()  # about SET rows at most
+    known = places.collect()  # about SET rows at most
     for k in sorted({r["k"] for r in known}):  # one pass unless items are shorter than a shingle
         grams = sorted({r["gram"] for r in known if r["k"] == k})
-        sizes = [r["w"] for r in known if r["k"] == k]
-        side, step = max(sizes) + 2 * SLACK, max(1, min(16, (min(sizes) - k + 1) // 4))
+        sizes = sorted({r["w"] for r in known if r["k"] == k})
+        side, step = max(sizes), _step(sizes, k, percent)
         x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text")).alias("h")).withColumn("g", shingles("h", k))
         x = x.withColumn("hit", F.transform("g", lambda v: v.isin(grams)))
-        used = F.filter(F.transform("hit", lambda v, i: F.when(v & ((i % step == 0) | ~F.coalesce(F.get("hit", i - 1), F.lit(False))), i)), lambda i: i.isNotNull())
+        used = F.filter(F.transform("hit", lambda v, i: F.when(v & (i % step == 0), i)), lambda i: i.isNotNull())
         x = x.withColumn("used", used)
         first = lambda i: F.greatest(i - side, F.lit(0))
-        cuts = F.transform("used", lambda i: F.struct(i.alias("p"), F.get("g", i).alias("gram"), first(i).alias("from"), F.slice("h", first(i) + 1, 2 * side).alias("x")))
+        around = lambda c, i: F.slice(c, first(i) + 1, 2 * side)
+        cuts = F.transform("used", lambda i: F.struct(i.alias("p"), F.get("g", i).alias("gram"), first(i).alias("from"), around("h", i).alias("x"), around("hit", i).alias("hit")))
         # explode_outer: for explode the optimiser adds a filter that evaluates all of the above once more
         x = x.select("doc_id", F.size("h").alias("n"), cuts.alias("cuts")).select("doc_id", "n", F.explode_outer("cuts").alias("c")).where(F.col("c").isNotNull())
-        x = x.select("doc_id", "n", "c.p", "c.gram", "c.from", "c.x").join(places.where(F.col("k") == k).drop("k"), "gram")
-        start = F.col("p") - F.col("q")
-        x = x.where((start >= -SLACK) & (start + F.col("w") <= F.col("n") + SLACK) & (F.col("w") <= F.col("n")))
-        low = F.greatest(start - SLACK, F.lit(0))
-        x = x.select("doc_id", "w", low.alias("low"), F.slice("x", low - F.col("from") + 1, F.col("w") + 2 * SLACK).alias("near"))
+        x = x.select("doc_id", "n", "c.p", "c.gram", "c.from", "c.x", "c.hit").join(places.where(F.col("k") == k).drop("k"), "gram").where("w <= n")
+        size = F.col("w") - (k - 1)
+        inside = lambda s: F.size(F.filter(F.slice("hit", s - F.col("from") + 1, size), lambda v: v))
+        starts = F.sequence(F.greatest(F.col("p") - F.col("w") + k, F.lit(0)), F.least(F.col("p"), F.col("n") - F.col("w")))
+        starts = F.filter(starts, lambda s: (100 + percent) * inside(s) >= 2 * percent * size)
+        x = x.select("doc_id", "w", "from", "x", F.explode_outer(starts).alias("start")).where("start is not null")
+        x = x.select("doc_id", "w", "start", F.slice("x", F.col("start") - F.col("from") + 1, F.col("w")).alias("x"))
         found = x if found is None else found.unionByName(x)
     if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, w int, low int, near array<long>")
+        return docs.sparkSession.createDataFrame([], "doc_id long, w int, start int, x array<long>")
     return found
 
 
@@ -126,11 +137,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFra
 
 
 def _matches(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    found = _near(docs, items)
-    found = found.withColumn("same", F.xxhash64("near")).groupBy("doc_id", "w", "low", "same").agg(F.first("near").alias("near"))
-    shift = F.explode(F.sequence(F.lit(0), F.least(F.size("near") - F.col("w"), F.lit(2 * SLACK))))
-    windows = found.where(F.size("near") >= F.col("w")).select("doc_id", "w", "low", "near", shift.alias("s"))
-    windows = windows.select("doc_id", "w", (F.col("low") + F.col("s")).alias("start"), F.slice("near", F.col("s") + 1, F.col("w")).alias("x"))
+    windows = _near(docs, items, percent)
     windows = windows.withColumn("same", F.xxhash64("x")).groupBy("doc_id", "w", "start", "same").agg(F.first("x").alias("x"))
     windows = cut(with_simhash(windows, "x", "fp"), "windows")
 

@@ -117,6 +117,20 @@ def test_decontamination_equals_all_windows(spark):
     assert dc.matches(x, bench.limit(0)).count() == 0 and dc.matches(x.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_cut_and_reordered_items(spark):
+    rng = random.Random(3)
+    word = lambda: f"v{rng.randrange(5000)}"
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate((40, 59, 15, 45))]
+    a, b, _, d = (dc_words(t) for _, t in items)
+    other = [word() for _ in range(60)]
+    texts = [a[4:] + other, other + a[:-4], b[29:] + b[:29], other + b[30:] + b[:30] + other, d[3:] + other, other, a[4:20] + other + a[20:]]
+    texts = [" ".join(t) for t in texts]
+    want = plain_matches(texts, items)
+    assert {(0, 0), (1, 0), (2, 1), (3, 1), (4, 3)} == set(want)
+    got = {(r["doc_id"], r["item_id"]): (r["start_word"], r["shared"]) for r in dc.matches(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want
+
+
 def test_multi_index_finds_the_whole_ball():
     rng = random.Random(0)
     width = 64 // dc.BLOCKS
