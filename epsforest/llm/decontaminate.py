@@ -7,7 +7,8 @@ fingerprints within the radius, guaranteed. Matches are verified exactly: shingl
 weights' overlap over their union at least ``percent``.
 
 Where windows are laid: at every start from which a window holds a shingle of an item of its length, wherever in the item
-that stands, and so many shingles of the benchmark that it can be similar enough. Words are runs of letters and digits, lower-cased. An item with fewer words than a shingle has its whole sequence as its only shingle.
+that stands, and so many shingles of the benchmark that it can be similar enough. A text that is shorter than an item but
+has ``percent`` of its shingles' number is one window as a whole. Words are runs of letters and digits, lower-cased. An item with fewer words than a shingle has its whole sequence as its only shingle.
 
 What travels: the benchmark's shingles, as a set in the plan of at most about SET members. A larger benchmark is taken in
 several rounds of whole items, each a scan of its own, so documents are never shuffled; all later steps move windows only.
@@ -83,14 +84,14 @@ def index(benchmark: DataFrame) -> DataFrame:
 def _step(sizes: list[int], k: int, percent: int) -> int:
     """How many places in a row surely hold one of the item's shingles, in any window of these items that is similar enough."""
     runs = []
-    for most in {w - k + 1 for w in sizes}:
+    for most in {m for w in sizes for m in range(-(-(w - k + 1) * percent // 100), w - k + 2)}:
         lost = most * (100 - percent) // (100 + percent)
         runs.append(-(-(most - lost) // (lost + 1)))
     return max(1, min(runs))
 
 
 def _near(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """doc_id, w, start, x: the windows of ``w`` words that hold enough shared shingles for an item of ``w`` words.
+    """doc_id, w, start, x: the windows of ``w`` words (or a shorter text) that hold enough shared shingles for an item of ``w`` words.
 
     The items' shingles are a set inside the scan's projection, so documents are not moved. Of the places of shared
     shingles every ``step``-th is used, which leaves one in any window that is similar enough.
@@ -111,13 +112,14 @@ def _near(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
         cuts = F.transform("used", lambda i: F.struct(i.alias("p"), F.get("g", i).alias("gram"), first(i).alias("from"), around("h", i).alias("x"), around("hit", i).alias("hit")))
         # explode_outer: for explode the optimiser adds a filter that evaluates all of the above once more
         x = x.select("doc_id", F.size("h").alias("n"), cuts.alias("cuts")).select("doc_id", "n", F.explode_outer("cuts").alias("c")).where(F.col("c").isNotNull())
-        x = x.select("doc_id", "n", "c.p", "c.gram", "c.from", "c.x", "c.hit").join(places.where(F.col("k") == k).drop("k"), "gram").where("w <= n")
-        size = F.col("w") - (k - 1)
+        x = x.select("doc_id", "n", "c.p", "c.gram", "c.from", "c.x", "c.hit").join(places.where(F.col("k") == k).drop("k"), "gram")
+        wide, size, own = F.least("w", "n"), F.least("w", "n") - (k - 1), F.col("w") - (k - 1)
+        x = x.where(100 * size >= percent * own)
         inside = lambda s: F.size(F.filter(F.slice("hit", s - F.col("from") + 1, size), lambda v: v))
-        starts = F.sequence(F.greatest(F.col("p") - F.col("w") + k, F.lit(0)), F.least(F.col("p"), F.col("n") - F.col("w")))
-        starts = F.filter(starts, lambda s: (100 + percent) * inside(s) >= 2 * percent * size)
-        x = x.select("doc_id", "w", "from", "x", F.explode_outer(starts).alias("start")).where("start is not null")
-        x = x.select("doc_id", "w", "start", F.slice("x", F.col("start") - F.col("from") + 1, F.col("w")).alias("x"))
+        starts = F.sequence(F.greatest(F.col("p") - wide + k, F.lit(0)), F.least(F.col("p"), F.col("n") - wide))
+        starts = F.filter(starts, lambda s: (100 + percent) * inside(s) >= percent * (size + own))
+        x = x.select("doc_id", "w", wide.alias("wide"), "from", "x", F.explode_outer(starts).alias("start")).where("start is not null")
+        x = x.select("doc_id", "w", "start", F.slice("x", F.col("start") - F.col("from") + 1, F.col("wide")).alias("x"))
         found = x if found is None else found.unionByName(x)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, w int, start int, x array<long>")
@@ -149,13 +151,13 @@ def _matches(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     near = keys.join(probes, ["w", "block", "part"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
     near = near.select("doc_id", "w", "start", "same", "item_id").distinct()
 
-    body = windows.select(F.col("doc_id").alias("_d"), F.col("w").alias("_w"), F.col("start").alias("_s"), F.col("same").alias("_h"), F.sort_array(shingles("x")).alias("g"))
+    body = windows.select(F.col("doc_id").alias("_d"), F.col("w").alias("_w"), F.col("start").alias("_s"), F.col("same").alias("_h"), F.size("x").alias("wide"), F.sort_array(shingles("x")).alias("g"))
     on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("w") == F.col("_w")) & (F.col("start") == F.col("_s")) & (F.col("same") == F.col("_h"))
     exact = near.join(body, on).drop("_d", "_w", "_s", "_h").join(items.select("item_id", F.sort_array(shingles("h")).alias("ig")), "item_id")
-    exact = exact.withColumn("shared", F.size(F.array_intersect(weighted("g"), weighted("ig"))).cast("long")).withColumn("all", 2 * F.size("g") - F.col("shared"))
+    exact = exact.withColumn("shared", F.size(F.array_intersect(weighted("g"), weighted("ig"))).cast("long")).withColumn("all", F.size("g") + F.size("ig") - F.col("shared"))
     exact = exact.where(100 * F.col("shared") >= percent * F.col("all"))
-    best = exact.groupBy("doc_id", "item_id").agg(F.max(F.struct("shared", (-F.col("start")).alias("minus"), "w", "all")).alias("m"))
-    return best.select("doc_id", "item_id", (-F.col("m.minus")).cast("long").alias("start_word"), F.col("m.w").cast("long").alias("n_words"), F.col("m.shared").alias("shared"), (F.col("m.shared") / F.col("m.all")).alias("similarity"))
+    best = exact.groupBy("doc_id", "item_id").agg(F.max(F.struct("shared", (-F.col("start")).alias("minus"), "wide", "all")).alias("m"))
+    return best.select("doc_id", "item_id", (-F.col("m.minus")).cast("long").alias("start_word"), F.col("m.wide").cast("long").alias("n_words"), F.col("m.shared").alias("shared"), (F.col("m.shared") / F.col("m.all")).alias("similarity"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:

@@ -131,6 +131,19 @@ def test_decontamination_of_cut_and_reordered_items(spark):
     assert got == want
 
 
+def test_decontamination_of_texts_shorter_than_an_item(spark):
+    rng = random.Random(4)
+    words_ = [[f"v{rng.randrange(5000)}" for _ in range(n)] for n in (50, 60, 12)]
+    a, b, c = words_
+    texts = [a[:-1], a[1:], a[:45], b[:20] + b[21:], c[:11], c[1:], a[:30], b[:48], ["other"] * 20]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(words_)], "item_id long, text string")
+    x = docs(spark, [" ".join(t) for t in texts])
+    got = {(r["doc_id"], r["item_id"]): (r["start_word"], r["n_words"], r["shared"], round(r["similarity"], 9)) for r in dc.matches(x, bench).collect()}
+    one = lambda shared, size, own: (0, size + 4, shared, round(shared / (size + own - shared), 9))
+    assert got == {(0, 0): one(45, 45, 46), (1, 0): one(45, 45, 46), (2, 0): one(41, 41, 46), (3, 1): one(51, 55, 56), (4, 2): one(7, 7, 8), (5, 2): one(7, 7, 8)}
+    assert sorted(r["doc_id"] for r in dc.keep_clean(x, bench).collect()) == [6, 7, 8]
+
+
 def test_multi_index_finds_the_whole_ball():
     rng = random.Random(0)
     width = 64 // dc.BLOCKS
