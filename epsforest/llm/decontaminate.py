@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from epsforest.runtime import cut
 
-SHINGLE, RADIUS, BLOCKS = 5, 15, 4
+SHINGLE, RADIUS, BLOCKS = 5, 20, 7
 SET, MOST_COUNTED = 50_000, 1 << 20
 LANES = 21
 COUNTERS = 1 | 1 << LANES | 1 << 2 * LANES

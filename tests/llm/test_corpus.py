@@ -154,6 +154,15 @@ def test_multi_index_finds_the_whole_ball():
         assert any(((y >> width * k) & ((1 << width) - 1)).bit_count() <= dc.RADIUS // dc.BLOCKS for k in range(dc.BLOCKS)), x
 
 
+def test_radius_spares_windows_cut_at_one_end():
+    rng = random.Random(1)
+    majority = lambda h: [2 * sum(x >> b & 1 for x in h) > len(h) for b in range(63)]
+    for _ in range(500):
+        a = [rng.getrandbits(63) for _ in range(59)]
+        x, y = majority(a), majority(a[6:] + [rng.getrandbits(63) for _ in range(6)])
+        assert sum(p != q for p, q in zip(x, y, strict=True)) <= dc.RADIUS
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(2)
     texts = [None, "", *(" ".join("w" * 1 for _ in range(rng.randrange(1, 60))) for _ in range(400))]
