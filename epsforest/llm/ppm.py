@@ -5,11 +5,12 @@ has probability ``count / (t + d)``; else the coder escapes with ``d / (t + d)``
 the longer context has seen are excluded. Below the empty context all bytes that are left are alike. 0xFF, which UTF-8
 never has, stands for the end of a text, and for what precedes it.
 
-Pretrained: contexts are counted over all training texts. A context joins the trie if it has at least ``N / 2**16`` of the N
-training positions, so no order has more than 2**16 contexts whatever the corpus; that bounds what is broadcast. As such a
-set is closed under prefixes and suffixes, the trie is an automaton, and the states of all positions of a block of text
-follow from ORDER table lookups; the probability of every (state, symbol) is one more. Adaptive: the trie starts empty for
-each text and learns as it codes.
+Pretrained: contexts are counted over all training texts, and every context that stands there LEAST times is one of the
+trie, whatever the corpus. The counts stay distributed: what a symbol's probability needs of the orders 3 and 4 shares the
+last three bytes of the context, so grams are dealt by these (at most 2**16 grams a key, so none is hot) and each part works
+out its probabilities, grams that only scored texts have included. Orders 0 to 2 are broadcast: at most 2**24 grams of three
+bytes, whatever the corpus. The at most HEAD most frequent grams are broadcast with their probabilities; all others are joined.
+Adaptive: the trie starts empty for each text and learns as it codes.
 
 Beside it stands a unigram baseline over words. Counts of all words stay distributed; the at most 2**20 words with
 ``N / 2**20`` occurrences or more are broadcast, and the others, of which none is frequent, are joined by their hash.
@@ -35,7 +36,9 @@ from epsforest.llm.token_counts import worker_state
 from epsforest.runtime import cut
 
 ORDER, END = 4, 0xFF
-CONTEXTS, HEAD = 1 << 16, 1 << 20
+#: CONTEXTS is only read by the plain version in the tests, where it comes to LEAST.
+LEAST, CONTEXTS, HEAD = 2, 1 << 16, 1 << 20
+SLOTS = 22
 
 
 def padded(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,91 +115,150 @@ def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-class Automaton:
-    """The trie as tables: ``child[state, symbol]``, ``state of longest context``, log10 probability per (state, symbol)."""
-
-    def __init__(self, orders: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """orders: for order k the sorted (context, symbol) numbers of admitted contexts and their counts."""
-        codes0, counts0 = orders[0]
-        used = np.zeros(256, bool)
-        used[(codes0 & U64(0xFF)).astype(np.int64)] = True
-        self.symbol = np.full(256, int(used.sum()), np.int32)
-        self.symbol[used] = np.arange(int(used.sum()))
-        size = int(used.sum()) + 1
-        self.other = max(1, 256 - int(used.sum()))
-        contexts = [np.unique(codes >> U64(8)) for codes, _ in orders]
-        self.starts = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])
-        total = max(1, int(self.starts[-1]))
-        self.size, self.child = size, np.full(total * size, -1, np.int32)
-        self.logp = np.zeros(total * size, np.float32)
-        if not len(codes0):
-            self.logp[:] = math.log10(1 / 256)
-            return
-        counts_below = escape_below = None
-        for k, (codes, counts) in enumerate(orders):
-            n = len(contexts[k])
-            if not n:
-                break
-            row = np.searchsorted(contexts[k], codes >> U64(8))
-            c = np.zeros((n, size), np.float32)
-            c[row, self.symbol[(codes & U64(0xFF)).astype(np.int64)]] = counts
-            seen = c > 0
-            if k == 0:
-                escape = np.full((1, size), 1 / self.other, np.float32)
-            else:
-                suffix = np.searchsorted(contexts[k - 1], contexts[k] & U64((1 << 8 * (k - 1)) - 1))
-                left = np.where(seen, 0, counts_below[suffix])
-                t, d = left.sum(axis=1, keepdims=True), (left > 0).sum(axis=1, keepdims=True)
-                down = np.where(d > 0, d / np.maximum(t + d, 1), 1.0).astype(np.float32)
-                escape = np.where(left > 0, left / np.maximum(t + d, 1), down * escape_below[suffix]).astype(np.float32)
-                parent = int(self.starts[k - 1]) + np.searchsorted(contexts[k - 1], contexts[k] >> U64(8))
-                self.child[parent * size + self.symbol[(contexts[k] & U64(0xFF)).astype(np.int64)]] = int(self.starts[k]) + np.arange(n)
-            t, d = c.sum(axis=1, keepdims=True), seen.sum(axis=1, keepdims=True)
-            p = np.where(seen, c / (t + d), d / (t + d) * escape)
-            self.logp[int(self.starts[k]) * size : int(self.starts[k + 1]) * size] = np.log10(np.maximum(p, 1e-30)).ravel()
-            counts_below, escape_below = c, escape
-
-    def score(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """log10 probability of each row and its end."""
-        out, coded, firsts = padded(buf, offs)
-        sym = self.symbol[out]
-        state = np.zeros(len(out), np.int32)
-        ids = np.zeros(len(out), np.int32)  # the empty context ends everywhere
-        for _ in range(ORDER):
-            before = np.empty_like(ids)
-            before[0], before[1:] = -1, ids[:-1]
-            ids = np.where(before >= 0, self.child[np.maximum(before, 0).astype(np.int64) * self.size + sym], -1)
-            state = np.where(ids >= 0, ids, state)
-        logp = np.zeros(len(out))
-        at = np.flatnonzero(coded)
-        logp[at] = self.logp[state[at - 1].astype(np.int64) * self.size + sym[at]]
-        return np.add.reduceat(logp, firsts) if len(firsts) else np.zeros(0)
+class Order:
+    """The counts of one order: sorted (context, symbol) numbers with counts, and by context totals, symbols and what its suffix has left."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, below: Order | None) -> None:
+        self.codes, self.counts = codes, counts.astype(np.float64)
+        self.contexts, row = np.unique(codes >> U64(8), return_inverse=True)
+        self.total = np.bincount(row, weights=self.counts, minlength=len(self.contexts))
+        self.seen = np.bincount(row, minlength=len(self.contexts)).astype(np.float64)
+        if below is not None and len(codes):
+            suffix = np.searchsorted(below.contexts, self.contexts & below.mask)
+            used = np.bincount(row, weights=below.counts[np.searchsorted(below.codes, codes & (below.mask << U64(8) | U64(0xFF)))], minlength=len(self.contexts))
+            self.left, self.left_seen = below.total[suffix] - used, below.seen[suffix] - self.seen
+
+    mask = U64(0)
+
+
+def build(pairs: list[tuple[np.ndarray, np.ndarray]], first: int = 0, below: Order | None = None) -> list[Order]:
+    """Orders ``first`` and on, from their sorted numbers and counts; ``below`` is the order before them."""
+    out = []
+    for k, (codes, counts) in enumerate(pairs, first):
+        below = Order(codes, counts, below)
+        below.mask = U64((1 << 8 * k) - 1)
+        out.append(below)
+    return out
+
+
+def _at(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(table):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    pos = np.minimum(np.searchsorted(table, x), len(table) - 1)
+    return pos, table[pos] == x
+
+
+def log_probabilities(orders: list[Order], keys: np.ndarray) -> np.ndarray:
+    """log10 of the last symbol's probability after the bytes before it, for grams of ORDER + 1 bytes."""
+    p = escape = before = None
+    for k, o in enumerate(orders):
+        code = keys & U64((1 << 8 * (k + 1)) - 1)
+        pos, found = _at(o.codes, code)
+        n = np.where(found, o.counts[pos], 0) if len(o.codes) else np.zeros(len(keys))
+        if k == 0:
+            escape = np.full(len(keys), 1 / max(1, 256 - len(o.codes)))
+            t, d = (o.total[0], o.seen[0]) if len(o.codes) else (0.0, 1.0)
+            p = np.where(n > 0, n, d * escape) / (t + d)
+        elif len(o.codes):
+            ctx, admitted = _at(o.contexts, code >> U64(8))
+            admitted = admitted & (o.total[ctx] >= LEAST)
+            left, left_seen, t, d = o.left[ctx], o.left_seen[ctx], o.total[ctx], o.seen[ctx]
+            rest = np.maximum(left + left_seen, 1)
+            escape = np.where(before > 0, before / rest, np.where(left_seen > 0, left_seen / rest, 1.0) * escape)
+            p = np.where(admitted, np.where(n > 0, n, d * escape) / (t + d), p)
+        before = n
+    return np.log10(np.maximum(p, 1e-30))
+
+
+def shards(low):
+    """low: a broadcast of the numbers and counts of orders 0 to 2. Takes (shard, key, n) sorted by shard, whole shards a task; emits (key, n, logp)."""
+
+    def solve(orders: list[Order], keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        known = n > 0
+        codes, counts = keys[known], n[known]
+        order = np.argsort(codes)
+        codes, counts = codes[order], counts[order]
+        three, row = np.unique(codes & U64(0xFFFFFFFF), return_inverse=True)
+        high = build([(three, np.bincount(row, weights=counts, minlength=len(three))), (codes, counts)], 3, orders[2])
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array(log_probabilities(orders + high, keys))], ["key", "n", "logp"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        orders, held, size = build(low.value), [], 0
+        for batch in batches:
+            held.append([batch.column(k).to_numpy() for k in range(3)])
+            size += batch.num_rows
+            if size > 500_000:
+                shard, keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+                end = int(np.searchsorted(shard, shard[-1]))  # the last shard may go on
+                if end:
+                    yield solve(orders, keys[:end].astype(U64), n[:end])
+                held, size = [[shard[end:], keys[end:], n[end:]]], len(shard) - end
+        if size:
+            _, keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield solve(orders, keys.astype(U64), n)
+
+    return run
+
+
+class Grams:
+    """Log probabilities of the head's grams: a table of slots, and a sorted list of those whose slot is taken."""
+
+    def __init__(self, keys: np.ndarray, logp: np.ndarray) -> None:
+        """keys: the most frequent first."""
+        slot = self.slot(keys)
+        taken, first = np.unique(slot, return_index=True)
+        self.keys, self.logp = np.full(1 << SLOTS, np.uint64(0xFFFFFFFFFFFFFFFF), U64), np.zeros(1 << SLOTS)
+        self.keys[taken], self.logp[taken] = keys[first], logp[first]
+        more = np.ones(len(keys), bool)
+        more[first] = False
+        order = np.argsort(keys[more])
+        self.more, self.more_logp = keys[more][order], logp[more][order]
+
+    @staticmethod
+    def slot(keys: np.ndarray) -> np.ndarray:
+        return (keys * U64(0x9E3779B97F4A7C15) >> U64(64 - SLOTS)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        slot = self.slot(keys)
+        found, logp = self.keys[slot] == keys, self.logp[slot]
+        rest = np.flatnonzero(~found)
+        pos, ok = _at(self.more, keys[rest])
+        found[rest[ok]], logp[rest[ok]] = True, self.more_logp[pos[ok]]
+        logp[~found] = 0
+        return found, logp
 
 
 def scorer(model):
-    """model: a broadcast of (orders, head hashes, head counts). Emits each row's sums and the words outside the head."""
+    """model: a broadcast of (grams, their logs, head hashes, head counts). Emits each row's sums, and the words and grams outside the heads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = worker_state()
-        orders, head, head_counts = model.value
+        grams, gram_logs, head, head_counts = model.value
         if kept.get("ppm_of") != id(model.value):
-            kept["ppm"], kept["ppm_of"], kept["ppm_model"] = Automaton(orders), id(model.value), model.value
+            kept["ppm"], kept["ppm_of"], kept["ppm_model"] = Grams(grams, gram_logs), id(model.value), model.value
         machine, logs = kept["ppm"], np.log10(head_counts + 0.5)
         row_id = TaskContext.get().partitionId() << 40
         for batch in batches:
             for row, end, buf, offs in pieces(batch.column(1)):
                 n, low = end - row, LOWER[buf]
-                score = machine.score(low, offs)
+                bytes_, coded, _ = padded(low, offs)
+                codes = gram_codes(bytes_, coded)
+                ends = offs[1:] + np.arange(1, n + 1)
+                found, logp = machine.find(codes)
+                score = np.add.reduceat(logp, np.concatenate([[0], ends[:-1]]).astype(np.int64)) if n else np.zeros(0)
+                lost = np.flatnonzero(~found)
+                upto = np.concatenate([[0], np.searchsorted(lost, ends)]).astype(np.int32)
+                tail = pa.ListArray.from_arrays(pa.array(upto), pa.array(codes[lost].view(np.int64)))
                 words, at = _words(low, offs)
                 pos = np.minimum(np.searchsorted(head, words), max(0, len(head) - 1))
                 known = head[pos] == words if len(head) else np.zeros(len(words), bool)
-                sums = np.bincount(at[known], weights=logs[pos[known]], minlength=n)
+                sums = np.bincount(at[known], weights=logs[pos[known]], minlength=n).astype(np.float64)  # of nothing it is whole numbers
                 in_head = np.bincount(at[known], minlength=n)
                 rest = np.bincount(at[~known], minlength=n)
                 tails = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rest)]).astype(np.int32)), pa.array(words[~known].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row_id + np.arange(n)), batch.column(0).slice(row, n), pa.array(np.bincount(at, minlength=n) + 1), pa.array(in_head), pa.array(sums), pa.array(score), tails],
-                    ["row_id", "doc_id", "n_tokens", "in_head", "head_sum", "score", "rest"],
+                    [pa.array(row_id + np.arange(n)), batch.column(0).slice(row, n), pa.array(np.bincount(at, minlength=n) + 1), pa.array(in_head), pa.array(sums), pa.array(score), tails, tail],
+                    ["row_id", "doc_id", "n_tokens", "in_head", "head_sum", "score", "rest", "tail"],
                 )
                 row_id += n
 
@@ -207,42 +269,57 @@ def fold(modulus: int):
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(modulus))
 
 
-def train(texts: DataFrame, contexts: int = CONTEXTS) -> tuple[list[tuple[np.ndarray, np.ndarray]], DataFrame]:
-    """The admitted contexts' counts by order, and the distributed table (word, n) of word hashes."""
-    counts = cut(texts.select("text").mapInArrow(gather, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+def train(learn: DataFrame, others: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distributed tables: (key, n, logp) of all grams of both, learnt from ``learn``; (word, n) of the word hashes of ``learn``."""
+    kinds = "kind int, key long, n long"
+    seen, unseen = learn.select("text").mapInArrow(gather, kinds), others.select("text").mapInArrow(gather, kinds).where("kind = 0").withColumn("n", F.lit(0).cast("long"))
+    counts = cut(seen.unionByName(unseen).groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     grams, words = counts.where("kind = 0").select("key", "n"), counts.where("kind = 1").select(F.col("key").alias("word"), "n")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    least = max(2, -(-total // contexts))
-    orders = []
-    for k in range(ORDER + 1):
-        pairs = grams.groupBy(F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("key")).agg(F.sum("n").alias("n"))
-        ctx = F.shiftright("key", 8)
-        if k:  # at most ``contexts`` rows
-            often = pairs.groupBy(ctx.alias("ctx")).agg(F.sum("n").alias("all")).where(F.col("all") >= least).select("ctx")
-            pairs = pairs.join(often, ctx == F.col("ctx"), "left_semi")
-        got = pairs.toArrow()
+    low = []
+    for k in range(3):  # at most 2**8, 2**16 and 2**24 rows
+        got = grams.where("n > 0").groupBy(F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("key")).agg(F.sum("n").alias("n")).toArrow()
         keys, n = got["key"].to_numpy().astype(U64), got["n"].to_numpy()
         order = np.argsort(keys)
-        orders.append((keys[order], n[order].astype(np.int64)))
-    return orders, words
+        low.append((keys[order], n[order].astype(np.int64)))
+    low = learn.sparkSession.sparkContext.broadcast(low)
+    dealt = grams.select(F.shiftright("key", 8).bitwiseAND(0xFFFFFF).alias("shard"), "key", "n").repartition("shard").sortWithinPartitions("shard")
+    return cut(dealt.mapInArrow(shards(low), "key long, n long, logp double"), "logs"), words
+
+
+def frequent(logs: DataFrame, most: int) -> DataFrame:
+    """The most frequent grams, at most so many."""
+    level = F.floor(4 * F.log2(F.col("n") + 1))
+    left, least = most, None
+    for row in sorted(logs.groupBy(level.alias("level")).count().collect(), reverse=True):  # a few hundred rows
+        left -= row["count"]
+        if left < 0:
+            break
+        least = row["level"]
+    return logs.where(F.lit(False) if least is None else level >= least)
 
 
 def score_documents(docs: DataFrame, modulus: int = 5, held: int = 1) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text); learns from rows whose crc32(doc_id) mod ``modulus`` is not ``held``."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     learn = texts.where(fold(modulus) != held)
-    orders, words = train(learn)
+    logs, words = train(learn, texts.where(fold(modulus) == held))
+    top = frequent(logs, HEAD).toArrow()  # at most HEAD rows
+    often = np.argsort(-top["n"].to_numpy(), kind="stable")
+    grams, gram_logs = top["key"].to_numpy().astype(U64)[often], top["logp"].to_numpy()[often]
     ends = learn.count()
     sums = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
     head = words.where(F.col("n") >= max(2, -(-n // HEAD))).toArrow()  # at most HEAD rows
     keys, counts = head["word"].to_numpy().astype(np.int64).view(U64), head["n"].to_numpy()
     order = np.argsort(keys)
-    model = docs.sparkSession.sparkContext.broadcast((orders, keys[order], counts[order].astype(np.float64)))
-    scored = cut(texts.mapInArrow(scorer(model), "row_id long, doc_id long, n_tokens long, in_head long, head_sum double, score double, rest array<long>"), "scored")
+    model = docs.sparkSession.sparkContext.broadcast((grams, gram_logs, keys[order], counts[order].astype(np.float64)))
+    scored = cut(texts.mapInArrow(scorer(model), "row_id long, doc_id long, n_tokens long, in_head long, head_sum double, score double, rest array<long>, tail array<long>"), "scored")
     rest = scored.select("row_id", F.explode("rest").alias("word")).join(words, "word", "left")
     rest = rest.groupBy("row_id").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rest_sum"), F.count("n").alias("in_rest"))
-    out = scored.drop("rest").join(rest, "row_id", "left")
+    tail = scored.select("row_id", F.explode("tail").alias("key")).join(logs.select("key", "logp"), "key")
+    tail = tail.groupBy("row_id").agg(F.sum("logp").alias("tail_sum"))
+    out = scored.drop("rest", "tail").join(rest, "row_id", "left").join(tail, "row_id", "left")
+    out = out.withColumn("score", F.col("score") + F.coalesce("tail_sum", F.lit(0.0)))
     total = math.log10(n + 0.5 * (v + 1))
     base = F.col("head_sum") + F.coalesce("rest_sum", F.lit(0.0)) + math.log10(ends + 0.5) - F.col("n_tokens") * F.lit(total)
     known = F.col("in_head") + F.coalesce("in_rest", F.lit(0)) + F.lit(int(ends > 0))

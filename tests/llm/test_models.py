@@ -152,6 +152,24 @@ def test_ppm_equals_plain_trie(spark):
     assert ppm.score_documents(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_ppm_keeps_rare_contexts_of_a_large_corpus(spark, monkeypatch):
+    rare = ["qzjkwv xqvkj", "qzjkwv xqvkj", "qzjkwv xqvkj zzz", "vkjq\u00e9"]
+    texts = rare * 2 + ["".join("abc d"[(i * i + k) % 5] for i in range(40_000)) for k in range(12)]
+    trie = ppm.Trie()
+    for k, t in enumerate(texts):
+        if zlib.crc32(str(k).encode()) % 5 != 1:
+            data = b"\xff" * 4 + t.encode() + b"\xff"
+            for i in range(4, len(data)):
+                trie.update(data[i - 4 : i], data[i])
+    trie.counts = {c: s for c, s in trie.counts.items() if not c or sum(s.values()) >= 2}
+    assert sum(trie.counts[b""].values()) > 3 * ppm.CONTEXTS
+    for head in (1 << 20, 40, 0):  # all grams broadcast, some, none
+        monkeypatch.setattr(ppm, "HEAD", max(head, 1))
+        got = rows(ppm.score_documents(docs(spark, texts)))
+        for k, t in enumerate(texts[: len(rare) * 2]):
+            assert got[k]["score"] == pytest.approx(trie.code(t.encode(), False), rel=1e-6)
+
+
 def test_adaptive_coding_learns(spark):
     got = rows(ppm.score_adaptive(docs(spark, ["abcd" * 50, "abcd", None])))
     assert got[0]["score"] / 200 > got[1]["score"] / 4 / 3 and got[2]["score"] < 0
