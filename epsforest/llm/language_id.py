@@ -189,18 +189,19 @@ def fold(modulus: int = 4):
 
 
 def fit(docs: DataFrame, modulus: int = 4, held: int = 2) -> tuple[dict[str, np.ndarray], list[str]]:
-    """The network and its languages, from rows outside the held-out fold."""
+    """The network and its languages, from rows outside the held-out fold: about PER_LANGUAGE texts a language, or MOST_SAMPLED shared alike."""
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("doc_id"))), 1, 8), 16, 10).cast("long")
     rows = docs.where(F.col("lang").isNotNull() & (fold(modulus) != held)).select("doc_id", F.col("lang").cast("string").alias("lang"), "text", u.alias("u"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
     languages = sorted(counts)
     if not languages:
         return new_network(1), []
-    limit = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1 << 32, int((1 << 32) * PER_LANGUAGE / n) + 1))])
+    each = max(1, min(PER_LANGUAGE, MOST_SAMPLED // len(languages)))  # alike for all languages
+    limit = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1 << 32, int((1 << 32) * each / n) + 1))])
     length = F.length("text")
     passage = F.substr("text", F.pmod(F.col("u"), F.greatest(length - PASSAGE + 1, F.lit(1))).cast("int") + 1, F.lit(PASSAGE))
     some = rows.where(F.col("u") < F.element_at(limit, F.col("lang"))).where(F.col("text").rlike(r"\p{L}"))
-    got = some.select("u", "doc_id", "lang", passage.alias("p")).orderBy("u", "doc_id", "p").limit(MOST_SAMPLED).toArrow()
+    got = some.select("u", "doc_id", "lang", passage.alias("p")).orderBy("u", "doc_id", "p").limit(2 * MOST_SAMPLED).toArrow()  # twice what is expected: only reached by rows that repeat a doc_id
     texts = [t.encode() for t in got["p"].to_pylist()]
     if not texts:
         return new_network(1), []

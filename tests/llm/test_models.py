@@ -62,6 +62,16 @@ def test_languages_are_told_apart(spark):
     assert none[0]["lang_pred"] == "und" and li.identify(docs(spark, texts, langs).limit(0)).count() == 0
 
 
+def test_many_languages_share_the_sample(spark, monkeypatch):
+    langs = ["a"] * 1000 + ["b"] * 1000 + ["c"] * 60
+    taken = {}
+    monkeypatch.setattr(li, "PER_LANGUAGE", 60)
+    monkeypatch.setattr(li, "MOST_SAMPLED", 60)
+    monkeypatch.setattr(li, "train", lambda windows, y, n: taken.update(collections.Counter(y.tolist())))
+    li.fit(docs(spark, ["some words"] * len(langs), langs=langs))
+    assert all(8 <= taken.get(k, 0) <= 40 for k in range(3)), taken
+
+
 def plain_kneser_ney(train, text):
     """Probabilities by their textbook definition, from counts in dictionaries."""
     c3 = collections.Counter()
