@@ -17,29 +17,64 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
+@pytest.fixture(scope="module")
+def library():
+    return pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=MODEL)
+
+
 @pytest.fixture(scope="module")
 def machine():
     with open(MODEL, "rb") as f:
-        return tc.SegmentTransducer(f.read())
+        return tc.Transducer(tc.read_model(f.read()))
 
 
-TEXT = st.lists(st.sampled_from([*"abeT  \n\n\t\r▁é😀<s>{}();.\x00", "the", "tion", " \r", "\n\n", "  "]), max_size=40).map("".join)
+TEXT = st.lists(st.sampled_from([*"abeT  \n\n\t\r▁é😀中<s>{}();.\x00", "the", "tion", " \r", "\n\n", "  ", "aaaa", "----"]), max_size=60).map("".join)
+
+
+def in_blocks(machine, texts, size=1 << 20):
+    return [int(n) for _, _, buf, offs in pieces(pa.array(texts), size) for n in machine.rows(buf, offs)]
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(TEXT, min_size=1, max_size=8), st.integers(1, 9))
-def test_tokens_equal_the_library(machine, texts, size):
-    want = [len(x) for x in machine.library.encode(texts)]
-    plain = pa.array([t.replace("▁", " ") for t in texts])
-    assert [int(n) for _, _, buf, offs in pieces(plain, 16) for n in machine.rows(buf, offs)] == want
-    assert [machine.long(t.replace("▁", " ").encode(), size) for t in texts] == want
+def test_tokens_equal_the_library(machine, library, texts, size):
+    want = [len(x) for x in library.encode(texts)]
+    assert in_blocks(machine, texts, 16) == want
+    assert [machine.long(t.encode(), size) for t in texts] == want
+
+
+def test_blanks_and_stretches_without_a_free_place(machine, library, monkeypatch):
+    rng = random.Random(4)
+    texts = [a + " " * n + b for n in range(70) for a, b in (("", ""), ("a", "b"), ("\n", ""))]
+    texts += ["a" * 5001, "ab" * 3000, "-" * 4000, "0" * 1025, "abc" * 2000, "".join(rng.choice("abcdefgh0123+/") for _ in range(9000))]
+    want = [len(x) for x in library.encode(texts)]
+    for rounds, width in ((4, 64), (0, 64), (0, 1)):  # entered anew, by the prefix scan of maps, chunk by chunk
+        monkeypatch.setattr(tc, "ROUNDS", rounds)
+        monkeypatch.setattr(tc, "WIDTH", width)
+        assert in_blocks(machine, texts) == want
+    assert [machine.long(t.encode(), 777) for t in texts] == want
+
+
+def test_transitions_add_up_to_the_last_piece(machine, library):
+    text, state, total = "▁unbelievable▁internationalisation", 0, 0
+    for i, ch in enumerate(text):
+        state, emitted = machine.step(0 if ch == "▁" else state, int(machine.class_of[ord(ch)]))
+        total += emitted
+        want = library.encode(text[1 : i + 1], out_type=str) if i else ["▁"]
+        assert (total, machine.v.pieces[machine.states[state][0]]) == (len(want), want[-1])
+
+
+def test_unfit_vocabularies_are_refused():
+    for found, rank in ((["a", "b", "abc"], {"abc": 1.0}), (["a", "▁", "a▁"], {"a▁": 1.0}), (["a", "b", "c", "abc"], {"abc": 1.0})):
+        with pytest.raises(ValueError):
+            tc.Vocabulary(found, rank).close()
 
 
-def test_token_rows(spark, machine):
-    texts = [None, "", "a  b\nc", "x y " * 9000, "▁▁ <s>", "a  b\nc"]
+def test_token_rows(spark, library):
+    texts = [None, "", "a  b\nc", "x y " * 9000, "▁▁ <s>", "a  b\nc", "long " * 600_000]
     got = rows(tc.count_tokens(docs(spark, texts), MODEL))
     for i, t in enumerate(texts):
-        n = len(machine.library.encode(t or ""))
+        n = len(library.encode(t or ""))
         assert (got[i]["n_bytes"], got[i]["n_tokens"], got[i]["over_limit"]) == (len((t or "").encode()), n, n > 4096)
     assert tc.count_tokens(docs(spark, texts).limit(0), MODEL).count() == 0
 
