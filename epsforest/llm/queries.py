@@ -78,42 +78,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("rate")
-
-
-def _op7_sql() -> str:
-    rounds = []
-    for k in range(1, mixing.ROUNDS + 1):
-        rounds.append(f"""
-c{k} AS (
-  SELECT doc_id, source, size, u, sum(size) OVER (PARTITION BY source ORDER BY u, size, doc_id ROWS UNBOUNDED PRECEDING) <= room AS more
-  FROM r{k - 1} JOIN m{k - 1} USING (key) WHERE NOT more AND size > 0 AND size <= room
-), r{k} AS (
-  SELECT r.doc_id, r.source, r.key, r.size, r.u, r.more OR coalesce(c.more, false) AS more FROM r{k - 1} r LEFT JOIN c{k} c ON c.doc_id = r.doc_id
-), m{k} AS (
-  SELECT p.key, p.full_room - coalesce((SELECT sum(size) FROM r{k} WHERE more AND r{k}.key = p.key), 0) AS room, p.full_room FROM m0 p
-)""")
-    return rf"""
-WITH d AS (
-  SELECT doc_id, source, coalesce(source, '<none>') AS key, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-    CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) AS u FROM documents
-), s AS (
-  SELECT key, CAST(sum(size) AS BIGINT) AS source_size, CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS weight
-  FROM d GROUP BY key, source
-), o AS (
-  SELECT *, 2 * source_size / weight AS full_at, coalesce(sum(2 * source_size) OVER f, 0) AS held, sum(weight) OVER () - coalesce(sum(weight) OVER f, 0) AS open FROM s
-  WINDOW f AS (ORDER BY 2 * source_size / weight, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-), l AS (
-  SELECT min((SELECT sum(source_size) * 3 / 2.0 FROM s) - held) AS x, min_by(((SELECT CAST(sum(source_size) * 3 AS DOUBLE) / 2 FROM s) - held) / open, full_at) AS level
-  FROM o WHERE ((SELECT CAST(sum(source_size) * 3 AS DOUBLE) / 2 FROM s) - held) / open <= full_at
-), g AS (SELECT key, source_size, least(weight * level, CAST(2 * source_size AS DOUBLE)) AS target FROM s, l),
-h AS (SELECT *, CASE WHEN source_size = 0 THEN 0 WHEN target >= 2 * source_size THEN 2 ELSE CAST(floor(target / source_size) AS BIGINT) END AS whole FROM g),
-m0 AS (SELECT key, CAST(floor(target - whole * source_size + 1e-6) AS BIGINT) AS room, CAST(floor(target - whole * source_size + 1e-6) AS BIGINT) AS full_room FROM h),
-r0 AS (SELECT doc_id, source, key, size, u, false AS more FROM d),{",".join(rounds)}
-SELECT doc_id, source, CAST(size AS BIGINT) AS size, source_size, target, CAST(least(whole + CAST(more AS INT), 2) AS BIGINT) AS copies,
-  CAST(least(whole + CAST(more AS INT), 2) * size AS BIGINT) AS taken
-FROM r{mixing.ROUNDS} JOIN h USING (key)
-"""
+    return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op8_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,6 +179,5 @@ ORACLE: dict[str, str] = {
     "op2_license_scan": _op2_sql(),
     "op4_chat_prefix_tree": OP4_SQL,
     "op6_simhash_decontamination": OP6_SQL,
-    "op7_source_mixing": _op7_sql(),
     "op8_line_frequency_rules": OP8_SQL,
 }

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
 
+if TYPE_CHECKING:
+    from pyspark.sql import DataFrame
+
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C55
 BLOCK = 1 << 20
@@ -44,6 +48,14 @@ def pieces(column: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, int, np.n
         row = end
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
