@@ -4,14 +4,18 @@ Every text becomes a MinHash sample over its word shingles. Bands of the sample
 sample folded into a parity bitmap) estimates a candidate pair's similarity by the population count of the XOR of two
 bitmaps; the pairs that pass are confirmed on their full shingle sets. Components of confirmed links are the result.
 
-How groups stay bounded: equal shingle sets are one class from the start. Members of a band's bucket are compared with
-the bucket's most central member first, which is linear in the bucket. Only where a bucket still holds several components
-after that are the members outside its largest component compared with all others, in blocks, by the sketch and then by a
-finer one that only such texts get; pairs that a sketch turns down are never emitted. No candidate is dropped.
+How groups stay bounded: equal shingle sets are one class from the start, and a node of the graph. Members of a band's
+bucket are compared with the bucket's most central member first, which is linear in the bucket. Where a bucket still holds
+several components after that, and is large (more than ``OPEN`` members), its members get ``SUB[0]`` further bands of
+``SUB[1]`` samples each, which part texts that only share some boilerplate, and again meet the most central member of
+those buckets. Only what is open then is compared: the members outside a bucket's largest component with all others, in
+blocks of bounded probes and bounded targets, by the sketch and then by a finer one that only such texts get; pairs that a sketch
+turns down are never emitted. No candidate is dropped. Buckets, leaders and classes that are hot are dealt to several tasks.
 
 Defined results: a null, empty or blank text has the empty set and is linked with nothing. A text with fewer words than
-a shingle is one shingle. Rows that repeat a doc_id stay rows of their own; they meet only through equal or similar texts.
-A row without doc_id is returned as it is, with a null component and kept. Other columns of the input are not used.
+a shingle is one shingle. Rows that repeat a doc_id stay rows of their own, whatever their texts: each belongs to its text's
+component. A row without doc_id is returned as it is, with a null component and kept; it links nothing. Other columns of
+the input are not used.
 """
 
 from __future__ import annotations
@@ -23,15 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epsforest.llm.textscan import U64, mix, pieces, word_shingles
+from epsforest.llm.textscan import U64, mix, pieces, unused, word_shingles
 from epsforest.operators.components import connected_components
+from epsforest.operators.skew import copied, hot_keys, salted, split_join
 from epsforest.runtime import cut
 
 BANDS, ROWS = 32, 4
 #: Samples and bits of the sketch that every text has, and of the finer one of texts whose groups stay open.
 COARSE, FINE = (192, 1024), (4096, 8192)
+#: Bands and samples of each for texts of large open buckets: a pair of similarity 0.8 misses all with probability 3e-11.
+SUB, OPEN = (340, 12), 1024
 MEMBERS_A_SALT, MEMBERS_A_BLOCK = 256, 256
-COLUMNS = ("probe", "minor", "rep", "comp", "sketch", "fine", "bands")
+COLUMNS = ("probe", "minor", "node", "comp", "sketch", "fine", "bands")
 
 
 def most_apart(percent: int, sketch: tuple[int, int], deviations: float) -> int:
@@ -46,13 +53,6 @@ def most_apart(percent: int, sketch: tuple[int, int], deviations: float) -> int:
     return int(min(bits, expected + 2 * 2 * (2 * differ * differ / bits) ** 0.5))
 
 
-def sketch_similarity(apart: np.ndarray, sketch: tuple[int, int]) -> np.ndarray:
-    """The Jaccard similarity that odd sketches so many bits apart estimate."""
-    n, bits = sketch
-    x = np.clip(1 - 2 * np.asarray(apart) / bits, 1e-9, 1)
-    return np.clip(1 + bits / (4 * n) * np.log(x), 0, 1)
-
-
 def samples(shingles: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
     """n MinHash samples (n x rows with shingles) of the joined sets."""
     sizes = sizes[sizes > 0]
@@ -69,13 +69,13 @@ def samples(shingles: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def bands_of(sample: np.ndarray) -> np.ndarray:
-    """rows x BANDS 64-bit keys."""
-    out = np.empty((sample.shape[1], BANDS), U64)
-    for band in range(BANDS):
+def bands_of(sample: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """rows of the sample x bands 64-bit keys."""
+    out = np.empty((sample.shape[1], bands), U64)
+    for band in range(bands):
         h = np.full(sample.shape[1], band + 1, U64)
-        for row in range(ROWS):
-            h = mix(h * U64(0xD6E8FEB86659FD93) + sample[band * ROWS + row].astype(U64))
+        for row in range(rows):
+            h = mix(h * U64(0xD6E8FEB86659FD93) + sample[band * rows + row].astype(U64))
         out[:, band] = h
     return out
 
@@ -111,20 +111,27 @@ def features(size: int):
                     sample = samples(shingles, sizes, COARSE[0])
                     bands[some], sketch[some] = bands_of(sample), odd_sketch(sample, COARSE[1])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(row, end - row), pa.array(sizes), pa.array(key[:, 0].view(np.int64)), pa.array(key[:, 1].view(np.int64)), _long_lists(bands), _long_lists(sketch)],
-                    ["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"],
+                    [ids.slice(row, end - row), batch.column(2).slice(row, end - row), pa.array(sizes), *(pa.array(key[:, k].view(np.int64)) for k in (0, 1)), _long_lists(bands), _long_lists(sketch)],
+                    ["doc_id", "text_key", "n_shingles", "k1", "k2", "bands", "sketch"],
                 )
 
     return run
 
 
 def fine_sketches(size: int):
+    """(node, fine, sub) of (node, text, wide): the finer sketch, and for ``wide`` rows the further bands."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            wide = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for row, end, buf, offs in pieces(batch.column(1), 1 << 18):
                 shingles, sizes = word_shingles(buf, offs, size)
-                some = pa.array(sizes > 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row).filter(some), _long_lists(odd_sketch(samples(shingles, sizes, FINE[0]), FINE[1]))], ["rep", "fine"])
+                sample = samples(shingles, sizes, FINE[0])
+                some = sizes > 0
+                broad = wide[row:end][some]
+                keys = bands_of(sample[:, broad], *SUB).ravel().view(np.int64)
+                sub = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(broad * SUB[0])).astype(np.int32)), pa.array(keys))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row).filter(pa.array(some)), _long_lists(odd_sketch(sample, FINE[1])), sub], ["node", "fine", "sub"])
 
     return run
 
@@ -133,10 +140,9 @@ def confirm(size: int, percent: int):
     """Streams rows sorted by group with the group's target first; holds one target's set and one row's at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, sets = None, []
+        target, known = None, None
         for batch in batches:
-            t, m, first = (batch.column(k) for k in range(3))
-            t, m, first = t.to_numpy(zero_copy_only=False), m.to_numpy(zero_copy_only=False), first.to_numpy(zero_copy_only=False)
+            t, m, first = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             a, b = [], []
             for row, end, buf, offs in pieces(batch.column(3)):
                 shingles, sizes = word_shingles(buf, offs, size)
@@ -144,20 +150,19 @@ def confirm(size: int, percent: int):
                 for i in range(row, end):
                     own = shingles[stops[i - row] - sizes[i - row] : stops[i - row]]
                     if first[i]:
-                        if target != t[i]:
-                            target, sets = t[i], []
-                        sets.append(own.copy())  # more than one only for a doc_id with several texts
+                        if target != t[i]:  # rows that repeat a target have the same set
+                            target, known = t[i], own.copy()
                         continue
-                    for s in sets if target == t[i] else ():
-                        small, large = (own, s) if len(own) < len(s) else (s, own)
-                        if 100 * len(small) < percent * len(large):
-                            continue
-                        at = np.searchsorted(large, small)
-                        both = int(np.count_nonzero(large[np.minimum(at, len(large) - 1)] == small))
-                        if both and 100 * both >= percent * (len(own) + len(s) - both):
-                            a.append(m[i])
-                            b.append(t[i])
-                            break
+                    if target != t[i]:
+                        continue
+                    small, large = (own, known) if len(own) < len(known) else (known, own)
+                    if 100 * len(small) < percent * len(large):
+                        continue
+                    at = np.searchsorted(large, small)
+                    both = int(np.count_nonzero(large[np.minimum(at, len(large) - 1)] == small))
+                    if both and 100 * both >= percent * (len(own) + len(known) - both):
+                        a.append(m[i])
+                        b.append(t[i])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
@@ -166,12 +171,12 @@ def confirm(size: int, percent: int):
 def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (m, t) whose full sets are similar. A target of many members is dealt to several salts."""
     pairs = cut(pairs, "pairs")
-    salt = F.pmod(F.xxhash64("m"), F.col("salts"))
-    targets = pairs.groupBy("t").agg(F.count("*").alias("n")).select("t", F.ceil(F.col("n") / MEMBERS_A_SALT).cast("long").alias("salts"))
-    first = texts.join(targets, F.col("rep") == F.col("t")).select("t", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("rep").alias("m"), F.lit(True).alias("first"), "text")
-    rest = pairs.join(targets, "t").join(texts, F.col("rep") == F.col("m")).select("t", salt.alias("salt"), "m", F.lit(False).alias("first"), "text")
-    dealt = first.unionByName(rest).repartition("t", "salt").sortWithinPartitions("t", "salt", F.desc("first"))
-    return dealt.select("t", "m", "first", "text").mapInArrow(confirm(size, percent), "a long, b long").distinct()
+    targets = pairs.groupBy("t").agg(F.count("*").alias("n"))
+    hot = hot_keys(targets, ["t"], pairs.count(), MEMBERS_A_SALT)
+    first = copied(targets.select("t"), ["t"], hot).join(texts, F.col("node") == F.col("t")).select("t", "_salt", F.col("node").alias("m"), F.lit(True).alias("first"), "text")
+    rest = salted(pairs, ["t"], hot).join(texts, F.col("node") == F.col("m")).select("t", "_salt", "m", F.lit(False).alias("first"), "text")
+    dealt = first.unionByName(rest).repartition("t", "_salt").sortWithinPartitions("t", "_salt", F.desc("first"))
+    return cut(dealt.select("t", "m", "first", "text").mapInArrow(confirm(size, percent), "a long, b long").distinct(), "links")
 
 
 def _apart(x: str, y: str):
@@ -183,13 +188,13 @@ def _apart(x: str, y: str):
 
 
 def across(most: int, most_fine: int):
-    """Streams rows sorted by bucket block; emits probe and target pairs of different components that both sketches let pass.
+    """Streams rows sorted by bucket and block; emits probe and target pairs of different components that both sketches let pass.
 
-    A pair that meets in several bands is emitted in the first of them only, and of two probes only by the larger.
+    Of two probes only the larger emits their pair. A pair that meets in several buckets of the first bands is emitted in the first of them only.
     """
 
     def close(band: int, rows: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        probe, minor, rep, comp, sketch, fine, bands = (np.concatenate(rows[k]) for k in COLUMNS)
+        probe, minor, node, comp, sketch, fine, bands = (np.concatenate(rows[k]) for k in COLUMNS)
         p, t = np.flatnonzero(probe), np.flatnonzero(~probe)
         for lo in range(0, len(p), 64):
             u = p[lo : lo + 64]
@@ -197,29 +202,35 @@ def across(most: int, most_fine: int):
             i, j = np.nonzero((apart <= most) & (comp[u][:, None] != comp[t][None, :]))
             for at in range(0, len(i), 4096):
                 a, b = u[i[at : at + 4096]], t[j[at : at + 4096]]
-                once = ~minor[b] | (rep[a] > rep[b])
+                once = ~minor[b] | (node[a] > node[b])
                 a, b = a[once], b[once]
-                first = (bands[a] == bands[b]).argmax(axis=1)
-                once = bands[a, first] == band
+                same = bands[a] == bands[b]
+                first = same.argmax(axis=1)
+                once = (bands[a, first] == band) | ~(bands[a] == band).any(axis=1)
                 a, b = a[once], b[once]
                 ok = np.bitwise_count(fine[a] ^ fine[b]).sum(axis=1, dtype=np.int64) <= most_fine
-                a, b = rep[a[ok]], rep[b[ok]]
+                a, b = node[a[ok]], node[b[ok]]
                 yield np.maximum(a, b), np.minimum(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, None
         out = lambda m, t: pa.RecordBatch.from_arrays([pa.array(m), pa.array(t)], ["m", "t"])
         for batch in batches:
-            b, k, probe, minor, rep, comp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-            sketch, fine, bands = (batch.column(i).flatten().to_numpy().reshape(len(b), -1) if len(b) else np.zeros((0, 1), np.int64) for i in (6, 7, 8))
-            values = (probe.astype(bool), minor.astype(bool), rep, comp, sketch.view(U64), fine.view(U64), bands)
-            edge = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (k[1:] != k[:-1])])) if len(b) else []
-            for lo, hi in zip(edge, [*edge[1:], len(b)], strict=True) if len(b) else ():
-                if key != (b[lo], k[lo]):
+            n = batch.num_rows
+            if not n:
+                continue
+            block = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            probe, minor, node, comp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3, 7))
+            sketch, fine, bands = (batch.column(i).flatten().to_numpy().reshape(n, -1) for i in (7, 8, 9))
+            values = (probe.astype(bool), minor.astype(bool), node, comp, sketch.view(U64), fine.view(U64), bands)
+            edge = np.flatnonzero(np.append(True, (block[1:] != block[:-1]).any(axis=1))).tolist()
+            for lo, hi in zip(edge, [*edge[1:], n], strict=True):
+                now = tuple(block[lo].tolist())
+                if key != now:
                     if rows:
                         for m, t in close(key[0], rows):
                             yield out(m, t)
-                    key, rows = (b[lo], k[lo]), {x: [] for x in COLUMNS}
+                    key, rows = now, {x: [] for x in COLUMNS}
                 for x, v in zip(COLUMNS, values, strict=True):
                     rows[x].append(v[lo:hi].copy())
         if rows:
@@ -229,55 +240,126 @@ def across(most: int, most_fine: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = cut(texts.mapInArrow(features(shingle), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch array<long>"), "minhash")
+def _members(dealt: DataFrame) -> DataFrame:
+    """(band, node, n) of the buckets of ``dealt`` (node, band) with several members."""
+    several = cut(dealt.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    total = several.agg(F.sum("n")).first()[0] or 0
+    return cut(split_join(dealt, several, ["band"], several, total), "members")
+
+
+def _by_bucket(members: DataFrame, other: DataFrame) -> DataFrame:
+    """members (band, node, n, ..) with the columns of ``other`` (band, n, ..); large buckets are dealt to several tasks."""
+    parts = F.ceil(F.col("n") / OPEN).cast("int")
+    left = members.withColumn("_salt", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    right = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    return left.join(right, ["band", "_salt"]).drop("_salt")
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """The distinct pairs (m, t) of a bucket's member and its most central one. Where members have a ``comp``, only of different ones."""
+    central = members.groupBy("node").agg(F.sum("n").alias("score"))
+    keep = ["comp"] if "comp" in members.columns else []
+    best = F.max(F.struct("score", (-F.col("node")).alias("minus"), *keep)).alias("top")
+    leaders = members.join(central, "node").groupBy("band").agg(F.first("n").alias("n"), best)
+    leaders = leaders.select("band", "n", (-F.col("top.minus")).alias("t"), *(F.col("top.comp").alias("other") for _ in keep))
+    pairs = _by_bucket(members, leaders).where("node != t and comp != other" if keep else "node != t")
+    return pairs.select(F.col("node").alias("m"), "t").distinct()
+
+
+def _near(pairs: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
+    """The pairs (m, t) whose sketches are close. A pair has few partners as m, and may have many as t."""
+    pairs = cut(pairs, "stars")
+    left, right = sketches.select(F.col("node").alias("m"), F.col("sketch").alias("sm")), sketches.select(F.col("node").alias("t"), F.col("sketch").alias("st"))
+    counts = pairs.groupBy("t").agg(F.count("*").alias("n"))
+    return split_join(pairs.join(left, "m"), right, ["t"], counts, pairs.count()).where(_apart("sm", "st") <= most).select("m", "t")
+
+
+def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(band, node, n, comp, main, minors) of the buckets that hold several components; main: the largest of them."""
+    placed = members.join(comps, F.col("node") == F.col("id"), "left").select("band", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    parts = placed.groupBy("band", "comp").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    several = parts.groupBy("band").agg(F.first("n").alias("n"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("k")).where("k > 1")
+    several = several.select("band", "n", F.col("top.comp").alias("main"), (F.col("n") - F.col("top.c")).alias("minors"))
+    return cut(_by_bucket(placed, several), "open")
+
+
+def _blocks(rest: DataFrame) -> DataFrame:
+    """Rows for ``across``: bounded blocks of probes meet bounded blocks of targets."""
+    rest = rest.withColumn("minor", F.col("comp") != F.col("main"))
+    probes, targets = (F.ceil(F.col(c) / MEMBERS_A_BLOCK).cast("long") for c in ("minors", "n"))
+    own = lambda parts: F.pmod(F.xxhash64("node"), parts)
+    all_ = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+    left = rest.where("minor").select("band", own(probes).alias("p"), all_(targets).alias("t"), F.lit(True).alias("probe"), *COLUMNS[1:])
+    right = rest.select("band", all_(probes).alias("p"), own(targets).alias("t"), F.lit(False).alias("probe"), *COLUMNS[1:])
+    return left.unionByName(right).repartition("band", "p", "t").sortWithinPartitions("band", "p", "t")
+
+
+def _grouped(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, text_key, n_shingles, k1, k2); and the classes (k1, k2, rows, component_id, component_key), doc_id and text key that stand for the component."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    schema = "doc_id long, text_key long, n_shingles long, k1 long, k2 long, bands array<long>, sketch array<long>"
+    found = cut(texts.mapInArrow(features(shingle), schema), "minhash")
     real = found.where("n_shingles > 0 and doc_id is not null")
-    classes = cut(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
-    dealt = classes.select("rep", F.explode("bands").alias("band"))
-    several = dealt.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(dealt.join(several, "band"), "members")
-
-    central = members.groupBy("rep").agg(F.sum("n").alias("score"))
-    leaders = members.join(central, "rep").groupBy("band").agg(F.max(F.struct("score", (-F.col("rep")).alias("minus"))).alias("top"))
-    leaders = leaders.select("band", (-F.col("top.minus")).alias("t"))
-    sketches = classes.select("rep", "sketch")
+    classes = real.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.count("*").alias("rows"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbers are fixed by writing them
+    members = _members(classes.select("node", F.explode("bands").alias("band")))
+    sketches = classes.select("node", "sketch")
     most = most_apart(percent, COARSE, 6.5)
 
-    def near(pairs: DataFrame) -> DataFrame:
-        left, right = sketches.select(F.col("rep").alias("m"), F.col("sketch").alias("sm")), sketches.select(F.col("rep").alias("t"), F.col("sketch").alias("st"))
-        return pairs.join(left, "m").join(right, "t").where(_apart("sm", "st") <= most).select("m", "t").distinct()
-
-    stars = members.join(leaders, "band").where("rep != t").select(F.col("rep").alias("m"), "t").distinct()
-    wanted = members.select("rep").distinct()
-    bodies = cut(texts.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").withColumnRenamed("doc_id", "rep"), "bodies")
-    links = cut(_links(near(stars), bodies, shingle, percent), "links")
+    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "rep.doc_id", "rep.text_key")
+    bodies = cut(texts.join(wanted, ["doc_id", "text_key"]).select("node", "text"), "bodies")
+    links = _links(_near(_stars(members), sketches, most), bodies, shingle, percent)
     comps = connected_components(links)
-
-    placed = members.join(comps, F.col("rep") == F.col("id"), "left").select("band", "rep", F.coalesce("comp", "rep").alias("comp"))
-    split = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("band", "n")
-    rest = cut(placed.join(split, "band"), "rest")
+    rest = _open(members, comps)
     if not rest.isEmpty():
-        main = rest.groupBy("band", "comp").agg(F.count("*").alias("c")).groupBy("band").agg(F.max(F.struct("c", "comp")).alias("top")).select("band", F.col("top.comp").alias("main"))
-        open_texts = bodies.join(rest.select("rep").distinct(), "rep", "left_semi").select("rep", "text").repartition("rep")
-        fine = cut(open_texts.mapInArrow(fine_sketches(shingle), "rep long, fine array<long>").dropDuplicates(["rep"]), "fine")
-        rest = rest.join(main, "band").join(classes.select("rep", "sketch", "bands"), "rep").join(fine, "rep").withColumn("minor", F.col("comp") != F.col("main")).withColumn("blocks", F.ceil(F.col("n") / MEMBERS_A_BLOCK).cast("long"))
-        targets = rest.select("band", F.pmod(F.xxhash64("rep"), "blocks").alias("block"), F.lit(False).alias("probe"), *COLUMNS[1:])
-        probes = rest.where("minor").select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("probe"), *COLUMNS[1:])
-        blocks = targets.unionByName(probes).repartition("band", "block").sortWithinPartitions("band", "block")
-        more = _links(blocks.mapInArrow(across(most, most_apart(percent, FINE, 5)), "m long, t long").distinct(), bodies, shingle, percent)
-        comps = connected_components(links.unionByName(more))
-
-    known = classes.select("k1", "k2", "rep").join(comps, F.col("rep") == F.col("id"), "left").select("k1", "k2", F.coalesce("comp", "rep").alias("comp"))
-    out = found.select("doc_id", "n_shingles", "k1", "k2").join(known, ["k1", "k2"], "left")
-    comp = F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id"))
-    comp = F.when(F.col("doc_id").isNotNull(), comp)
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
+        wide = rest.groupBy("node").agg(F.max(F.col("n") > OPEN).alias("wide"))
+        open_texts = bodies.join(wide, "node").select("node", "text", "wide").repartition("node")
+        fine = open_texts.mapInArrow(fine_sketches(shingle), "node long, fine array<long>, sub array<long>")
+        fine = cut(fine.groupBy("node").agg(F.first("fine").alias("fine"), F.first("sub").alias("sub")), "fine")
+        rest = rest.where(F.col("n") <= OPEN)
+        large = cut(fine.where(F.size("sub") > 0).select("node", F.explode("sub").alias("band")), "sub")
+        if not large.isEmpty():
+            sub = _members(large)
+            placed = sub.join(comps, F.col("node") == F.col("id"), "left").select("band", "node", "n", F.coalesce("comp", "node").alias("comp"))
+            links = links.unionByName(_links(_near(_stars(placed), sketches, most), bodies, shingle, percent))
+            comps = connected_components(links)
+            rest = _open(members.where(F.col("n") <= OPEN), comps).unionByName(_open(sub, comps))
+        rest = rest.join(classes.select("node", "sketch", "bands"), "node").join(fine.select("node", "fine"), "node")
+        more = _blocks(rest).mapInArrow(across(most, most_apart(percent, FINE, 5)), "m long, t long").distinct()
+        comps = connected_components(links.unionByName(_links(more, bodies, shingle, percent)))
+
+    placed = classes.join(comps, F.col("node") == F.col("id"), "left").select("k1", "k2", "rows", "rep", F.coalesce("comp", "node").alias("comp"))
+    placed = cut(placed, "placed")
+    groups = cut(placed.groupBy("comp").agg(F.min("rep").alias("top"), F.count("*").alias("n")), "groups")
+    joined = split_join(placed.drop("rep"), groups.select("comp", "top"), ["comp"], groups.select("comp", "n"), groups.agg(F.sum("n")).first()[0] or 0)
+    return found, joined.select("k1", "k2", "rows", F.col("top.doc_id").alias("component_id"), F.col("top.text_key").alias("component_key"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text)."""
+    found, classes = _grouped(docs, shingle, percent)
+    classes = cut(classes, "components")
+    linked = F.col("n_shingles") > 0
+    real = found.where(linked & F.col("doc_id").isNotNull()).select("doc_id", "n_shingles", "k1", "k2")
+    total = classes.agg(F.sum("rows")).first()[0] or 0
+    out = split_join(real, classes.select("k1", "k2", "component_id"), ["k1", "k2"], classes.select("k1", "k2", F.col("rows").alias("n")), total)
+    out = out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    alone = found.where(~linked | F.col("doc_id").isNull())
+    return out.unionByName(alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stand for their group: the smallest doc_id of each; of repeated doc_ids one row."""
-    kept = near_duplicates(docs, shingle, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    known = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null"))
+    """The rows of ``docs`` that stand for their group: of each component one row, with its smallest doc_id (and text key).
+
+    Rows without words or without doc_id stay. Of rows that repeat that doc_id and that text, the least in the order of their columns stays.
+    """
+    _, classes = _grouped(docs, shingle, percent)
+    one = classes.select("component_id", "component_key").distinct()
+    doc, text = unused(docs, "_doc"), unused(docs, "_text")
+    one = one.select(F.col("component_id").alias(doc), F.col("component_key").alias(text))
+    words = F.coalesce(docs["text"].cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) & docs["doc_id"].isNotNull()
+    keyed = docs.where(words).withColumns({doc: F.col("doc_id").cast("long"), text: F.xxhash64(F.col("text").cast("string"))})
+    order = [c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
+    row = F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct(*(F.col(f"`{c}`") for c in order))).alias("row")
+    kept = keyed.join(one, [doc, text]).groupBy(doc, text).agg(row).select("row.*")
+    return kept.unionByName(docs.where(~words))
