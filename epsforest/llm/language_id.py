@@ -4,6 +4,7 @@ The network reads windows of WINDOW bytes in both directions, labels every byte
 are the mean over all its positions. It is trained in numpy by backpropagation through time on a bounded sample: about
 ``PER_LANGUAGE`` training documents of each language, in the order of a hash, and of each one passage of ``PASSAGE``
 characters. Prediction reads whole texts; its windows are steps of one matrix each, so a block of text takes WINDOW steps.
+Both in training and in prediction a window starts from an empty state: backpropagation and context end at its edges.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0. A row without language is never trained
 on. With a single training language, or none, every text with letters gets that language, or ``und``. Languages with
@@ -18,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from epsforest.llm.textscan import pieces
+from epsforest.llm.textscan import pieces, unused
 
 HIDDEN, WINDOW, PAD = 8, 64, 256
 PER_LANGUAGE, MOST_SAMPLED, PASSAGE = 800, 20_000, 256
@@ -166,24 +168,42 @@ def pooled(net: dict[str, np.ndarray], buf: np.ndarray, offs: np.ndarray) -> np.
     return out / np.maximum(np.diff(offs), 1)[:, None]
 
 
+def best_of(model, languages: list[str], buf: np.ndarray, offs: np.ndarray, letters: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The language and score of each row of a block."""
+    if not languages:
+        return ["und"] * len(letters), np.zeros(len(letters))
+    p = pooled(model, buf, offs)
+    best = p.argmax(axis=1)
+    names = [languages[k] if s else "und" for k, s in zip(best.tolist(), letters.tolist(), strict=True)]
+    return names, np.where(letters, np.minimum(p[np.arange(len(p)), best], 1), 0)
+
+
 def predictor(model, languages: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             letters = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for row, end, buf, offs in pieces(batch.column(1), 1 << 19):
-                some = letters[row:end]
-                if languages:
-                    p = pooled(model, buf, offs)
-                    best = p.argmax(axis=1)
-                    names = [languages[k] if s else "und" for k, s in zip(best.tolist(), some.tolist(), strict=True)]
-                    score = np.where(some, np.minimum(p[np.arange(len(p)), best], 1), 0)
-                else:
-                    names, score = ["und"] * (end - row), np.zeros(end - row)
+                names, score = best_of(model, languages, buf, offs, letters[row:end])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return run
 
 
+def keeper(model, languages: list[str], text: int, least: float):
+    """Passes the rows on whose language is known well enough; the last column says whether there are letters, and is dropped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            letters = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
+            keep = np.zeros(batch.num_rows, bool)
+            for row, end, buf, offs in pieces(batch.column(text), 1 << 19):
+                names, score = best_of(model, languages, buf, offs, letters[row:end])
+                keep[row:end] = [n != "und" and s >= least for n, s in zip(names, score.tolist(), strict=True)]
+            yield batch.select(batch.schema.names[:-1]).filter(pa.array(keep))
+
+    return run
+
+
 def fold(modulus: int = 4):
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(modulus))
 
@@ -201,7 +221,8 @@ def fit(docs: DataFrame, modulus: int = 4, held: int = 2) -> tuple[dict[str, np.
     length = F.length("text")
     passage = F.substr("text", F.pmod(F.col("u"), F.greatest(length - PASSAGE + 1, F.lit(1))).cast("int") + 1, F.lit(PASSAGE))
     some = rows.where(F.col("u") < F.element_at(limit, F.col("lang"))).where(F.col("text").rlike(r"\p{L}"))
-    got = some.select("u", "doc_id", "lang", passage.alias("p")).orderBy("u", "doc_id", "p").limit(2 * MOST_SAMPLED).toArrow()  # twice what is expected: only reached by rows that repeat a doc_id
+    ranked = some.select("u", "doc_id", "lang", passage.alias("p")).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id", "p")))
+    got = ranked.where(F.col("rank") <= 2 * each).orderBy("u", "doc_id", "p").toArrow()  # twice what is expected of a language: only reached by rows that repeat a doc_id
     texts = [t.encode() for t in got["p"].to_pylist()]
     if not texts:
         return new_network(1), []
@@ -221,6 +242,8 @@ def identify(docs: DataFrame, modulus: int = 4, held: int = 2) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs`` in a language that the network knows; of rows that share a doc_id, all if one passes."""
-    ok = identify(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(F.col("doc_id").alias("_k")).distinct()
-    return docs.join(ok, docs["doc_id"].eqNullSafe(F.col("_k")), "left_semi")
+    """The rows of ``docs`` in a language that the network knows, each by its own text; no row is moved."""
+    net, languages = fit(docs)
+    at = [c.lower() for c in docs.columns].index("text")
+    x = docs.withColumn(unused(docs, "_letters"), F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
+    return x.mapInArrow(keeper(net, languages, at, least), docs.schema)

@@ -1,12 +1,14 @@
 """Language identification, perplexity, prediction by partial matching."""
 
 import collections
+import hashlib
 import math
 import random
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.common import docs, lower, rows, words
 
 from epsforest.llm import kneser_ney as kn
@@ -136,6 +138,105 @@ def test_junk_is_rejected(spark):
     assert kn.classify(x.limit(0), labels).count() == 0
 
 
+def test_trusted_texts_are_taken_whole_and_by_row(spark, monkeypatch):
+    long = " ".join(f"l{k}" for k in range(60_000))  # above 160,000 characters
+    x = docs(spark, [long, "b one", "b one", "b two", "c", None], ids=[1, 2, 2, 2, 3, 4])
+    good = spark.createDataFrame([(k,) for k in (*range(-50, 0), 1, 2, 4)], "_t long")  # most are absent
+    monkeypatch.setattr(kn, "_half", lambda c: F.lit(True))
+    assert sorted(r["text"] for r in kn.sample(x, good, 10).collect()) == sorted([long, "b one", "b two"])
+    assert kn.sample(x, good, 1).count() == 1
+    monkeypatch.setattr(kn, "TRUSTED_CHARS", 8)
+    assert kn.sample(x, good, 10).count() == 1  # the long one is passed over, another fits
+
+
+def test_thresholds_equal_a_plain_version(spark):
+    rng = random.Random(9)
+    words_ = {"aa": [f"w{k}" for k in range(40)], "bb": [f"v{k}" for k in range(400)]}
+    langs = [rng.choice(["aa", "aa", "bb", None]) for _ in range(500)]
+    texts = [" ".join(rng.choice(words_[x or "aa"]) for _ in range(rng.randrange(5, 40))) for x in langs]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(0, 500, 2)] + [(k, 0, 1) for k in range(1, 100, 2)], "doc_id long, quality int, toxic int")
+    got = rows(kn.classify(docs(spark, texts, langs), labels, quantile=0.9))
+    half = lambda k: hashlib.md5(str(k).encode()).hexdigest()[-1] in "01234567"
+    cost = {k: -got[k]["log10_prob"] / got[k]["n_tokens"] for k in got}
+    bins = {k: math.ceil(cost[k] / kn.BIN) for k in range(0, 500, 2) if not half(k)}
+
+    def limit(values):
+        values = sorted(values)
+        return values[math.ceil(0.9 * len(values) - 1e-9) - 1] * kn.BIN
+
+    for lang in ("aa", "bb", None):
+        own = [b for k, b in bins.items() if langs[k] == lang]
+        want = limit(own) if len(own) >= kn.LEAST_CALIBRATION else limit(bins.values())
+        for k in (k for k in got if langs[k] == lang):
+            assert math.log10(got[k]["threshold"]) == pytest.approx(want) and got[k]["kept"] == (cost[k] <= want)
+
+
+CLASH = ["_k", "_l", "_t", "_bad", "_kept", "_h", "_p", "_b", "_s", "_tokens", "_LOG10", "_limit", "_lang", "_letters", "_doc", "_text", "u", "p", "rank", "part", "words", "size", "score"]
+
+
+def test_stages_keep_columns_and_rows_whatever_their_names(spark):
+    rng = random.Random(2)
+    text = lambda: " ".join(rng.choice(["lorem", "ipsum", "dolor", "amet", "sit"]) + str(rng.randrange(30)) for _ in range(30))
+    same = text()
+    texts = [text() for _ in range(40)] + [None, "", "12 34", same, same, "\u0001 junk#" * 40]
+    x = docs(spark, texts, langs=["en"] * 44 + [None, "de"], ids=[*range(43), 43, 43, None])
+    for k, name in enumerate(CLASH):
+        x = x.withColumn(name, F.lit(None).cast("int") if k % 2 else F.lit("x"))
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    good = kn.keep_good(x, labels)
+    known = li.keep_identified(x)
+    for y in (good, known):
+        assert y.dtypes == x.dtypes and y.exceptAll(x).count() == 0
+    assert good.where("doc_id = 43").count() == 2 and good.where("text is null or text = ''").count() == 0
+    assert known.where("doc_id = 43").count() == 2 and known.where("doc_id in (40, 41, 42)").count() == 0 and known.where("doc_id < 40").count() == 40
+    assert kn.keep_good(x.limit(0), labels).count() == 0 and li.keep_identified(x.limit(0)).count() == 0
+
+
+def plain_language(net, languages, data):
+    """One text, window by window and byte by byte."""
+    total = np.zeros(len(languages))
+    sig = lambda a: 1 / (1 + np.exp(-a))
+    H = li.HIDDEN
+    for lo in range(0, len(data), li.WINDOW):
+        part, logits = data[lo : lo + li.WINDOW], 0
+        for d in "fb":
+            h, out = np.zeros(H), [None] * len(part)
+            padded = list(part) + [li.PAD] * (li.WINDOW - len(part))
+            for i in range(li.WINDOW) if d == "f" else range(li.WINDOW - 1, -1, -1):
+                gx, gh = net["x" + d][padded[i]].astype(float), h @ net["u" + d].astype(float)
+                r, z = sig(gx[:H] + gh[:H]), sig(gx[H : 2 * H] + gh[H : 2 * H])
+                h = (1 - z) * np.tanh(gx[2 * H :] + r * gh[2 * H :]) + z * h
+                if i < len(part):
+                    out[i] = h @ net["o" + d]
+            logits = logits + np.array(out)
+        e = np.exp(logits + net["bias"])
+        total += (e / e.sum(axis=1, keepdims=True)).sum(axis=0)
+    return total / len(data)
+
+
+def test_identify_equals_a_plain_network(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcde é") for _ in range(rng.randrange(1, 150))) + "x" for _ in range(40)]
+    x = docs(spark, texts, ["aa" if k % 2 else "bb" for k in range(40)])
+    net, languages = li.fit(x)
+    got = rows(li.identify(x))
+    for k, t in enumerate(texts):
+        p = plain_language(net, languages, t.encode())
+        assert got[k]["score"] == pytest.approx(p.max(), abs=1e-4)
+        assert got[k]["lang_pred"] == languages[int(p.argmax())] or abs(p[0] - p[1]) < 1e-4
+
+
+def test_rare_languages_keep_their_sample(spark, monkeypatch):
+    """Many languages, some rare, and rows that repeat a doc_id: no language is cut for another's sake."""
+    langs = [f"l{k % 38:02d}" for k in range(38 * 30)] + ["rare1"] * 9 + ["rare2"] * 9
+    ids = [5] * 300 + list(range(300, len(langs)))
+    taken = {}
+    monkeypatch.setattr(li, "MOST_SAMPLED", 400)
+    monkeypatch.setattr(li, "train", lambda windows, y, n: taken.update(collections.Counter(y.tolist())))
+    li.fit(docs(spark, ["some words"] * len(langs), langs=langs, ids=ids))
+    assert all(taken.get(k, 0) >= 1 for k in range(40)) and max(taken.values()) <= 20, taken
+
+
 def test_ppm_equals_plain_trie(spark):
     rng = random.Random(6)
     texts = [None, "", "Été " * 5] + ["".join(rng.choice("ab c") for _ in range(rng.randrange(60))) for _ in range(80)]
