@@ -10,12 +10,14 @@ Where windows are laid: at every start from which a window holds a shingle of an
 that stands, and so many shingles of the benchmark that it can be similar enough. A text that is shorter than an item but
 has ``percent`` of its shingles' number is one window as a whole. Words are runs of letters and digits, lower-cased. An item with fewer words than a shingle has its whole sequence as its only shingle.
 
-What travels: the benchmark's shingles, as a set in the plan of at most about SET members. A larger benchmark is taken in
-several rounds of whole items, each a scan of its own, so documents are never shuffled; all later steps move windows only.
+What travels: a bitmap of the benchmark's shingles, BITS bits for each (a Bloom filter with two probes, of at most MOST_BITS
+bits), so that documents are scanned once and never shuffled; the few places that pass are joined with the shingles
+themselves. A benchmark of more than ``MOST_BITS / LEAST_BITS`` shingles is taken in several rounds of whole items.
 
 Defined results: items without words match nothing. Null texts have no words. Rows without doc_id are checked and
 reported under a null doc_id. Repeated rows and repeated places give one row a document and item: the best window, of
-equal ones the first.
+equal ones the first. Rows that share an item_id are items of their own, reported under that id, best first; rows that
+share a doc_id are texts of their own, and ``keep_clean`` drops only those that hold an item.
 """
 
 from __future__ import annotations
@@ -23,12 +25,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from epsforest.llm.textscan import unused
 from epsforest.runtime import cut
 
 SHINGLE, RADIUS, BLOCKS = 5, 20, 7
-SET, MOST_COUNTED = 50_000, 1 << 20
-LANES = 21
-COUNTERS = 1 | 1 << LANES | 1 << 2 * LANES
+BITS, LEAST_BITS, MOST_BITS = 32, 8, 1 << 28
+LANES = 31
+COUNTERS, TOPS = 1 | 1 << LANES, 1 << (LANES - 1) | 1 << (2 * LANES - 1)
 
 
 def word_hashes(text: Column) -> Column:
@@ -45,21 +48,23 @@ def shingles(h: str | Column, size: int = SHINGLE) -> Column:
 
 
 def with_simhash(df: DataFrame, h: str, out: str) -> DataFrame:
-    """Adds the majority bits over an array of word hashes. Each of LANES sums packs three counters of LANES bits.
+    """Adds the majority bits over an array of word hashes. Each of LANES sums packs two counters of LANES bits.
 
-    A counter plus ``2**(LANES-1) - 1 - half`` has its top bit set exactly if it is more than half of the words.
+    A counter plus ``2**(LANES-1) - 1 - half`` has its top bit set exactly if it is more than half of the words. The last
+    bit, 2 * LANES, has a sum of its own.
     """
-    stride = F.ceil(F.size(h) / MOST_COUNTED)
-    df = df.withColumn("_v", F.when(F.size(h) > MOST_COUNTED, F.filter(h, lambda x, i: i % stride == 0)).otherwise(F.col(h)))
+    last = 2 * LANES
 
     def lane(k: int) -> Column:
-        return F.aggregate("_v", F.lit(0).cast("long"), lambda a, x: a + F.shiftrightunsigned(x, k).bitwiseAND(COUNTERS)).alias(f"_l{k}")
+        mask = 1 if k == last else COUNTERS
+        return F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + F.shiftrightunsigned(x, k).bitwiseAND(mask)).alias(f"_l{k}")
 
-    df = df.select("*", *map(lane, range(LANES))).withColumn("_t", (F.lit((1 << (LANES - 1)) - 1) - F.floor(F.size("_v") / 2)) * F.lit(COUNTERS))
-    bits = F.lit(0).cast("long")
+    lanes = [*range(LANES), last]
+    df = df.select("*", *map(lane, lanes)).withColumn("_t", F.lit((1 << (LANES - 1)) - 1) - F.floor(F.size(h) / 2))
+    bits = F.shiftleft(F.shiftrightunsigned(F.col(f"_l{last}") + F.col("_t"), LANES - 1), last)
     for k in range(LANES):
-        bits = bits.bitwiseOR(F.shiftrightunsigned((F.col(f"_l{k}") + F.col("_t")).bitwiseAND(COUNTERS << (LANES - 1)), LANES - 1 - k))
-    return df.withColumn(out, bits).drop("_v", "_t", *(f"_l{k}" for k in range(LANES)))
+        bits = bits.bitwiseOR(F.shiftrightunsigned((F.col(f"_l{k}") + F.col("_t") * F.lit(COUNTERS)).bitwiseAND(TOPS), LANES - 1 - k))
+    return df.withColumn(out, bits).drop("_t", *(f"_l{k}" for k in lanes))
 
 
 def parts(fingerprint: str) -> Column:
@@ -75,12 +80,28 @@ def weighted(g: str) -> Column:
 
 
 def index(benchmark: DataFrame) -> DataFrame:
-    """item_id, h, w (words), g (sorted shingles), fp of every item with words."""
+    """item (a key of id and words), item_id, h, w (words), item_fp of every item with words."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text")).alias("h"))
-    items = items.withColumn("w", F.size("h")).where("w > 0")
+    items = items.withColumn("w", F.size("h")).where("w > 0").withColumn("item", F.xxhash64("item_id", "h")).dropDuplicates(["item"])
     return with_simhash(items, "h", "item_fp")
 
 
+def _probes(gram: Column, bits: int) -> Column:
+    return F.array(gram.bitwiseAND(bits - 1), F.shiftrightunsigned(gram, 32).bitwiseAND(bits - 1))
+
+
+def bitmap(grams: DataFrame, bits: int) -> DataFrame:
+    """One row with ``words``: the bits of all ``gram``, 64 a word. bits: a power of two, at least 64."""
+    at = grams.select(F.explode(_probes(F.col("gram"), bits)).alias("p"))
+    some = at.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v"))
+    every = grams.sparkSession.range(bits // 64).join(some, F.col("id") == F.col("word"), "left").select("id", F.coalesce("v", F.lit(0).cast("long")).alias("v"))
+    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "v"))), lambda x: x["v"]).alias("words"))
+
+
+def _in(words: str, gram: Column, bits: int) -> Column:
+    return F.forall(_probes(gram, bits), lambda p: F.getbit(F.get(words, F.shiftright(p, 6).cast("int")), p.bitwiseAND(63).cast("int")) == 1)
+
+
 def _step(sizes: list[int], k: int, percent: int) -> int:
     """How many places in a row surely hold one of the item's shingles, in any window of these items that is similar enough."""
     runs = []
@@ -93,18 +114,22 @@ def _step(sizes: list[int], k: int, percent: int) -> int:
 def _near(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     """doc_id, w, start, x: the windows of ``w`` words (or a shorter text) that hold enough shared shingles for an item of ``w`` words.
 
-    The items' shingles are a set inside the scan's projection, so documents are not moved. Of the places of shared
-    shingles every ``step``-th is used, which leaves one in any window that is similar enough.
+    The bitmap of the items' shingles is read inside the scan's projection, so documents are not moved. Of the places of
+    shared shingles every ``step``-th is used, which leaves one in any window that is similar enough (a place that
+    only seems shared makes a window more to verify, never one less).
     """
-    places = items.select("w", F.least("w", F.lit(SHINGLE)).alias("k"), F.explode(shingles("h")).alias("gram")).distinct()
+    places = cut(items.select("w", F.least("w", F.lit(SHINGLE)).alias("k"), F.explode(shingles("h")).alias("gram")).distinct(), "places")
     found = None
-    known = places.collect()  # about SET rows at most
-    for k in sorted({r["k"] for r in known}):  # one pass unless items are shorter than a shingle
-        grams = sorted({r["gram"] for r in known if r["k"] == k})
-        sizes = sorted({r["w"] for r in known if r["k"] == k})
+    lengths = [(r["k"], r["w"], r["n"]) for r in places.groupBy("k", "w").agg(F.count("*").alias("n")).collect()]  # a row a length of an item
+    for k in sorted({r[0] for r in lengths}):  # one pass unless items are shorter than a shingle
+        sizes, many = sorted(w for j, w, _ in lengths if j == k), sum(n for j, _, n in lengths if j == k)
         side, step = max(sizes), _step(sizes, k, percent)
+        bits = min(MOST_BITS, max(1 << 12, 1 << (BITS * many - 1).bit_length()))
+        words = cut(bitmap(places.where(F.col("k") == k), bits), "bitmap")
         x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text")).alias("h")).withColumn("g", shingles("h", k))
-        x = x.withColumn("hit", F.transform("g", lambda v: v.isin(grams)))
+        # read once in the projection, so that the optimiser leaves it out of the rows
+        x = x.withColumn("words", words.scalar())
+        x = x.withColumn("hit", F.transform("g", lambda v: _in("words", v, bits))).drop("words")
         used = F.filter(F.transform("hit", lambda v, i: F.when(v & (i % step == 0), i)), lambda i: i.isNotNull())
         x = x.withColumn("used", used)
         first = lambda i: F.greatest(i - side, F.lit(0))
@@ -128,13 +153,16 @@ def _near(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
 
 def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, item_id, start_word, n_words, shared, similarity: a row a document and item found in it. docs: (doc_id, text)."""
-    items = index(benchmark)
-    rounds = max(1, -(-(items.agg(F.sum("w")).first()[0] or 0) // SET))
+    items = cut(index(benchmark), "items")
+    rounds = max(1, -(-(items.agg(F.sum("w")).first()[0] or 0) * LEAST_BITS // MOST_BITS))
     out = None
     for r in range(rounds):
-        part = items if rounds == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == r)
-        one = _matches(docs, cut(part, "items"), percent)
+        part = items if rounds == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(rounds)) == r)
+        one = _matches(docs, part, percent)
         out = one if out is None else out.unionByName(one)
+    if rounds > 1:  # an id's items may be dealt to several rounds
+        best = F.max(F.struct("shared", (-F.col("start_word")).alias("minus"), "n_words", "similarity")).alias("m")
+        out = out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("m.minus")).alias("start_word"), "m.n_words", "m.shared", "m.similarity")
     return out
 
 
@@ -145,15 +173,15 @@ def _matches(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
 
     width = 64 // BLOCKS
     ball = [m for m in range(1 << width) if m.bit_count() <= RADIUS // BLOCKS]
-    probes = items.select("item_id", "w", "item_fp", F.explode(parts("item_fp")).alias("b"))
-    probes = probes.select("item_id", "w", "item_fp", "b.block", F.explode(F.transform(F.lit(ball), lambda m: m.cast("long").bitwiseXOR(F.col("b.part")))).alias("part"))
+    probes = items.select("item", "w", "item_fp", F.explode(parts("item_fp")).alias("b"))
+    probes = probes.select("item", "w", "item_fp", "b.block", F.explode(F.transform(F.lit(ball), lambda m: m.cast("long").bitwiseXOR(F.col("b.part")))).alias("part"))
     keys = windows.select("doc_id", "w", "start", "same", "fp", F.explode(parts("fp")).alias("b")).select("doc_id", "w", "start", "same", "fp", "b.block", "b.part")
     near = keys.join(probes, ["w", "block", "part"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    near = near.select("doc_id", "w", "start", "same", "item_id").distinct()
+    near = near.select("doc_id", "w", "start", "same", "item").distinct()
 
     body = windows.select(F.col("doc_id").alias("_d"), F.col("w").alias("_w"), F.col("start").alias("_s"), F.col("same").alias("_h"), F.size("x").alias("wide"), F.sort_array(shingles("x")).alias("g"))
     on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("w") == F.col("_w")) & (F.col("start") == F.col("_s")) & (F.col("same") == F.col("_h"))
-    exact = near.join(body, on).drop("_d", "_w", "_s", "_h").join(items.select("item_id", F.sort_array(shingles("h")).alias("ig")), "item_id")
+    exact = near.join(body, on).drop("_d", "_w", "_s", "_h").join(items.select("item", "item_id", F.sort_array(shingles("h")).alias("ig")), "item")
     exact = exact.withColumn("shared", F.size(F.array_intersect(weighted("g"), weighted("ig"))).cast("long")).withColumn("all", F.size("g") + F.size("ig") - F.col("shared"))
     exact = exact.where(100 * F.col("shared") >= percent * F.col("all"))
     best = exact.groupBy("doc_id", "item_id").agg(F.max(F.struct("shared", (-F.col("start")).alias("minus"), "wide", "all")).alias("m"))
@@ -161,6 +189,8 @@ def _matches(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` in which no item is found."""
-    bad = matches(docs, benchmark, percent).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of ``docs`` in whose text no item is found; told by the text, not by its id."""
+    key, bad = unused(docs, "_text_key"), unused(docs, "_bad")
+    found = matches(docs.select(F.xxhash64(F.col("text").cast("string")).alias("doc_id"), "text"), benchmark, percent)
+    keyed = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    return keyed.join(found.select(F.col("doc_id").alias(bad)).distinct(), F.col(key) == F.col(bad), "left_anti").drop(key)

@@ -155,6 +155,54 @@ def test_multi_index_finds_the_whole_ball():
         assert any(((y >> width * k) & ((1 << width) - 1)).bit_count() <= dc.RADIUS // dc.BLOCKS for k in range(dc.BLOCKS)), x
 
 
+def test_items_and_documents_that_share_an_id(spark):
+    rng = random.Random(14)
+    word = lambda: f"v{rng.randrange(5000)}"
+    a, b, c = ([word() for _ in range(n)] for n in (30, 45, 60))
+    bench = spark.createDataFrame([(1, " ".join(a)), (1, " ".join(b)), (1, " ".join(b)), (2, None), (None, "some other item of seven words")], "item_id long, text string")
+    x = docs(spark, [" ".join(t) for t in (c + a, c, c + b[:-1] + c, a + b, c)], ids=[7, 7, None, 8, None])
+    got = sorted(((r["doc_id"] or -1, r["item_id"], r["start_word"], r["n_words"]) for r in dc.matches(x, bench).collect()))
+    assert got == [(-1, 1, 59, 45), (7, 1, 60, 30), (8, 1, 30, 45)]
+    for name in ("_text_key", "_BAD", "doc", "w", "h", "words", "start"):
+        x = x.withColumn(name, F.lit("clash"))
+    clean = dc.keep_clean(x, bench)
+    assert clean.columns == x.columns and sorted((r["doc_id"] or -1) for r in clean.collect()) == [-1, 7]
+
+
+def test_bitmap_has_no_false_negatives(spark):
+    grams = spark.range(5000).select(F.xxhash64("id").alias("gram"))
+    others = spark.range(5000, 25_000).select(F.xxhash64("id").alias("gram"))
+    words = dc.cut(dc.bitmap(grams, 1 << 18), "words")
+    hits = lambda x: x.withColumn("words", words.scalar()).withColumn("ok", dc._in("words", F.col("gram"), 1 << 18)).where("ok").count()
+    assert hits(grams) == 5000 and hits(others) < 100
+
+
+def test_simhash_counts_every_word(spark):
+    rng = random.Random(5)
+    for n in (1, 2, 63, 1000, 70_000):
+        few = [rng.randrange(-(2**63), 2**63) for _ in range(min(n, 1000))]
+        h = [few[k % len(few)] for k in range(n)]
+        got = dc.with_simhash(spark.createDataFrame([(h,)], "h array<long>"), "h", "fp").first()["fp"]
+        assert got == sum((2 * sum(x >> b & 1 for x in h) > n) << b for b in range(63))
+
+
+def test_recall_of_the_radius_on_edited_windows(spark):
+    """Items with one run replaced at the start, inside or at the end, as far as the similarity allows."""
+    rng = random.Random(21)
+    word = lambda: f"v{rng.randrange(20_000)}"
+    items = [[word() for _ in range((20, 60, 150)[k % 3])] for k in range(90)]
+    texts = []
+    for k, w in enumerate(items):
+        lost = (len(w) - 4) // 9 - 4 * (k // 3 % 3 == 1)  # shingles of a run inside also cover four words before it
+        at = (0, len(w) // 2, len(w) - max(lost, 0))[k // 3 % 3]
+        t = list(w)
+        t[at : at + max(lost, 0)] = [word() for _ in range(max(lost, 0))]
+        texts.append(" ".join([word() for _ in range(30)] + t + [word() for _ in range(30)]))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in dc.matches(docs(spark, texts), bench).collect()}
+    assert got <= {(k, k) for k in range(90)} and len(got) >= 88
+
+
 def test_radius_spares_windows_cut_at_one_end():
     rng = random.Random(1)
     majority = lambda h: [2 * sum(x >> b & 1 for x in h) > len(h) for b in range(63)]
