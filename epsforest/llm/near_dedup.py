@@ -35,8 +35,10 @@ from epsforest.runtime import cut
 BANDS, ROWS = 32, 4
 #: Samples and bits of the sketch that every text has, and of the finer one of texts whose groups stay open.
 COARSE, FINE = (192, 1024), (4096, 8192)
-#: Bands and samples of each for texts of large open buckets: a pair of similarity 0.8 misses all with probability 3e-11.
-SUB, OPEN = (340, 12), 1024
+#: Bands and samples of each for texts of open buckets with more than OPEN members: a pair of similarity 0.8 misses all with probability 9e-8.
+SUB, OPEN = (88, 8), 8192
+#: Members of a bucket that a task gets.
+PART = 1024
 MEMBERS_A_SALT, MEMBERS_A_BLOCK = 256, 256
 COLUMNS = ("probe", "minor", "node", "comp", "sketch", "fine", "bands")
 
@@ -249,7 +251,7 @@ def _members(dealt: DataFrame) -> DataFrame:
 
 def _by_bucket(members: DataFrame, other: DataFrame) -> DataFrame:
     """members (band, node, n, ..) with the columns of ``other`` (band, n, ..); large buckets are dealt to several tasks."""
-    parts = F.ceil(F.col("n") / OPEN).cast("int")
+    parts = F.ceil(F.col("n") / PART).cast("int")
     left = members.withColumn("_salt", F.pmod(F.xxhash64("node"), parts).cast("int"))
     right = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
     return left.join(right, ["band", "_salt"]).drop("_salt")
