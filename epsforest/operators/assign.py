@@ -13,6 +13,13 @@ from epsforest.runtime import cut
 SMALL_TARGETS = 200_000
 
 
+def settled(best: DataFrame) -> DataFrame:
+    """event_id, d2, cluster of (event_id, cluster, d2): the cluster at the least distance; 0 if it is not the only one."""
+    low, high = (F.min(F.struct("d2", c.alias("c"))).alias(n) for n, c in (("low", F.col("cluster")), ("high", -F.col("cluster"))))
+    m = best.groupBy("event_id").agg(low, high)
+    return m.select("event_id", F.col("low.d2").alias("d2"), F.when(F.col("low.c") == -F.col("high.c"), F.col("low.c")).otherwise(0).cast("int").alias("cluster"))
+
+
 def nearest(queries: DataFrame, targets: DataFrame, cutoff: int | None = None, start: int | None = None) -> DataFrame:
     """event_id, d2, cluster: the cluster of the nearest target; 0 if several clusters have one at that distance.
 
@@ -45,9 +52,7 @@ def nearest(queries: DataFrame, targets: DataFrame, cutoff: int | None = None, s
             r = F.broadcast(r) if spread["n"] <= SMALL_TARGETS else r
             pairs = l.join(r, d2 <= t).select(F.col("l_event_id").alias("event_id"), d2.alias("d2"), F.col("r_cluster").alias("cluster"))
         best = pairs.groupBy("event_id", "cluster").agg(F.min("d2").alias("d2"))
-        best = best.groupBy("event_id").agg(F.min(F.struct("d2", "cluster")).alias("m"), F.collect_list("d2").alias("all"))
-        ties = F.size(F.filter("all", lambda x: x == F.col("m.d2")))
-        found = cut(best.select("event_id", F.col("m.d2").alias("d2"), F.when(ties > 1, 0).otherwise(F.col("m.cluster")).cast("int").alias("cluster")), "nearest")
+        found = cut(settled(best), "nearest")
         done = found if done is None else done.unionByName(found)
         if t >= end:
             return done

@@ -35,26 +35,35 @@ def _cells(columns: list[str], width: int, shift: Column | None = None) -> list[
     return [(F.expr(f"{c} div {width}") + (shift[k] if shift is not None else 0)).cast("int").alias(f"g{k}") for k, c in enumerate(columns)]
 
 
-def within(left: DataFrame, right: DataFrame, t: int, by: list[str], extra: Column | None = None) -> DataFrame:
+def _offsets(columns: int) -> list[list[int]]:
+    out: list[list[int]] = [[]]
+    for _ in range(columns):
+        out = [[*o, d] for o in out for d in (-1, 0, 1)]
+    return out
+
+
+def within(left: DataFrame, right: DataFrame, t: int, by: list[str], extra: Column | None = None, half: bool = False) -> DataFrame:
     """``(l.*, r.*, d2)`` of all pairs with d2 <= t: left rows meet right rows of the neighbouring cells of ``by``.
 
     left's columns are prefixed ``l_``, right's ``r_``. Any two points within the distance differ by less than a cell's
-    width in every column, so neighbouring cells are all that is needed; the exact distance is checked in the join.
+    width in every column, so neighbouring cells are all that is needed; the exact distance is checked in the join. With
+    ``half``, for a table with itself, each pair of rows comes once: only half of the neighbours are visited, and in
+    the own cell only larger ids.
     """
+    if not by:  # one cell: dealt as blocks by the caller
+        raise ValueError("no column to cut")
     width, cols = isqrt(t) + 1, columns_of(left)
-    offsets = [[]]
-    for _ in by:
-        offsets = [[*o, d] for o in offsets for d in (-1, 0, 1)]
-    near = F.explode(F.array(*(F.array(*map(F.lit, o)) for o in offsets))) if by else F.explode(F.array(F.array().cast("array<int>")))
+    offsets = [o for o in _offsets(len(by)) if not half or o >= [0] * len(by)]
+    near = F.explode(F.array(*(F.array(*map(F.lit, o)) for o in offsets)))
     names = [f"g{k}" for k in range(len(by))]
     l = left.select("*", *_cells(by, width)).select(*(F.col(c).alias(f"l_{c}") for c in left.columns), *names)  # noqa: E741
-    r = right.withColumn("_o", near).select("*", *_cells(by, width, F.col("_o"))).select(*(F.col(c).alias(f"r_{c}") for c in right.columns), *names)
+    own = F.forall("_o", lambda x: x == 0)
+    r = right.withColumn("_o", near).select("*", own.alias("own"), *_cells(by, width, F.col("_o"))).select(*(F.col(c).alias(f"r_{c}") for c in right.columns), "own", *names)
     d2 = squared_distance("l_", "r_", cols)
     on = d2 <= t
     on = on & extra if extra is not None else on
-    if not names:  # one cell: dealt as blocks by the caller
-        raise ValueError("no column to cut")
-    return l.join(r, names).where(on).withColumn("d2", d2).drop(*names)
+    on = on & (~F.col("own") | (F.col("l_event_id") < F.col("r_event_id"))) if half else on
+    return l.join(r, names).where(on).withColumn("d2", d2).drop("own", *names)
 
 
 def block_pairs(points: DataFrame, t: int, label: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -75,11 +84,11 @@ def block_pairs(points: DataFrame, t: int, label: str | None = None, block_rows:
         second = first if same else rows[rows["_b"] == rows["_j"].iat[0]]
         u, v = first[cols].to_numpy(np.int64), second[cols].to_numpy(np.int64)
         iu, iv = first["event_id"].to_numpy(), second["event_id"].to_numpy()
-        norms = (v * v).sum(axis=1)
+        norms, wide = (v * v).sum(axis=1), v.T.astype(np.float64)  # products of floats are exact below 2**53 and run through BLAS
         out = []
         for lo in range(0, len(u), 256):
             part = u[lo : lo + 256]
-            d2 = (part * part).sum(axis=1)[:, None] + norms[None, :] - 2 * (part @ v.T)
+            d2 = (part * part).sum(axis=1)[:, None] + norms[None, :] - 2 * (part.astype(np.float64) @ wide).astype(np.int64)
             ok = d2 <= t
             if label:
                 ok &= first[label].to_numpy()[lo : lo + 256][:, None] != second[label].to_numpy()[None, :]
@@ -97,10 +106,9 @@ def edges(points: DataFrame, t: int, label: str | None = None, strategy: str | N
     by = grid_columns(points, t) if strategy != "blocks" else []
     if not by or strategy == "blocks":
         return block_pairs(points, t, label, block_rows)
-    extra = F.col("l_event_id") < F.col("r_event_id")
-    if label:
-        extra = extra & (F.col(f"l_{label}") != F.col(f"r_{label}"))
-    return within(points, points, t, by, extra).select(F.col("l_event_id").alias("a"), F.col("r_event_id").alias("b"), "d2")
+    extra = F.col(f"l_{label}") != F.col(f"r_{label}") if label else None
+    found = within(points, points, t, by, extra, half=True)
+    return found.select(F.least("l_event_id", "r_event_id").alias("a"), F.greatest("l_event_id", "r_event_id").alias("b"), "d2")
 
 
 def degrees(found: DataFrame) -> DataFrame:

@@ -42,6 +42,11 @@ class Scan:
         rows = [(p.index, p.dist, p.threshold, p.raw, p.retained, p.assigned, p.events - p.assigned) for p in self.schedule.passes]
         return self.points.sparkSession.createDataFrame(rows, "pass int, dist double, threshold long, raw long, retained long, assigned long, unassigned long")
 
+    def report(self, sample_every: int = 1) -> DataFrame:
+        """A row a pass with what share of the events is assigned, in float32 as the stop rules have it."""
+        rows = [(p.index, p.dist, sample_every, p.events, p.assigned, p.events - p.assigned, float(p.percent), p.raw, p.retained) for p in self.schedule.passes]
+        return self.points.sparkSession.createDataFrame(rows, "pass int, dist double, sample_every int, events long, assigned long, unassigned long, percent double, raw long, retained long")
+
     def retained(self) -> DataFrame:
         """pass, comp, size of the components of the minimum size or more."""
         sizes = self.labels.groupBy("pass", "comp").agg(F.sum("weight").alias("size"))

@@ -238,6 +238,35 @@ def scan_best_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best
 
 
+_REPORT = f"""SELECT pass, dist, 1 AS sample_every, CAST(assigned + unassigned AS BIGINT) AS events, assigned, unassigned,
+  CAST(CAST(100.0 * assigned::DOUBLE / (assigned + unassigned) AS FLOAT) AS DOUBLE) AS percent, raw, retained FROM ({_CUST + _STATS_SQL})"""
+
+
+@_query("scan_pass_report", _REPORT)
+def scan_pass_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scan(spark, sf_dir).report()
+
+
+def _until(least: int, first: float, last: float, step: float, percent: float, decrease: bool) -> str:
+    """The passes up to the first at which a stop rule holds, of a scan that never doubles its step."""
+    stats = _STATS_SQL.replace(f"size >= {LEAST}", f"size >= {least}")
+    fewer = "OR retained < coalesce(max(retained) OVER (ORDER BY pass ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)" if decrease else ""
+    return f"""SELECT pass, dist, threshold, raw, retained, assigned, unassigned FROM (
+  SELECT *, coalesce(max(CAST(stop AS INT)) OVER (ORDER BY pass ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM (
+    SELECT *, (raw = 1 AND retained >= 1 AND pass > 0) OR 100.0 * assigned / (assigned + unassigned) >= {percent} {fewer} AS stop
+    FROM ({_labels_sql(CUST2, 2, grid(first, last, step), least) + stats}))) WHERE stopped = 0"""
+
+
+@_query("scan_stops_when_assigned", _until(LEAST, FIRST, LAST, STEP, 70, False))
+def scan_stops_when_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scan(spark, sf_dir, stop_percent=70).stats()
+
+
+@_query("scan_stops_on_decrease", _until(LEAST, FIRST, LAST, STEP, 95, True))
+def scan_stops_on_decrease(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scan(spark, sf_dir, go_on_decrease=False).stats()
+
+
 @_query("lineage_births", _CUST + _LINEAGE + " SELECT CAST(pass AS INT) AS pass, comp, size FROM lineage WHERE birth")
 def lineage_births(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scan(spark, sf_dir).lineage().where("birth").select("pass", "comp", "size")

@@ -12,18 +12,27 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from epsforest.functions.points import columns_of
+from epsforest.operators.ranking import global_rank
 
 #: Fixed values of the file formats.
 KINDS = {"selected": "dclust input file v1.0", "unassigned": "dclust unassigned file v1.0", "assigned": "dclust assigned file v1.0"}
 MAGIC, HEADER, ROWS_A_PARTITION = 32, 2048, 1_000_000
 
 
-def read_csv(spark: SparkSession, path: str, flagged: bool = False) -> DataFrame:
-    """A headed CSV of (flag,) id and integer features, as (flag,) event_id, c0 ..; what is no integer is null."""
+def read_csv(spark: SparkSession, path: str, flagged: bool = False, ordered: bool = False) -> DataFrame:
+    """A headed CSV of (flag,) id and integer features, as (flag,) event_id, c0 ..; what is no integer is null.
+
+    ``ordered`` adds ``position``, the row's place in the input (files by name), for sampling and sorting in input order.
+    """
     raw = spark.read.csv(path, header=True)
     names = [*(["flag"] if flagged else []), "event_id"]
-    out = raw.select(*(F.col(f"`{c}`").try_cast("long").alias(names[k]) for k, c in enumerate(raw.columns[: len(names)])), *(F.col(f"`{c}`").try_cast("int").alias(f"c{k}") for k, c in enumerate(raw.columns[len(names) :])))
-    return out
+    columns = [F.col(f"`{c}`").try_cast("long").alias(names[k]) for k, c in enumerate(raw.columns[: len(names)])]
+    columns += [F.col(f"`{c}`").try_cast("int").alias(f"c{k}") for k, c in enumerate(raw.columns[len(names) :])]
+    if not ordered:
+        return raw.select(*columns)
+    # a task reads its blocks one after the other, so rows of one block are in the order of their ids
+    where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row")]
+    return global_rank(raw.select(*columns, *where), ["_file", "_block", "_row"], "position").drop("_file", "_block", "_row")
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True) -> None:

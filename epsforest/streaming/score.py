@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epsforest.functions.points import columns_of, squared_distance
+from epsforest.operators.assign import settled
 from epsforest.operators.neighbors import _cells, grid_columns
 
 
@@ -33,6 +34,4 @@ def score_stream(events: DataFrame, targets: DataFrame, cutoff: int, watermark:
 
 def settle(batch: DataFrame) -> DataFrame:
     """event_id, cluster: the nearest; 0 if two clusters are equally near."""
-    best = batch.groupBy("event_id", "cluster").agg(F.min("d2").alias("d2")).groupBy("event_id").agg(F.min(F.struct("d2", "cluster")).alias("m"), F.collect_list("d2").alias("all"))
-    ties = F.size(F.filter("all", lambda x: x == F.col("m.d2")))
-    return best.select("event_id", F.when(ties > 1, 0).otherwise(F.col("m.cluster")).alias("cluster"))
+    return settled(batch.select("event_id", "cluster", "d2")).select("event_id", "cluster")

@@ -16,6 +16,7 @@ from epsforest.operators.select import select, split
 from epsforest.plans import catalogue
 from epsforest.plans.pipeline import pipeline
 from epsforest.sources.formats import BinaryTable, read_csv, write_binary
+from epsforest.streaming.score import score_stream, settle
 
 DATA = "/root/testdata/sf0.001"
 
@@ -150,7 +151,23 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in read_csv(spark, str(tmp_path / "x.csv")).orderBy("event_id").collect()] == [(1, 5), (2, None)]
 
 
-QUICK = ["sel_points_part2", "sel_column_stats", "sel_sort_key", "sel_flag_and_sample", "sel_sorted_rank", "eps_edges_cust2", "eps_edges_emb64", "components_part2", "scan_stats_cust2", "dedup_points_line3"]
+def test_input_order(spark, tmp_path):
+    ids = [9, 3, 7, 1, 8, 2, 6]
+    (tmp_path / "x.csv").write_text("id,a\n" + "".join(f"{i},{i}\n" for i in ids))
+    points = read_csv(spark, str(tmp_path / "x.csv"), ordered=True)
+    assert [r["event_id"] for r in points.orderBy("position").collect()] == ids
+    kept = select(points, 3, order="position").points
+    assert {r["event_id"] for r in kept.collect()} == set(ids[::3])
+
+
+def test_stream_scores_settle(spark):
+    targets = spark.createDataFrame([(0, 0, 1), (1, 10, 2), (2, 100, 3)], "event_id long, c0 int, cluster int")
+    events = spark.createDataFrame([(7, 5), (8, 2), (9, 99), (10, 60)], "event_id long, c0 int")
+    near = score_stream(events, targets, cutoff=49)
+    assert {r["event_id"]: r["cluster"] for r in settle(near).collect()} == {7: 0, 8: 1, 9: 3}
+
+
+QUICK = ["scan_pass_report", "scan_stops_when_assigned", "scan_stops_on_decrease", "sel_points_part2", "sel_column_stats", "sel_sort_key", "sel_flag_and_sample", "sel_sorted_rank", "eps_edges_cust2", "eps_edges_emb64", "components_part2", "scan_stats_cust2", "dedup_points_line3"]
 
 
 @pytest.mark.parametrize("name", QUICK)
