@@ -47,7 +47,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("source_mixing", source_mixing),
 ]
 
-#: A trained network and perplexities can't be expressed in SQL; tests hold each stage against a plain version.
+#: A trained network and perplexities can't be expressed in SQL; tests hold the operators of all stages against plain versions.
 ORACLE_SQL: str | None = None
 
 
