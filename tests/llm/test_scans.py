@@ -1,7 +1,9 @@
 """License scan, token counts, quality rules."""
 
 import random
+import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -11,6 +13,7 @@ from tests.llm.common import docs, lower, rows, words
 from epsforest.llm import license_scan as ls
 from epsforest.llm import quality_rules as qr
 from epsforest.llm import token_counts as tc
+from epsforest.llm.queries import _pattern
 from epsforest.llm.textscan import pieces
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -79,15 +82,86 @@ def test_token_rows(spark, library):
     assert tc.count_tokens(docs(spark, texts).limit(0), MODEL).count() == 0
 
 
+def longest(template, text):
+    machine = ls.Scanner({}, {"x": [template]})
+    buf = np.frombuffer(text.encode(), np.uint8)
+    return sorted(machine.scan(buf, np.array([0, len(buf)]))["regions"][0])
+
+
 def test_markup():
-    a = ls.Automaton("copyright [[c]] {{owner:1-3}} all rights")
-    for text, end in (("copyright c me all rights", 5), ("copyright me you all rights", 5), ("copyright all rights", -1), ("copyright a b c d all rights", -1), ("copyright c all rights x", 4)):
-        assert a.longest(text.split(), 0, len(text.split())) == end
+    template = "copyright [[c]] {{owner:1-3}} all rights"
+    for text, found in (("copyright c me all rights", [(0, 5)]), ("x copyright me you all rights", [(1, 6)]), ("copyright all rights", []), ("copyright a b c d all rights", []), ("copyright c all rights x", [(0, 4)])):
+        assert longest(template, text) == found
+    assert longest("a [[b [[c]] d]] e", "a b c d e a e a b d e a b c e") == [(0, 5), (5, 7), (7, 11)]
     for bad in ("[[a]] b", "a [[b", "a ]] b", "a {{x:3-1}}", ""):
         with pytest.raises(ValueError):
             ls.parse(bad)
 
 
+def instances(template, rng):
+    """A text that the template accepts, and its mandatory words' places; made by replacing marks in the template's text."""
+    out, skip, mandatory = [], 0, []
+    for part in re.split(r"(\[\[|\]\]|\{\{.*?\}\})", template):
+        if part == "[[":
+            skip += 1 if skip or rng.random() < 0.5 else 0
+        elif part == "]]":
+            skip -= 1 if skip else 0
+        elif skip:
+            continue
+        elif part.startswith("{{"):
+            least, most = map(int, part[part.index(":") + 1 : -2].split("-"))
+            out += [f"zq{rng.randrange(99)}" for _ in range(rng.choice((least, most)))]
+        else:
+            found = re.findall("[a-z0-9]+", part.lower())
+            mandatory += range(len(out), len(out) + len(found))
+            out += found
+    return out, mandatory
+
+
+@pytest.mark.parametrize("label", sorted(ls.TEMPLATES))
+def test_every_template_takes_its_wording_and_no_other(label):
+    rng = random.Random(label)
+    for template in ls.TEMPLATES[label]:
+        for _ in range(6):
+            found, mandatory = instances(template, rng)
+            ends = [b for a, b in longest(template, "zz " + ", ".join(found).upper()) if a == 1]
+            assert ends and ends[0] == len(found) + 1
+            k = rng.choice(mandatory)
+            broken = [*found[:k], "zz", *found[k + 1 :]]
+            pattern = re.compile(_pattern(template))
+            want = {1 + line.count(" ") for line in [m[0].rstrip(" ") for m in [pattern.match(" ".join(broken) + " ")] if m]}
+            assert {b for a, b in longest(template, " ".join(broken)) if a == 0} == want
+
+
+def test_scan_equals_patterns_on_random_words(monkeypatch):
+    rng = random.Random(6)
+    templates = ["a b", "a [[b]] {{x:0-2}} c", "a {{x:1-30}} b b", "b [[a [[c]]]] {{y:2-5}} a c", "c {{z:0-400}} b a b a"]
+    for states in (20_000, 3):
+        monkeypatch.setattr(ls, "MOST_STATES", states)
+        for t in templates:
+            ls.compiled.cache_clear()
+            for _ in range(30):
+                w = rng.choices("abcd", (4, 4, 3, 2), k=rng.randrange(60))
+                got = {a: b for a, b in longest(t, " ".join(w))}
+                want = {}
+                for i in range(len(w)):
+                    for j in range(len(w), i, -1):
+                        if re.fullmatch(_pattern(t), " ".join(w[i:j]) + " "):
+                            want[i] = j
+                            break
+                assert got == want, (t, w)
+    ls.compiled.cache_clear()
+
+
+def test_long_and_repeated_texts(spark):
+    body = ls.TEMPLATES["mit-body"][0].replace("{{holder:1-20}}", "the authors or copyright holders").replace("[[(including the next paragraph)]]", "")
+    texts = ["copyright " * 110_000, "x " * 200_000 + body + " y" * 1000, body, body, "permission is hereby granted free " * 20_000]
+    got = rows(ls.scan_licenses(docs(spark, texts)))
+    assert (got[0]["n_words"], got[0]["labels"]) == (110_000, "")
+    assert got[1]["labels"] == got[2]["labels"] == got[3]["labels"] == "mit,mit-body" and got[2]["regions"] == got[3]["regions"]
+    assert got[1]["regions"][0].startswith("200000-") and got[4]["labels"] == ""
+
+
 def test_license_rows(spark):
     texts = [None, "", "All rights reserved. ALL RIGHTS reserved", "Licensed under CC-BY 4.0", "GNU General Public License, version 3", "cc", "general public" + " license" * 2, "copyright (c) Me, all rights reserved é"]
     got = rows(ls.scan_licenses(docs(spark, texts)))
