@@ -38,6 +38,12 @@ def summary(labels: DataFrame, category: str | None = None) -> DataFrame:
     return labels.groupBy(*by).agg(F.count("*").alias("events"))
 
 
+def summary_table(labels: DataFrame, category: str, clusters: int) -> DataFrame:
+    """A row per category, a column ``cluster_k`` per cluster 0 to ``clusters``, with the number of events; null is a category."""
+    counts = (F.count_if(F.col("cluster") == k).alias(f"cluster_{k}") for k in range(clusters + 1))
+    return labels.groupBy(category).agg(*counts)
+
+
 def final_union(labels: DataFrame, leftover: DataFrame | None = None, ordered: bool = True) -> DataFrame:
     """event_id, cluster of all events, held-out ones included, in the order of their ids."""
     out = labels.select("event_id", "cluster")

@@ -9,8 +9,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from epsforest.functions.points import columns_of, squared_distance
+from epsforest.operators.ranking import global_rank
+from epsforest.runtime import cut
 
 GRID_COLUMNS, BLOCK_ROWS = 3, 2048
 
@@ -66,17 +69,37 @@ def within(left: DataFrame, right: DataFrame, t: int, by: list[str], extra: Colu
     return l.join(r, names).where(on).withColumn("d2", d2).drop("own", *names)
 
 
+def _reaches(blocks: DataFrame, far: int) -> DataFrame:
+    """Of blocks (_b, lo, hi) in the order of their keys: the first and last block (_from, _to) whose keys are within ``far``.
+
+    The sweep is one window over two rows a block, thousands of times fewer than the points.
+    """
+    ends = blocks.select("_b", F.col("lo").alias("x"), F.lit(0).alias("k")).unionAll(blocks.select("_b", (F.col("hi") + far).alias("x"), F.lit(1).alias("k")))
+    up = Window.orderBy("x", "k").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.orderBy(F.desc("x"), F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
+    begun, ended = F.when(F.col("k") == 0, F.col("_b")), F.when(F.col("k") == 1, F.col("_b"))
+    ends = ends.select("_b", "k", F.max(begun).over(up).alias("_to"), F.min(ended).over(down).alias("_from"))
+    return ends.groupBy("_b").agg(F.max(F.when(F.col("k") == 0, F.col("_from"))).alias("_from"), F.max(F.when(F.col("k") == 1, F.col("_to"))).alias("_to"))
+
+
 def block_pairs(points: DataFrame, t: int, label: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b, d2) by comparing blocks of rows with numpy; for many columns, where a grid cuts nothing.
 
-    Each block pair is one group of at most about 2 * block_rows rows.
+    Rows are ranked by the column that spreads widest and cut to blocks of ``block_rows``; two blocks meet only if their
+    ranges of that column are near enough. Each block pair is one group of at most about 2 * block_rows rows.
     """
     cols = columns_of(points)
-    n = points.count()
-    blocks = max(1, -(-n // block_rows))
-    x = points.select("event_id", *cols, *([label] if label else [])).withColumn("_b", F.pmod(F.xxhash64("event_id"), F.lit(blocks)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    x = x.select("*", other.alias("_o")).withColumns({"_i": F.least("_b", "_o"), "_j": F.greatest("_b", "_o")})
+    facts = points.agg(F.count("*").alias("n"), *(F.coalesce(F.max(c) - F.min(c), F.lit(0)).alias(f"w_{c}") for c in cols)).first()
+    key = max(cols, key=lambda c: facts[f"w_{c}"])
+    x = points.select("event_id", *cols, *([label] if label else []))
+    if facts["n"] <= block_rows:
+        x = x.withColumns({"_b": F.lit(0), "_o": F.lit(0)})
+    else:
+        ranked = global_rank(x, [key, "event_id"], "_r").withColumn("_b", F.expr(f"_r div {block_rows}").cast("int")).drop("_r")
+        x = cut(ranked, "blocks")
+        blocks = x.groupBy("_b").agg(F.min(key).cast("long").alias("lo"), F.max(key).cast("long").alias("hi"))
+        x = x.join(_reaches(blocks, isqrt(t)), "_b").withColumn("_o", F.explode(F.sequence("_from", "_to"))).drop("_from", "_to")
+    x = x.withColumns({"_i": F.least("_b", "_o"), "_j": F.greatest("_b", "_o")})
 
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
         same = rows["_i"].iat[0] == rows["_j"].iat[0]
@@ -137,11 +160,14 @@ def forest_of(a: np.ndarray, b: np.ndarray, d2: np.ndarray) -> np.ndarray:
 
 
 def _local_forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held = pd.DataFrame({"a": [], "b": [], "d2": []}).astype("int64")
+    held, rest, waiting = pd.DataFrame({"a": [], "b": [], "d2": []}).astype("int64"), [], 0
     for x in batches:
-        held = pd.concat([held, x[["a", "b", "d2"]]], ignore_index=True)
-        if len(held) > 200_000:
+        rest.append(x[["a", "b", "d2"]])
+        waiting += len(x)
+        if waiting > max(200_000, len(held)):  # at least half of what is sorted is new
+            held, rest, waiting = pd.concat([held, *rest], ignore_index=True), [], 0
             held = held.iloc[forest_of(*(held[c].to_numpy() for c in ("a", "b", "d2")))]
+    held = pd.concat([held, *rest], ignore_index=True)
     if len(held):
         held = held.iloc[forest_of(*(held[c].to_numpy() for c in ("a", "b", "d2")))]
     yield held
@@ -150,3 +176,20 @@ def _local_forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def local_forests(found: DataFrame) -> DataFrame:
     """Each partition's minimum spanning forest. Their union has the same components at every threshold as all edges."""
     return found.select("a", "b", "d2").mapInPandas(_local_forest, "a long, b long, d2 long")
+
+
+def merged_forest(found: DataFrame, most: int, fan: int = 8) -> DataFrame:
+    """A forest (a, b, d2) of the edges, of at most ``most`` rows or as one task leaves it: fewer edges than vectors.
+
+    The partitions' forests are joined ``fan`` at a time, round by round, each task holding ``fan`` forests; rounds grow
+    with the logarithm of the partitions.
+    """
+    held = cut(local_forests(found).withColumn("_at", F.spark_partition_id()), "forest")
+    facts = held.agg(F.count("*").alias("n"), F.coalesce(F.max("_at"), F.lit(0)).alias("last")).first()
+    while facts["n"] > most and facts["last"]:
+        parts = facts["last"] // fan + 1
+        # as many partitions as groups; groups that meet in one by their hashes only merge earlier
+        dealt = held.repartition(parts, F.expr(f"_at div {fan}")) if parts > 1 else held.coalesce(1)
+        held = cut(local_forests(dealt).withColumn("_at", F.spark_partition_id()), "forest")
+        facts = held.agg(F.count("*").alias("n"), F.coalesce(F.max("_at"), F.lit(0)).alias("last")).first()
+    return held.drop("_at")

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from epsforest.functions.points import columns_of
 from epsforest.functions.schedule import Pass, Schedule, grid, minimum_size, threshold
 from epsforest.operators.components import connected_components
-from epsforest.operators.neighbors import collapse, edges, forest_of, local_forests
+from epsforest.operators.neighbors import collapse, edges, forest_of, local_forests, merged_forest
 from epsforest.runtime import cut
 
 #: Up to so many distinct vectors, their forest (fewer edges than vectors) is merged on the driver; beyond, all stays distributed.
@@ -152,16 +152,19 @@ def scan(
     points: DataFrame, first: float, last: float | None = None, step: float = 0.5, min_percent: float = 0.5, min_events: int | None = None, stop_percent: float = 95.0,
     go_on_decrease: bool = False, compat: bool = True, strategy: str | None = None, local_vectors: int = LOCAL_VECTORS,
 ) -> Scan:
-    """Scans distances ``first`` to ``last``. points: (event_id, c0 ..); ids are distinct.
+    """Scans distances ``first`` to ``last``. points: (event_id, c0 ..); ids are distinct. Missing ids and features are refused.
 
     Edges are found in bands: the first reaches the first threshold, each next one about twice the distance; from the
     second on only between points of different components. Each band is reduced to forests inside its partitions.
     """
     spark, cols = points.sparkSession, columns_of(points)
     points = cut(points.select("event_id", *cols), "points")
-    check = points.agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("d")).first()
+    missing = reduce(lambda x, y: x | y, (F.col(c).isNull() for c in cols))
+    check = points.agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("d"), F.count_if(missing).alias("missing")).first()
     if check["n"] != check["d"]:
         raise ValueError("event ids repeat or are missing")
+    if check["missing"]:
+        raise ValueError(f"features are missing in {check['missing']} events; leave these out or give them values")
     vectors = cut(collapse(points), "vectors")
     minimum = minimum_size(check["n"], min_percent, min_events)
     plan = Schedule(first, last, step, stop_percent, go_on_decrease)
@@ -179,7 +182,10 @@ def scan(
             to, at = band(t), vectors
             if len(ids) and not np.array_equal(up, np.arange(len(ids))):
                 at = vectors.join(spark.createDataFrame(pd.DataFrame({"event_id": ids, "comp": ids[up]}), "event_id long, comp long"), "event_id")
-            found = local_forests(edges(at, to, "comp" if "comp" in at.columns else None, strategy)).toPandas()
+            found = edges(at, to, "comp" if "comp" in at.columns else None, strategy)
+            # few vectors: the forests of all partitions together are small enough, without rounds of merging
+            few = len(ids) * int(spark.conf.get("spark.sql.shuffle.partitions")) <= 4 * LOCAL_VECTORS
+            found = (local_forests(found) if few else merged_forest(found, local_vectors)).toPandas()
             return to, tuple(found[c].to_numpy(np.int64) for c in ("a", "b", "d2"))
 
         labels = cut(_scan_local(spark, ids, weights, grow, plan, minimum, len(cols)), "labels")

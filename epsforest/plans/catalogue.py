@@ -365,6 +365,27 @@ def summary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.summary(_scan(spark, sf_dir).final_labels())
 
 
+_SEGMENT = " final f JOIN customer c ON c.c_custkey = f.event_id"
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("event_id"), F.col("c_mktsegment").alias("segment"))
+    return _scan(spark, sf_dir).final_labels().join(segments, "event_id")
+
+
+@_query("summary_by_category", _CUST + _LINEAGE + f" SELECT c_mktsegment AS segment, cluster, count(*) AS events FROM {_SEGMENT} GROUP BY ALL")
+def summary_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ex.summary(_segments(spark, sf_dir), "segment")
+
+
+@_query(
+    "summary_table",
+    _CUST + _LINEAGE + " SELECT c_mktsegment AS segment, " + ", ".join(f"count(*) FILTER (cluster = {k}) AS cluster_{k}" for k in range(4)) + f" FROM {_SEGMENT} GROUP BY 1",
+)
+def summary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ex.summary_table(_segments(spark, sf_dir), "segment", 3)
+
+
 @_query("max_cluster_id", _CUST + _LINEAGE + " SELECT max(cluster) AS max_cluster FROM final")
 def max_cluster_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.max_cluster(_scan(spark, sf_dir).final_labels())

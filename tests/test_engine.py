@@ -10,7 +10,7 @@ from epsforest.functions.points import MOST, out_of_range, rescale, validate
 from epsforest.operators.assign import nearest
 from epsforest.operators.components import connected_components
 from epsforest.operators.extract import extract, recluster
-from epsforest.operators.neighbors import block_pairs, edges, forest_of
+from epsforest.operators.neighbors import _reaches, block_pairs, edges, forest_of, local_forests, merged_forest
 from epsforest.operators.scan import scan
 from epsforest.operators.select import select, split
 from epsforest.plans import catalogue
@@ -93,10 +93,51 @@ def test_edges_equal_brute_force(spark):
     points = spark.createDataFrame([(i, *map(int, r)) for i, r in enumerate(x)], "event_id long, c0 int, c1 int, c2 int")
     d2 = ((x[:, None] - x[None]) ** 2).sum(axis=2)
     want = {(i, j, int(d2[i, j])) for i in range(300) for j in range(i + 1, 300) if d2[i, j] <= 400}
-    for found in (edges(points, 400), block_pairs(points, 400, block_rows=70)):
+    for found in (edges(points, 400), block_pairs(points, 400, block_rows=70), block_pairs(points, 400, block_rows=7)):
         assert {tuple(r) for r in found.collect()} == want
 
 
+def test_far_blocks_do_not_meet(spark):
+    rng = np.random.default_rng(5)
+    keys = np.sort(rng.integers(0, 300, 90)).reshape(18, 5)
+    blocks = spark.createDataFrame([(k, int(x.min()), int(x.max())) for k, x in enumerate(keys)], "_b int, lo long, hi long")
+    for far in (0, 3, 20):
+        got = {r["_b"]: (r["_from"], r["_to"]) for r in _reaches(blocks, far).collect()}
+        for k, x in enumerate(keys):
+            near = [j for j, y in enumerate(keys) if max(y.min() - x.max(), x.min() - y.max()) <= far]
+            assert got[k] == (near[0], near[-1])
+    assert block_pairs(line(spark, [1, 2]).limit(0), 4).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 3, 30])
+def test_merged_forest(spark, parts):
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(0, 80, (2, 900))
+    rows = [(int(x), int(y), int(x + y) % 7) for x, y in zip(a, b, strict=True) if x < y]
+    found = spark.createDataFrame(rows, "a long, b long, d2 long").repartition(parts)
+    assert local_forests(found).count() >= merged_forest(found, 100, 4).count()
+    one = merged_forest(found, 0, 4).toPandas()
+    assert len(one) < 80
+    for t in range(7):
+        comps = [{(r["id"], r["comp"]) for r in connected_components(x.where(F.col("d2") <= t)).collect()} for x in (found, spark.createDataFrame(one))]
+        assert comps[0] == comps[1]
+
+
+def test_merging_in_rounds_gives_the_same_scan(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    points = spark.createDataFrame([(i, *map(int, r)) for i, r in enumerate(rng.integers(0, 90, (150, 2)))], "event_id long, c0 int, c1 int").repartition(4)
+    want = {tuple(r) for r in scan(points, 1, 9, 2, min_events=4, go_on_decrease=True).lineage().collect()}
+    monkeypatch.setattr("epsforest.operators.scan.LOCAL_VECTORS", 1)
+    got = scan(points, 1, 9, 2, min_events=4, go_on_decrease=True, local_vectors=10**6, strategy="blocks")
+    assert {tuple(r) for r in got.lineage().collect()} == want
+
+
+def test_missing_features_are_refused(spark):
+    with pytest.raises(ValueError, match="features are missing in 1 events"):
+        scan(line(spark, [1, None, 3]), 1, min_events=2)
+    assert scan(line(spark, [1, 2]).limit(0), 1, min_events=2).final_labels().count() == 0
+
+
 def test_components_and_forest(spark):
     rng = np.random.default_rng(2)
     a, b = rng.integers(0, 400, 300), rng.integers(0, 400, 300)
@@ -167,7 +208,7 @@ def test_stream_scores_settle(spark):
     assert {r["event_id"]: r["cluster"] for r in settle(near).collect()} == {7: 0, 8: 1, 9: 3}
 
 
-QUICK = ["scan_pass_report", "scan_stops_when_assigned", "scan_stops_on_decrease", "sel_points_part2", "sel_column_stats", "sel_sort_key", "sel_flag_and_sample", "sel_sorted_rank", "eps_edges_cust2", "eps_edges_emb64", "components_part2", "scan_stats_cust2", "dedup_points_line3"]
+QUICK = ["summary_by_category", "summary_table", "scan_pass_report", "scan_stops_when_assigned", "scan_stops_on_decrease", "sel_points_part2", "sel_column_stats", "sel_sort_key", "sel_flag_and_sample", "sel_sorted_rank", "eps_edges_cust2", "eps_edges_emb64", "components_part2", "scan_stats_cust2", "dedup_points_line3"]
 
 
 @pytest.mark.parametrize("name", QUICK)
