@@ -1,13 +1,14 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
 Lines are normalised (lower case, digits as 0, everything but letters and digits as one blank) and hashed. For every
-host the distinct documents that hold a line are counted, equal texts as one document. A line above the host's limit is
-removed from all documents of the host; a document that is left with too few words, or less than half of its words, is
-depleted and rejected. Beside that, plain per-document rules are evaluated.
+host the distinct documents that hold a line are counted, equal texts as one document. A line above the limit is removed
+from all documents of the host; a document that is left with too few words, or less than half of its words, is depleted
+and rejected. The limit is an absolute number of documents, whatever the host's size, and lower for lines of many words,
+which do not meet by chance. Beside that, plain per-document rules are evaluated.
 
-Skew: equal texts are merged before counting, and counts are pre-aggregated before their shuffle. A host has at most
-``1 / share`` times its mean lines per document over the limit, so its removed lines are one small array; the table of
-these arrays is joined on the host, and AQE may split a hot host's rows.
+Skew: equal texts are merged before counting, and counts are pre-aggregated before their shuffle. Removed lines stay
+distributed, as they grow with the corpus: up to ``SMALL`` of them (counted) are broadcast, more are joined on host and
+hash, a line that very many texts hold dealt to several tasks. So are the copies of a text when they get its result.
 
 Defined results: a null text has no words and fails the base rules. A null host is a host of its own. Repeated rows
 repeat in the result and count once in the line frequencies.
@@ -18,13 +19,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from epsforest.operators.skew import split_join
 from epsforest.runtime import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Fixed values of the contract.
 SYMBOLS, WINDOW, LEAST_WORDS, MOST_REPEATED = "#*$%&|<>", 8, 20, 30
-#: A line is over the limit in more documents of its host than both; what must be left of a document.
-LEAST_DOCUMENTS, SHARE, LEFT_WORDS, LEFT_SHARE = 10, 0.1, 20, 0.5
+#: A line is removed if more documents of its host hold it, fewer for a line of LONG normalised words or more.
+DOCUMENTS, LONG_DOCUMENTS, LONG = 10, 2, 50
+#: What must be left of a document.
+LEFT_WORDS, LEFT_SHARE = 20, 0.5
+#: Up to so many removed lines are broadcast (some 5 MB).
+SMALL = 100_000
 
 
 def words_in(text: Column) -> Column:
@@ -37,7 +43,7 @@ def normalised(line: Column) -> Column:
 
 
 def measures(docs: DataFrame, host: str = "source") -> DataFrame:
-    """Per row: the base measures, a key of the text, and its lines as (hash of the normalised line, words)."""
+    """Per row: the base measures, keys of its host and text, and its lines as (hash of the normalised line, whether it is long, words)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), text.alias("t"))
     lines = F.filter(F.split("t", "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
@@ -47,11 +53,12 @@ def measures(docs: DataFrame, host: str = "source") -> DataFrame:
     x = x.withColumn("g", F.when(F.col("n_words") >= WINDOW, grams).otherwise(F.array().cast("array<long>")))
     pairs = F.sort_array(F.transform("g", lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
     twice = F.size(F.array_distinct("g")) < F.size("g")
+    plain = F.transform("l", lambda s: F.struct(normalised(s).alias("n"), F.size(words_in(s)).alias("words")))
     x = x.select(
-        "doc_id", "host", "n_words", F.md5("t").alias("text_key"), F.length(F.array_join("w", "")).alias("word_chars"),
+        "doc_id", F.coalesce(F.concat(F.lit("="), "host"), F.lit("")).alias("host"), "n_words", F.md5("t").alias("text_key"), F.length(F.array_join("w", "")).alias("word_chars"),
         F.length(F.regexp_replace("t", f"[^{SYMBOLS}]+", "")).alias("n_symbols"), (F.size("l") - F.size(F.array_distinct("l"))).alias("n_dup_lines"),
         F.when(twice, pairs).otherwise(F.array().cast("array<struct<v:long,i:int>>")).alias("s"),
-        F.transform("l", lambda s: F.struct(F.xxhash64(normalised(s)).alias("line"), F.size(words_in(s)).alias("words"))).alias("lines"),
+        F.transform(plain, lambda s: F.struct(F.xxhash64(s["n"]).alias("line"), (F.size(F.split(s["n"], " ")) >= LONG).alias("long"), s["words"].alias("words"))).alias("lines"),
     )
     same = lambda p, k: (p["v"] == F.get("s", k - 1)["v"]) | (p["v"] == F.get("s", k + 1)["v"])
     at = F.transform("s", lambda p, k: F.when(same(p, k), p["i"]))
@@ -64,24 +71,34 @@ def measures(docs: DataFrame, host: str = "source") -> DataFrame:
     return x.withColumn("base_failed", failed)
 
 
-def frequent_lines(measured: DataFrame) -> DataFrame:
-    """host, removed: the hashes of the lines over the host's limit."""
-    texts = measured.groupBy("host", "text_key").agg(F.first("lines").alias("lines"))
-    texts = texts.select("host", F.array_distinct(F.transform("lines", lambda x: x["line"])).alias("lines"))
-    in_host = texts.groupBy("host").agg(F.count("*").alias("documents"))
-    counts = texts.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > LEAST_DOCUMENTS)
-    limit = F.greatest(F.lit(float(LEAST_DOCUMENTS)), SHARE * F.col("documents"))
-    over = counts.join(in_host.withColumnRenamed("host", "_h"), F.col("host").eqNullSafe(F.col("_h"))).where(F.col("n") > limit)
-    return over.groupBy("host").agg(F.collect_set("line").alias("removed"))
+def frequent_lines(texts: DataFrame) -> DataFrame:
+    """host, line, n: the lines above the limit and how many texts hold them. texts: (host, text_key, lines), distinct."""
+    held = F.array_distinct(F.transform("lines", lambda x: F.struct(x["line"].alias("line"), x["long"].alias("long"))))
+    counts = texts.select("host", F.explode(held).alias("x")).groupBy("host", F.col("x.line").alias("line")).agg(F.count("*").alias("n"), F.bool_or("x.long").alias("long"))
+    return counts.where(F.col("n") > F.when(F.col("long"), LONG_DOCUMENTS).otherwise(DOCUMENTS)).drop("long")
 
 
-def apply_rules(docs: DataFrame, host: str = "source") -> DataFrame:
+def removed_words(texts: DataFrame, small: int) -> DataFrame:
+    """host, text_key, gone: the words of removed lines, of texts that hold such lines."""
+    frequent = cut(frequent_lines(texts), "frequent")
+    lines = texts.select("host", "text_key", F.explode("lines").alias("x")).select("host", "text_key", "x.line", "x.words")
+    size = frequent.agg(F.count("*").alias("lines"), F.sum("n").alias("n")).first()
+    if size["lines"] <= small:
+        found = lines.join(F.broadcast(frequent.drop("n")), ["host", "line"])
+    else:
+        found = split_join(lines, frequent.drop("n"), ["host", "line"], frequent, size["n"])
+    return found.groupBy("host", "text_key").agg(F.sum("words").alias("gone"))
+
+
+def apply_rules(docs: DataFrame, host: str = "source", small: int = SMALL) -> DataFrame:
     """One row per row of ``docs``: the base measures, base_failed, n_removed_words, n_left_words, kept."""
     measured = cut(measures(docs, host), "lines")
-    removed = frequent_lines(measured).withColumnRenamed("host", "_h")
-    x = measured.join(removed, measured["host"].eqNullSafe(F.col("_h")), "left")
-    gone = F.aggregate("lines", F.lit(0).cast("long"), lambda a, s: a + F.when(F.array_contains("removed", s["line"]), s["words"]).otherwise(0))
-    x = x.withColumn("n_removed_words", F.when(F.col("removed").isNull(), F.lit(0).cast("long")).otherwise(gone))
+    texts = cut(measured.groupBy("host", "text_key").agg(F.first("lines").alias("lines"), F.count("*").alias("n")), "texts")
+    gone = texts.drop("lines").join(removed_words(texts, small), ["host", "text_key"], "left")
+    gone = cut(gone.select("host", "text_key", "n", F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed_words")), "removed")
+    total = texts.agg(F.sum("n")).first()[0] or 0
+    x = split_join(measured.drop("lines"), gone.drop("n"), ["host", "text_key"], gone.select("host", "text_key", "n"), total)
     x = x.withColumn("n_left_words", F.col("n_words") - F.col("n_removed_words"))
     enough = (F.col("n_left_words") >= LEFT_WORDS) & (F.col("n_left_words") >= LEFT_SHARE * F.col("n_words"))
-    return x.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "n_left_words", (~F.col("base_failed") & enough).alias("kept"))
+    measured_columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return x.select(*measured_columns, "n_removed_words", "n_left_words", (~F.col("base_failed") & enough).alias("kept"))

@@ -109,8 +109,7 @@ l AS (
   SELECT doc_id, hk, t, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
     trim(regexp_replace(regexp_replace(lower(line), '\p{{Nd}}', '0', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS norm FROM (SELECT *, unnest(ls) AS line FROM w)
 ), c AS (SELECT hk, norm, count(DISTINCT t) AS n FROM l GROUP BY hk, norm),
-h AS (SELECT hk, count(DISTINCT t) AS documents FROM d GROUP BY hk),
-f AS (SELECT hk, norm FROM c JOIN h USING (hk) WHERE n > greatest(10, 0.1 * documents)),
+f AS (SELECT hk, norm FROM c WHERE n > CASE WHEN len(string_split(norm, ' ')) >= 50 THEN 2 ELSE 10 END),
 x AS (SELECT doc_id, sum(words) AS gone FROM l JOIN f USING (hk, norm) GROUP BY doc_id),
 m AS (
   SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,

@@ -203,3 +203,40 @@ def test_frequent_lines(spark):
     assert not got[31]["kept"] and got[33]["kept"] and got[33]["n_removed_words"] == 0
     assert qr.apply_rules(docs(spark, texts).limit(0)).count() == 0
     assert lower("AÉ") == "aÉ"
+
+
+def plain_lines(texts, hosts):
+    """Words of removed lines per row, by sets of texts."""
+    import regex
+
+    norm = lambda s: regex.sub(r"[^\p{L}\p{N}]+", " ", regex.sub(r"\p{Nd}", "0", s.lower())).strip(" ")
+    lines = [[(norm(s), len(words(s))) for s in (t or "").split("\n") if words(s)] for t in texts]
+    held = {}
+    for t, h, own in zip(texts, hosts, lines, strict=True):
+        for n, _ in own:
+            held.setdefault((h, n), set()).add(t or "")
+    over = {k for k, v in held.items() if len(v) > (2 if len(k[1].split(" ")) >= 50 else 10)}
+    return [sum(w for n, w in own if (h, n) in over) for h, own in zip(hosts, lines, strict=True)]
+
+
+@pytest.mark.parametrize("small", [10**6, 0])
+def test_removed_lines_equal_sets(spark, monkeypatch, small):
+    """Shared short and long lines, a host with most rows, many copies; broadcast and joined, with and without splits."""
+    monkeypatch.setattr("epsforest.operators.skew.ROWS", 8 if not small else 1024)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(5))
+    passages = [" ".join(word() for _ in range(n)) for n in (50, 60, 49, 90)]
+    short = [f"Menu {k}: Home | {'abcdefgh'[k]}" for k in range(8)]
+    texts, hosts = [None, "", "1\n2\n3"], [None, "a", "="]
+    for k in range(240):
+        own = [" ".join(word() for _ in range(12)) for _ in range(3)]
+        own += [rng.choice(short)] * rng.randrange(3) + ([passages[k % 4].upper()] if k % 9 == 0 else [])
+        rng.shuffle(own)
+        texts.append("\n".join(own))
+        hosts.append(("a", "a", "b", None, "")[k % 5])
+    texts += [texts[9]] * 40 + ["x " * 100_000 + "\n" + passages[3]]
+    hosts += ["a"] * 41
+    got = qr.apply_rules(docs(spark, texts, sources=hosts), small=small).orderBy("doc_id").collect()
+    want = plain_lines(texts, hosts)
+    assert [r["n_removed_words"] for r in got] == want and len({w for w in want if w >= 50}) > 1
+    assert all(r["kept"] == (not r["base_failed"] and r["n_left_words"] >= max(20, 0.5 * r["n_words"])) for r in got)
