@@ -1,13 +1,20 @@
-"""Command line: ``python -m epsforest.cli INPUT.csv OUTPUT -f 1 -l 10 -s 0.1 ...``."""
+"""Command line: ``python -m epsforest.cli INPUT OUTPUT -f 1 -l 10 -s 0.1 ...`` scans; ``python -m epsforest.cli extract ...`` reads results.
+
+Inputs are headed CSV files, or with ``--binary`` the private tables. A scan writes ``event_id,cluster`` as CSV, which
+``extract`` takes as LABELS.
+"""
 
 from __future__ import annotations
 
 import argparse
+import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+from epsforest.operators import extract as ex
 from epsforest.plans.pipeline import pipeline
-from epsforest.sources.formats import read_csv, write_csv
+from epsforest.runtime import clear
+from epsforest.sources.formats import BinaryTable, read_csv, write_csv, write_leftover, write_passes
 
 
 def parser() -> argparse.ArgumentParser:
@@ -20,25 +27,90 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-k", "--min-percent", type=float, default=0.5)
     p.add_argument("-n", "--min-events", type=int)
     p.add_argument("-p", "--stop-percent", type=float, default=95.0)
+    p.add_argument("-g", "--stop-on-decrease", action="store_true", help="stop when fewer clusters are retained than before")
     p.add_argument("-U", "--nearest", action="store_true", help="also assign unassigned events to their nearest cluster")
-    p.add_argument("-L", "--leftover", action="store_true", help="also assign held-out events")
-    p.add_argument("-M", "--history", help="write the lineage there")
+    p.add_argument("-L", "--leftover", action="store_true", help="also assign held-out events, and write them to OUTPUT.leftover.clusters")
+    p.add_argument("-M", "--history", help="write the history of the clusters there")
+    p.add_argument("--passes", help="write the labels of every pass there")
     p.add_argument("--sample-every", type=int, default=1)
     p.add_argument("--flagged", action="store_true", help="the first column is a selection flag")
+    p.add_argument("--binary", action="store_true")
     return p
 
 
-def main(args: list[str] | None = None) -> None:
+def extract_parser() -> argparse.ArgumentParser:
+    p = argparse.ArgumentParser(prog="epsforest extract")
+    p.add_argument("input")
+    p.add_argument("labels")
+    p.add_argument("output", help="with --binary a folder of tables, else of CSV files")
+    what = p.add_mutually_exclusive_group()
+    what.add_argument("-c", "--cluster", type=int, help="one cluster only")
+    what.add_argument("-u", "--unassigned", action="store_true")
+    what.add_argument("-m", "--max-cluster", action="store_true", help="only the largest cluster number")
+    what.add_argument("-s", "--summary", action="store_true", help="only the number of events of each cluster")
+    p.add_argument("-0", "--no-label", action="store_true", help="leave the cluster column out; needs --cluster")
+    p.add_argument("-b", "--renumber", action="store_true", help="the cluster becomes 1; needs --cluster")
+    p.add_argument("--binary", action="store_true")
+    return p
+
+
+def _points(spark: SparkSession, path: str, binary: bool, flagged: bool = False) -> DataFrame:
+    if not binary:
+        return read_csv(spark, path, flagged)
+    spark.dataSource.register(BinaryTable)
+    return spark.read.format(BinaryTable.name()).load(path)
+
+
+def run_extract(spark: SparkSession, args: list[str]) -> None:
+    p = extract_parser()
+    a = p.parse_args(args)
+    if (a.no_label or a.renumber) and a.cluster is None:
+        p.error("--no-label and --renumber need --cluster")
+    labels = spark.read.schema("event_id long, cluster int").csv(a.labels, header=True)
+    if a.max_cluster or a.summary:
+        out = ex.max_cluster(labels) if a.max_cluster else ex.summary(labels).orderBy("cluster")
+        return write_csv(out, a.output)
+    points = _points(spark, a.input, a.binary)
+    if a.unassigned:
+        out, kind = ex.unassigned(points, labels), "unassigned"
+    elif a.renumber:
+        out, kind = ex.sub_extract(points, labels, a.cluster), "assigned"
+    else:
+        out, kind = ex.extract(points, labels, a.cluster), "assigned"
+    if a.no_label:
+        out, kind = out.drop("cluster"), "selected"
+    if a.binary:
+        out.write.format(BinaryTable.name()).mode("append").option("kind", kind).save(a.output)
+    else:
+        write_csv(out.orderBy("event_id"), a.output)
+
+
+def run_scan(spark: SparkSession, args: list[str]) -> None:
     a = parser().parse_args(args)
-    spark = SparkSession.builder.appName("epsforest").getOrCreate()
     run = pipeline(
-        read_csv(spark, a.input, a.flagged), a.first, a.last, a.step, a.sample_every, "flag" if a.flagged else None, a.nearest, a.leftover,
-        min_percent=a.min_percent, min_events=a.min_events, stop_percent=a.stop_percent,
+        _points(spark, a.input, a.binary, a.flagged), a.first, a.last, a.step, a.sample_every, "flag" if a.flagged else None, a.nearest, a.leftover,
+        min_percent=a.min_percent, min_events=a.min_events, stop_percent=a.stop_percent, go_on_decrease=not a.stop_on_decrease,
     )
     write_csv(run.result, a.output)
+    if run.leftover_labels is not None:
+        write_leftover(run.leftover_labels, a.output.rstrip("/") + ".leftover.clusters")
     if a.history:
-        run.scan.lineage().write.parquet(a.history)
-    run.scan.stats().show(1000, truncate=False)
+        write_csv(run.scan.history().orderBy("pass", "cluster"), a.history)
+    if a.passes:
+        write_passes(run.scan, a.passes)
+    run.scan.report(a.sample_every, timed=True).show(1000, truncate=False)
+
+
+def main(args: list[str] | None = None) -> None:
+    args = sys.argv[1:] if args is None else args
+    spark = SparkSession.builder.appName("epsforest").getOrCreate()
+    try:
+        if args[:1] == ["extract"]:
+            run_extract(spark, args[1:])
+        else:
+            run_scan(spark, args)
+    finally:
+        clear(spark)
 
 
 if __name__ == "__main__":

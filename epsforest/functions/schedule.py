@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -64,6 +65,9 @@ class Schedule:
     go_on_decrease: bool = False
     passes: list[Pass] = field(default_factory=list)
     reason: str = ""
+    #: Seconds of each pass, and when the running one began.
+    seconds: list[float] = field(default_factory=list)
+    began: float = field(default_factory=time.monotonic)
 
     def __post_init__(self) -> None:
         self.dist = f32(self.first)
@@ -85,6 +89,9 @@ class Schedule:
         before = self.passes[-1] if self.passes else None
         most = max((p.retained for p in self.passes), default=0)
         self.passes.append(now)
+        at = time.monotonic()
+        self.seconds.append(at - self.began)
+        self.began = at
         if self.dist == self.last:
             self.reason = "last distance"
             return True

@@ -42,10 +42,16 @@ class Scan:
         rows = [(p.index, p.dist, p.threshold, p.raw, p.retained, p.assigned, p.events - p.assigned) for p in self.schedule.passes]
         return self.points.sparkSession.createDataFrame(rows, "pass int, dist double, threshold long, raw long, retained long, assigned long, unassigned long")
 
-    def report(self, sample_every: int = 1) -> DataFrame:
-        """A row a pass with what share of the events is assigned, in float32 as the stop rules have it."""
+    def report(self, sample_every: int = 1, timed: bool = False) -> DataFrame:
+        """A row a pass with what share of the events is assigned, in float32 as the stop rules have it; ``timed`` adds seconds and workers."""
+        spark = self.points.sparkSession
         rows = [(p.index, p.dist, sample_every, p.events, p.assigned, p.events - p.assigned, float(p.percent), p.raw, p.retained) for p in self.schedule.passes]
-        return self.points.sparkSession.createDataFrame(rows, "pass int, dist double, sample_every int, events long, assigned long, unassigned long, percent double, raw long, retained long")
+        schema = "pass int, dist double, sample_every int, events long, assigned long, unassigned long, percent double, raw long, retained long"
+        if timed:
+            workers = spark.sparkContext.defaultParallelism
+            rows = [(*r, s, workers) for r, s in zip(rows, self.schedule.seconds, strict=True)]
+            schema += ", seconds double, workers int"
+        return spark.createDataFrame(rows, schema)
 
     def retained(self) -> DataFrame:
         """pass, comp, size of the components of the minimum size or more."""
@@ -80,6 +86,18 @@ class Scan:
             F.when((F.col("siblings") > 1) & (F.col("comp") != F.col("first")), F.col("first")).alias("merged_to"), "descends_from", F.coalesce(chosen, F.lit(False)).alias("selected"),
         )
 
+    def history(self) -> DataFrame:
+        """pass, dist, cluster (numbered inside its pass), size, descendfrom (of the pass before), mergedto (of the same pass), retain; 0 is none."""
+        rows = cut(self.lineage(), "lineage").withColumn("cluster", F.row_number().over(Window.partitionBy("pass").orderBy("comp")))
+        rows = cut(rows, "history")  # a row a retained cluster and pass
+        number = rows.select("pass", "comp", "cluster")
+        before = number.select((F.col("pass") + 1).alias("pass"), F.col("comp").alias("descends_from"), F.col("cluster").alias("descendfrom"))
+        beside = number.select("pass", F.col("comp").alias("merged_to"), F.col("cluster").alias("mergedto"))
+        dist = self.points.sparkSession.createDataFrame([(p.index, p.dist) for p in self.schedule.passes], "pass int, dist double")
+        rows = rows.join(before, ["pass", "descends_from"], "left").join(beside, ["pass", "merged_to"], "left").join(F.broadcast(dist), "pass")
+        none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+        return rows.select("pass", "dist", "cluster", "size", none("descendfrom"), none("mergedto"), F.col("selected").alias("retain"))
+
     def clusters(self) -> DataFrame:
         """cluster (from 1, by pass and smallest id), pass, comp, size of the selected components."""
         chosen = self.lineage().where("selected").select("pass", "comp", "size")
@@ -151,11 +169,13 @@ def _scan_local(spark: SparkSession, ids: np.ndarray, weights: np.ndarray, grow,
 def scan(
     points: DataFrame, first: float, last: float | None = None, step: float = 0.5, min_percent: float = 0.5, min_events: int | None = None, stop_percent: float = 95.0,
     go_on_decrease: bool = False, compat: bool = True, strategy: str | None = None, local_vectors: int = LOCAL_VECTORS,
+    dimensions: int | None = None,
 ) -> Scan:
     """Scans distances ``first`` to ``last``. points: (event_id, c0 ..); ids are distinct. Missing ids and features are refused.
 
     Edges are found in bands: the first reaches the first threshold, each next one about twice the distance; from the
     second on only between points of different components. Each band is reduced to forests inside its partitions.
+    dimensions: the number of columns that thresholds reckon with, if some columns only hold points apart.
     """
     spark, cols = points.sparkSession, columns_of(points)
     points = cut(points.select("event_id", *cols), "points")
@@ -167,8 +187,8 @@ def scan(
         raise ValueError(f"features are missing in {check['missing']} events; leave these out or give them values")
     vectors = cut(collapse(points), "vectors")
     minimum = minimum_size(check["n"], min_percent, min_events)
-    plan = Schedule(first, last, step, stop_percent, go_on_decrease)
-    distances = [threshold(d, len(cols)) for d in grid(first, last, step)] if plan.first <= float(plan.last) else [threshold(first, len(cols))]
+    plan, width = Schedule(first, last, step, stop_percent, go_on_decrease), dimensions or len(cols)
+    distances = [threshold(d, width) for d in grid(first, last, step)] if plan.first <= float(plan.last) else [threshold(first, width)]
 
     def band(t: int) -> int:
         """How far the next band reaches: up to twice the distance, never past the last one."""
@@ -188,10 +208,10 @@ def scan(
             found = (local_forests(found) if few else merged_forest(found, local_vectors)).toPandas()
             return to, tuple(found[c].to_numpy(np.int64) for c in ("a", "b", "d2"))
 
-        labels = cut(_scan_local(spark, ids, weights, grow, plan, minimum, len(cols)), "labels")
+        labels = cut(_scan_local(spark, ids, weights, grow, plan, minimum, width), "labels")
     else:
-        labels = _scan_distributed(vectors, plan, minimum, len(cols), check["n"], band, strategy)
-    return Scan(points, vectors, labels, plan, minimum, len(cols), compat)
+        labels = _scan_distributed(vectors, plan, minimum, width, check["n"], band, strategy)
+    return Scan(points, vectors, labels, plan, minimum, width, compat)
 
 
 def _scan_distributed(vectors: DataFrame, plan: Schedule, minimum: int, columns: int, events: int, band, strategy: str | None) -> DataFrame:

@@ -155,13 +155,13 @@ def dedup_points_line3(spark: SparkSession, sf_dir: str) -> DataFrame:
 FIRST, LAST, STEP, LEAST = 4.0, 30.0, 2.0, 12
 
 
-def _labels_sql(points: str, n: int, distances: list[float], least: int) -> str:
+def _labels_sql(points: str, n: int, distances: list[float], least: int, also: str = "") -> str:
     """Common tables p, t, labels, sizes, kept for scans that visit every distance of their grid."""
     ts = ", ".join(f"({k}, {d!r}, {threshold(d, n)})" for k, d in enumerate(distances))
     top = max(threshold(d, n) for d in distances)
     return f"""
 WITH RECURSIVE p AS ({points}), t(pass, dist, thr) AS (VALUES {ts}),
-d AS MATERIALIZED (SELECT a.event_id AS a, b.event_id AS b, {_d2(n)} AS d2 FROM p a JOIN p b ON a.event_id < b.event_id WHERE {_d2(n)} <= {top}),
+d AS MATERIALIZED (SELECT a.event_id AS a, b.event_id AS b, {_d2(n)} AS d2 FROM p a JOIN p b ON a.event_id < b.event_id {also} WHERE {_d2(n)} <= {top}),
 e AS MATERIALIZED (SELECT pass, a, b FROM d JOIN t ON d2 <= thr UNION ALL SELECT pass, b, a FROM d JOIN t ON d2 <= thr),
 cc(pass, id, c) USING KEY (pass, id) AS (
   SELECT pass, event_id, event_id FROM p, t
@@ -399,3 +399,33 @@ def recluster_unassigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _scan(spark, sf_dir)
     labels = cut(found.final_labels(), "final")
     return ex.recluster(found, labels, "unassigned", first=10, last=30, step=5, min_events=5, go_on_decrease=True)[0].final_labels()
+
+
+_MEMBERS = _labels_sql(f"SELECT event_id, c0, c1, g FROM ({_CUST + _LINEAGE} SELECT event_id, c0, c1, cluster AS g FROM final JOIN p USING (event_id) WHERE cluster > 0)", 2, [6.0], 3, "AND a.g = b.g")
+
+
+@_query(
+    "recluster_clusters",
+    _MEMBERS + """, again AS (SELECT event_id, g, dense_rank() OVER (PARTITION BY g ORDER BY comp) AS cluster FROM labels JOIN kept USING (pass, comp) JOIN p USING (event_id))
+  SELECT p.g AS parent, p.event_id, coalesce(again.cluster, 0) AS cluster FROM p LEFT JOIN again USING (event_id)""",
+)
+def recluster_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _scan(spark, sf_dir)
+    labels = cut(found.final_labels(), "final")
+    return ex.recluster_together(found, labels, 6, min_events=3, compat=False)
+
+
+@_query(
+    "lineage_history",
+    _CUST + _LINEAGE + """, numbered AS (SELECT *, row_number() OVER (PARTITION BY pass ORDER BY comp) AS cluster FROM lineage)
+  SELECT CAST(n.pass AS INT) AS pass, CAST(t.dist AS DOUBLE) AS dist, n.cluster, n.size, coalesce(b.cluster, 0) AS descendfrom, coalesce(m.cluster, 0) AS mergedto, n.leaf AND NOT n.late AS retain
+  FROM numbered n JOIN t USING (pass) LEFT JOIN numbered b ON b.pass = n.pass - 1 AND b.comp = n.descends_from LEFT JOIN numbered m ON m.pass = n.pass AND m.comp = n.merged_to""",
+)
+def lineage_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scan(spark, sf_dir).history()
+
+
+@_query("split_by_assignment", _CUST + _LINEAGE + " SELECT event_id, c0, c1, cluster, cluster > 0 AS assigned FROM final JOIN p USING (event_id)")
+def split_by_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _scan(spark, sf_dir)
+    return cut(ex.with_assignment(found.points, found.final_labels()), "split", by=["assigned"])

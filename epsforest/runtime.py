@@ -30,9 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends there and survives lost executors."""
+def _cuts(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/epsforest-{spark.sparkContext.applicationId}"
+
+
+def cut(df: DataFrame, name: str = "cut", by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: lineage ends there and survives lost executors.
+
+    by: columns by which the table is laid out, so that a filter on them reads its part only; they come last.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{_cuts(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*(by or [])).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> bool:
+    """Deletes all that this application has cut, for whoever owns a finished run: results that read it must be written before."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_cuts(spark))
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from epsforest.functions.points import columns_of
+from epsforest.operators.extract import with_assignment
 from epsforest.operators.ranking import global_rank
+from epsforest.operators.scan import Scan
 
 #: Fixed values of the file formats.
 KINDS = {"selected": "dclust input file v1.0", "unassigned": "dclust unassigned file v1.0", "assigned": "dclust assigned file v1.0"}
@@ -49,13 +53,30 @@ def _body(kind: str) -> int:
     return MAGIC + 16 + HEADER + (2 + 2 + 32 if kind == "selected" else 0)
 
 
-def _open(path: str):
+def _filesystem(path: str):
     from pyarrow import fs
 
-    where, name = fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+
+
+def _open(path: str):
+    where, name = _filesystem(path)
     return where.open_input_file(name)
 
 
+def _tables(path: str) -> list[str]:
+    """The file itself, or the tables of a folder."""
+    from pyarrow import fs
+
+    where, name = _filesystem(path)
+    if where.get_file_info(name).type != fs.FileType.Directory:
+        return [path]
+    found = sorted(f.base_name for f in where.get_file_info(fs.FileSelector(name)) if f.is_file and f.base_name[:1] not in "._")
+    if not found:
+        raise ValueError(f"no table in {path}")
+    return [f"{path.rstrip('/')}/{n}" for n in found]
+
+
 def _facts(path: str) -> tuple[str, int, int]:
     with _open(path) as f:
         head = f.read(MAGIC + 16)
@@ -70,21 +91,24 @@ def _facts(path: str) -> tuple[str, int, int]:
 
 
 class _Range(InputPartition):
-    def __init__(self, first: int, end: int) -> None:
-        self.first, self.end = first, end
+    def __init__(self, path: str, first: int, end: int) -> None:
+        self.path, self.first, self.end = path, first, end
 
 
 class _Reader(DataSourceReader):
     def __init__(self, path: str) -> None:
-        self.path = path
-        self.kind, self.rows, self.columns = _facts(path)
+        self.facts = {p: _facts(p) for p in _tables(path)}
+        if len({(kind, columns) for kind, _, columns in self.facts.values()}) > 1:
+            raise ValueError("the folder holds tables of several kinds")
+        self.kind, _, self.columns = next(iter(self.facts.values()))
 
     def partitions(self) -> list[_Range]:
-        return [_Range(k, min(k + ROWS_A_PARTITION, self.rows)) for k in range(0, self.rows, ROWS_A_PARTITION)] or [_Range(0, 0)]
+        ranges = [_Range(p, k, min(k + ROWS_A_PARTITION, rows)) for p, (_, rows, _) in self.facts.items() for k in range(0, rows, ROWS_A_PARTITION)]
+        return ranges or [_Range(next(iter(self.facts)), 0, 0)]
 
     def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
         row = _row_type(self.kind, self.columns)
-        with _open(self.path) as f:
+        with _open(part.path) as f:
             f.seek(_body(self.kind) + part.first * row.itemsize)
             data = np.frombuffer(f.read((part.end - part.first) * row.itemsize), row)
         arrays = [pa.array(data["event_id"].astype(np.int64)), *(pa.array(data[f"c{k}"].astype(np.int32)) for k in range(self.columns))]
@@ -96,32 +120,121 @@ class _Reader(DataSourceReader):
 
 
 class BinaryTable(DataSource):
-    """``spark.dataSource.register(BinaryTable)``, then ``spark.read.format("density_table").load(path)``."""
+    """``spark.dataSource.register(BinaryTable)``, then ``spark.read.format("density_table").load(path)``, of a file or a folder of tables.
+
+    ``df.write.format("density_table").mode("append").option("kind", "assigned").save(folder)`` writes a folder; other
+    options are ``header``, ``key`` and ``sample``.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "density_table"
 
     def schema(self) -> str:
-        kind, _, columns = _facts(self.options["path"])
+        kind, _, columns = _facts(_tables(self.options["path"])[0])
         return ", ".join(["event_id long", *(f"c{k} int" for k in range(columns)), *(["cluster int"] if kind == "assigned" else [])])
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(self.options["path"])
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        if overwrite:
+            raise ValueError("tables are only appended; give an empty folder")
+        return _Writer(dict(self.options), schema)
+
+
+@dataclass
+class _Parts(WriterCommitMessage):
+    """The files that a task has written under names that no reader takes."""
+
+    names: list[str]
+
+
+class _Writer(DataSourceArrowWriter):
+    """Each task writes tables of its own, of at most ROWS_A_PARTITION rows; the commit gives them the names that readers take."""
+
+    def __init__(self, options: dict, schema: StructType) -> None:
+        self.path, self.kind, self.header = options["path"].rstrip("/"), options.get("kind", "selected"), options.get("header", "")
+        self.key, self.sample = int(options.get("key", 0)), int(options.get("sample", 1))
+        self.columns = len([f for f in schema.names if f[:1] == "c" and f[1:].isdigit()])
+        self.row = _row_type(self.kind, self.columns)
+        missing = set(self.row.names) - set(schema.names)
+        if missing:
+            raise ValueError(f"columns are missing: {sorted(missing)}")
+
+    def _table(self, batches: list[pa.RecordBatch]) -> str:
+        where, folder = _filesystem(self.path)
+        data = np.zeros(sum(b.num_rows for b in batches), self.row)
+        for name in self.row.names:
+            values = pa.chunked_array([b.column(b.schema.get_field_index(name)) for b in batches])
+            if values.null_count:
+                raise ValueError(f"{name} has missing values")
+            data[name] = values.to_numpy()
+        extra = self.sample if self.kind == "selected" else int(data["cluster"].max(initial=0)) if self.kind == "assigned" else 0
+        name = f"_{uuid.uuid4().hex}"
+        where.create_dir(folder, recursive=True)
+        with where.open_output_stream(f"{folder}/{name}") as f:
+            f.write(_head(self.kind, len(data), self.columns, extra, self.header, self.key))
+            f.write(data.tobytes())
+        return name
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        names, held, size = [], [], 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS_A_PARTITION):
+                part = batch.slice(lo, ROWS_A_PARTITION)
+                if size + part.num_rows > ROWS_A_PARTITION:
+                    names.append(self._table(held))
+                    held, size = [], 0
+                held.append(part)
+                size += part.num_rows
+        if held:
+            names.append(self._table(held))
+        return _Parts(names)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        where, folder = _filesystem(self.path)
+        for k, name in enumerate(n for m in messages if m for n in m.names):
+            where.move(f"{folder}/{name}", f"{folder}/part-{k:06d}{name}")
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        where, folder = _filesystem(self.path)
+        for name in (n for m in messages if m for n in m.names):
+            where.delete_file(f"{folder}/{name}")
+
+
+def _head(kind: str, rows: int, columns: int, extra: int, header: str, key: int) -> bytes:
+    head = (KINDS[kind].ljust(MAGIC - 2) + "\n\0").encode() + np.array([1, rows, columns, extra], "<u4").tobytes()
+    head += header.encode()[: HEADER - 1].ljust(HEADER, b"\0")
+    return head + (np.array([key, 1], "<u2").tobytes() + b"!NO_CATEGORIES!".ljust(32, b"\0") if kind == "selected" else b"")
+
+
+def write_leftover(labels: DataFrame, path: str) -> None:
+    """The held-out events' clusters as text without a header: event_id,cluster."""
+    labels.select("event_id", "cluster").write.csv(path, header=False)
+
+
+def write_split(points: DataFrame, labels: DataFrame, path: str) -> None:
+    """Assigned and unassigned events as Parquet in one pass: ``path/assigned=true`` and ``path/assigned=false``."""
+    with_assignment(points, labels).write.partitionBy("assigned").parquet(path)
+
+
+def write_passes(found: Scan, path: str) -> None:
+    """The labels of every pass as Parquet, a folder each: ``path/pass=0`` and so on."""
+    found.labels.select("event_id", "comp", "weight", "pass").write.partitionBy("pass").parquet(path)
+
 
 def write_binary(df: DataFrame, path: str, kind: str, header: str = "", key: int = 0, sample: int = 1) -> int:
-    """Exports a table as one file, streaming it partition by partition through the driver; returns the rows written."""
+    """Exports a table as one local file, streaming it partition by partition through the driver; returns the rows written.
+
+    For programs that want a single file; ``df.write.format("density_table")`` writes a folder of tables on the executors.
+    """
     columns = len(columns_of(df))
     row = _row_type(kind, columns)
     rows = df.count()
     extra = sample if kind == "selected" else int((df.agg(F.max("cluster")).first()[0] or 0) if kind == "assigned" else 0)
     with open(path, "wb") as f:
-        f.write((KINDS[kind].ljust(MAGIC - 2) + "\n\0").encode())
-        f.write(np.array([1, rows, columns, extra], "<u4").tobytes())
-        f.write(header.encode()[: HEADER - 1].ljust(HEADER, b"\0"))
-        if kind == "selected":
-            f.write(np.array([key, 1], "<u2").tobytes() + b"!NO_CATEGORIES!".ljust(32, b"\0"))
+        f.write(_head(kind, rows, columns, extra, header, key))
         for batch in df.select(*row.names).toLocalIterator(prefetchPartitions=True):
             f.write(np.array(tuple(batch), row).tobytes())
     return rows

@@ -15,7 +15,10 @@ from epsforest.operators.scan import scan
 from epsforest.operators.select import select, split
 from epsforest.plans import catalogue
 from epsforest.plans.pipeline import pipeline
-from epsforest.sources.formats import BinaryTable, read_csv, write_binary
+from epsforest import cli
+from epsforest.operators.extract import recluster_together, reclustered
+from epsforest.runtime import cut
+from epsforest.sources.formats import BinaryTable, read_csv, write_binary, write_split
 from epsforest.streaming.score import score_stream, settle
 
 DATA = "/root/testdata/sf0.001"
@@ -178,6 +181,14 @@ def test_recluster_extract_and_run(spark):
         extract(points, run.labels, with_label=False)
     again = recluster(run.scan, run.labels, "unassigned", first=5, min_events=3, compat=False)[0]
     assert again.clusters().count() == 1
+    parts = reclustered(spark, recluster(run.scan, run.labels, "clusters", first=1, min_events=3, compat=False)).collect()
+    assert sorted(tuple(r) for r in parts) == [(1, k, 1) for k in range(4)] + [(2, k, 1) for k in range(4, 8)]
+    once = recluster_together(run.scan, run.labels, 1, min_events=3, compat=False).collect()
+    assert sorted(tuple(r) for r in once) == sorted(tuple(r) for r in parts)
+    none = run.labels.withColumn("cluster", F.lit(0))
+    assert recluster_together(run.scan, none, 1, min_events=3).count() == 0 and recluster(run.scan, none, "clusters") == {}
+    timed = run.scan.report(timed=True).collect()
+    assert all(r["seconds"] >= 0 and r["workers"] > 0 for r in timed) and len(timed) == run.scan.last_pass + 1
 
 
 def test_files(spark, tmp_path):
@@ -192,6 +203,50 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in read_csv(spark, str(tmp_path / "x.csv")).orderBy("event_id").collect()] == [(1, 5), (2, None)]
 
 
+def test_binary_tables_written_by_tasks(spark, tmp_path, monkeypatch):
+    spark.dataSource.register(BinaryTable)
+    points = line(spark, list(range(100))).withColumn("cluster", F.col("event_id").cast("int") % 3).repartition(4)
+    path = str(tmp_path / "folder")
+    points.write.format("density_table").mode("append").option("kind", "assigned").save(path)
+    back = spark.read.format("density_table").load(path)
+    assert back.rdd.getNumPartitions() > 1 and sorted(map(tuple, back.collect())) == sorted(map(tuple, points.collect()))
+    with pytest.raises(Exception, match="missing values"):
+        points.withColumn("c0", F.lit(None).cast("int")).write.format("density_table").mode("append").option("kind", "assigned").save(path)
+    assert spark.read.format("density_table").load(path).count() == 100
+
+
+def test_split_and_cuts(spark, tmp_path):
+    points = line(spark, [1, 2, 3])
+    write_split(points, spark.createDataFrame([(0, 1), (1, 0), (2, 2)], "event_id long, cluster int"), str(tmp_path / "x"))
+    assert {r["event_id"] for r in spark.read.parquet(str(tmp_path / "x" / "assigned=true")).collect()} == {0, 2}
+    a = cut(points, "some", by=["c0"])
+    assert a.where("c0 = 2").drop("c0").collect() == [(1,)]
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
+    values = [0, 1, 2, 3, 10, 11, 12, 13, 40, 45, 50, 300]
+    (tmp_path / "x.csv").write_text("id,a\n" + "".join(f"{i},{v}\n" for i, v in enumerate(values)))
+    name = lambda n: str(tmp_path / n)
+    monkeypatch.setattr(cli, "clear", lambda spark: None)  # other tests' tables are in the same folder
+    cli.main([name("x.csv"), name("out"), "-f", "1", "-l", "3", "-s", "2", "-n", "3", "-M", name("history"), "--passes", name("passes")])
+    labels = {int(r["event_id"]): int(r["cluster"]) for r in spark.read.csv(name("out"), header=True).collect()}
+    assert [labels[i] for i in range(12)] == [1] * 4 + [2] * 4 + [0] * 4
+    assert spark.read.csv(name("history"), header=True).columns == ["pass", "dist", "cluster", "size", "descendfrom", "mergedto", "retain"]
+    assert spark.read.parquet(name("passes")).where("pass = 0").count() == 12
+    for args, want in (
+        (["-c", "2"], [(4, 10, 2), (5, 11, 2), (6, 12, 2), (7, 13, 2)]), (["-c", "2", "-0"], [(4, 10), (5, 11), (6, 12), (7, 13)]),
+        (["-c", "2", "-b"], [(4, 10, 1), (5, 11, 1), (6, 12, 1), (7, 13, 1)]), (["-u"], [(8, 40, 0), (9, 45, 0), (10, 50, 0), (11, 300, 0)]),
+        (["-m"], [(2,)]), (["-s"], [(0, 4), (1, 4), (2, 4)]),
+    ):
+        out = name("e" + "".join(args))
+        cli.main(["extract", name("x.csv"), name("out"), out, *args])
+        assert sorted(tuple(map(int, r)) for r in spark.read.csv(out, header=True).collect()) == want
+    with pytest.raises(SystemExit):
+        cli.main(["extract", name("x.csv"), name("out"), name("no"), "-0"])
+    cli.main([name("x.csv"), name("some"), "-f", "1", "-n", "2", "-L", "--sample-every", "2"])
+    assert spark.read.csv(name("some.leftover.clusters")).count() == 6
+
+
 def test_input_order(spark, tmp_path):
     ids = [9, 3, 7, 1, 8, 2, 6]
     (tmp_path / "x.csv").write_text("id,a\n" + "".join(f"{i},{i}\n" for i in ids))
@@ -208,7 +263,7 @@ def test_stream_scores_settle(spark):
     assert {r["event_id"]: r["cluster"] for r in settle(near).collect()} == {7: 0, 8: 1, 9: 3}
 
 
-QUICK = ["summary_by_category", "summary_table", "scan_pass_report", "scan_stops_when_assigned", "scan_stops_on_decrease", "sel_points_part2", "sel_column_stats", "sel_sort_key", "sel_flag_and_sample", "sel_sorted_rank", "eps_edges_cust2", "eps_edges_emb64", "components_part2", "scan_stats_cust2", "dedup_points_line3"]
+QUICK = ["recluster_clusters", "lineage_history", "split_by_assignment", "summary_by_category", "summary_table", "scan_pass_report", "scan_stops_when_assigned", "scan_stops_on_decrease", "sel_points_part2", "sel_column_stats", "sel_sort_key", "sel_flag_and_sample", "sel_sorted_rank", "eps_edges_cust2", "eps_edges_emb64", "components_part2", "scan_stats_cust2", "dedup_points_line3"]
 
 
 @pytest.mark.parametrize("name", QUICK)
