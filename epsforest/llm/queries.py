@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from epsforest.llm import chat_tree, decontaminate, kneser_ney, language_id, license_scan, mixing, near_dedup, ppm, quality_rules, token_counts
+from epsforest.llm import chat_tree, decontaminate, kneser_ney, language_id, license_scan, mixing, near_dedup, ppm, quality_rules, ranked_search, token_counts
 from epsforest.runtime import cut
 
 #: Fixed values of the contracts: words by white space, A-Z lower-cased only.
@@ -174,6 +174,26 @@ def op9_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_threshold_seeded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, ws, len(ws) AS n FROM (SELECT doc_id, regexp_extract_all({SQL_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents) WHERE len(ws) > 0
+), c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM d),
+i AS (SELECT row_number() OVER () AS i, item_id, list_distinct(regexp_extract_all({SQL_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS ws FROM benchmark),
+t AS (SELECT i, item_id, unnest(ws) AS term FROM i),
+p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM t) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), c),
+x AS (
+  SELECT i, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // total)))) AS BIGINT) AS score
+  FROM p JOIN w USING (term) JOIN t USING (term), c GROUP BY ALL
+), y AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id, r) AS INT) AS rank, doc_id, score FROM x WHERE score > 0)
+SELECT * FROM y WHERE rank <= 50
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_license_scan": op2_license_scan,
@@ -185,6 +205,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_frequency_rules": op8_line_frequency_rules,
     "op9_kneser_ney_quality": op9_kneser_ney_quality,
     "op10_ppm_scoring": op10_ppm_scoring,
+    "op12_threshold_seeded_search": op12_threshold_seeded_search,
 }
 
 ORACLE: dict[str, str] = {
@@ -193,4 +214,5 @@ ORACLE: dict[str, str] = {
     "op4_chat_prefix_tree": OP4_SQL,
     "op6_simhash_decontamination": OP6_SQL,
     "op8_line_frequency_rules": OP8_SQL,
+    "op12_threshold_seeded_search": OP12_SQL,
 }
