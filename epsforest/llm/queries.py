@@ -6,8 +6,9 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from epsforest.llm import chat_tree, decontaminate, kneser_ney, language_id, license_scan, mixing, near_dedup, ppm, quality_rules, ranked_search, token_counts
+from epsforest.llm import chat_tree, decontaminate, hard_negatives, kneser_ney, language_id, license_scan, mixing, near_dedup, order_minhash, ppm, quality_rules, ranked_search, token_counts
 from epsforest.runtime import cut
 
 #: Fixed values of the contracts: words by white space, A-Z lower-cased only.
@@ -174,6 +175,26 @@ def op9_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_pivot_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", label, F.col("vec_id") % 50 == 0)
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND len(embedding) = len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+), s AS (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, b.r AS br, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.r <> b.r
+), p AS (SELECT ar, anchor_id, vec_id AS positive_id, score AS positive_score, br FROM (SELECT *, row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (
+  SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.ar, p.br ORDER BY s.score DESC, s.vec_id) AS INT) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.ar = p.ar AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+)
+SELECT * FROM n WHERE rank <= 3
+"""
+
+
 def op12_threshold_seeded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -194,6 +215,10 @@ SELECT * FROM y WHERE rank <= 50
 """
 
 
+def op13_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_license_scan": op2_license_scan,
@@ -205,7 +230,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_frequency_rules": op8_line_frequency_rules,
     "op9_kneser_ney_quality": op9_kneser_ney_quality,
     "op10_ppm_scoring": op10_ppm_scoring,
+    "op11_pivot_hard_negatives": op11_pivot_hard_negatives,
     "op12_threshold_seeded_search": op12_threshold_seeded_search,
+    "op13_order_minhash": op13_order_minhash,
 }
 
 ORACLE: dict[str, str] = {
@@ -214,5 +241,6 @@ ORACLE: dict[str, str] = {
     "op4_chat_prefix_tree": OP4_SQL,
     "op6_simhash_decontamination": OP6_SQL,
     "op8_line_frequency_rules": OP8_SQL,
+    "op11_pivot_hard_negatives": OP11_SQL,
     "op12_threshold_seeded_search": OP12_SQL,
 }
