@@ -39,7 +39,7 @@ def line_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def wide_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return scan(c.emb(spark, sf, 64), 130, 140, 5, min_events=4, go_on_decrease=True, strategy="blocks").final_labels()
+    return scan(c.emb(spark, sf, 64), 130, 140, 5, min_events=4, go_on_decrease=True).final_labels()
 
 
 def nearest(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from math import isqrt
 
 import numpy as np
@@ -138,58 +137,3 @@ def degrees(found: DataFrame) -> DataFrame:
     """event_id, degree of every event with a neighbour."""
     ends = found.select(F.col("a").alias("event_id")).unionAll(found.select(F.col("b").alias("event_id")))
     return ends.groupBy("event_id").agg(F.count("*").alias("degree"))
-
-
-def forest_of(a: np.ndarray, b: np.ndarray, d2: np.ndarray) -> np.ndarray:
-    """Which edges a minimum spanning forest keeps, edges ordered by (d2, a, b)."""
-    order = np.lexsort((b, a, d2))
-    ids, where = np.unique(np.concatenate([a, b]), return_inverse=True)
-    u, v = where[: len(a)][order].tolist(), where[len(a) :][order].tolist()
-    up = list(range(len(ids)))
-    kept = []
-    for k in range(len(u)):
-        x, y = u[k], v[k]
-        while up[x] != x:
-            up[x] = x = up[up[x]]
-        while up[y] != y:
-            up[y] = y = up[up[y]]
-        if x != y:
-            up[max(x, y)] = min(x, y)
-            kept.append(k)
-    return order[np.array(kept, np.int64)]
-
-
-def _local_forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held, rest, waiting = pd.DataFrame({"a": [], "b": [], "d2": []}).astype("int64"), [], 0
-    for x in batches:
-        rest.append(x[["a", "b", "d2"]])
-        waiting += len(x)
-        if waiting > max(200_000, len(held)):  # at least half of what is sorted is new
-            held, rest, waiting = pd.concat([held, *rest], ignore_index=True), [], 0
-            held = held.iloc[forest_of(*(held[c].to_numpy() for c in ("a", "b", "d2")))]
-    held = pd.concat([held, *rest], ignore_index=True)
-    if len(held):
-        held = held.iloc[forest_of(*(held[c].to_numpy() for c in ("a", "b", "d2")))]
-    yield held
-
-
-def local_forests(found: DataFrame) -> DataFrame:
-    """Each partition's minimum spanning forest. Their union has the same components at every threshold as all edges."""
-    return found.select("a", "b", "d2").mapInPandas(_local_forest, "a long, b long, d2 long")
-
-
-def merged_forest(found: DataFrame, most: int, fan: int = 8) -> DataFrame:
-    """A forest (a, b, d2) of the edges, of at most ``most`` rows or as one task leaves it: fewer edges than vectors.
-
-    The partitions' forests are joined ``fan`` at a time, round by round, each task holding ``fan`` forests; rounds grow
-    with the logarithm of the partitions.
-    """
-    held = cut(local_forests(found).withColumn("_at", F.spark_partition_id()), "forest")
-    facts = held.agg(F.count("*").alias("n"), F.coalesce(F.max("_at"), F.lit(0)).alias("last")).first()
-    while facts["n"] > most and facts["last"]:
-        parts = facts["last"] // fan + 1
-        # as many partitions as groups; groups that meet in one by their hashes only merge earlier
-        dealt = held.repartition(parts, F.expr(f"_at div {fan}")) if parts > 1 else held.coalesce(1)
-        held = cut(local_forests(dealt).withColumn("_at", F.spark_partition_id()), "forest")
-        facts = held.agg(F.count("*").alias("n"), F.coalesce(F.max("_at"), F.lit(0)).alias("last")).first()
-    return held.drop("_at")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from epsforest.functions import points as pt
 from epsforest.functions.schedule import grid, threshold
 from epsforest.operators import extract as ex
+from epsforest.operators import forest as fo
 from epsforest.operators import neighbors as nb
 from epsforest.operators import select as sel
 from epsforest.operators.assign import assign_leftover, assign_unassigned
@@ -210,7 +211,7 @@ def components_part2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("components_line3", _labels_sql(f"SELECT DISTINCT * FROM ({LINE3})", 3, [0.6], 2) + " SELECT event_id, comp FROM labels")
 def components_line3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _at(nb.collapse(line3(spark, sf_dir)).drop("weight"), 0.6).labels.select("event_id", "comp")
+    return _at(nb.collapse(line3(spark, sf_dir)).drop("weight"), 0.6).labels_at(0)
 
 
 @_query("component_sizes", _labels_sql(CUST2, 2, [10.0], 2) + " SELECT comp, size FROM kept")
@@ -429,3 +430,29 @@ def lineage_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_by_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _scan(spark, sf_dir)
     return cut(ex.with_assignment(found.points, found.final_labels()), "split", by=["assigned"])
+
+
+# --- the same on bounds so small that everything is distributed -------------------------------------------------------------
+@_query(
+    "forest_edges_by_pass",
+    _CUST + " SELECT CAST(pass AS INT) AS pass, CAST(thr AS BIGINT) AS threshold, count(*) - count(DISTINCT comp) AS edges FROM labels JOIN t USING (pass) GROUP BY ALL",
+)
+def forest_edges_by_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many edges of the minimum spanning forest each threshold has, by a tree of small blocks and Borůvka rounds."""
+    thresholds = [(k, threshold(d, 2)) for k, d in enumerate(_GRID)]
+    found = fo.minimum_forest(nb.collapse(cust2(spark, sf_dir)).drop("weight"), thresholds[-1][1], rows=64, few=200, fan=4, direct=4)
+    copies = cust2(spark, sf_dir).groupBy("c0", "c1").agg((F.count("*") - 1).alias("n")).agg(F.sum("n").alias("copies"))
+    by_pass = spark.createDataFrame(thresholds, "pass int, threshold long").join(F.broadcast(copies))
+    return by_pass.join(found.select("d2"), F.col("d2") <= F.col("threshold"), "left").groupBy("pass", "threshold", "copies").agg(F.count("d2").alias("n")).select("pass", "threshold", (F.col("n") + F.col("copies")).alias("edges"))
+
+
+@_query("scan_distributed_lineage", _CUST + _LINEAGE + " SELECT CAST(pass AS INT) AS pass, comp, size, birth, births, parent, siblings, merged_to, descends_from, leaf AND NOT late AS selected FROM lineage")
+def scan_distributed_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan in bands over many small blocks, whose first passes are distributed and whose last ones fit a task."""
+    return _scan(spark, sf_dir, few=400, block_rows=64, few_blocks=0).lineage()
+
+
+@_query("scan_distributed_labels", _labels_sql(CUST2, 2, grid(4, 14, 5), 5) + _LINEAGE + " SELECT event_id, cluster FROM final")
+def scan_distributed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan of which every pass is distributed."""
+    return scan(cust2(spark, sf_dir), 4, 14, 5, min_events=5, go_on_decrease=True, few=0, block_rows=100, few_blocks=0).final_labels()

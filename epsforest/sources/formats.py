@@ -220,8 +220,9 @@ def write_split(points: DataFrame, labels: DataFrame, path: str) -> None:
 
 
 def write_passes(found: Scan, path: str) -> None:
-    """The labels of every pass as Parquet, a folder each: ``path/pass=0`` and so on."""
-    found.labels.select("event_id", "comp", "weight", "pass").write.partitionBy("pass").parquet(path)
+    """The labels of every pass as Parquet, a folder each: ``path/pass=0`` and so on, each found anew from the forest."""
+    for p in found.schedule.passes:
+        found.vectors.select("event_id", "weight").join(found.vector_labels_at(p.index), "event_id").select("event_id", "comp", "weight").write.parquet(f"{path.rstrip('/')}/pass={p.index}")
 
 
 def write_binary(df: DataFrame, path: str, kind: str, header: str = "", key: int = 0, sample: int = 1) -> int:

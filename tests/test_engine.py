@@ -10,7 +10,8 @@ from epsforest.functions.points import MOST, out_of_range, rescale, validate
 from epsforest.operators.assign import nearest
 from epsforest.operators.components import connected_components
 from epsforest.operators.extract import extract, recluster
-from epsforest.operators.neighbors import _reaches, block_pairs, edges, forest_of, local_forests, merged_forest
+from epsforest.operators.forest import forest_of, local_forests, minimum_forest, spanning_forest
+from epsforest.operators.neighbors import _reaches, block_pairs, edges
 from epsforest.operators.scan import scan
 from epsforest.operators.select import select, split
 from epsforest.plans import catalogue
@@ -113,28 +114,20 @@ def test_far_blocks_do_not_meet(spark):
 
 
 @pytest.mark.parametrize("parts", [1, 3, 30])
-def test_merged_forest(spark, parts):
+def test_spanning_forest(spark, parts):
     rng = np.random.default_rng(6)
     a, b = rng.integers(0, 80, (2, 900))
     rows = [(int(x), int(y), int(x + y) % 7) for x, y in zip(a, b, strict=True) if x < y]
-    found = spark.createDataFrame(rows, "a long, b long, d2 long").repartition(parts)
-    assert local_forests(found).count() >= merged_forest(found, 100, 4).count()
-    one = merged_forest(found, 0, 4).toPandas()
-    assert len(one) < 80
+    found = spark.createDataFrame(rows, "a long, b long, d2 long").withColumns({"u": F.col("a"), "v": F.col("b")}).repartition(parts)
+    weights = sorted(np.array([r[2] for r in rows])[forest_of(*(np.array([r[k] for r in rows]) for k in range(3)))].tolist())
+    for few in (0, 30, 10**6):  # all rounds distributed, some, none
+        one = spanning_forest(found, few).toPandas()
+        assert sorted(one["d2"].tolist()) == weights and len(one) < 80
     for t in range(7):
         comps = [{(r["id"], r["comp"]) for r in connected_components(x.where(F.col("d2") <= t)).collect()} for x in (found, spark.createDataFrame(one))]
         assert comps[0] == comps[1]
 
 
-def test_merging_in_rounds_gives_the_same_scan(spark, monkeypatch):
-    rng = np.random.default_rng(8)
-    points = spark.createDataFrame([(i, *map(int, r)) for i, r in enumerate(rng.integers(0, 90, (150, 2)))], "event_id long, c0 int, c1 int").repartition(4)
-    want = {tuple(r) for r in scan(points, 1, 9, 2, min_events=4, go_on_decrease=True).lineage().collect()}
-    monkeypatch.setattr("epsforest.operators.scan.LOCAL_VECTORS", 1)
-    got = scan(points, 1, 9, 2, min_events=4, go_on_decrease=True, local_vectors=10**6, strategy="blocks")
-    assert {tuple(r) for r in got.lineage().collect()} == want
-
-
 def test_missing_features_are_refused(spark):
     with pytest.raises(ValueError, match="features are missing in 1 events"):
         scan(line(spark, [1, None, 3]), 1, min_events=2)
@@ -167,7 +160,7 @@ def test_distributed_scan_is_the_same(spark, seed):
     rng = np.random.default_rng(seed)
     x = np.concatenate([rng.normal(c, 6, (25, 2)) for c in ((40, 40), (60, 50), (120, 90))]).clip(0).astype(int)
     points = spark.createDataFrame([(i, *map(int, r)) for i, r in enumerate(x)], "event_id long, c0 int, c1 int").repartition(3)
-    one, other = (scan(points, 1, 9, 2, min_events=4, go_on_decrease=True, local_vectors=k) for k in (10**6, 0))
+    one, other = (scan(points, 1, 9, 2, min_events=4, go_on_decrease=True, few=k, block_rows=11, few_blocks=0 if k else 99) for k in (10**6, 0))
     assert {tuple(r) for r in one.lineage().collect()} == {tuple(r) for r in other.lineage().collect()}
     births = one.lineage().where(F.col("birth") & (F.col("pass") < one.last_pass)).count()
     assert one.clusters().count() == births
