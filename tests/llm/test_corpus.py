@@ -145,6 +145,26 @@ def test_decontamination_of_texts_shorter_than_an_item(spark):
     assert sorted(r["doc_id"] for r in dc.keep_clean(x, bench).collect()) == [6, 7, 8]
 
 
+def test_decontamination_of_long_items_and_clashing_columns(spark):
+    rng = random.Random(5)
+    word = lambda: f"v{rng.randrange(4000)}"
+    item = [word() for _ in range(20_000)]
+    changed = item[:]
+    for k in range(0, 20_000, 500):
+        changed[k] = "changed"
+    other = [word() for _ in range(300)]
+    texts = [other + changed + other, other, item[:9_000], item[:18_500], ["dup"] * 3_000, item[:40] * 30]
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(item[:40])), (9, "dup " * 40)], "item_id long, text string").withColumns({"row": F.lit(1), "w": F.lit(2), "gram": F.lit(3)})
+    x = docs(spark, [" ".join(t) for t in texts] * 2, ids=list(range(12))).withColumns({"row": F.lit(1), "n": F.lit(2), "p": F.lit(3), "k": F.lit(4), "words_": F.lit(5), "at": F.lit(6)})
+    got = {(r["doc_id"], r["item_id"]): (r["start_word"], r["shared"]) for r in dc.matches(x, bench).collect()}
+    lost = 5 * 40 - 4  # shingles with a changed word, of which the first is in one only
+    want = {(0, 7): (300, 19_996 - lost), (3, 7): (0, 18_496), (4, 9): (0, 36), (5, 8): (0, 36)}
+    want |= {(d, 8): (0, 36) for d in (2, 3)}
+    assert got == {(d + k, i): v for (d, i), v in want.items() for k in (0, 6)} | {(d, 8): got[d, 8] for d in (0, 6)}
+    clean = dc.keep_clean(x, bench)
+    assert clean.columns == x.columns and sorted(r["doc_id"] for r in clean.select("doc_id").collect()) == [1, 7]
+
+
 def test_multi_index_finds_the_whole_ball():
     rng = random.Random(0)
     width = 64 // dc.BLOCKS
