@@ -16,7 +16,8 @@ fall. It is an error if the steps do not converge.
 Rates are rounded to whole copies: every document gets the whole part; one copy more goes by the rest of the rate, in the
 order of a document's hash divided by that rest (sequential Poisson sampling), as long as the source's target is
 not passed. What is still missing is filled with later documents that fit, round by round, until less than
-``LEFT`` of the target is missing or nothing fits. The order is dealt by ranges, and prefix sums over the ranges join
+``LEFT`` of the target is missing or nothing fits. Last, a source takes one copy more of the document that leaves it
+nearest to its target, if that is nearer than without; so a target may be passed by less than was missing. The order is dealt by ranges, and prefix sums over the ranges join
 them: no task orders a whole source.
 
 Defined results: a null text has size 0 and is taken 0 times. A null source is a source of its own, last. An empty
@@ -177,6 +178,17 @@ def _prefix_fits(rows: DataFrame) -> DataFrame:
     return joined.withColumn("fits", F.col("before") + inside <= F.col("room"))
 
 
+def _nearer(rows: DataFrame, most: int) -> DataFrame:
+    """One copy more, in each source at most, of the document that comes nearest to what is missing, if it is less than twice that."""
+    used = rows.groupBy("source", "target").agg(F.sum((F.col("whole") + F.col("more")) * F.col("size")).alias("used"))
+    missing = used.where("target > used").select(F.col("source").alias("_p"), (F.col("target") - F.col("used")).alias("missing"))
+    may = (F.col("more") == 0) & (F.col("whole") < most) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("missing"))
+    last = rows.join(missing, rows["source"].eqNullSafe(F.col("_p"))).where(may)
+    order = F.struct(F.abs(F.col("size") - F.col("missing")).alias("off"), "key", "doc_id", "row")
+    last = last.groupBy("source").agg(F.min(order).alias("m")).select(F.col("m.row").alias("_r"), F.lit(1).cast("long").alias("_more"))
+    return rows.join(last, F.col("row") == F.col("_r"), "left").withColumn("more", F.coalesce("_more", "more")).drop("_r", "_more")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, most: int = MOST, covariates: list[Column] | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies, taken of every row of ``docs`` (doc_id, source, text).
 
@@ -194,7 +206,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, i
     rows = rows.withColumn("whole", F.floor("rate").cast("long")).withColumn("rest", F.col("rate") - F.col("whole")).withColumn("more", F.lit(0).cast("long"))
     # whole-number rates come last: they are only used to fill up
     rows = rows.withColumn("key", hash_order() / F.greatest("rest", F.lit(10.0**-DECIMALS)))
-    rows = cut(rows.select("doc_id", "source", "size", "source_size", "target", "rate", "whole", "more", "key"), "rates")
+    rows = cut(rows.select("doc_id", "source", "size", "source_size", "target", "rate", "whole", "more", "key", F.monotonically_increasing_id().alias("row")), "rates")
     while True:
         used = rows.groupBy("source", "target").agg(F.sum((F.col("whole") + F.col("more")) * F.col("size")).alias("used"))
         room = F.floor(F.col("target") - F.col("used") + 1e-6).cast("long")
@@ -207,5 +219,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, i
             break
         tried = _prefix_fits(tried).withColumn("more", F.col("fits").cast("long")).select(*rows.columns)
         rows = cut(tried.unionByName(left.where(~may).select(*rows.columns)), "round")
+    rows = _nearer(rows, most)
     copies = F.col("whole") + F.col("more")
     return rows.select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

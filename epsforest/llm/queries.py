@@ -96,6 +96,25 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def source_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7 mixes to: the targets of all sources, to millionths of a word."""
+    sizes = table(spark, sf_dir, "documents").select("source", mixing.words_of().alias("size"))
+    return mixing.targets(sizes).select("source", "source_size", F.round("target", 6).alias("target"))
+
+
+SOURCE_TARGETS_SQL = r"""
+WITH s AS (SELECT source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS source_size FROM documents GROUP BY source),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM s),
+-- sources reach their cap in the order of cap over weight; the level is the first that the next one's cap stands above
+r AS (
+  SELECT *, 2 * source_size / weight AS full_at, sum(source_size) OVER () * 1.5::DOUBLE AS wanted, sum(weight) OVER () AS weights,
+    coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+    coalesce(sum(weight) OVER (ORDER BY 2 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM w
+), l AS (SELECT coalesce(max((wanted - below) / (weights - gone)) FILTER (WHERE (wanted - below) / (weights - gone) <= full_at), max(full_at)) AS level FROM r)
+SELECT source, source_size, round(least(weight * level, 2.0 * source_size), 6) AS target FROM r, l
+"""
+
+
 def op8_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
@@ -227,6 +246,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_gru_language_id": op5_byte_gru_language_id,
     "op6_simhash_decontamination": op6_simhash_decontamination,
     "op7_source_mixing": op7_source_mixing,
+    "source_targets": source_targets,
     "op8_line_frequency_rules": op8_line_frequency_rules,
     "op9_kneser_ney_quality": op9_kneser_ney_quality,
     "op10_ppm_scoring": op10_ppm_scoring,
@@ -240,6 +260,7 @@ ORACLE: dict[str, str] = {
     "op2_license_scan": _op2_sql(),
     "op4_chat_prefix_tree": OP4_SQL,
     "op6_simhash_decontamination": OP6_SQL,
+    "source_targets": SOURCE_TARGETS_SQL,
     "op8_line_frequency_rules": OP8_SQL,
     "op11_pivot_hard_negatives": OP11_SQL,
     "op12_threshold_seeded_search": OP12_SQL,

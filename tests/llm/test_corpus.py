@@ -303,6 +303,27 @@ def test_mixing_meets_targets(spark):
     assert all(r["taken"] == 0 and r["target"] == 0 and r["rate"] == 0 for r in zero)
 
 
+def test_mixing_comes_nearest_to_its_target(spark):
+    sizes = {"a": [40_000, 40_003], "b": [30, 50, 7] * 400, "c": [9_000, 11_000, 3], "d": [0, 0]}
+    rows = [("w " * n, s) for s, own in sizes.items() for n in own]
+    got = mixing.mix(docs(spark, [t for t, _ in rows], sources=[s for _, s in rows])).collect()
+    for s, own in sizes.items():
+        mine = [r for r in got if r["source"] == s]
+        off = sum(r["taken"] for r in mine) - mine[0]["target"]
+        assert all(r["copies"] <= 2 and r["taken"] == r["copies"] * r["size"] for r in mine) and len(mine) == len(own)
+        assert all(abs(off + r["size"]) >= abs(off) for r in mine if r["copies"] < 2), s  # no copy more is nearer
+
+
+def test_source_targets_against_sql(spark, tmp_path):
+    docs(spark, ["w " * n for n in (5, 900, 40, 3, 0, 7)], sources=["a", "b", None, "a", "z", "z"]).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    for d in (str(tmp_path), "/root/testdata/sf0.001"):
+        got = queries.source_targets(spark, d).collect()
+        db = duckdb.connect()
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{d}/documents.parquet{'/*.parquet' if d[:5] != '/root' else ''}')")
+        want = db.execute(queries.SOURCE_TARGETS_SQL).fetchall()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_mixing_without_covariates_is_the_quotient(spark):
     texts = [" ".join("w" * n) for n in (5, 9, 30, 4, 4, 4, 60)] + [" ".join("w" * 30_000)]
     sources = ["a", "a", "a", "b", "b", "b", None, None]
