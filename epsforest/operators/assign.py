@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from epsforest.functions.points import columns_of, squared_distance
-from epsforest.operators.neighbors import grid_columns, within
+from epsforest.functions.points import columns_of
+from epsforest.operators import space
 from epsforest.operators.scan import Scan
 from epsforest.runtime import cut
 
-SMALL_TARGETS = 200_000
+#: Rows of a block of queries or targets, and queries that are compared with a block of targets at a time.
+ROWS, CHUNK = 1024, 128
 
 
 def settled(best: DataFrame) -> DataFrame:
@@ -20,57 +23,85 @@ def settled(best: DataFrame) -> DataFrame:
     return m.select("event_id", F.col("low.d2").alias("d2"), F.when(F.col("low.c") == -F.col("high.c"), F.col("low.c")).otherwise(0).cast("int").alias("cluster"))
 
 
-def nearest(queries: DataFrame, targets: DataFrame, cutoff: int | None = None, start: int | None = None) -> DataFrame:
+def _met(cols: list[str], cutoff: int | None):
+    """event_id, d2, low, high of one group: each query's least distance to the block's targets and the ends of the clusters there."""
+
+    def run(_, queries: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
+        if queries.empty or targets.empty:
+            return pd.DataFrame({c: [] for c in ("event_id", "d2", "low", "high")}).astype("int64")
+        x, y, cluster = space.frame(queries, cols), space.frame(targets, [f"t_{c}" for c in cols]), targets["cluster"].to_numpy(np.int64)
+        norms, most = (y * y).sum(axis=1), np.iinfo(np.int64).max
+        out = []
+        for lo in range(0, len(x), CHUNK):
+            part = x[lo : lo + CHUNK]
+            # whole numbers far below 2**53, so products of floats are exact
+            d = (part * part).sum(axis=1)[:, None] + norms[None] - 2 * (part @ y.T)
+            least = d.min(axis=1)
+            at = d == least[:, None]
+            out.append((least, np.where(at, cluster[None], most).min(axis=1), np.where(at, cluster[None], -1).max(axis=1)))
+        least, low, high = (np.concatenate(o) for o in zip(*out, strict=True))
+        keep = least <= (np.inf if cutoff is None else cutoff)
+        return pd.DataFrame({"event_id": queries["event_id"].to_numpy()[keep], "d2": least[keep].astype(np.int64), "low": low[keep], "high": high[keep]})
+
+    return run
+
+
+def _both(queries: DataFrame, targets: DataFrame, rows: int) -> space.Blocks:
+    """Queries and targets in common blocks, with bounds for each: ``asks`` tells them apart."""
+    cols = columns_of(queries)
+    # equal vectors of one cluster are one target
+    targets = targets.groupBy(*cols, "cluster").agg(F.min("event_id").alias("event_id"))
+    both = queries.select("event_id", *cols, F.lit(None).cast("int").alias("cluster"), F.lit(True).alias("asks"))
+    both = both.unionByName(targets.select("event_id", *cols, F.col("cluster").cast("int").alias("cluster"), F.lit(False).alias("asks")))
+    return space.lay(both, rows=rows, side="asks")
+
+
+def near_pairs(laid: space.Blocks, cutoff: int | None, fan: int = space.FAN, direct: int = space.DIRECT) -> DataFrame:
+    """(i, j): for the queries of each block the blocks whose targets may hold the nearest one of some query.
+
+    At every level of the tree, the least of the largest distances to nodes of targets bounds how far the nearest target of any query of
+    a node is; nodes that are farther away, or beyond the cutoff, are left behind.
+    """
+    near, far = space.nearest(laid.columns, laid.pivots), space.farthest_apart(laid.columns, laid.pivots)
+
+    def keep(pairs: DataFrame) -> DataFrame:
+        x = pairs.withColumns({"_near": near, "_far": far}).withColumn("_most", F.min("_far").over(Window.partitionBy("i")))
+        most = F.col("_most") if cutoff is None else F.least("_most", F.lit(cutoff))
+        return x.where(F.col("_near") <= most).drop("_near", "_far", "_most")
+
+    left, right = laid.bounds.where("asks"), laid.bounds.where("not asks")
+    return space.descend(left, right, (laid.count, laid.count), laid.columns + laid.pivots, keep, fan=fan, direct=direct).select("i", "j")
+
+
+def nearest(queries: DataFrame, targets: DataFrame, cutoff: int | None = None, rows: int = ROWS, fan: int = space.FAN, direct: int = space.DIRECT) -> DataFrame:
     """event_id, d2, cluster: the cluster of the nearest target; 0 if several clusters have one at that distance.
 
-    queries: (event_id, c*); targets: (event_id, c*, cluster). Without a target in reach a query has no row. The search
-    radius doubles until every query found a target inside it or the cutoff (or the range of the values) is reached, so
-    each round joins grid cells, never all pairs. If no column can be cut into cells any more, and the targets are few
-    (counted), they are broadcast; many targets are compared cell by cell whatever the cost.
+    queries: (event_id, c*); targets: (event_id, c*, cluster). Without a target, or none within ``cutoff`` (a squared distance), a query
+    has no row. Queries and targets are dealt to blocks of near rows; bounds of the blocks decide which meet, in one round and as groups of
+    at most ``rows`` of each.
     """
     cols = columns_of(queries)
-    spread = targets.agg(*(F.max(c).alias(f"hi_{c}") for c in cols), *(F.min(c).alias(f"lo_{c}") for c in cols), F.count("*").alias("n")).first()
-    if not spread["n"]:
+    laid = _both(queries, targets, rows)
+    if not laid.count:
         return queries.select("event_id", F.lit(0).cast("long").alias("d2"), F.lit(0).alias("cluster")).limit(0)
-    own = queries.agg(*(F.max(c).alias(f"hi_{c}") for c in cols), *(F.min(c).alias(f"lo_{c}") for c in cols)).first()
-    if own[f"hi_{cols[0]}"] is None:
-        return queries.select("event_id", F.lit(0).cast("long").alias("d2"), F.lit(0).alias("cluster"))
-    far = sum(max(abs(spread[f"hi_{c}"] - own[f"lo_{c}"]), abs(own[f"hi_{c}"] - spread[f"lo_{c}"])) ** 2 for c in cols)
-    end = far if cutoff is None else min(cutoff, far)
-    # equal vectors of one cluster are one target
-    targets = cut(targets.groupBy(*cols, "cluster").agg(F.min("event_id").alias("event_id")), "targets")
-    t = min(max(start or 16, 1), end)
-    done, left = None, queries.select("event_id", *cols)
-    while True:
-        by = grid_columns(targets, t)
-        if by:
-            pairs = within(left, targets, t, by).select(F.col("l_event_id").alias("event_id"), "d2", F.col("r_cluster").alias("cluster"))
-        else:
-            d2 = squared_distance("l_", "r_", cols)
-            t = end  # cells prune nothing: look everywhere at once
-            l, r = left.select(*(F.col(c).alias(f"l_{c}") for c in left.columns)), targets.select(*(F.col(c).alias(f"r_{c}") for c in targets.columns))  # noqa: E741
-            r = F.broadcast(r) if spread["n"] <= SMALL_TARGETS else r
-            pairs = l.join(r, d2 <= t).select(F.col("l_event_id").alias("event_id"), d2.alias("d2"), F.col("r_cluster").alias("cluster"))
-        best = pairs.groupBy("event_id", "cluster").agg(F.min("d2").alias("d2"))
-        found = cut(settled(best), "nearest")
-        done = found if done is None else done.unionByName(found)
-        if t >= end:
-            return done
-        left = cut(left.join(found, "event_id", "left_anti"), "left")
-        if left.isEmpty():
-            return done
-        t = min(4 * t, end)
+    pairs = near_pairs(laid, cutoff, fan, direct)
+    pairs = cut(pairs, "pairs") if laid.count > direct else pairs
+    asked = laid.rows.where("asks").select("event_id", *cols, F.col("block").alias("i")).join(pairs, "i")
+    held = laid.rows.where("not asks").select("cluster", *(F.col(c).alias(f"t_{c}") for c in cols), F.col("block").alias("j")).join(pairs, "j").withColumnsRenamed({"i": "ti", "j": "tj"})
+    met = asked.groupBy("i", "j").cogroup(held.groupBy("ti", "tj")).applyInPandas(_met(cols, cutoff), "event_id long, d2 long, low long, high long")
+    ends = [F.min(F.struct("d2", "low")).alias("a"), F.min(F.struct("d2", (-F.col("high")).alias("minus"))).alias("b")]
+    best = met.groupBy("event_id").agg(*ends).select("event_id", "a.d2", "a.low", (-F.col("b.minus")).alias("high"))
+    return best.select("event_id", "d2", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(0).cast("int").alias("cluster"))
 
 
 def assign_unassigned(result: Scan, labels: DataFrame) -> DataFrame:
     """event_id, cluster: ``labels`` with every unassigned event that the last pass had in some component given its nearest cluster."""
     cols = columns_of(result.points)
-    targets = result.points.join(labels.where("cluster > 0"), "event_id")
-    wanted = labels.where("cluster = 0").join(result.last_labels(), "event_id", "left_semi")
-    queries = result.points.join(wanted, "event_id", "left_semi").select("event_id", *cols)
-    found = nearest(queries, targets, start=result.schedule.passes[0].threshold)
-    new = found.select(F.col("event_id").alias("_e"), F.col("cluster").alias("_c"))
-    return labels.join(new, labels["event_id"] == F.col("_e"), "left").select("event_id", F.when(F.col("cluster") == 0, F.coalesce("_c", F.lit(0))).otherwise(F.col("cluster")).alias("cluster"))
+    alive = result.last_labels().select("event_id", F.lit(True).alias("_alive"))
+    events = cut(result.points.join(labels, "event_id").join(alive, "event_id", "left").select("event_id", *cols, "cluster", "_alive"), "labelled")
+    found = nearest(events.where("cluster = 0 and _alive"), events.where("cluster > 0"))
+    new = found.select("event_id", F.col("cluster").alias("_c"))
+    return events.select("event_id", "cluster").join(new, "event_id", "left").select("event_id", F.when(F.col("cluster") == 0, F.coalesce("_c", F.lit(0))).otherwise(F.col("cluster")).alias("cluster"))
 
 
 def assign_leftover(result: Scan, labels: DataFrame, leftover: DataFrame) -> DataFrame:
@@ -78,6 +109,6 @@ def assign_leftover(result: Scan, labels: DataFrame, leftover: DataFrame) -> Dat
     cols = columns_of(result.points)
     targets = result.points.join(labels.where("cluster > 0"), "event_id")
     cutoff = result.schedule.leftover_threshold(len(cols))
-    found = nearest(leftover.select("event_id", *cols), targets, cutoff, start=max(cutoff // 16, 1))
+    found = nearest(leftover.select("event_id", *cols), targets, cutoff)
     new = found.select(F.col("event_id").alias("_e"), F.col("cluster").alias("_c"))
     return leftover.join(new, leftover["event_id"] == F.col("_e"), "left").select("event_id", F.coalesce("_c", F.lit(0)).alias("cluster"))

@@ -35,6 +35,7 @@ class Blocks:
     """``rows``: the points with ``block``, ``place`` on the curve and their distances ``p*`` to pivots; ``bounds``: a row a block."""
 
     rows: DataFrame
+    #: None for a single block.
     bounds: DataFrame | None
     count: int
     columns: list[str]
@@ -96,15 +97,16 @@ def ends_of(points: DataFrame) -> list[Column]:
     return [F.coalesce(f(c), F.lit(0)).alias(f"{n}{c}") for c in columns_of(points) for n, f in (("lo", F.min), ("hi", F.max))]
 
 
-def lay(points: DataFrame, floor: int = 0, rows: int = BLOCK, pivots: np.ndarray | None = None, facts: dict | None = None) -> Blocks:
+def lay(points: DataFrame, floor: int = 0, rows: int = BLOCK, pivots: np.ndarray | None = None, facts: dict | None = None, side: str | None = None) -> Blocks:
     """Points (event_id, c*, ..) in blocks of ``rows`` rows, up to twice as many in a single one.
 
     Cells are as wide as all their points stay within ``floor`` (a squared distance) of each other. facts: the number of points ``n`` and
-    what ``ends_of`` finds, if known.
+    what ``ends_of`` finds, if known. side: a column; bounds are given whatever the number of rows, for each of its values in a block.
     """
     cols = columns_of(points)
     ends = facts or points.agg(F.count("*").alias("n"), *ends_of(points)).first()
-    if ends["n"] <= 2 * rows:
+    single = ends["n"] <= 2 * rows and not side
+    if single:
         pivots = np.zeros((0, len(cols)))
     pivots = chosen_pivots(points) if pivots is None else pivots
     names = [f"p{k}" for k in range(len(pivots))]
@@ -114,12 +116,11 @@ def lay(points: DataFrame, floor: int = 0, rows: int = BLOCK, pivots: np.ndarray
     else:
         place, celled = curve(cols, [ends[f"lo{c}"] for c in cols], [ends[f"hi{c}"] for c in cols], isqrt(floor // len(cols)) + 1)
         placed = points.withColumn("place", place)
-    if ends["n"] <= 2 * rows:
+    if single:
         return Blocks(placed.withColumn("block", F.lit(0)), None, 1, cols, names, celled)
     ranked = global_rank(placed, ["place", "event_id"], "rank").withColumn("block", F.expr(f"cast(rank div {rows} as int)"))
-    held = cut(ranked, "blocks")
-    bounds = held.groupBy("block").agg(*_ends(cols + names), F.min("place").alias("first"), F.max("place").alias("last"), F.min_by("event_id", "rank").alias("head"), F.max_by("event_id", "rank").alias("tail"))
-    return Blocks(held.drop("rank"), cut(bounds, "bounds"), ceil(ends["n"] / rows), cols, names, celled)
+    bounds = ranked.groupBy("block", *([side] if side else [])).agg(*_ends(cols + names), F.min("place").alias("first"), F.max("place").alias("last"), F.min_by("event_id", "rank").alias("head"), F.max_by("event_id", "rank").alias("tail"))
+    return Blocks(ranked.drop("rank"), cut(bounds, "bounds"), ceil(ends["n"] / rows), cols, names, celled)
 
 
 def _ends(names: list[str]) -> list[Column]:

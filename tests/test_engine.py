@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from epsforest.functions.points import MOST, out_of_range, rescale, validate
-from epsforest.operators.assign import nearest
+from epsforest.operators.assign import _both, near_pairs, nearest
 from epsforest.operators.components import connected_components
 from epsforest.operators.extract import extract, recluster
 from epsforest.operators.forest import forest_of, local_forests, minimum_forest, spanning_forest
@@ -73,6 +73,28 @@ def test_ambiguous_events_stay(spark):
     assert {r["event_id"]: r["cluster"] for r in nearest(queries, same, cutoff=25).collect()} == {90: 1, 91: 1}
 
 
+@pytest.mark.parametrize("columns", [1, 2, 20])
+def test_nearest_equals_brute_force(spark, columns):
+    rng = np.random.default_rng(columns)
+    centres = rng.integers(0, 300, (8, columns))
+    x, y = (centres[rng.integers(0, 8, n)] + rng.integers(0, 12, (n, columns)) for n in (150, 260))
+    cluster = rng.integers(1, 5, len(y))
+    names = ", ".join(f"c{k} int" for k in range(columns))
+    queries = spark.createDataFrame([(i, *map(int, r)) for i, r in enumerate(x)], "event_id long, " + names).repartition(3)
+    targets = spark.createDataFrame([(i, *map(int, r), int(c)) for i, (r, c) in enumerate(zip(y, cluster, strict=True))], f"event_id long, {names}, cluster int")
+    d2 = ((x[:, None] - y[None]) ** 2).sum(axis=2)
+    found = [(i, int(d.min()), {*cluster[d == d.min()].tolist()}) for i, d in enumerate(d2)]
+    want = {i: (d, c.pop() if len(c) == 1 else 0) for i, d, c in found}
+    for cutoff in (None, int(np.median(d2.min(axis=1)))):
+        for rows, direct in ((16, 2), (1024, 64)):
+            got = {r["event_id"]: (r["d2"], r["cluster"]) for r in nearest(queries, targets, cutoff, rows, 2, direct).collect()}
+            assert got == {i: v for i, v in want.items() if cutoff is None or v[0] <= cutoff}
+    assert columns > 2 or any(c == 0 for _, c in want.values())  # ties
+    laid = _both(queries, targets, 6)
+    assert near_pairs(laid, None, 2, 2).count() < laid.count * laid.count / 4
+    assert nearest(queries.limit(0), targets).count() == 0 and nearest(queries, targets.limit(0)).count() == 0
+
+
 def test_sampling_and_flags(spark):
     rows = [(k, k % 2, k) for k in range(12)]
     points = spark.createDataFrame(rows, "event_id long, flag int, c0 int")
