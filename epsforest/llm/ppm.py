@@ -13,7 +13,8 @@ bytes, whatever the corpus. The at most HEAD most frequent grams are broadcast w
 Adaptive: the trie starts empty for each text and learns as it codes.
 
 Beside it stands a unigram baseline over words. Counts of all words stay distributed; the at most 2**20 words with
-``N / 2**20`` occurrences or more are broadcast, and the others, of which none is frequent, are joined by their hash.
+``N / 2**20`` occurrences or more are broadcast, and the others are joined by their hash. Words and grams that are frequent in scored
+texts only are in no broadcast table: their uses are counted, and such keys are dealt to several tasks.
 
 Defined results: a null text is empty: one token (the end). A null doc_id counts as '' in the fold. Repeated rows are
 scored alike, and are counted as often as they stand in training. Without any training text the byte model is uniform
@@ -33,12 +34,14 @@ from pyspark.sql import functions as F
 
 from epsforest.llm.textscan import LOWER, NOT_SPACE, U64, pieces, rows_of, span_hashes, spans
 from epsforest.llm.token_counts import worker_state
+from epsforest.operators.skew import split_join
 from epsforest.runtime import cut
 
 ORDER, END = 4, 0xFF
-#: CONTEXTS is only read by the plain version in the tests, where it comes to LEAST.
-LEAST, CONTEXTS, HEAD = 2, 1 << 16, 1 << 20
+LEAST, HEAD = 2, 1 << 20
 SLOTS = 22
+#: Uses of a word or gram that a task gets at least before the key is split.
+ROWS_A_KEY = 1 << 14
 
 
 def padded(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -298,6 +301,12 @@ def frequent(logs: DataFrame, most: int) -> DataFrame:
     return logs.where(F.lit(False) if least is None else level >= least)
 
 
+def _looked_up(uses: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """The inner join of uses with a table of one row a key; keys with many uses go to several tasks."""
+    counts = cut(uses.groupBy(key).agg(F.count("*").alias("n")), "uses")
+    return split_join(uses, table, [key], counts, counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], rows=ROWS_A_KEY)
+
+
 def score_documents(docs: DataFrame, modulus: int = 5, held: int = 1) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text); learns from rows whose crc32(doc_id) mod ``modulus`` is not ``held``."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -314,14 +323,16 @@ def score_documents(docs: DataFrame, modulus: int = 5, held: int = 1) -> DataFra
     order = np.argsort(keys)
     model = docs.sparkSession.sparkContext.broadcast((grams, gram_logs, keys[order], counts[order].astype(np.float64)))
     scored = cut(texts.mapInArrow(scorer(model), "row_id long, doc_id long, n_tokens long, in_head long, head_sum double, score double, rest array<long>, tail array<long>"), "scored")
-    rest = scored.select("row_id", F.explode("rest").alias("word")).join(words, "word", "left")
-    rest = rest.groupBy("row_id").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rest_sum"), F.count("n").alias("in_rest"))
-    tail = scored.select("row_id", F.explode("tail").alias("key")).join(logs.select("key", "logp"), "key")
+    rest = _looked_up(scored.select("row_id", F.explode("rest").alias("word")), words, "word")
+    rest = rest.groupBy("row_id").agg(F.sum(F.log10(F.col("n") + 0.5)).alias("rest_sum"), F.count("n").alias("in_rest"))
+    tail = _looked_up(scored.select("row_id", F.explode("tail").alias("key")), logs.select("key", "logp"), "key")
     tail = tail.groupBy("row_id").agg(F.sum("logp").alias("tail_sum"))
+    scored = scored.withColumn("in_no_head", F.size("rest"))
     out = scored.drop("rest", "tail").join(rest, "row_id", "left").join(tail, "row_id", "left")
     out = out.withColumn("score", F.col("score") + F.coalesce("tail_sum", F.lit(0.0)))
     total = math.log10(n + 0.5 * (v + 1))
-    base = F.col("head_sum") + F.coalesce("rest_sum", F.lit(0.0)) + math.log10(ends + 0.5) - F.col("n_tokens") * F.lit(total)
+    never = F.col("in_no_head") - F.coalesce("in_rest", F.lit(0))  # words that training does not have
+    base = F.col("head_sum") + F.coalesce("rest_sum", F.lit(0.0)) + never * math.log10(0.5) + math.log10(ends + 0.5) - F.col("n_tokens") * F.lit(total)
     known = F.col("in_head") + F.coalesce("in_rest", F.lit(0)) + F.lit(int(ends > 0))
     return out.select("doc_id", (fold(modulus) == held).alias("held_out"), "n_tokens", known.alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
