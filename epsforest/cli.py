@@ -1,7 +1,8 @@
-"""Command line: ``python -m epsforest.cli INPUT OUTPUT -f 1 -l 10 -s 0.1 ...`` scans; ``python -m epsforest.cli extract ...`` reads results.
+"""Command line: ``python -m epsforest.cli INPUT OUTPUT -f 1 -l 10 -s 0.1 ...`` scans; ``.. select ..`` leaves the selected and leftover
+tables; ``.. extract ..`` reads results.
 
-Inputs are headed CSV files, or with ``--binary`` the private tables. A scan writes ``event_id,cluster`` as CSV, which
-``extract`` takes as LABELS.
+Inputs are headed CSV files, or with ``--binary`` the private tables. Sampling counts rows in the order of the input. A scan writes
+``event_id,cluster`` as CSV, which ``extract`` takes as LABELS.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 
 from epsforest.operators import extract as ex
+from epsforest.operators.select import select
+from epsforest.operators.space import BLOCK
 from epsforest.plans.pipeline import pipeline
 from epsforest.runtime import clear
-from epsforest.sources.formats import BinaryTable, read_csv, write_csv, write_leftover, write_passes
+from epsforest.sources.formats import BinaryTable, read_csv, read_table, write_csv, write_leftover, write_passes, write_selected
 
 
 def parser() -> argparse.ArgumentParser:
@@ -34,10 +37,23 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--passes", help="write the labels of every pass there")
     p.add_argument("--sample-every", type=int, default=1)
     p.add_argument("--flagged", action="store_true", help="the first column is a selection flag")
+    p.add_argument("-q", "--quick", action="store_true", help="do not check the range of values")
+    p.add_argument("-b", "--block-rows", type=int, default=BLOCK, help="rows of a block that is compared with others")
     p.add_argument("--binary", action="store_true")
     return p
 
 
+def select_parser() -> argparse.ArgumentParser:
+    p = argparse.ArgumentParser(prog="epsforest select")
+    p.add_argument("input", help="a headed CSV file, or a folder of them")
+    p.add_argument("output", help="OUTPUT.selected and OUTPUT.leftover are folders of binary tables")
+    p.add_argument("-s", "--sample-every", type=int, default=1)
+    p.add_argument("-f", "--flagged", action="store_true", help="the first column is a selection flag")
+    p.add_argument("-k", "--key", type=int, help="the column to sort by; else that of the largest score")
+    p.add_argument("-q", "--quick", action="store_true", help="do not check the range of values")
+    return p
+
+
 def extract_parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="epsforest extract")
     p.add_argument("input")
@@ -54,11 +70,8 @@ def extract_parser() -> argparse.ArgumentParser:
     return p
 
 
-def _points(spark: SparkSession, path: str, binary: bool, flagged: bool = False) -> DataFrame:
-    if not binary:
-        return read_csv(spark, path, flagged)
-    spark.dataSource.register(BinaryTable)
-    return spark.read.format(BinaryTable.name()).load(path)
+def _points(spark: SparkSession, path: str, binary: bool, flagged: bool = False, ordered: bool = False) -> DataFrame:
+    return read_table(spark, path) if binary else read_csv(spark, path, flagged, ordered)
 
 
 def run_extract(spark: SparkSession, args: list[str]) -> None:
@@ -85,10 +98,21 @@ def run_extract(spark: SparkSession, args: list[str]) -> None:
         write_csv(out.orderBy("event_id"), a.output)
 
 
+def run_select(spark: SparkSession, args: list[str]) -> None:
+    a = select_parser().parse_args(args)
+    points = read_csv(spark, a.input, a.flagged, ordered=True)
+    names = spark.read.csv(a.input, header=True).columns[1 if a.flagged else 0 :]
+    chosen = select(points, a.sample_every, "flag" if a.flagged else None, a.key, not a.quick, "position")
+    write_selected(chosen, a.output.rstrip("/"), ",".join(names), a.sample_every, "position")
+    chosen.counts().show()
+
+
 def run_scan(spark: SparkSession, args: list[str]) -> None:
     a = parser().parse_args(args)
+    ordered = a.sample_every > 1 and not a.binary
     run = pipeline(
-        _points(spark, a.input, a.binary, a.flagged), a.first, a.last, a.step, a.sample_every, "flag" if a.flagged else None, a.nearest, a.leftover,
+        _points(spark, a.input, a.binary, a.flagged, ordered), a.first, a.last, a.step, a.sample_every, "flag" if a.flagged else None, a.nearest, a.leftover,
+        order="position" if ordered else "event_id", check=not a.quick, block_rows=a.block_rows,
         min_percent=a.min_percent, min_events=a.min_events, stop_percent=a.stop_percent, go_on_decrease=not a.stop_on_decrease,
     )
     write_csv(run.result, a.output)
@@ -107,6 +131,8 @@ def main(args: list[str] | None = None) -> None:
     try:
         if args[:1] == ["extract"]:
             run_extract(spark, args[1:])
+        elif args[:1] == ["select"]:
+            run_select(spark, args[1:])
         else:
             run_scan(spark, args)
     finally:

@@ -8,13 +8,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from epsforest.functions.points import columns_of, squared_distance
-from epsforest.operators.ranking import global_rank
+from epsforest.operators import space
 from epsforest.runtime import cut
 
-GRID_COLUMNS, BLOCK_ROWS = 3, 2048
+GRID_COLUMNS, BLOCK_ROWS = 3, 4096
+#: Rows that are compared with a block at a time; columns after which pairs that are too far are left out, if no more than this share is left.
+CHUNK, COLUMNS, FEW_LEFT = 256, 32, 0.1
 
 
 def collapse(points: DataFrame) -> DataFrame:
@@ -68,59 +69,76 @@ def within(left: DataFrame, right: DataFrame, t: int, by: list[str], extra: Colu
     return l.join(r, names).where(on).withColumn("d2", d2).drop("own", *names)
 
 
-def _reaches(blocks: DataFrame, far: int) -> DataFrame:
-    """Of blocks (_b, lo, hi) in the order of their keys: the first and last block (_from, _to) whose keys are within ``far``.
+def _compared(cols: list[str], t: int, label: str | None):
+    """Edges of one group: rows of a block with themselves, or of two blocks with each other."""
 
-    The sweep is one window over two rows a block, thousands of times fewer than the points.
-    """
-    ends = blocks.select("_b", F.col("lo").alias("x"), F.lit(0).alias("k")).unionAll(blocks.select("_b", (F.col("hi") + far).alias("x"), F.lit(1).alias("k")))
-    up = Window.orderBy("x", "k").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.orderBy(F.desc("x"), F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
-    begun, ended = F.when(F.col("k") == 0, F.col("_b")), F.when(F.col("k") == 1, F.col("_b"))
-    ends = ends.select("_b", "k", F.max(begun).over(up).alias("_to"), F.min(ended).over(down).alias("_from"))
-    return ends.groupBy("_b").agg(F.max(F.when(F.col("k") == 0, F.col("_from"))).alias("_from"), F.max(F.when(F.col("k") == 1, F.col("_to"))).alias("_to"))
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        first = rows["block"].to_numpy() == rows["block"].min()
+        same = bool(first.all())
+        x, ids = space.frame(rows, cols), rows["event_id"].to_numpy(np.int64)
+        mark = rows[label].to_numpy() if label else None
+        u, v = np.flatnonzero(first), np.flatnonzero(first if same else ~first)
+        out = []
+        for lo in range(0, len(u), CHUNK):
+            i = u[lo : lo + CHUNK]
+            a, b = _within(x[i], x[v], t)
+            a, b = i[a], v[b]
+            keep = ids[a] < ids[b] if same else ids[a] != ids[b]
+            if label:
+                keep &= mark[a] != mark[b]
+            a, b = a[keep], b[keep]
+            d = x[a] - x[b]
+            out.append(pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b]), "d2": (d * d).sum(axis=1).astype(np.int64)}))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "d2": []}).astype("int64")
+
+    return run
+
+
+def _within(x: np.ndarray, y: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of rows within t: after each COLUMNS columns pairs that are too far already are left out, once few are left."""
+    near = None
+    total = np.zeros((len(x), len(y)))
+    for lo in range(0, x.shape[1], COLUMNS):
+        p, q = x[:, lo : lo + COLUMNS], y[:, lo : lo + COLUMNS]
+        if near is None:  # products of whole numbers are exact in floats below 2**53
+            total += (p * p).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None] - 2 * (p @ q.T)
+            ok = total <= t
+            if ok.mean() < FEW_LEFT:
+                near, total = np.nonzero(ok), total[ok]
+        else:
+            d = p[near[0]] - q[near[1]]
+            total = total + (d * d).sum(axis=1)
+            ok = total <= t
+            near, total = (near[0][ok], near[1][ok]), total[ok]
+    return np.nonzero(total <= t) if near is None else near
+
+
+def _near_blocks(points: DataFrame, t: int, block_rows: int, label: str | None = None) -> tuple[space.Blocks, DataFrame]:
+    laid = space.lay(points.select("event_id", *columns_of(points), *([label] if label else [])), rows=max(1, block_rows // 2))
+    if laid.bounds is None:
+        return laid, points.sparkSession.createDataFrame([(0, 0)], "i int, j int")
+    near = space.nearest(laid.columns, laid.pivots)
+    keep = lambda pairs: pairs.where((F.col("i") <= F.col("j")) & (near <= t))
+    pairs = space.descend(laid.bounds, laid.bounds, (laid.count, laid.count), laid.columns + laid.pivots, keep).select("i", "j")
+    return laid, cut(pairs, "pairs") if laid.count > space.DIRECT else pairs
 
 
 def block_pairs(points: DataFrame, t: int, label: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b, d2) by comparing blocks of rows with numpy; for many columns, where a grid cuts nothing.
 
-    Rows are ranked by the column that spreads widest and cut to blocks of ``block_rows``; two blocks meet only if their
-    ranges of that column are near enough. Each block pair is one group of at most about 2 * block_rows rows.
+    Blocks hold rows of one pivot at like distances; two meet only if the triangle inequality and their boxes leave room for a pair. Each
+    group is at most about ``block_rows`` rows.
     """
-    cols = columns_of(points)
-    facts = points.agg(F.count("*").alias("n"), *(F.coalesce(F.max(c) - F.min(c), F.lit(0)).alias(f"w_{c}") for c in cols)).first()
-    key = max(cols, key=lambda c: facts[f"w_{c}"])
-    x = points.select("event_id", *cols, *([label] if label else []))
-    if facts["n"] <= block_rows:
-        x = x.withColumns({"_b": F.lit(0), "_o": F.lit(0)})
-    else:
-        ranked = global_rank(x, [key, "event_id"], "_r").withColumn("_b", F.expr(f"_r div {block_rows}").cast("int")).drop("_r")
-        x = cut(ranked, "blocks")
-        blocks = x.groupBy("_b").agg(F.min(key).cast("long").alias("lo"), F.max(key).cast("long").alias("hi"))
-        x = x.join(_reaches(blocks, isqrt(t)), "_b").withColumn("_o", F.explode(F.sequence("_from", "_to"))).drop("_from", "_to")
-    x = x.withColumns({"_i": F.least("_b", "_o"), "_j": F.greatest("_b", "_o")})
-
-    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        same = rows["_i"].iat[0] == rows["_j"].iat[0]
-        first = rows[rows["_b"] == rows["_i"].iat[0]].drop_duplicates("event_id")
-        second = first if same else rows[rows["_b"] == rows["_j"].iat[0]]
-        u, v = first[cols].to_numpy(np.int64), second[cols].to_numpy(np.int64)
-        iu, iv = first["event_id"].to_numpy(), second["event_id"].to_numpy()
-        norms, wide = (v * v).sum(axis=1), v.T.astype(np.float64)  # products of floats are exact below 2**53 and run through BLAS
-        out = []
-        for lo in range(0, len(u), 256):
-            part = u[lo : lo + 256]
-            d2 = (part * part).sum(axis=1)[:, None] + norms[None, :] - 2 * (part.astype(np.float64) @ wide).astype(np.int64)
-            ok = d2 <= t
-            if label:
-                ok &= first[label].to_numpy()[lo : lo + 256][:, None] != second[label].to_numpy()[None, :]
-            i, j = np.nonzero(ok)
-            a, b = iu[lo + i], iv[j]
-            keep = a < b if same else a != b
-            out.append(pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "d2": d2[i, j][keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "d2": []}).astype("int64")
+    laid, pairs = _near_blocks(points, t, block_rows, label)
+    rows = laid.rows.select("event_id", *laid.columns, "block", *([label] if label else []))
+    sides = pairs.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+    return rows.join(sides, "block").groupBy("i", "j").applyInPandas(_compared(laid.columns, t, label), "a long, b long, d2 long")
+
 
-    return x.groupBy("_i", "_j").applyInPandas(pairs, "a long, b long, d2 long")
+def compared_share(points: DataFrame, t: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """blocks, compared (pairs of blocks that meet), all (pairs that there are), of a join at ``t``."""
+    laid, pairs = _near_blocks(points, t, block_rows)
+    return pairs.agg(F.lit(laid.count).alias("blocks"), F.count("*").alias("compared"), F.lit(laid.count * (laid.count + 1) // 2).alias("all"))
 
 
 def edges(points: DataFrame, t: int, label: str | None = None, strategy: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,22 +65,33 @@ def key_histogram(points: DataFrame, key: int) -> DataFrame:
 
 @dataclass
 class Selection:
-    """What select() returns: retained points, the leftover ones (None without flag and sampling), the key column."""
+    """What select() returns: retained points, the leftover ones (None without flag and sampling), and on demand the key column and counts."""
 
     points: DataFrame
     leftover: DataFrame | None
-    key: int
+    given_key: int | None = None
+
+    @cached_property
+    def key(self) -> int:
+        """The sort key: as given, or the column of the largest score; one aggregation, when it is first asked for."""
+        if self.given_key is not None:
+            return self.given_key
+        found = sort_key(column_stats(self.points)).first()
+        if found is None:
+            raise ValueError("no row is retained")
+        return found["sort_key"]
+
+    def counts(self) -> DataFrame:
+        """One row: how many are selected, and how many are left over."""
+        left = self.points.limit(0).select("event_id") if self.leftover is None else self.leftover.select("event_id")
+        both = self.points.select(F.lit(1).alias("kept")).unionAll(left.select(F.lit(0).alias("kept")))
+        return both.agg(F.count_if(F.col("kept") == 1).alias("selected"), F.count_if(F.col("kept") == 0).alias("leftover"))
 
 
 def select(points: DataFrame, sample_every: int = 1, flag: str | None = None, key: int | None = None, check: bool = True, order: str = "event_id") -> Selection:
-    """Splits, validates the retained rows only, and finds the sort key."""
+    """Splits and validates the retained rows only. order: the column whose order sampling counts in, ``position`` for that of the input."""
     parts = split(points, sample_every, flag, order)
     kept = parts.where(~F.col("is_leftover")).drop("is_leftover")
     kept = validate(kept) if check else kept
     left = parts.where("is_leftover").drop("is_leftover") if sample_every > 1 or flag else None
-    if key is None:
-        found = sort_key(column_stats(kept)).first()
-        if found is None:
-            raise ValueError("no row is retained")
-        key = found["sort_key"]
     return Selection(kept, left, key)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,8 @@ from epsforest.operators import select as sel
 from epsforest.operators.assign import assign_leftover, assign_unassigned
 from epsforest.operators.scan import Scan, scan
 from epsforest.plans.pipeline import pipeline
-from epsforest.runtime import cut
+from epsforest.runtime import cut, shared_dir
+from epsforest.sources import formats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -96,6 +98,39 @@ def sel_leftover_every3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sel.select(cust2(spark, sf_dir), 3).leftover
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/epsforest-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+@_query("sel_sample_input_order", f"SELECT event_id, c0, c1 FROM (SELECT *, row_number() OVER (ORDER BY (event_id * 7919) % 100003, event_id) - 1 AS r FROM ({CUST2})) WHERE r % 3 = 0")
+def sel_sample_input_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third row in the order of CSV files whose ids are shuffled."""
+    path = _folder(spark, "csv")
+    order = [(F.col("event_id") * 7919) % 100003, "event_id"]
+    formats.write_csv(cust2(spark, sf_dir).repartitionByRange(5, *order).sortWithinPartitions(*order), path)
+    return sel.select(formats.read_csv(spark, path, ordered=True), 3, order="position").points.drop("position")
+
+
+@_query("selected_table_filtered", f"SELECT event_id, c0, c1 FROM ({_SAMPLE}) WHERE NOT is_leftover AND c1 BETWEEN 300 AND 500")
+def selected_table_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of the sort key, read back from the sorted binary tables that a selection leaves."""
+    path = _folder(spark, "table")
+    formats.write_selected(sel.select(cust2(spark, sf_dir), 3, key=1), path, "id,nation,balance", 3)
+    return formats.read_table(spark, f"{path}.selected").where("c1 between 300 and 500")
+
+
+@_query("leftover_table", f"SELECT event_id, c0, c1 FROM ({_SAMPLE}) WHERE is_leftover")
+def leftover_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "table")
+    formats.write_selected(sel.select(cust2(spark, sf_dir), 3, key=1), path)
+    return formats.read_table(spark, f"{path}.leftover")
+
+
+@_query("sel_counts", f"SELECT count(*) FILTER (NOT is_leftover) AS selected, count(*) FILTER (is_leftover) AS leftover FROM ({_SAMPLE})")
+def sel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sel.select(cust2(spark, sf_dir), 3).counts()
+
+
 @_query("sel_flag_split", f"SELECT *, c0 % 160 = 0 AS is_leftover FROM ({CUST2})")
 def sel_flag_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sel.split(cust2(spark, sf_dir).withColumn("flag", F.col("c0") % 160), flag="flag")
@@ -142,6 +177,9 @@ _query("eps_edges_part2", _edges_sql(PART2, 2, 2))(lambda s, d: nb.edges(part2(s
 _query("eps_edges_emb64", _edges_sql(_emb(64), 64, 1254400))(lambda s, d: nb.edges(emb(s, d, 64), threshold(140, 64), strategy="blocks"))
 
 
+_query("eps_edges_emb64_pivots", _edges_sql(_emb(64), 64, 1254400))(lambda s, d: nb.block_pairs(emb(s, d, 64), threshold(140, 64), block_rows=64))
+
+
 @_query("eps_degree", f"WITH e AS ({_edges_sql(CUST2, 2, 200)}) SELECT event_id, count(*) AS degree FROM (SELECT a AS event_id FROM e UNION ALL SELECT b FROM e) GROUP BY 1")
 def eps_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nb.degrees(nb.edges(cust2(spark, sf_dir), threshold(10, 2)))

@@ -25,10 +25,14 @@ class Run:
 
 
 def pipeline(
-    points: DataFrame, first: float, last: float | None = None, step: float = 0.5, sample_every: int = 1, flag: str | None = None, nearest: bool = False, leftover: bool = False, **options
-) -> Run:
-    """``nearest`` also assigns unassigned events, ``leftover`` the held-out ones. A run goes on when clusters decrease."""
-    chosen = select(points, sample_every, flag)
+    points: DataFrame, first: float, last: float | None = None, step: float = 0.5, sample_every: int = 1, flag: str | None = None, nearest: bool = False, leftover: bool = False, order: str = "event_id",
+    check: bool = True, **options,
+) -> Run:
+    """``nearest`` also assigns unassigned events, ``leftover`` the held-out ones. A run goes on when clusters decrease.
+
+    order: the column in whose order every ``sample_every``-th event is taken; check: refuse values out of range.
+    """
+    chosen = select(points, sample_every, flag, check=check, order=order)
     found = scan(chosen.points, first, last, step, **({"go_on_decrease": True} | options))
     labels = cut(found.final_labels(), "final")
     if nearest:

@@ -8,25 +8,31 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage,
+)
 from pyspark.sql.types import StructType
 
 from epsforest.functions.points import columns_of
 from epsforest.operators.extract import with_assignment
-from epsforest.operators.ranking import global_rank
 from epsforest.operators.scan import Scan
+from epsforest.operators.select import Selection
+from epsforest.runtime import cut
 
 #: Fixed values of the file formats.
 KINDS = {"selected": "dclust input file v1.0", "unassigned": "dclust unassigned file v1.0", "assigned": "dclust assigned file v1.0"}
 MAGIC, HEADER, ROWS_A_PARTITION = 32, 2048, 1_000_000
+#: Bytes of rows that a reader gives at a time.
+BATCH = 1 << 23
 
 
 def read_csv(spark: SparkSession, path: str, flagged: bool = False, ordered: bool = False) -> DataFrame:
     """A headed CSV of (flag,) id and integer features, as (flag,) event_id, c0 ..; what is no integer is null.
 
-    ``ordered`` adds ``position``, the row's place in the input (files by name), for sampling and sorting in input order.
+    ``ordered`` adds ``position``, the row's place in the input (files by name), for sampling and sorting in input order. Rows are
+    not moved for it: a first pass counts the lines of each byte range that Spark reads, a second one adds where its range begins.
     """
     raw = spark.read.csv(path, header=True)
     names = [*(["flag"] if flagged else []), "event_id"]
@@ -34,9 +40,13 @@ def read_csv(spark: SparkSession, path: str, flagged: bool = False, ordered: boo
     columns += [F.col(f"`{c}`").try_cast("int").alias(f"c{k}") for k, c in enumerate(raw.columns[len(names) :])]
     if not ordered:
         return raw.select(*columns)
-    # a task reads its blocks one after the other, so rows of one block are in the order of their ids
-    where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row")]
-    return global_rank(raw.select(*columns, *where), ["_file", "_block", "_row"], "position").drop("_file", "_block", "_row")
+    # a task reads its ranges one after the other, so a row's number in its task, less that of its range's first row, is its place there
+    where = [F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_range"), F.monotonically_increasing_id().alias("_row")]
+    rows = raw.select(*columns, *where)
+    ranges = raw.select(F.col("_metadata.file_path").alias("_path"), *where).groupBy("_path", "_file", "_range").agg(F.count("*").alias("n"), F.min("_row").alias("_first"))
+    before = Window.orderBy("_path", "_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range of a file
+    starts = cut(ranges.select("_file", "_range", "_first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start")), "ranges")
+    return rows.join(starts, ["_file", "_range"]).withColumn("position", F.col("_start") + F.col("_row") - F.col("_first")).drop("_file", "_range", "_row", "_first", "_start")
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
@@ -95,35 +105,81 @@ class _Range(InputPartition):
         self.path, self.first, self.end = path, first, end
 
 
+def _sort_key(path: str) -> int:
+    """The column that a selected table is sorted by."""
+    with _open(path) as f:
+        f.seek(MAGIC + 16 + HEADER)
+        return int(np.frombuffer(f.read(2), "<u2")[0])
+
+
 class _Reader(DataSourceReader):
+    """Row ranges of the files."""
+
     def __init__(self, path: str) -> None:
         self.facts = {p: _facts(p) for p in _tables(path)}
         if len({(kind, columns) for kind, _, columns in self.facts.values()}) > 1:
             raise ValueError("the folder holds tables of several kinds")
         self.kind, _, self.columns = next(iter(self.facts.values()))
+        #: The least and largest value that conditions leave of a column.
+        self.limits: dict[int, tuple[int, int]] = {}
+
+    def _narrowed(self, path: str, rows: int) -> tuple[int, int]:
+        key = _sort_key(path) if self.kind == "selected" else -1
+        if key not in self.limits:
+            return 0, rows
+        row, (lo, hi) = _row_type(self.kind, self.columns), self.limits[key]
+        with _open(path) as f:
+
+            def first(least: int) -> int:
+                a, b = 0, rows
+                while a < b:
+                    middle = (a + b) // 2
+                    f.seek(_body(self.kind) + middle * row.itemsize)
+                    if int(np.frombuffer(f.read(row.itemsize), row)[f"c{key}"][0]) < least:
+                        a = middle + 1
+                    else:
+                        b = middle
+                return a
+
+            return first(lo), first(hi + 1)
 
     def partitions(self) -> list[_Range]:
-        ranges = [_Range(p, k, min(k + ROWS_A_PARTITION, rows)) for p, (_, rows, _) in self.facts.items() for k in range(0, rows, ROWS_A_PARTITION)]
+        ends = {p: self._narrowed(p, rows) for p, (_, rows, _) in self.facts.items()}
+        ranges = [_Range(p, k, min(k + ROWS_A_PARTITION, end)) for p, (first, end) in ends.items() for k in range(first, end, ROWS_A_PARTITION)]
         return ranges or [_Range(next(iter(self.facts)), 0, 0)]
 
     def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
         row = _row_type(self.kind, self.columns)
+        names = ["event_id", *(f"c{k}" for k in range(self.columns)), *(["cluster"] if self.kind == "assigned" else [])]
         with _open(part.path) as f:
             f.seek(_body(self.kind) + part.first * row.itemsize)
-            data = np.frombuffer(f.read((part.end - part.first) * row.itemsize), row)
-        arrays = [pa.array(data["event_id"].astype(np.int64)), *(pa.array(data[f"c{k}"].astype(np.int32)) for k in range(self.columns))]
-        names = ["event_id", *(f"c{k}" for k in range(self.columns))]
-        if self.kind == "assigned":
-            arrays.append(pa.array(data["cluster"].astype(np.int32)))
-            names.append("cluster")
-        yield pa.RecordBatch.from_arrays(arrays, names)
+            step = max(1, BATCH // row.itemsize)
+            for first in range(part.first, max(part.end, part.first + 1), step):
+                data = np.frombuffer(f.read(max(0, min(step, part.end - first)) * row.itemsize), row)
+                yield pa.RecordBatch.from_arrays([pa.array(data[n].astype(np.int64 if n == "event_id" else np.int32)) for n in names], names)
+
+
+class _FilteredReader(_Reader):
+    """Selected tables are sorted by a column: conditions on it narrow the range of each file by binary search, reading single rows."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            name = f.attribute[0] if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, In, LessThan, LessThanOrEqual)) and len(f.attribute) == 1 else ""
+            values = [v for v in (f.value if isinstance(f, In) else [f.value]) if v is not None] if name[:1] == "c" and name[1:].isdigit() else []
+            if values and all(isinstance(v, int) for v in values):
+                lo, hi = self.limits.get(int(name[1:]), (-(2**31), 2**31))
+                lo = max(lo, min(values) + isinstance(f, GreaterThan)) if not isinstance(f, (LessThan, LessThanOrEqual)) else lo
+                hi = min(hi, max(values) - isinstance(f, LessThan)) if not isinstance(f, (GreaterThan, GreaterThanOrEqual)) else hi
+                self.limits[int(name[1:])] = lo, hi
+            yield f  # ranges may hold other rows too: Spark checks all conditions again
 
 
 class BinaryTable(DataSource):
     """``spark.dataSource.register(BinaryTable)``, then ``spark.read.format("density_table").load(path)``, of a file or a folder of tables.
 
     ``df.write.format("density_table").mode("append").option("kind", "assigned").save(folder)`` writes a folder; other
-    options are ``header``, ``key`` and ``sample``.
+    options are ``header``, ``key`` and ``sample``. Each selected table is sorted by its key column and the one beside it; with the
+    option ``push`` (and ``spark.sql.python.filterPushdown.enabled``), conditions on the key column read only the rows between their bounds.
     """
 
     @classmethod
@@ -135,7 +191,8 @@ class BinaryTable(DataSource):
         return ", ".join(["event_id long", *(f"c{k} int" for k in range(columns)), *(["cluster int"] if kind == "assigned" else [])])
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        # Spark refuses readers that take conditions while its setting for that is off
+        return (_FilteredReader if self.options.get("push") == "true" else _Reader)(self.options["path"])
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         if overwrite:
@@ -143,6 +200,13 @@ class BinaryTable(DataSource):
         return _Writer(dict(self.options), schema)
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A binary table or a folder of them, with conditions on the sort key pushed to the files."""
+    spark.dataSource.register(BinaryTable)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format(BinaryTable.name()).option("push", "true").load(path)
+
+
 @dataclass
 class _Parts(WriterCommitMessage):
     """The files that a task has written under names that no reader takes."""
@@ -170,6 +234,10 @@ class _Writer(DataSourceArrowWriter):
             if values.null_count:
                 raise ValueError(f"{name} has missing values")
             data[name] = values.to_numpy()
+        if self.kind == "selected" and len(data):  # readers rely on it
+            second = 1 if self.key == 0 else self.key - 1
+            by = [data[f"c{k}"] for k in (second, self.key) if k < self.columns]
+            data = data[np.lexsort(by)]
         extra = self.sample if self.kind == "selected" else int(data["cluster"].max(initial=0)) if self.kind == "assigned" else 0
         name = f"_{uuid.uuid4().hex}"
         where.create_dir(folder, recursive=True)
@@ -209,6 +277,19 @@ def _head(kind: str, rows: int, columns: int, extra: int, header: str, key: int)
     return head + (np.array([key, 1], "<u2").tobytes() + b"!NO_CATEGORIES!".ljust(32, b"\0") if kind == "selected" else b"")
 
 
+def write_selected(chosen: Selection, path: str, header: str = "", sample: int = 1, order: str = "event_id") -> None:
+    """``path.selected``: the retained rows, sorted by key, second key and input order over all tables of the folder; ``path.leftover``: the others."""
+    chosen.points.sparkSession.dataSource.register(BinaryTable)
+    cols, key = columns_of(chosen.points), chosen.key
+    second = 1 if key == 0 else key - 1
+    by = [cols[key], *([cols[second]] if second < len(cols) else []), order]
+    options = {"header": header, "key": key, "sample": sample}
+    rows = chosen.points.repartitionByRange(*by).sortWithinPartitions(*by)
+    rows.select("event_id", *cols).write.format("density_table").mode("append").options(kind="selected", **options).save(f"{path}.selected")
+    if chosen.leftover is not None:
+        chosen.leftover.select("event_id", *cols).write.format("density_table").mode("append").options(kind="unassigned", header=header).save(f"{path}.leftover")
+
+
 def write_leftover(labels: DataFrame, path: str) -> None:
     """The held-out events' clusters as text without a header: event_id,cluster."""
     labels.select("event_id", "cluster").write.csv(path, header=False)

@@ -1,17 +1,20 @@
 """Rules of the scan on small tables, and every driver query against DuckDB."""
 
+import os
+
 import duckdb
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import GreaterThanOrEqual
 
 from epsforest.functions.points import MOST, out_of_range, rescale, validate
 from epsforest.operators.assign import _both, near_pairs, nearest
 from epsforest.operators.components import connected_components
 from epsforest.operators.extract import extract, recluster
 from epsforest.operators.forest import forest_of, local_forests, minimum_forest, spanning_forest
-from epsforest.operators.neighbors import _reaches, block_pairs, edges
+from epsforest.operators.neighbors import block_pairs, compared_share, edges
 from epsforest.operators.scan import scan
 from epsforest.operators.select import select, split
 from epsforest.plans import catalogue
@@ -19,6 +22,7 @@ from epsforest.plans.pipeline import pipeline
 from epsforest import cli
 from epsforest.operators.extract import recluster_together, reclustered
 from epsforest.runtime import cut
+from epsforest.sources import formats
 from epsforest.sources.formats import BinaryTable, read_csv, write_binary, write_split
 from epsforest.streaming.score import score_stream, settle
 
@@ -123,15 +127,23 @@ def test_edges_equal_brute_force(spark):
         assert {tuple(r) for r in found.collect()} == want
 
 
-def test_far_blocks_do_not_meet(spark):
-    rng = np.random.default_rng(5)
-    keys = np.sort(rng.integers(0, 300, 90)).reshape(18, 5)
-    blocks = spark.createDataFrame([(k, int(x.min()), int(x.max())) for k, x in enumerate(keys)], "_b int, lo long, hi long")
-    for far in (0, 3, 20):
-        got = {r["_b"]: (r["_from"], r["_to"]) for r in _reaches(blocks, far).collect()}
-        for k, x in enumerate(keys):
-            near = [j for j, y in enumerate(keys) if max(y.min() - x.max(), x.min() - y.max()) <= far]
-            assert got[k] == (near[0], near[-1])
+@pytest.mark.parametrize(("columns", "spread"), [(20, 30), (70, 30), (70, 9)])
+def test_wide_edges_equal_brute_force(spark, columns, spread):
+    rng = np.random.default_rng(columns)
+    centres = rng.integers(0, 900, (10, columns))
+    x = centres[rng.integers(0, 10, 240)] + rng.integers(0, spread, (240, columns))
+    d2 = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    t = int(np.quantile(d2[d2 > 0], 0.05))
+    names = ", ".join(f"c{k} int" for k in range(columns))
+    points = spark.createDataFrame([(i, *map(int, r), i % 3) for i, r in enumerate(x)], f"event_id long, {names}, mark int")
+    want = {(i, j, int(d2[i, j])) for i in range(240) for j in range(i + 1, 240) if d2[i, j] <= t}
+    assert {tuple(r) for r in block_pairs(points, t, block_rows=12).collect()} == want
+    assert {tuple(r) for r in block_pairs(points, t, "mark", block_rows=4096).collect()} == {e for e in want if e[0] % 3 != e[1] % 3}
+    share = compared_share(points, t, 12).first()
+    assert share["blocks"] == 40 and share["compared"] < share["all"] / 2
+
+
+def test_edges_of_an_empty_table(spark):
     assert block_pairs(line(spark, [1, 2]).limit(0), 4).count() == 0
 
 
@@ -230,6 +242,38 @@ def test_binary_tables_written_by_tasks(spark, tmp_path, monkeypatch):
     assert spark.read.format("density_table").load(path).count() == 100
 
 
+def test_selected_tables(spark, tmp_path, monkeypatch):
+    spark.dataSource.register(BinaryTable)
+    rng = np.random.default_rng(9)
+    rows = [(int(i), int(rng.integers(0, 5)), int(rng.integers(0, 1000))) for i in rng.permutation(900)]
+    (tmp_path / "a.csv").write_text("id,x,y\n" + "".join(f"{i},{x},{y}\n" for i, x, y in rows[:400]))
+    (tmp_path / "b.csv").write_text("id,x,y\n" + "".join(f"{i},{x},{y}\n" for i, x, y in rows[400:]))
+    monkeypatch.setattr(cli, "clear", lambda spark: None)
+    for name in ("in", "out"):
+        (tmp_path / name).mkdir()
+    for name in ("a.csv", "b.csv"):
+        (tmp_path / name).rename(tmp_path / "in" / name)
+    out = str(tmp_path / "out" / "x")
+    cli.main(["select", str(tmp_path / "in"), out, "-s", "3"])
+    kept = sorted(rows[::3], key=lambda r: (r[2], r[1]))  # stable: ties in input order
+    back = spark.read.format("density_table").load(out + ".selected")
+    names = sorted(n for n in os.listdir(out + ".selected") if n[:1] not in "._")
+    assert [tuple(r) for n in names for r in spark.read.format("density_table").load(f"{out}.selected/{n}").collect()] == kept
+    assert sorted(map(tuple, spark.read.format("density_table").load(out + ".leftover").collect())) == sorted(r for k, r in enumerate(rows) if k % 3)
+    back = formats.read_table(spark, out + ".selected")
+    for where, ok in (("c1 >= 900", lambda y: y >= 900), ("c1 < 100", lambda y: y < 100), ("c1 = 7", lambda y: y == 7), ("c1 > 10 and c1 <= 20", lambda y: 10 < y <= 20), ("c1 in (5, 8)", lambda y: y in (5, 8)), ("c0 = 2", None)):
+        got = sorted(map(tuple, back.where(where).collect()))
+        assert got == sorted(r for r in kept if (ok(r[2]) if ok else r[1] == 2)), where
+    reader = formats._FilteredReader(out + ".selected")
+    assert list(reader.pushFilters([GreaterThanOrEqual(("c1",), 900)])) and 0 < sum(p.end - p.first for p in reader.partitions()) == sum(y >= 900 for _, _, y in kept) < len(kept) / 5
+    monkeypatch.setattr(formats, "BATCH", 64)
+    assert back.count() == len(kept)
+    with pytest.raises(Exception, match="rescale"):
+        (tmp_path / "in" / "c.csv").write_text("id,x,y\n5000,99999,1\n")
+        cli.main(["select", str(tmp_path / "in"), out + "2"])
+    cli.main(["select", str(tmp_path / "in"), out + "3", "-q", "-k", "1", "-s", "2"])
+
+
 def test_split_and_cuts(spark, tmp_path):
     points = line(spark, [1, 2, 3])
     write_split(points, spark.createDataFrame([(0, 1), (1, 0), (2, 2)], "event_id long, cluster int"), str(tmp_path / "x"))
