@@ -14,7 +14,7 @@ from __future__ import annotations
 import copy
 import time
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -33,6 +33,7 @@ from epsforest.operators.components import connected_components
 from epsforest.operators.neighbors import collapse
 from epsforest.operators.skew import split_join
 from epsforest.runtime import cut
+from epsforest.sources.store import Store
 
 #: Edges, and vectors or components, that one task takes at most; beyond, passes are distributed.
 FEW = 500_000
@@ -386,12 +387,14 @@ class _State:
 def scan(
     points: DataFrame, first: float, last: float | None = None, step: float = 0.5, min_percent: float = 0.5, min_events: int | None = None, stop_percent: float = 95.0,
     go_on_decrease: bool = False, compat: bool = True, few: int = FEW, dimensions: int | None = None, block_rows: int = space.BLOCK, few_blocks: int = FEW_BLOCKS,
+    store: Store | None = None,
 ) -> Scan:
     """Scans distances ``first`` to ``last``. points: (event_id, c0 ..); ids are distinct. Missing ids and features are refused.
 
     The forest is found in bands if there are more than ``few_blocks`` blocks of ``block_rows`` vectors: the first reaches the first threshold,
     each next one about twice the distance, between points of different components. few: components that one task takes at most; with 0 every
     pass is distributed. dimensions: the number of columns that thresholds reckon with, if some columns only hold points apart.
+    store: keeps points and edges, band by band, for ``resume``.
     """
     cols = columns_of(points)
     points = cut(points.select("event_id", *cols), "points")
@@ -402,25 +405,60 @@ def scan(
     if check["missing"]:
         raise ValueError(f"features are missing in {check['missing']} events; leave these out or give them values")
     vectors = cut(collapse(points), "vectors")
+    size, width = vectors.count(), dimensions or len(cols)
+    if store:
+        store.begin(points, vectors, check["n"], size, width, threshold(first, width))
+    plan = Schedule(first, last, step, stop_percent, go_on_decrease)
     minimum = minimum_size(check["n"], min_percent, min_events)
-    plan, width = Schedule(first, last, step, stop_percent, go_on_decrease), dimensions or len(cols)
-    distances = [threshold(d, width) for d in grid(first, last, step)] if plan.first <= float(plan.last) else [threshold(first, width)]
-    size, floor = vectors.count(), threshold(first, width)
-    state = _State(vectors, plan, minimum, width, check["n"], few, size)
-    laid, forest = space.lay(vectors.drop("weight"), floor, block_rows, facts=check | {"n": size}), []
+    found = Scan(points, vectors, points, points, points, plan, minimum, width, compat, few or FEW, check["n"], size == check["n"])
+    return _run(found, size, few, block_rows, few_blocks, store, check)
+
+
+def resume(
+    store: Store, first: float, last: float | None = None, step: float = 0.5, min_percent: float = 0.5, min_events: int | None = None, stop_percent: float = 95.0,
+    go_on_decrease: bool = False, compat: bool = True, few: int = FEW, block_rows: int = space.BLOCK, few_blocks: int = FEW_BLOCKS,
+) -> Scan:
+    """A scan over the points and edges of a store, for other distances, sizes or stop rules. Only thresholds beyond its reach need new edges, which it keeps.
+
+    ``first`` may not be less than the stored scan's: distances below that were not told apart.
+    """
+    m = store.manifest
+    if m is None:
+        raise ValueError(f"no scan is stored in {store.path}")
+    if threshold(first, m.columns) < m.floor:
+        raise ValueError("the first distance is less than that of the stored scan")
+    points, vectors = store.table(m.points), store.table(m.vectors)
+    plan = Schedule(first, last, step, stop_percent, go_on_decrease)
+    found = Scan(points, vectors, points, points, points, plan, minimum_size(m.events, min_percent, min_events), m.columns, compat, few or FEW, m.events, m.distinct == m.events)
+    return _run(found, m.distinct, few, block_rows, few_blocks, store)
+
+
+def _run(found: Scan, size: int, few: int, block_rows: int, few_blocks: int, store: Store | None, ends: dict | None = None) -> Scan:
+    """Passes over the forest, which grows by bands of thresholds; fills in ``forest``, ``nodes`` and ``members``. size: the number of vectors."""
+    plan, width, vectors = found.schedule, found.columns, found.vectors
+    first, floor = float(plan.first), threshold(plan.first, width)
+    distances = [threshold(d, width) for d in grid(first, float(plan.last), float(plan.step))] if first <= float(plan.last) else [floor]
+    state, forest, laid = _State(vectors, plan, found.minimum, width, found.events, few, size), [], None
+    if store and store.manifest.bands:
+        forest.append(store.forest())
+        state.add(forest[0].select(F.col("a").alias("u"), F.col("b").alias("v"), "d2"))
+        state.go_on(store.manifest.reach)
     while not state.over:
+        laid = laid or space.lay(vectors.drop("weight"), floor, block_rows, facts=ends | {"n": size} if ends else None)
         t = state.next_threshold()
         # a step that doubles may pass a threshold that the grid does not have
         reach = max(t, max(distances) if laid.count <= few_blocks else min(max(distances), 4 * t))
         if forest:
             again = space.Blocks(laid.rows.join(state.members.select("event_id", "comp"), "event_id"), laid.bounds, laid.count, laid.columns, laid.pivots, laid.celled)
-            found = fo.candidates(again, reach, label="comp")
+            more = fo.candidates(again, reach, label="comp")
         else:
-            found = fo.candidates(laid, reach, floor)
+            more = fo.candidates(laid, reach, floor)
         # of few blocks, a task takes the edges of all pairs as they are
-        found = cut(found if laid.count <= few_blocks else fo.spanning_forest(found, few or FEW), "forest")
-        forest.append(found.select("a", "b", "d2"))
-        state.add(found.select("u", "v", "d2"))
+        more = cut(more if laid.count <= few_blocks else fo.spanning_forest(more, few or FEW), "forest")
+        if store:
+            store.add(more, reach)
+        forest.append(more.select("a", "b", "d2"))
+        state.add(more.select("u", "v", "d2"))
         state.go_on(reach)
     members = state.members.select("event_id", "weight", "chain", "chain_pass", F.col("comp").alias("last"))
-    return Scan(points, vectors, reduce(DataFrame.unionByName, forest), state.nodes(), members, plan, minimum, width, compat, few or FEW, check["n"], size == check["n"])
+    return replace(found, forest=reduce(DataFrame.unionByName, forest), nodes=state.nodes(), members=members)

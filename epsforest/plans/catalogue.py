@@ -15,10 +15,11 @@ from epsforest.operators import forest as fo
 from epsforest.operators import neighbors as nb
 from epsforest.operators import select as sel
 from epsforest.operators.assign import assign_leftover, assign_unassigned
-from epsforest.operators.scan import Scan, scan
+from epsforest.operators.scan import Scan, resume, scan
 from epsforest.plans.pipeline import pipeline
 from epsforest.runtime import cut, shared_dir
 from epsforest.sources import formats
+from epsforest.sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -494,3 +495,11 @@ def scan_distributed_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_distributed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scan of which every pass is distributed."""
     return scan(cust2(spark, sf_dir), 4, 14, 5, min_events=5, go_on_decrease=True, few=0, block_rows=100, few_blocks=0).final_labels()
+
+
+@_query("scan_resumed_lineage", _CUST + _LINEAGE + " SELECT CAST(pass AS INT) AS pass, comp, size, birth, births, parent, siblings, merged_to, descends_from, leaf AND NOT late AS selected FROM lineage")
+def scan_resumed_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan to half of the distance with other rules is stored; a second one goes on from its edges."""
+    path = _folder(spark, "store")
+    scan(cust2(spark, sf_dir), FIRST, 14, STEP, min_events=40, block_rows=64, few_blocks=0, store=Store(spark, path))
+    return resume(Store(spark, path), FIRST, LAST, STEP, min_events=LEAST, go_on_decrease=True, block_rows=64, few_blocks=0).lineage()

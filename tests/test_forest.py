@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from epsforest.operators import forest as fo
 from epsforest.operators import space
-from epsforest.operators.scan import scan
+from epsforest.operators import scan as scans
+from epsforest.operators.scan import resume, scan
+from epsforest.sources.store import Store
 
 
 def table(spark, x, parts=3):
@@ -103,3 +105,35 @@ def test_a_vector_that_holds_most_events(spark):
     labels = {r["event_id"]: r["cluster"] for r in found.final_labels().collect()}
     assert len(labels) == 3030 and {labels[i] for i in range(3000)} == {1}
     assert found.labels_at(0).where("comp = 0").count() >= 3000
+
+
+def same(one, other):
+    for result in ("lineage", "final_labels", "stats"):
+        assert sorted(map(repr, getattr(one, result)().collect())) == sorted(map(repr, getattr(other, result)().collect())), result
+
+
+def test_resumed_scans_equal_fresh_ones(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(c, 6, (40, 2)) for c in ((40, 40), (60, 50), (120, 90))] + [rng.uniform(0, 160, (50, 2))]).clip(0).astype(int)
+    points, bands = table(spark, x), {"block_rows": 16, "few_blocks": 0}
+    path, rules = str(tmp_path / "store"), {"min_events": 5, "go_on_decrease": True}
+    with pytest.raises(ValueError, match="no scan"):
+        resume(Store(spark, path), 1)
+    same(scan(points, 1, 5, 2, **rules, **bands, store=Store(spark, path)), scan(points, 1, 5, 2, **rules))
+    with pytest.raises(ValueError, match="already"):
+        scan(points, 1, store=Store(spark, path))
+    with pytest.raises(ValueError, match="less than"):
+        resume(Store(spark, path), 0.5)
+    found, called = fo.candidates, []
+    monkeypatch.setattr(fo, "candidates", lambda *a, **k: called.append(1) or found(*a, **k))
+    other = {"min_events": 9, "stop_percent": 60, "go_on_decrease": True}
+    same(resume(Store(spark, path), 1, 5, 1, **other, **bands), scan(points, 1, 5, 1, **other))
+    assert len(called) == 1  # the fresh one's only
+    # a run that dies while it looks for the next band leaves the store as it was
+    monkeypatch.setattr(scans.fo, "candidates", lambda *a, **k: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        resume(Store(spark, path), 1, 11, 2, **rules, **bands)
+    monkeypatch.setattr(scans.fo, "candidates", found)
+    before = len(Store(spark, path).manifest.bands)
+    same(resume(Store(spark, path), 1, 11, 2, **rules, **bands), scan(points, 1, 11, 2, **rules))
+    assert len(Store(spark, path).manifest.bands) > before
