@@ -13,11 +13,14 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 
 from epsforest.operators import extract as ex
+from epsforest.operators.assign import assign_unassigned
+from epsforest.operators.scan import Scan, resume
 from epsforest.operators.select import select
 from epsforest.operators.space import BLOCK
 from epsforest.plans.pipeline import pipeline
-from epsforest.runtime import clear
+from epsforest.runtime import clear, cut
 from epsforest.sources.formats import BinaryTable, read_csv, read_table, write_csv, write_leftover, write_passes, write_selected
+from epsforest.sources.store import Store
 
 
 def parser() -> argparse.ArgumentParser:
@@ -39,6 +42,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--flagged", action="store_true", help="the first column is a selection flag")
     p.add_argument("-q", "--quick", action="store_true", help="do not check the range of values")
     p.add_argument("-b", "--block-rows", type=int, default=BLOCK, help="rows of a block that is compared with others")
+    p.add_argument("--store", help="keep points and edges there; if a scan is stored there already, go on from it (INPUT is not read then)")
     p.add_argument("--binary", action="store_true")
     return p
 
@@ -107,22 +111,38 @@ def run_select(spark: SparkSession, args: list[str]) -> None:
     chosen.counts().show()
 
 
+def run_again(spark: SparkSession, a: argparse.Namespace) -> None:
+    """A scan from a store, for other distances, sizes or stop rules."""
+    found = resume(
+        Store(spark, a.store), a.first, a.last, a.step, a.min_percent, a.min_events, a.stop_percent, not a.stop_on_decrease, block_rows=a.block_rows,
+    )
+    labels = cut(found.final_labels(), "final")
+    write_csv(ex.final_union(assign_unassigned(found, labels) if a.nearest else labels), a.output)
+    _reports(found, a)
+
+
+def _reports(found: Scan, a: argparse.Namespace) -> None:
+    if a.history:
+        write_csv(found.history().orderBy("pass", "cluster"), a.history)
+    if a.passes:
+        write_passes(found, a.passes)
+    found.report(a.sample_every, timed=True).show(1000, truncate=False)
+
+
 def run_scan(spark: SparkSession, args: list[str]) -> None:
     a = parser().parse_args(args)
+    if a.store and Store(spark, a.store).manifest:
+        return run_again(spark, a)
     ordered = a.sample_every > 1 and not a.binary
     run = pipeline(
         _points(spark, a.input, a.binary, a.flagged, ordered), a.first, a.last, a.step, a.sample_every, "flag" if a.flagged else None, a.nearest, a.leftover,
-        order="position" if ordered else "event_id", check=not a.quick, block_rows=a.block_rows,
+        order="position" if ordered else "event_id", check=not a.quick, block_rows=a.block_rows, store=Store(spark, a.store) if a.store else None,
         min_percent=a.min_percent, min_events=a.min_events, stop_percent=a.stop_percent, go_on_decrease=not a.stop_on_decrease,
     )
     write_csv(run.result, a.output)
     if run.leftover_labels is not None:
         write_leftover(run.leftover_labels, a.output.rstrip("/") + ".leftover.clusters")
-    if a.history:
-        write_csv(run.scan.history().orderBy("pass", "cluster"), a.history)
-    if a.passes:
-        write_passes(run.scan, a.passes)
-    run.scan.report(a.sample_every, timed=True).show(1000, truncate=False)
+    _reports(run.scan, a)
 
 
 def main(args: list[str] | None = None) -> None:

@@ -302,6 +302,9 @@ def test_command_line(spark, tmp_path, monkeypatch):
         assert sorted(tuple(map(int, r)) for r in spark.read.csv(out, header=True).collect()) == want
     with pytest.raises(SystemExit):
         cli.main(["extract", name("x.csv"), name("out"), name("no"), "-0"])
+    cli.main([name("x.csv"), name("first"), "-f", "1", "-l", "1", "-n", "3", "--store", name("store")])
+    cli.main([name("x.csv"), name("again"), "-f", "1", "-l", "3", "-s", "2", "-n", "3", "--store", name("store")])
+    assert sorted(map(tuple, spark.read.csv(name("again"), header=True).collect())) == sorted(map(tuple, spark.read.csv(name("out"), header=True).collect()))
     cli.main([name("x.csv"), name("some"), "-f", "1", "-n", "2", "-L", "--sample-every", "2"])
     assert spark.read.csv(name("some.leftover.clusters")).count() == 6
 
