@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from epsforest.llm.textscan import pieces, unused
+from epsforest.llm.textscan import pieces, tidy, unused
 
 HIDDEN, WINDOW, PAD = 8, 64, 256
 PER_LANGUAGE, MOST_SAMPLED, PASSAGE = 800, 20_000, 256
@@ -186,7 +186,7 @@ def predictor(model, languages: list[str]):
                 names, score = best_of(model, languages, buf, offs, letters[row:end])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return run
+    return tidy(run)
 
 
 def keeper(model, languages: list[str], text: int, least: float):
@@ -201,7 +201,7 @@ def keeper(model, languages: list[str], text: int, least: float):
                 keep[row:end] = [n != "und" and s >= least for n, s in zip(names, score.tolist(), strict=True)]
             yield batch.select(batch.schema.names[:-1]).filter(pa.array(keep))
 
-    return run
+    return tidy(run)
 
 
 def fold(modulus: int = 4):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epsforest.llm.textscan import U64, mix, pieces, unused, word_shingles
+from epsforest.llm.textscan import U64, mix, pieces, tidy, unused, word_shingles
 from epsforest.operators.components import connected_components
 from epsforest.operators.skew import copied, hot_keys, salted, split_join
 from epsforest.runtime import cut
@@ -117,7 +117,7 @@ def features(size: int):
                     ["doc_id", "text_key", "n_shingles", "k1", "k2", "bands", "sketch"],
                 )
 
-    return run
+    return tidy(run)
 
 
 def fine_sketches(size: int):
@@ -135,7 +135,7 @@ def fine_sketches(size: int):
                 sub = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(broad * SUB[0])).astype(np.int32)), pa.array(keys))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row).filter(pa.array(some)), _long_lists(odd_sketch(sample, FINE[1])), sub], ["node", "fine", "sub"])
 
-    return run
+    return tidy(run)
 
 
 def confirm(size: int, percent: int):
@@ -167,7 +167,7 @@ def confirm(size: int, percent: int):
                         b.append(t[i])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return run
+    return tidy(run)
 
 
 def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -239,7 +239,7 @@ def across(most: int, most_fine: int):
             for m, t in close(key[0], rows):
                 yield out(m, t)
 
-    return run
+    return tidy(run)
 
 
 def _members(dealt: DataFrame) -> DataFrame:
