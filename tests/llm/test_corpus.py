@@ -12,7 +12,7 @@ from tests.llm.common import docs, rows, words
 import __spark_entry__ as entry
 from epsforest.llm import chat_tree as ct
 from epsforest.llm import decontaminate as dc
-from epsforest.llm import mixing, queries
+from epsforest.llm import license_scan, mixing, quality_rules, queries
 
 
 def chats(spark, rows_):
@@ -334,13 +334,13 @@ def test_mixing_without_covariates_is_the_quotient(spark):
 
 
 SMALL = "/root/testdata/sf0.001"
-CHECKED = ["op2_license_scan", "op4_chat_prefix_tree", "op6_simhash_decontamination", "op8_line_frequency_rules"]
+CHECKED = ["op1_minhash_near_dedup", "op11_pivot_hard_negatives", "op12_threshold_seeded_search", "source_targets", "op2_license_scan", "op4_chat_prefix_tree", "op6_simhash_decontamination", "op8_line_frequency_rules"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
 def test_query_against_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "conversations", "benchmark"):
+    for t in ("documents", "conversations", "benchmark", "embeddings"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
     got = queries.QUERIES[name](spark, SMALL)
     columns = sorted(got.columns)
@@ -362,3 +362,65 @@ def test_pipeline_stages(spark):
     out = cp.source_mixing(spark, x, SMALL)
     assert out.count() == before
     assert "pipeline" in entry.queries() and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def written(folder, spark, texts, langs, sources, items):
+    """A folder of the tables that the pipeline reads."""
+    docs(spark, texts, langs=langs, sources=sources).select("doc_id", "text", "lang", "source", "n_chars").coalesce(2).write.parquet(f"{folder}/documents.parquet")
+    good = [(i, 1, 0) for i, t in enumerate(texts) if t and i % 3 == 0]
+    spark.createDataFrame(good, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_whole_pipeline_against_plain_versions(spark, tmp_path):
+    import corpus_pipeline as cp
+    from epsforest.llm import kneser_ney, language_id
+    from tests.llm.test_near_dedup import brute
+
+    rng = random.Random(21)
+    syllables = {"en": ["the", "ing", "and", "er", "wh"], "fr": ["eau", "que", "é", "oux", "le"]}
+    word = lambda lang: "".join(rng.choice(syllables[lang]) for _ in range(rng.randrange(1, 4)))
+    text = lambda lang, n: [word(lang) for _ in range(n)]
+    langs = [rng.choice(["en", "fr"]) for _ in range(90)]
+    parts = [text(x, rng.randrange(40, 90)) for x in langs]
+    for k in range(60, 75):  # near copies
+        parts[k] = parts[k - 30][:]
+        parts[k][5], langs[k] = "changed", langs[k - 30]
+    items = [(k, " ".join(text("en", 30))) for k in range(4)]
+    for k in range(75, 85):
+        parts[k] += items[k % 4][1].split()
+    texts = [" ".join(p) for p in parts] + [None, "", "  ", "12 34", "zq " * 50]
+    langs += ["en"] * 5
+    folder = written(tmp_path, spark, texts, langs, ["s" if k % 3 else "t" for k in range(len(texts))], items)
+    x = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = sorted(r["doc_id"] for r in language_id.keep_identified(kneser_ney.keep_good(x, spark.read.parquet(f"{folder}/labels.parquet"))).select("doc_id").collect())
+    _, comp = brute([texts[i] for i in kept], 5)
+    one = [i for k, i in enumerate(kept) if comp[k] == k]
+    hit = {one[d] for d, _ in plain_matches([texts[i] for i in one], items)}
+    left = [i for i in one if i not in hit]
+    got = {r["doc_id"]: r for r in cp.run(spark, folder).collect()}
+    assert sorted(got) == left and len(kept) > len(one) > len(left) > 30
+    sizes = {i: len(words(texts[i])) for i in left}
+    assert {i: r["size"] for i, r in got.items()} == sizes and all(0 <= r["taken"] <= 2 * sizes[i] for i, r in got.items())
+    total = sum({r["source"]: r["target"] for r in got.values()}.values())
+    assert total == pytest.approx(1.5 * sum(sizes.values())) and abs(sum(r["taken"] for r in got.values()) - total) < 60
+
+
+@pytest.mark.parametrize("texts", [[], [None, "", " "]])
+def test_pipeline_without_documents(spark, tmp_path, texts):
+    import corpus_pipeline as cp
+
+    folder = written(tmp_path, spark, texts, ["en"] * len(texts), ["s"] * len(texts), [(1, None)])
+    assert cp.run(spark, folder).count() <= len(texts)
+
+
+def test_columns_that_clash_change_nothing(spark):
+    texts = ["licensed cc by and all rights reserved", None, "", *(f"line one\nline {k}\n" + f"common line of a host with words {k % 2}\n" * 3 for k in range(30))]
+    x = docs(spark, texts)
+    names = ["n_words", "labels", "score", "row", "row_id", "host", "hk", "line", "norm", "kept", "n", "size", "gone", "h", "_s", "Score", "base_failed", "t", "ws", "ls"]
+    more = x.withColumns({c: F.lit(7) for c in names if c.lower() not in {n.lower() for n in names[: names.index(c)]}})
+    for run in (license_scan.scan_licenses, quality_rules.apply_rules):
+        columns = sorted(run(x).columns)
+        rows_of = lambda df: sorted(map(repr, df.select(*columns).collect()))  # noqa: B023, E731
+        assert rows_of(run(x)) == rows_of(run(more))

@@ -311,3 +311,11 @@ def test_adaptive_coding_learns(spark):
     for k, t in enumerate(texts):
         assert got[k]["score"] == pytest.approx(plain_code({}, lower(t).encode(), True), rel=1e-9)
     assert got[0]["score"] / 200 > got[1]["score"] / 4 / 3 and got[2]["score"] < 0
+
+
+def test_held_out_languages_of_the_given_documents(spark):
+    x = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null")
+    got = li.identify(x).join(x.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    by = collections.Counter(r["lang"] for r in got)
+    right = collections.Counter(r["lang"] for r in got if r["lang"] == r["lang_pred"])
+    assert len(by) == 4 and all(right[k] >= 0.98 * n for k, n in by.items()), (by, right)
