@@ -10,7 +10,11 @@ several components after that, and is large (more than ``OPEN`` members), its me
 ``SUB[1]`` samples each, which part texts that only share some boilerplate, and again meet the most central member of
 those buckets. Only what is open then is compared: the members outside a bucket's largest component with all others, in
 blocks of bounded probes and bounded targets, by the sketch and then by a finer one that only such texts get; pairs that a sketch
-turns down are never emitted. No candidate is dropped. Buckets, leaders and classes that are hot are dealt to several tasks.
+turns down are never emitted. Buckets, leaders and classes that are hot are dealt to several tasks.
+
+What is exact and what is probable: a link is confirmed on full sets. A pair of similarity 0.8 shares no band with probability 5e-8; members of
+a large open bucket that its most central member does not link meet in a further band but with probability 9e-8 (samples are independent, so both follow from
+the numbers of bands). There is no exact way behind these bounds.
 
 Defined results: a null, empty or blank text has the empty set and is linked with nothing. A text with fewer words than
 a shingle is one shingle. Rows that repeat a doc_id stay rows of their own, whatever their texts: each belongs to its text's
