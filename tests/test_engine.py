@@ -157,7 +157,7 @@ def test_spanning_forest(spark, parts):
     for few in (0, 30, 10**6):  # all rounds distributed, some, none
         one = spanning_forest(found, few).toPandas()
         assert sorted(one["d2"].tolist()) == weights and len(one) < 80
-    for t in range(7):
+    for t in (0, 3):
         comps = [{(r["id"], r["comp"]) for r in connected_components(x.where(F.col("d2") <= t)).collect()} for x in (found, spark.createDataFrame(one))]
         assert comps[0] == comps[1]
 
