@@ -86,7 +86,7 @@ def test_scan_in_bands_of_blocks(spark, few):
     one, other = scan(points, 1, 9, 2, **options), scan(points, 1, 9, 2, **options, few=few, block_rows=10, few_blocks=0)
     for result in ("lineage", "final_labels", "last_labels", "stats", "history"):
         assert sorted(map(repr, getattr(one, result)().collect())) == sorted(map(repr, getattr(other, result)().collect())), result
-    for p in range(one.last_pass + 1):
+    for p in (0, one.last_pass):
         assert sorted(map(tuple, one.labels_at(p).collect())) == sorted(map(tuple, other.labels_at(p).collect()))
 
 
