@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epsforest.operators import space
+from epsforest.operators import balance, space
 from epsforest.operators.components import connected_components
 from epsforest.runtime import cut
 
@@ -220,9 +220,11 @@ def candidates(laid: space.Blocks, most: int, floor: int = 0, label: str | None
     pairs = near_blocks(laid, ends, most, floor, fan, direct)
     if label:  # nothing to join inside a block of one component
         pairs = pairs.join(ends.where("least = largest").select(F.col("block").alias("i"), F.col("block").alias("j")), ["i", "j"], "left_anti")
-    pairs = cut(pairs, "pairs") if laid.count > direct else pairs
-    sides = pairs.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
-    found = rows.join(sides, "block").groupBy("i", "j").applyInPandas(run, EDGES)
+    if laid.count > direct:
+        found = balance.each_pair(rows, *balance.dealt(pairs, space.cost(laid)), run, EDGES)
+    else:
+        sides = pairs.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+        found = rows.join(sides, "block").groupBy("i", "j").applyInPandas(run, EDGES)
     if links and mark:  # a cell that goes on in the next block
         after = laid.bounds.select((F.col("block") - 1).alias("block"), F.col("first").alias("last"), F.col("head").alias("b"))
         more = laid.bounds.select("block", "last", F.col("tail").alias("a")).join(after, ["block", "last"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(floor).cast("long").alias("d2"))

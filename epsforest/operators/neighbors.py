@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epsforest.functions.points import columns_of, squared_distance
-from epsforest.operators import space
+from epsforest.operators import balance, space
 from epsforest.runtime import cut
 
 GRID_COLUMNS, BLOCK_ROWS = 3, 4096
@@ -123,16 +123,19 @@ def _near_blocks(points: DataFrame, t: int, block_rows: int, label: str | None =
     return laid, cut(pairs, "pairs") if laid.count > space.DIRECT else pairs
 
 
-def block_pairs(points: DataFrame, t: int, label: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def block_pairs(points: DataFrame, t: int, label: str | None = None, block_rows: int = BLOCK_ROWS, tasks: int | None = None) -> DataFrame:
     """(a, b, d2) by comparing blocks of rows with numpy; for many columns, where a grid cuts nothing.
 
     Blocks hold rows of one pivot at like distances; two meet only if the triangle inequality and their boxes leave room for a pair. Each
-    group is at most about ``block_rows`` rows.
+    group is at most about ``block_rows`` rows. tasks: the pairs of blocks are dealt by cost to so many tasks; where there are many blocks, to as many as they need.
     """
     laid, pairs = _near_blocks(points, t, block_rows, label)
     rows = laid.rows.select("event_id", *laid.columns, "block", *([label] if label else []))
+    run, schema = _compared(laid.columns, t, label), "a long, b long, d2 long"
+    if laid.bounds is not None and (tasks or laid.count > space.DIRECT):
+        return balance.each_pair(rows, *balance.dealt(pairs, space.cost(laid), tasks), run, schema)
     sides = pairs.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
-    return rows.join(sides, "block").groupBy("i", "j").applyInPandas(_compared(laid.columns, t, label), "a long, b long, d2 long")
+    return rows.join(sides, "block").groupBy("i", "j").applyInPandas(run, schema)
 
 
 def compared_share(points: DataFrame, t: int, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -42,6 +42,9 @@ class Blocks:
     pivots: list[str]
     #: Whether equal places are equal cells, all of whose points are within the floor of each other.
     celled: bool
+    #: Rows of a block, and of the last one.
+    rows_each: int = 0
+    rows_last: int = 0
 
 
 def curve(columns: list[str], lows: list[int], highs: list[int], width: int) -> tuple[Column, bool]:
@@ -120,7 +123,14 @@ def lay(points: DataFrame, floor: int = 0, rows: int = BLOCK, pivots: np.ndarray
         return Blocks(placed.withColumn("block", F.lit(0)), None, 1, cols, names, celled)
     ranked = global_rank(placed, ["place", "event_id"], "rank").withColumn("block", F.expr(f"cast(rank div {rows} as int)"))
     bounds = ranked.groupBy("block", *([side] if side else [])).agg(*_ends(cols + names), F.min("place").alias("first"), F.max("place").alias("last"), F.min_by("event_id", "rank").alias("head"), F.max_by("event_id", "rank").alias("tail"))
-    return Blocks(ranked.drop("rank"), cut(bounds, "bounds"), ceil(ends["n"] / rows), cols, names, celled)
+    count = ceil(ends["n"] / rows)
+    return Blocks(ranked.drop("rank"), cut(bounds, "bounds"), count, cols, names, celled, rows, ends["n"] - rows * (count - 1))
+
+
+def cost(laid: Blocks) -> Column:
+    """How many pairs of rows a pair (i, j) of blocks has."""
+    size = lambda k: F.when(F.col(k) == laid.count - 1, laid.rows_last).otherwise(laid.rows_each).cast("long")
+    return F.when(F.col("i") == F.col("j"), size("i") * (size("i") - 1) / 2).otherwise(size("i") * size("j")).cast("long")
 
 
 def _ends(names: list[str]) -> list[Column]:

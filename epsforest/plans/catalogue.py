@@ -20,6 +20,7 @@ from epsforest.plans.pipeline import pipeline
 from epsforest.runtime import cut, shared_dir
 from epsforest.sources import formats
 from epsforest.sources.store import Store
+from epsforest.streaming import components as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -181,6 +182,9 @@ _query("eps_edges_emb64", _edges_sql(_emb(64), 64, 1254400))(lambda s, d: nb.edg
 _query("eps_edges_emb64_pivots", _edges_sql(_emb(64), 64, 1254400))(lambda s, d: nb.block_pairs(emb(s, d, 64), threshold(140, 64), block_rows=64))
 
 
+_query("eps_edges_cust2_dealt", _edges_sql(CUST2, 2, 200))(lambda s, d: nb.block_pairs(cust2(s, d), threshold(10, 2), block_rows=256, tasks=6))
+
+
 @_query("eps_degree", f"WITH e AS ({_edges_sql(CUST2, 2, 200)}) SELECT event_id, count(*) AS degree FROM (SELECT a AS event_id FROM e UNION ALL SELECT b FROM e) GROUP BY 1")
 def eps_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nb.degrees(nb.edges(cust2(spark, sf_dir), threshold(10, 2)))
@@ -503,3 +507,36 @@ def scan_resumed_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "store")
     scan(cust2(spark, sf_dir), FIRST, 14, STEP, min_events=40, block_rows=64, few_blocks=0, store=Store(spark, path))
     return resume(Store(spark, path), FIRST, LAST, STEP, min_events=LEAST, go_on_decrease=True, block_rows=64, few_blocks=0).lineage()
+
+
+# --- streams ----------------------------------------------------------------------------------------------------------
+EVENTS2 = "SELECT event_id, CAST(floor(value) AS INT) AS c0, CAST(user_id AS INT) AS c1, ts FROM events"
+DAY = 86_400_000
+
+
+def _streamed_labels(spark: SparkSession, sf_dir: str, dist: float, horizon: int | None = None, **options) -> DataFrame:
+    """Components of ``events`` that arrive in three lots by time; every lot is a run of its own that goes on from the checkpoint."""
+    events = _table(spark, sf_dir, "events").select("event_id", "ts", F.floor("value").cast("int").alias("c0"), F.col("user_id").cast("int").alias("c1"))
+    path = _folder(spark, "stream")
+    when = F.unix_seconds(F.col("ts").cast("timestamp")).cast("double")
+    cuts = events.select(when.alias("s")).approxQuantile("s", [0.33, 0.67], 0.01)
+    lots = [when.isNull(), *(when <= c for c in cuts), F.lit(True)] if cuts else [F.lit(True)]
+    stream.with_rocksdb(spark)
+    lot = F.coalesce(*(F.when(x, k) for k, x in enumerate(lots)))
+    for k in range(len(lots)):
+        events.where(lot == k).write.mode("append").parquet(f"{path}/in")
+        source = spark.readStream.schema(events.schema).parquet(f"{path}/in")
+        links = stream.link_stream(source, threshold(dist, 2), horizon, delay="1 minute", **options)
+        stream.write_links(links, f"{path}/links", f"{path}/checkpoint").awaitTermination()
+    return stream.labels(events, spark.read.schema(stream.LINKS).parquet(f"{path}/links"))
+
+
+@_query("stream_components", _labels_sql(EVENTS2, 2, [3.0], 2) + " SELECT event_id, comp FROM labels")
+def stream_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed_labels(spark, sf_dir, 3, lanes=2)
+
+
+@_query("stream_components_by_time", _labels_sql(EVENTS2, 2, [5.0], 2, f"AND abs(epoch_ms(a.ts) - epoch_ms(b.ts)) <= {DAY}") + " SELECT event_id, comp FROM labels")
+def stream_components_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of events no more than a day apart; states of past days are dropped."""
+    return _streamed_labels(spark, sf_dir, 5, DAY)

@@ -1,11 +1,13 @@
 """The space-partition tree, spanning forests and scans that don't fit a task, against plain versions."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from epsforest.operators import forest as fo
-from epsforest.operators import space
+from epsforest.operators import balance, space
+from epsforest.operators import neighbors as nb
 from epsforest.operators import scan as scans
 from epsforest.operators.scan import resume, scan
 from epsforest.sources.store import Store
@@ -137,3 +139,33 @@ def test_resumed_scans_equal_fresh_ones(spark, tmp_path, monkeypatch):
     before = len(Store(spark, path).manifest.bands)
     same(resume(Store(spark, path), 1, 11, 2, **rules, **bands), scan(points, 1, 11, 2, **rules))
     assert len(Store(spark, path).manifest.bands) > before
+
+
+def test_pairs_are_dealt_by_cost(spark):
+    # one dense cell, all of whose blocks meet, and far points whose blocks meet none
+    rng = np.random.default_rng(8)
+    x = np.unique(np.concatenate([rng.integers(0, 40, (700, 2)), rng.integers(0, 10**5, (330, 2))]), axis=0)
+    points = table(spark, x)
+    laid, pairs = nb._near_blocks(points, 3200, 64)
+    known, number = balance.dealt(pairs, space.cost(laid), 8)
+    loads = balance.loads(known).toPandas()
+    assert number == len(loads) == 8 and loads["cost"].max() < 2 * loads["cost"].mean() and loads["pairs"].sum() == pairs.count()
+    a, b = np.triu_indices(len(x), 1)
+    want = {(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True) if ((x[i] - x[j]) ** 2).sum() <= 3200}
+    found = nb.block_pairs(points, 3200, block_rows=64, tasks=8)
+    assert found.rdd.getNumPartitions() == 8
+    assert {(r["a"], r["b"]) for r in found.collect()} == want
+    assert balance.dealt(pairs.limit(0), space.cost(laid))[1] == 1
+    # a single dear pair takes a task of its own, the others share the rest
+    uneven = spark.createDataFrame([(0, 1, 100), *((k, k + 1, 10) for k in range(1, 41))], "i int, j int, w int")
+    known, number = balance.dealt(uneven, F.col("w"), 50)
+    loads = balance.loads(known).toPandas()
+    assert number == 5 and loads["cost"].max() < 2 * loads["cost"].mean()
+
+
+@pytest.mark.parametrize("size", [1, 3, 100])
+def test_groups_of_a_sorted_partition(size):
+    rows = pd.DataFrame([(i, j, k) for i in range(3) for j in range(i, 3) for k in range(4)], columns=["i", "j", "k"])
+    batches = [rows.iloc[lo : lo + size] for lo in range(0, len(rows), size)] + [rows.iloc[:0]]
+    got = list(balance._groups(lambda x: x)(iter(batches)))
+    assert [len(x) for x in got] == [4] * 6 and pd.concat(got, ignore_index=True).equals(rows)
