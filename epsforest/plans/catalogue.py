@@ -21,6 +21,7 @@ from epsforest.runtime import cut, shared_dir
 from epsforest.sources import formats
 from epsforest.sources.store import Store
 from epsforest.streaming import components as stream
+from epsforest.streaming.score import score_stream, write_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -540,3 +541,20 @@ def stream_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_components_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same of events no more than a day apart; states of past days are dropped."""
     return _streamed_labels(spark, sf_dir, 5, DAY)
+
+
+@_query(
+    "stream_scores",
+    _CUST + _LINEAGE + f""", q AS (SELECT event_id, c0, c1 + 3 AS c1 FROM p),
+near AS (SELECT q.event_id, f.cluster, min({_d2(2, "q", "x")}) AS d2 FROM q, final f JOIN p x ON x.event_id = f.event_id WHERE f.cluster > 0 AND {_d2(2, "q", "x")} <= {threshold(10, 2)} GROUP BY ALL),
+best AS (SELECT event_id, min(cluster) AS cluster, count(*) AS n FROM near JOIN (SELECT event_id, min(d2) AS d2 FROM near GROUP BY 1) USING (event_id, d2) GROUP BY event_id)
+SELECT event_id, CASE WHEN n = 1 THEN cluster ELSE 0 END AS cluster FROM best""",
+)
+def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shifted points stream in and get the nearest cluster in reach of a finished scan."""
+    found, path = _scan(spark, sf_dir), _folder(spark, "scores")
+    targets = cut(found.points.join(found.final_labels().where("cluster > 0"), "event_id"), "targets")
+    cust2(spark, sf_dir).withColumn("c1", (F.col("c1") + 3).cast("int")).write.parquet(f"{path}/in")
+    source = spark.readStream.schema("event_id long, c0 int, c1 int").option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    write_scores(score_stream(source, targets, threshold(10, 2)), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.schema("event_id long, cluster int").parquet(f"{path}/out/batch=*")

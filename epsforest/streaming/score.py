@@ -6,6 +6,7 @@ from math import isqrt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from epsforest.functions.points import columns_of, squared_distance
 from epsforest.operators.assign import settled
@@ -35,3 +36,15 @@ def score_stream(events: DataFrame, targets: DataFrame, cutoff: int, watermark:
 def settle(batch: DataFrame) -> DataFrame:
     """event_id, cluster: the nearest; 0 if two clusters are equally near."""
     return settled(batch.select("event_id", "cluster", "d2")).select("event_id", "cluster")
+
+
+def write_scores(scores: DataFrame, path: str, checkpoint: str, now: bool = True) -> StreamingQuery:
+    """Starts the stream of settled scores into ``path``, a folder for each micro-batch: one that is done again replaces its own.
+
+    now: takes what is there and ends. Events out of every cluster's reach have no row.
+    """
+    def save(batch: DataFrame, number: int) -> None:
+        settle(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = scores.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if now else writer).start()
