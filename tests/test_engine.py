@@ -324,13 +324,13 @@ def test_stream_scores_settle(spark):
     assert {r["event_id"]: r["cluster"] for r in settle(near).collect()} == {7: 0, 8: 1, 9: 3}
 
 
-QUICK = ["recluster_clusters", "lineage_history", "split_by_assignment", "summary_by_category", "summary_table", "scan_pass_report", "scan_stops_when_assigned", "scan_stops_on_decrease", "sel_points_part2", "sel_column_stats", "sel_sort_key", "sel_flag_and_sample", "sel_sorted_rank", "eps_edges_cust2", "eps_edges_emb64", "components_part2", "scan_stats_cust2", "dedup_points_line3"]
+QUICK = ["eps_edges_cust2_dealt", "stream_components", "stream_components_by_time", "stream_scores", "recluster_clusters", "lineage_history", "split_by_assignment", "summary_by_category", "summary_table", "scan_pass_report", "scan_stops_when_assigned", "scan_stops_on_decrease", "sel_points_part2", "sel_column_stats", "sel_sort_key", "sel_flag_and_sample", "sel_sorted_rank", "eps_edges_cust2", "eps_edges_emb64", "components_part2", "scan_stats_cust2", "dedup_points_line3"]
 
 
 @pytest.mark.parametrize("name", QUICK)
 def test_query_against_sql(spark, name):
     db = duckdb.connect()
-    for t in ("customer", "part", "lineitem", "embeddings"):
+    for t in ("customer", "part", "lineitem", "embeddings", "events"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     got = catalogue.QUERIES[name](spark, DATA)
     columns = sorted(got.columns)
