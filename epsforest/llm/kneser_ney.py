@@ -1,37 +1,52 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-Training counts trigrams of the trusted texts and derives everything else by grouping and joining on n-gram keys, so the
-counts stay sharded: continuation counts of bigrams and words, the discounts from counts of counts, and per context the
-mass that goes to the next shorter one. The trusted texts are a bounded sample, which bounds the finished tables: of the
-rows that ``documents`` has, in the order of a hash of their id, at most ``TRUSTED`` and no more than fit into ``TRUSTED_CHARS``
-characters, each taken whole (one that is longer than what is left is passed over). The tables are sent to the tasks that
-score. Joining every token of every document with the tables would shuffle the corpus three times over, more than the
-tables ever weigh.
+Training counts the trigrams of all trusted texts of the training half and derives everything else by grouping and joining
+on words and n-gram keys: continuation counts of bigrams and words, the discounts from counts of counts, and per context the
+mass that goes to the next shorter one. Nothing of it is bounded by a sample; no table is whole on the driver or in a task.
+
+An interpolated probability is a sum of backed-off ones, so its logarithm telescopes: a text's log10 probability is the sum of one
+weight for each of its words, bigrams and trigrams that training has, and a constant for each token. A bigram's
+weight joins what it adds as (v, w) to its word's probability and what it leaves as the context (u, v); n-grams that training does
+not have weigh nothing. Scoring so needs no order of lookups: the at most ``HEAD`` most frequent n-grams are broadcast with
+their weights, and a filter of ``FILTER`` bits tells most of those that training lacks (what it lets through by mistake is found
+absent later). All other n-grams of a text meet the weights in buckets: packed arrays of both sides are dealt by key, a bucket with many uses
+to several tasks, and each row's sums are added up.
 
 Each document gets its log10 probability per token. For each language, the threshold is a quantile of the trusted
-documents that training did not see, read off an exact histogram; a language with fewer than ``LEAST_CALIBRATION`` of them
+documents of the other half, which training did not see, read off an exact histogram; a language with fewer than ``LEAST_CALIBRATION`` of them
 uses the histogram of all. A document whose log-perplexity is above the threshold of its language is rejected.
 
 Defined results: a null or empty text has one token, the end, and is rejected. A null language is a language of its own.
 Labels without quality or for absent documents are ignored; repeated labels count once. Without any trusted text every
 document with words is kept. Rows that share a doc_id are scored each by its own text; repeated trusted rows train once.
+A caller may ask for a model of at most ``trusted`` texts (and ``TRUSTED_CHARS`` characters); the queries and the pipeline do not.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
+from epsforest.llm.ppm import frequent
 from epsforest.llm.textscan import NOT_SPACE, U64, mix, pieces, rows_of, span_hashes, spans, tidy, unused
-from epsforest.runtime import cut
-
-TRUSTED, TRUSTED_CHARS = 2000, 16_000_000
+from epsforest.runtime import brief_shuffles, cut, discard
+
+#: Characters of a model whose texts the caller bounds.
+TRUSTED_CHARS = 16_000_000
+#: N-grams that are broadcast; words that a join broadcasts at most; n-grams, or uses of them, of a bucket; n-grams of a pack.
+HEAD, MOST_WORDS, BUCKET, PACK = 1 << 20, 1 << 18, 1 << 19, 1 << 20
+#: Bits of a key that the filter looks at, and those of them that are the same in a part of it.
+FILTER, PART = 28, 12
+#: Rounds in which trigrams meet their contexts, and texts their weights: only one round's shuffle is on disk at a time.
+ROUNDS = 4
 QUANTILE, LEAST_CALIBRATION, BIN = 0.995, 30, 0.01
 START, STOP = U64(0x5D0A11CE0FF1CE01), U64(0xE0F0D0C0B0A09081)
 
@@ -69,7 +84,26 @@ def trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, buf, offs in pieces(batch.column(0)):
             out, firsts, _ = sequences(buf, offs)
             at = _tokens(out, firsts)
-            yield pa.RecordBatch.from_arrays([pa.array(out[at - k].view(np.int64)) for k in (2, 1, 0)], ["u", "v", "w"])
+            _, first, n = np.unique(joined(out[at - 2], out[at - 1], out[at]), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*(pa.array(out[at[first] - k].view(np.int64)) for k in (2, 1, 0)), pa.array(n)], ["u", "v", "w", "n"])
+
+
+def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v, w, c, p2, b): a trigram's context, key, count and its bigram's probability, if there is ``p2``; the bigram's key and weight, if there is ``b``."""
+
+    def rows(batch: pa.RecordBatch, gram: bool) -> pa.RecordBatch:
+        some = batch.filter(batch.column(4 if gram else 5).is_valid())
+        u, v, w = (some.column(k).to_numpy().view(U64) for k in range(3))
+        no = lambda kind: pa.nulls(len(u), kind)
+        if gram:
+            values = [pa.array(joined(u, v).view(np.int64)), pa.array(joined(u, v, w).view(np.int64)), some.column(3), some.column(4), no(pa.float32())]
+        else:
+            values = [pa.array(joined(v, w).view(np.int64)), no(pa.int64()), some.column(3), no(pa.float32()), some.column(5)]
+        return pa.RecordBatch.from_arrays(values, ["uv", "t", "c", "p2", "b"])
+
+    for batch in batches:
+        yield rows(batch, True)
+        yield rows(batch, False)
 
 
 def discounts(counts: DataFrame, column: str = "c") -> list[float]:
@@ -84,76 +118,246 @@ def discounts(counts: DataFrame, column: str = "c") -> list[float]:
     return [min(max(x, 0.05), k - 0.05) for k, x in zip((1, 2, 3), d, strict=True)]
 
 
-def _discounted(table: DataFrame, context: list[str], d: list[float]) -> tuple[DataFrame, DataFrame]:
-    """Adds ``alpha``, the discounted share of a gram in its context; and the contexts' share ``gamma`` for shorter ones."""
-    off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-    totals = table.groupBy(*context).agg(F.sum("c").alias("all"), F.sum(off).alias("off"))
-    return table.join(totals, context).withColumn("alpha", (F.col("c") - off) / F.col("all")), totals.select(*context, (F.col("off") / F.col("all")).alias("gamma"))
+def _off(c: Column, d: list[float]) -> Column:
+    return F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
+
+
+def _with_words(grams: DataFrame, words: DataFrame, key: str) -> DataFrame:
+    """grams with the columns of ``words`` (``key``, .., n) joined: the at most MOST_WORDS most frequent ones are broadcast, and the others, few rows each, shuffled."""
+    least = frequent(words, MOST_WORDS).agg(F.min("n")).first()[0]
+    head = F.lit(False) if least is None else F.col("n") >= least
+    top, other = F.broadcast(words.where(head).drop("n")), words.where(~head).drop("n")
+    return grams.join(top, key).unionByName(grams.join(top, key, "left_anti").join(other, key))
+
+
+def weights(texts: DataFrame) -> tuple[list[DataFrame], float]:
+    """Tables (key, value, n) of all words, bigrams and trigrams of the texts (text,): log10 weights, and counts to rank them by; and an unknown word's probability."""
+    tri = texts.select("text").mapInArrow(tidy(trigrams), "u long, v long, w long, n long").repartition("v", "w").groupBy("u", "v", "w").agg(F.sum("n").alias("c"))
+    pair = Window.partitionBy("v", "w")
+    tri = tri.withColumn("first", F.row_number().over(pair.orderBy("u")) == 1).withColumn("c2", F.count("*").over(pair))
+    tri = cut(tri, "tri")
+    d3, d2 = discounts(tri), discounts(tri.where("first"), "c2")
+    after = tri.groupBy(F.col("w").alias("x")).agg(F.count_if("first").alias("c"), F.count("*").alias("n_w"))
+    before = tri.groupBy(F.col("v").alias("x")).agg(F.count("*").alias("n_v"), F.sum(F.when(F.col("first"), _off(F.col("c2"), d2))).alias("off"))
+    words = cut(after.join(before, "x", "full"), "words")
+    d1 = discounts(words)
+    all_, off_all, n = words.agg(F.sum("c"), F.sum(F.when(F.col("c").isNotNull(), _off(F.col("c"), d1))), F.count("c")).first()
+    floor = (off_all / all_) / (n + 1) if all_ else 1.0
+    p1 = (F.col("c") - _off(F.col("c"), d1)) / F.lit(float(all_ or 1)) + F.lit(floor)
+    gamma = F.col("off") / F.col("n_v")  # all counts of a context's bigrams are its trigrams
+
+    ends = words.where("c is not null").select(F.col("x").alias("w"), p1.alias("p1"), F.col("n_w").alias("n"))
+    contexts = words.where("n_v is not null").select(F.col("x").alias("v"), gamma.alias("g2"), F.col("n_v").alias("all2"), F.col("n_v").alias("n"))
+    a2, rest = (F.col("c2") - _off(F.col("c2"), d2)) / F.col("all2"), F.col("g2") * F.col("p1")
+    grams = _with_words(_with_words(tri, ends, "w"), contexts, "v")
+    grams = cut(grams.select("u", "v", "w", "c", (a2 + rest).cast("float").alias("p2"), F.when(F.col("first"), F.log10(1 + a2 / rest)).cast("float").alias("b")), "grams")
+    discard(tri)
+    own = F.coalesce(F.log10(p1 / F.lit(floor)), F.lit(0.0)) + F.coalesce(F.log10(gamma), F.lit(0.0))
+    parts = [cut(words.select(F.col("x").alias("key"), own.cast("float").alias("value"), (F.coalesce("n_w", F.lit(0)) + F.coalesce("n_v", F.lit(0))).alias("n")), "weights")]
+    for k in range(ROUNDS):
+        as_gram, as_pair = (F.pmod(F.xxhash64(*c), F.lit(ROUNDS)) == k for c in (("u", "v"), ("v", "w")))
+        some = grams.where(as_gram | (F.col("b").isNotNull() & as_pair)).select("u", "v", "w", "c", F.when(as_gram, F.col("p2")).alias("p2"), F.when(as_pair, F.col("b")).alias("b"))
+        parts.append(cut(_by_context(some, d3), "weights"))
+    discard(grams)
+    discard(words)
+    return parts, floor
+
+
+def _by_context(grams: DataFrame, d3: list[float]) -> DataFrame:
+    """(key, value, n) of the trigrams of some contexts, and of the bigrams that these contexts are. grams: what ``keys_of`` takes."""
+    grams = grams.mapInArrow(tidy(keys_of), "uv long, t long, c long, p2 float, b float")
+    context = Window.partitionBy("uv")
+    of = F.col("t").isNotNull()
+    grams = grams.withColumn("off", F.sum(F.when(of, _off(F.col("c"), d3))).over(context)).withColumn("all", F.sum(F.when(of, F.col("c"))).over(context)).withColumn("own", F.sum("b").over(context))
+    grams = grams.withColumn("row", F.row_number().over(context.orderBy("t")))
+    mine = F.when(of, F.struct(F.col("t").alias("key"), F.log10(1 + (F.col("c") - _off(F.col("c"), d3)) / F.col("off") / F.col("p2")).cast("float").alias("value"), F.col("c").alias("n")))
+    left = F.coalesce(F.log10(F.col("off") / F.col("all")), F.lit(0.0)) + F.coalesce("own", F.lit(0.0))
+    both = F.when(F.col("row") == 1, F.struct(F.col("uv").alias("key"), left.cast("float").alias("value"), F.coalesce("all", F.lit(0)).alias("n")))
+    return grams.select(F.inline(F.filter(F.array(mine, both), lambda x: x.isNotNull())))
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    keys, values = table["key"].to_numpy().astype(np.int64).view(U64), table["value"].to_numpy().astype(np.float32)
+    order = np.argsort(keys)
+    return keys[order], values[order]
 
 
 def train(texts: DataFrame) -> dict[str, np.ndarray]:
-    """The finished tables as sorted arrays. texts: (text,), a bounded number of bounded texts."""
-    tri = cut(texts.select("text").mapInArrow(trigrams, "u long, v long, w long").groupBy("u", "v", "w").agg(F.count("*").alias("c")), "tri")
-    bi = cut(tri.groupBy("v", "w").agg(F.count("*").alias("c")), "bi")
-    uni = bi.groupBy("w").agg(F.count("*").alias("c"))
-    a3, g3 = _discounted(tri, ["u", "v"], discounts(tri))
-    a2, g2 = _discounted(bi, ["v"], discounts(bi))
-    d1 = discounts(uni)
-    off = F.when(F.col("c") == 1, d1[0]).when(F.col("c") == 2, d1[1]).otherwise(d1[2])
-    all_, off_all, words = uni.agg(F.sum("c"), F.sum(off), F.count("*")).first()
-    arrow = {
-        "tri": a3.select("u", "v", "w", "alpha").toArrow(), "g3": g3.toArrow(), "bi": a2.select("v", "w", "alpha").toArrow(), "g2": g2.toArrow(),
-        "uni": uni.select("w", (F.col("c") - off).alias("alpha")).toArrow(),
-    }
-    key = lambda t, *c: joined(*(arrow[t][x].to_numpy().astype(np.int64).view(U64) for x in c))
-    out = {"floor": np.array([(off_all / all_) / (words + 1) if all_ else 1.0])}
-    for name, (t, columns, value) in {"a3": ("tri", "uvw", "alpha"), "g3": ("g3", "uv", "gamma"), "a2": ("bi", "vw", "alpha"), "g2": ("g2", "v", "gamma"), "a1": ("uni", "w", "alpha")}.items():
-        keys, values = key(t, *columns), arrow[t][value].to_numpy().astype(np.float64)
-        order = np.argsort(keys)
-        out[name], out[name + "v"] = keys[order], (values[order] / (all_ if name == "a1" else 1)).astype(np.float32)
-    return out
+    """All weights as sorted arrays, for texts (text,) that are few."""
+    parts, floor = weights(texts)
+    keys, values = _sorted(_all(parts).toArrow())
+    return {"keys": keys, "values": values, "floor": np.array([floor])}
+
+
+def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The filter's bits of a task's keys: (part, bits) with the sorted places in a part."""
 
+    def out(held: list[np.ndarray]) -> pa.RecordBatch:
+        places = np.unique(np.concatenate(held))
+        parts, first = np.unique(places >> U64(FILTER - PART), return_index=True)
+        low = (places & U64((1 << FILTER - PART) - 1)).astype(np.uint16)
+        return pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array([x.tobytes() for x in np.split(low, first[1:])], pa.binary())], ["part", "bits"])
 
-def _look(keys: np.ndarray, values: np.ndarray, x: np.ndarray, absent: float) -> np.ndarray:
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch.column(0).to_numpy().view(U64) >> U64(64 - FILTER))
+        n += batch.num_rows
+        if n > 4 * PACK:
+            yield out(held)
+            held, n = [], 0
+    if n:
+        yield out(held)
+
+
+def united(table: pa.Table) -> pa.Table:
+    bits = np.zeros(1 << FILTER - PART, np.uint8)
+    for x in table["bits"].to_pylist():
+        bits[np.frombuffer(x, np.uint16)] = 1
+    return pa.table({"part": table["part"].slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+
+def bit_filter(table: DataFrame) -> np.ndarray:
+    """2**FILTER bits, whatever the table: those of the leading bits of its keys are set."""
+    got = table.select("key").mapInArrow(tidy(fragments), "part int, bits binary").groupBy("part").applyInArrow(united, "part int, bits binary").toArrow()
+    out = np.zeros((1 << PART, 1 << FILTER - PART - 3), np.uint8)
+    for part, bits in zip(got["part"].to_pylist(), got["bits"], strict=True):
+        out[part] = np.frombuffer(bits.as_buffer(), np.uint8)
+    return out.reshape(-1)
+
+
+def look_up(model: dict[str, np.ndarray], buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """log10 probability and tokens of each row by the weights of the model; rows, in order, and keys of the n-grams that it lacks and its filter does not exclude."""
+    out, firsts, counts = sequences(buf, offs)
+    at = _tokens(out, firsts)
+    n = len(counts)
+    row = np.repeat(np.arange(n), counts)
+    w, v = out[at], out[at - 1]
+    heads = (np.full(n, START, U64), np.full(n, joined(np.full(1, START, U64), np.full(1, START, U64))[0], U64))
+    keys = np.concatenate([w, joined(v, w), joined(out[at - 2], v, w), *heads])
+    rows = np.concatenate([row, row, row, np.arange(n), np.arange(n)])
+    if "bits" in model:
+        place = keys >> U64(64 - FILTER)
+        some = np.flatnonzero(model["bits"][place >> U64(3)] >> (place & U64(7)).astype(np.uint8) & 1)
+        keys, rows = keys[some], rows[some]
+    values, hit = _found(model["keys"], model["values"], keys)
+    score = np.bincount(rows, weights=values, minlength=n) + counts * np.log10(model["floor"][0])
+    lost = np.flatnonzero(~hit)
+    lost = lost[np.argsort(rows[lost], kind="stable")]
+    return score, counts, rows[lost], keys[lost]
+
+
+def _found(keys: np.ndarray, values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(keys):
-        return np.full(len(x), absent, np.float32)
+        return np.zeros(len(x)), np.zeros(len(x), bool)
     at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-    return np.where(keys[at] == x, values[at], np.float32(absent))
+    hit = keys[at] == x
+    return np.where(hit, values[at], np.float32(0)).astype(np.float64), hit
 
 
 def log_probabilities(model: dict[str, np.ndarray], buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 probability and number of tokens of each row."""
-    out, firsts, counts = sequences(buf, offs)
-    at = _tokens(out, firsts)
-    w, v, u = out[at], out[at - 1], out[at - 2]
-    vw = joined(v, w)
-    p = _look(model["a1"], model["a1v"], w, 0) + model["floor"][0]
-    p = _look(model["a2"], model["a2v"], vw, 0) + _look(model["g2"], model["g2v"], v, 1) * p
-    p = _look(model["a3"], model["a3v"], joined(u, v, w), 0) + _look(model["g3"], model["g3v"], joined(u, v), 1) * p
-    stops = np.cumsum(counts)
-    return (np.add.reduceat(np.log10(p), stops - counts) if len(counts) else np.zeros(0)), counts
+    """log10 probability and number of tokens of each row, by a model with all weights."""
+    return look_up(model, buf, offs)[:2]
 
 
 def scorer(model, text: int, rest: list[int], names: list[str]):
-    """Columns ``rest`` of each row, the number of tokens and the cost (negative log10 probability a token) of column ``text``, and the log10 probability."""
+    """Columns ``rest`` of each row, the number of tokens and the log10 probability of column ``text`` as far as the head knows it, a row's own number and the keys of what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.value
+        row_id = TaskContext.get().partitionId() << 40
         for batch in batches:
             for row, end, buf, offs in pieces(batch.column(text)):
-                score, counts = log_probabilities(tables, buf, offs)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(row, end - row) for k in rest), pa.array(counts), pa.array(score)], names)
+                score, counts, rows, keys = look_up(tables, buf, offs)
+                upto = np.searchsorted(rows, np.arange(end - row + 1)).astype(np.int32)
+                tail = pa.ListArray.from_arrays(pa.array(upto), pa.array(keys.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(row, end - row) for k in rest), pa.array(counts), pa.array(score), pa.array(row_id + np.arange(end - row)), tail], names)
+                row_id += end - row
 
     return tidy(run)
 
 
+def packer(parts: np.ndarray, copies: bool, round_: int):
+    """Packs (key, values) of a round into arrays by bucket; a bucket's packs go round its parts, or with ``copies`` to each of them."""
+
+    def packs(held: list[tuple[np.ndarray, np.ndarray]], turn: int) -> pa.RecordBatch:
+        keys, values = (np.concatenate(x) for x in zip(*held, strict=True))
+        bucket = ((keys >> U64(1)) % U64(len(parts))).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        order = order[bucket[order] % ROUNDS == round_]
+        buckets, first = np.unique(bucket[order], return_index=True)
+        rows = []
+        for b, lo, hi in zip(buckets.tolist(), first.tolist(), [*first[1:].tolist(), len(order)][: len(first)], strict=True):
+            some = order[lo:hi]
+            x, y = keys[some].tobytes(), values[some].tobytes()
+            rows += [(b, p, x, y) for p in (range(parts[b]) if copies else (turn % int(parts[b]),))]
+        b, p, x, y = zip(*rows, strict=True) if rows else ((), (), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(p, pa.int32()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["bucket", "part", "keys", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, turn = [], 0, TaskContext.get().partitionId()
+        for batch in batches:
+            keys, values = batch.column(0), batch.column(1).to_numpy()
+            if pa.types.is_list(keys.type):
+                values, keys = np.repeat(values, np.diff(keys.offsets.to_numpy())), keys.flatten()
+            held.append((keys.to_numpy().view(U64), values))
+            n += len(keys)
+            if n >= PACK:
+                yield packs(held, turn)
+                held, n, turn = [], 0, turn + 1
+        if n:
+            yield packs(held, turn)
+
+    return tidy(run)
+
+
+def meet(uses: pa.Table, table: pa.Table) -> pa.Table:
+    """(row_id, sum) of one part of a bucket."""
+    join = lambda t, c, kind: np.frombuffer(b"".join(t[c].to_pylist()), kind)
+    rows, values = join(uses, "data", np.int64), join(table, "data", np.float32)
+    keys = join(table, "keys", U64)
+    order = np.argsort(keys)
+    got, hit = _found(keys[order], values[order], join(uses, "keys", U64))
+    ids, at = np.unique(rows[hit], return_inverse=True)
+    return pa.table({"row_id": ids, "sum": np.bincount(at, weights=got[hit], minlength=len(ids)).astype(np.float64)})
+
+
+def tail_sums(uses: DataFrame, table: DataFrame) -> DataFrame:
+    """(row_id, sum) of the weights of each row's keys. uses: (tail array<long>, row_id long); table: (key, value)."""
+    n = uses.agg(F.sum(F.size("tail"))).first()[0] or 0
+    buckets = max(ROUNDS, -(-max(n, table.count()) // BUCKET))
+    at = F.pmod(F.shiftrightunsigned("key", 1), F.lit(buckets))
+    parts = np.ones(buckets, np.int64)
+    for b, many in uses.select(F.explode("tail").alias("key")).groupBy(at.alias("b")).count().collect():  # one row a bucket
+        parts[b] = max(1, many // BUCKET)
+    packed = "bucket int, part int, keys binary, data binary"
+    sums = []
+    for k in range(ROUNDS):
+        left = uses.mapInArrow(packer(parts, False, k), packed).groupBy("bucket", "part")
+        right = table.where(F.pmod(at, F.lit(ROUNDS)) == k).select("key", "value").mapInArrow(packer(parts, True, k), packed).groupBy("bucket", "part")
+        sums.append(cut(left.cogroup(right).applyInArrow(meet, "row_id long, sum double"), "sums"))
+    out = cut(_all(sums).groupBy("row_id").agg(F.sum("sum").alias("sum")), "sums")
+    for x in sums:
+        discard(x)
+    return out
+
+
 def _half(doc_id: str):
-    """Half of the trusted documents, by their hash, train (up to the bound); the other half sets the thresholds."""
+    """Half of the trusted documents, by their hash, train; the other half sets the thresholds."""
     return F.substring(F.md5(F.col(doc_id).cast("string")), -1, 1).isin(*"01234567")
 
 
+def chosen(docs: DataFrame, good: DataFrame) -> DataFrame:
+    """All trusted texts of the training half. docs: (doc_id, text); good: distinct (_t)."""
+    texts = docs.where("length(text) > 0").join(good.where(_half("_t")), F.col("doc_id") == F.col("_t"), "left_semi")
+    return texts.select("doc_id", "text").dropDuplicates()
+
+
 def sample(docs: DataFrame, good: DataFrame, trusted: int) -> DataFrame:
-    """The trusted texts to train on. docs: (doc_id, text); good: distinct (_t)."""
+    """At most ``trusted`` of these texts, for a caller who wants a small model. docs: (doc_id, text); good: distinct (_t)."""
     here = docs.select("doc_id", F.xxhash64("text").alias("key"), F.length("text").alias("chars")).where("chars > 0")
     here = here.join(good.where(_half("_t")), F.col("doc_id") == F.col("_t"), "left_semi").distinct()
     taken, left = [], TRUSTED_CHARS
@@ -166,16 +370,31 @@ def sample(docs: DataFrame, good: DataFrame, trusted: int) -> DataFrame:
     return texts.select("doc_id", "text").dropDuplicates()
 
 
-def _scored(docs: DataFrame, labels: DataFrame, quantile: float, trusted: int, whole: bool) -> tuple[DataFrame, str, str, str]:
+def _scored(docs: DataFrame, labels: DataFrame, quantile: float, trusted: int | None, whole: bool) -> tuple[DataFrame, str, str, str]:
     """docs (without its text unless ``whole``) with the columns whose names follow: tokens, log10 probability, limit of the cost."""
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_t")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model = docs.sparkSession.sparkContext.broadcast(train(sample(texts, good, trusted)))
-    tokens, log, limit, lang = (unused(docs, n) for n in ("_tokens", "_log10", "_limit", "_lang"))
+    tokens, log, limit, lang, row_id, tail, more = (unused(docs, n) for n in ("_tokens", "_log10", "_limit", "_lang", "_row_id", "_tail", "_sum"))
     at = [c.lower() for c in docs.columns].index("text")
     rest = [k for k in range(len(docs.columns)) if whole or k != at]
-    schema = StructType([*(docs.schema.fields[k] for k in rest), StructField(tokens, LongType()), StructField(log, DoubleType())])
-    scored = cut(docs.mapInArrow(scorer(model, at, rest, schema.names), schema), "perplexity")
+    own = [StructField(tokens, LongType()), StructField(log, DoubleType()), StructField(row_id, LongType()), StructField(tail, ArrayType(LongType()))]
+    schema = StructType([*(docs.schema.fields[k] for k in rest), *own])
+    with brief_shuffles(docs.sparkSession):
+        parts, floor = weights(chosen(texts, good) if trusted is None else sample(texts, good, trusted))
+        table = _all(parts)
+        keys, values = _sorted(frequent(table, HEAD).select("key", "value").toArrow())  # at most HEAD rows
+        model = docs.sparkSession.sparkContext.broadcast({"keys": keys, "values": values, "floor": np.array([floor]), "bits": bit_filter(table)})
+        scored = cut(docs.mapInArrow(scorer(model, at, rest, schema.names), schema), "perplexity")
+        sums = tail_sums(scored.select(F.col(tail).alias("tail"), F.col(row_id).alias("row_id")), table)
+    for x in parts:
+        discard(x)
+    model.unpersist()
+    first = scored
+    scored = scored.drop(tail).join(sums.select(F.col("row_id").alias(row_id), F.col("sum").alias(more)), row_id, "left")
+    scored = scored.withColumn(log, F.col(log) + F.coalesce(more, F.lit(0.0))).drop(more, row_id)
+    if not whole:
+        scored = cut(scored, "perplexity")
+        discard(first)
 
     cost = -F.col(log) / F.col(tokens)
     narrow = scored.where(F.col(tokens) > 1).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.ceil(cost / BIN).cast("long").alias("bin"))
@@ -196,7 +415,7 @@ def _scored(docs: DataFrame, labels: DataFrame, quantile: float, trusted: int, w
     return out.withColumn(limit, F.coalesce(limit, F.lit(common))), tokens, log, limit
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, trusted: int = TRUSTED) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, trusted: int | None = None) -> DataFrame:
     """doc_id, lang, n_tokens, log10_prob, perplexity, threshold, kept of every row of ``docs`` (doc_id, lang, text).
 
     labels: (doc_id, quality, toxic); trusted are the documents of quality 1 that are not toxic.
@@ -209,6 +428,6 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, tru
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, each by its own text and language; no row is moved."""
-    out, tokens, log, limit = _scored(docs, labels, QUANTILE, TRUSTED, True)
+    """The rows of ``docs`` that are not rejected, each by its own text and language."""
+    out, tokens, log, limit = _scored(docs, labels, QUANTILE, None, True)
     return out.where((F.col(tokens) > 1) & (-F.col(log) / F.col(tokens) <= F.col(limit))).select(*(out[c] for c in docs.columns))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +47,29 @@ def cut(df: DataFrame, name: str = "cut", by: list[str] | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries inside are deleted as each query ends; only for queries whose plans do not run again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table that ``cut`` has written, once nothing reads it any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for folder in {path(f).getParent().toString() for f in table.inputFiles()}:
+        path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(folder), True)
+
+
 def clear(spark: SparkSession) -> bool:
     """Deletes all that this application has cut, for whoever owns a finished run: results that read it must be written before."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(_cuts(spark))

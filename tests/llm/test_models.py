@@ -123,6 +123,25 @@ def test_perplexity_equals_the_definition(spark):
         assert n[0] == len(words(t)) + 1 and got[0] == pytest.approx(plain_kneser_ney(texts, t), rel=1e-4)
 
 
+@pytest.mark.parametrize("head, bucket", [(1 << 20, 1 << 19), (64, 256)])
+def test_all_trusted_texts_train(spark, monkeypatch, head, bucket):
+    """More trusted texts than a model once took; weights that are broadcast, and ones that are met in buckets of several parts."""
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(300)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 6))) + f" own{k}" for k in range(4400)]
+    half = lambda k: hashlib.md5(str(k).encode()).hexdigest()[-1] in "01234567"
+    train = [t for k, t in enumerate(texts) if half(k)]
+    assert len(train) > 2000
+    monkeypatch.setattr(kn, "HEAD", head)
+    monkeypatch.setattr(kn, "BUCKET", bucket)
+    monkeypatch.setattr(kn, "MOST_WORDS", head)
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(len(texts))], "doc_id long, quality int, toxic int")
+    texts += ["w1 w2 never w3 w4", texts[1] + " " + texts[2], None]
+    got = rows(kn.classify(docs(spark, texts), labels))
+    for k in (*range(24), 4400, 4401, 4402):
+        assert got[k]["log10_prob"] == pytest.approx(plain_kneser_ney(train, texts[k] or ""), rel=1e-4), k
+
+
 def test_junk_is_rejected(spark):
     rng = random.Random(3)
     vocabulary = [f"w{k}" for k in range(60)]
