@@ -407,6 +407,21 @@ def test_whole_pipeline_against_plain_versions(spark, tmp_path):
     assert total == pytest.approx(1.5 * sum(sizes.values())) and abs(sum(r["taken"] for r in got.values()) - total) < 60
 
 
+def test_quality_stage_trains_on_all_trusted_texts(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as cp
+    from epsforest.llm import kneser_ney
+
+    rng = random.Random(23)
+    texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(20)) for _ in range(121)] + [" ".join(f"#{rng.random()}" for _ in range(20))]
+    folder = written(tmp_path, spark, texts, ["en"] * len(texts), ["s"] * len(texts), [(0, "x")])
+    taken, weights = [], kneser_ney.weights
+    monkeypatch.setattr(kneser_ney, "TRUSTED_CHARS", 100)
+    monkeypatch.setattr(kneser_ney, "weights", lambda x: taken.extend(r["doc_id"] for r in x.collect()) or weights(x))
+    kept = {r["doc_id"] for r in cp.quality(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).collect()}
+    assert sorted(taken) == [k for k in range(0, 121, 3) if hashlib.md5(str(k).encode()).hexdigest()[-1] in "01234567"]
+    assert len(kept) > 100 and 121 not in kept
+
+
 @pytest.mark.parametrize("texts", [[], [None, "", " "]])
 def test_pipeline_without_documents(spark, tmp_path, texts):
     import corpus_pipeline as cp
