@@ -10,7 +10,8 @@ weight joins what it adds as (v, w) to its word's probability and what it leaves
 not have weigh nothing. Scoring so needs no order of lookups: the at most ``HEAD`` most frequent n-grams are broadcast with
 their weights, and a filter of ``FILTER`` bits tells most of those that training lacks (what it lets through by mistake is found
 absent later). All other n-grams of a text meet the weights in buckets: packed arrays of both sides are dealt by key, a bucket with many uses
-to several tasks, and each row's sums are added up.
+to several tasks, and the sums of equal texts (by a 64-bit hash) are added up. Trigrams are counted in packed arrays too.
+Texts are read anew for each round of buckets rather than kept as keys, so that disk holds one round's share of them.
 
 Each document gets its log10 probability per token. For each language, the threshold is a quantile of the trusted
 documents of the other half, which training did not see, read off an exact histogram; a language with fewer than ``LEAST_CALIBRATION`` of them
@@ -35,9 +36,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from epsforest.llm.ppm import frequent
+from epsforest.llm.ppm import frequent, is_frequent
 from epsforest.llm.textscan import NOT_SPACE, U64, mix, pieces, rows_of, span_hashes, spans, tidy, unused
-from epsforest.runtime import brief_shuffles, cut, discard
+from epsforest.runtime import brief_shuffles, cut, cut_by, discard
 
 #: Characters of a model whose texts the caller bounds.
 TRUSTED_CHARS = 16_000_000
@@ -45,8 +46,9 @@ TRUSTED_CHARS = 16_000_000
 HEAD, MOST_WORDS, BUCKET, PACK = 1 << 20, 1 << 18, 1 << 19, 1 << 20
 #: Bits of a key that the filter looks at, and those of them that are the same in a part of it.
 FILTER, PART = 28, 12
-#: Rounds in which trigrams meet their contexts, and texts their weights: only one round's shuffle is on disk at a time.
-ROUNDS = 4
+#: Rounds in which trigrams meet their bigrams and their contexts, and texts their weights: only one round's shuffle is on disk at a time. Texts
+#: take more rounds, up to MOST_ROUNDS, until one has no more uses than there are weights. Texts whose sums are added up in one group.
+ROUNDS, MOST_ROUNDS, PLACE = 4, 16, 1 << 13
 QUANTILE, LEAST_CALIBRATION, BIN = 0.995, 30, 0.01
 START, STOP = U64(0x5D0A11CE0FF1CE01), U64(0xE0F0D0C0B0A09081)
 
@@ -79,31 +81,117 @@ def _tokens(out: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(at)
 
 
-def trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, _, buf, offs in pieces(batch.column(0)):
-            out, firsts, _ = sequences(buf, offs)
-            at = _tokens(out, firsts)
-            _, first, n = np.unique(joined(out[at - 2], out[at - 1], out[at]), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([*(pa.array(out[at[first] - k].view(np.int64)) for k in (2, 1, 0)), pa.array(n)], ["u", "v", "w", "n"])
-
-
-def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, v, w, c, p2, b): a trigram's context, key, count and its bigram's probability, if there is ``p2``; the bigram's key and weight, if there is ``b``."""
-
-    def rows(batch: pa.RecordBatch, gram: bool) -> pa.RecordBatch:
-        some = batch.filter(batch.column(4 if gram else 5).is_valid())
-        u, v, w = (some.column(k).to_numpy().view(U64) for k in range(3))
-        no = lambda kind: pa.nulls(len(u), kind)
-        if gram:
-            values = [pa.array(joined(u, v).view(np.int64)), pa.array(joined(u, v, w).view(np.int64)), some.column(3), some.column(4), no(pa.float32())]
-        else:
-            values = [pa.array(joined(v, w).view(np.int64)), no(pa.int64()), some.column(3), no(pa.float32()), some.column(5)]
-        return pa.RecordBatch.from_arrays(values, ["uv", "t", "c", "p2", "b"])
+def split_up(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, list[bytes]]]:
+    """Each bucket that occurs, and the bytes of its part of the columns."""
+    order = np.argsort(bucket, kind="stable")
+    buckets, first = np.unique(bucket[order], return_index=True)
+    parts = [[x.tobytes() for x in np.split(c[order], first[1:])] for c in columns]
+    yield from zip(buckets.tolist(), map(list, zip(*parts, strict=True)), strict=True)
 
-    for batch in batches:
-        yield rows(batch, True)
-        yield rows(batch, False)
+
+def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+
+def values_of(table: pa.Table, name: str, kind) -> np.ndarray:
+    """The arrays of all rows in a binary column, one after the other; nulls are empty."""
+    return np.frombuffer(b"".join(x for x in table[name].to_pylist() if x), kind)
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys >> U64(1)) % U64(buckets)).astype(np.int64)
+
+
+def counted(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct trigrams in the order of their keys, and their counts."""
+    keys = joined(u, v, w)
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    n = np.add.reduceat(n[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+    order = order[first]
+    return keys[first], u[order], v[order], w[order], n
+
+
+TRIGRAMS = "bucket int, u binary, v binary, w binary, n binary"
+
+
+def trigrams(buckets: int, round_: int):
+    """Packs the trigrams of a round's buckets, those of the last two words, with their counts."""
+    schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in "uvwn")])
+
+    def packs(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        _, u, v, w, n = counted(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        return batch_of([(b, *x) for b, x in split_up(bucket_of(joined(v, w), buckets), [u, v, w, n])], schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for _, _, buf, offs in pieces(batch.column(0)):
+                out, firsts, _ = sequences(buf, offs)
+                at = _tokens(out, firsts)
+                at = at[bucket_of(joined(out[at - 1], out[at]), buckets) % ROUNDS == round_]
+                held.append((out[at - 2], out[at - 1], out[at], np.ones(len(at), np.int64)))
+                n += len(at)
+                if n >= PACK:
+                    yield packs(held)
+                    held, n = [], 0
+        if n:
+            yield packs(held)
+
+    return tidy(run)
+
+
+def unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
+    return counted(*(values_of(table, c, U64) for c in "uvw"), values_of(table, "n", np.int64))
+
+
+def pairs_of(table: pa.Table) -> pa.Table:
+    """(bucket, v, w, c2, k1, .., k4): a bucket's bigrams with the number of words before them; its first row has the numbers of its trigrams with count 1 to 4."""
+    _, _, v, w, n = unpacked(table)
+    keys, first, c2 = np.unique(joined(v, w), return_index=True, return_counts=True)
+    once = np.zeros((4, len(keys)), np.int64)
+    once[:, :1] = np.bincount(np.minimum(n, 5), minlength=6)[1:5, None]
+    bucket = np.full(len(keys), table["bucket"][0].as_py(), np.int32)
+    return pa.table([bucket, v[first].view(np.int64), w[first].view(np.int64), c2, *once], ["bucket", "v", "w", "c2", "k1", "k2", "k3", "k4"])
+
+
+CONTEXTS = "round int, bucket int, uv binary, t binary, c binary, p2 binary, vw binary, b binary"
+
+
+def by_context(buckets: int):
+    """Of a bucket's trigrams and bigrams: trigrams with count and bigram's probability in packs by their context, and bigrams with their weight by themselves."""
+    schema = pa.schema([("round", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("uv", "t", "c", "p2", "vw", "b"))])
+
+    def run(grams: pa.Table, pairs: pa.Table) -> pa.Table:
+        t, u, v, w, n = unpacked(grams)
+        keys = joined(*(pairs[c].to_numpy().astype(np.int64).view(U64) for c in "vw"))
+        order = np.argsort(keys)
+        p2 = pairs["p2"].to_numpy().astype(np.float32)[order][np.searchsorted(keys[order], joined(v, w))]
+        uv = joined(u, v)
+        rows = [(b % ROUNDS, b, *x, None, None) for b, x in split_up(bucket_of(uv, buckets), [uv, t, n, p2])]
+        rows += [(b % ROUNDS, b, None, None, None, None, *x) for b, x in split_up(bucket_of(keys, buckets), [keys, pairs["b"].to_numpy().astype(np.float32)])]
+        return pa.Table.from_batches([batch_of(rows, schema)])
+
+    return run
+
+
+def weigher(d3: list[float]):
+    """(key, value, n) of a bucket's trigrams, and of the bigrams that are their contexts."""
+    off = np.array([d3[0], *d3])
+
+    def run(table: pa.Table) -> pa.Table:
+        uv, t, vw = (values_of(table, c, U64) for c in ("uv", "t", "vw"))
+        c, p2, b = values_of(table, "c", np.int64), values_of(table, "p2", np.float32).astype(float), values_of(table, "b", np.float32).astype(float)
+        contexts, at = np.unique(np.concatenate([uv, vw]), return_inverse=True)
+        at, own = at[: len(uv)], at[len(uv) :]
+        taken = off[np.minimum(c, 3)]
+        rest, total = (np.bincount(at, weights=x, minlength=len(contexts)) for x in (taken, c))
+        value = np.log10(1 + (c - taken) / rest[at] / p2)
+        left = np.log10(np.where(total > 0, rest, 1) / np.maximum(total, 1)) + np.bincount(own, weights=b, minlength=len(contexts))
+        return pa.table([np.concatenate([t, contexts]).view(np.int64), np.concatenate([value, left]).astype(np.float32), np.concatenate([c, total.astype(np.int64)])], ["key", "value", "n"])
+
+    return run
 
 
 def discounts(counts: DataFrame, column: str = "c") -> list[float]:
@@ -111,6 +199,10 @@ def discounts(counts: DataFrame, column: str = "c") -> list[float]:
     n = [0] * 5
     for r in counts.where(F.col(column) <= 4).groupBy(column).count().collect():
         n[int(r[0])] = r["count"]
+    return _discounts(n)
+
+
+def _discounts(n: list[int]) -> list[float]:
     if not n[1] or not n[2]:
         return [0.5, 0.75, 0.9]
     y = n[1] / (n[1] + 2 * n[2])
@@ -132,13 +224,16 @@ def _with_words(grams: DataFrame, words: DataFrame, key: str) -> DataFrame:
 
 def weights(texts: DataFrame) -> tuple[list[DataFrame], float]:
     """Tables (key, value, n) of all words, bigrams and trigrams of the texts (text,): log10 weights, and counts to rank them by; and an unknown word's probability."""
-    tri = texts.select("text").mapInArrow(tidy(trigrams), "u long, v long, w long, n long").repartition("v", "w").groupBy("u", "v", "w").agg(F.sum("n").alias("c"))
-    pair = Window.partitionBy("v", "w")
-    tri = tri.withColumn("first", F.row_number().over(pair.orderBy("u")) == 1).withColumn("c2", F.count("*").over(pair))
-    tri = cut(tri, "tri")
-    d3, d2 = discounts(tri), discounts(tri.where("first"), "c2")
-    after = tri.groupBy(F.col("w").alias("x")).agg(F.count_if("first").alias("c"), F.count("*").alias("n_w"))
-    before = tri.groupBy(F.col("v").alias("x")).agg(F.count("*").alias("n_v"), F.sum(F.when(F.col("first"), _off(F.col("c2"), d2))).alias("off"))
+    texts = cut(texts.select("text"), "trusted")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(ROUNDS, -(-size // (6 * BUCKET)))  # words of about six bytes
+    found = "bucket int, v long, w long, c2 long, k1 long, k2 long, k3 long, k4 long"
+    counts = [cut(texts.mapInArrow(trigrams(buckets, k), TRIGRAMS).groupBy("bucket").applyInArrow(pairs_of, found), "pairs") for k in range(ROUNDS)]
+    pairs = _all(counts)
+    d3 = _discounts([0, *(x or 0 for x in pairs.agg(*(F.sum(f"k{k}") for k in (1, 2, 3, 4))).first())])
+    d2 = discounts(pairs, "c2")
+    after = pairs.groupBy(F.col("w").alias("x")).agg(F.count("*").alias("c"), F.sum("c2").alias("n_w"))
+    before = pairs.groupBy(F.col("v").alias("x")).agg(F.sum("c2").alias("n_v"), F.sum(_off(F.col("c2"), d2)).alias("off"))
     words = cut(after.join(before, "x", "full"), "words")
     d1 = discounts(words)
     all_, off_all, n = words.agg(F.sum("c"), F.sum(F.when(F.col("c").isNotNull(), _off(F.col("c"), d1))), F.count("c")).first()
@@ -149,48 +244,68 @@ def weights(texts: DataFrame) -> tuple[list[DataFrame], float]:
     ends = words.where("c is not null").select(F.col("x").alias("w"), p1.alias("p1"), F.col("n_w").alias("n"))
     contexts = words.where("n_v is not null").select(F.col("x").alias("v"), gamma.alias("g2"), F.col("n_v").alias("all2"), F.col("n_v").alias("n"))
     a2, rest = (F.col("c2") - _off(F.col("c2"), d2)) / F.col("all2"), F.col("g2") * F.col("p1")
-    grams = _with_words(_with_words(tri, ends, "w"), contexts, "v")
-    grams = cut(grams.select("u", "v", "w", "c", (a2 + rest).cast("float").alias("p2"), F.when(F.col("first"), F.log10(1 + a2 / rest)).cast("float").alias("b")), "grams")
-    discard(tri)
+    weighed = _with_words(_with_words(pairs.select("bucket", "v", "w", "c2"), ends, "w"), contexts, "v")
+    weighed = cut(weighed.select("bucket", "v", "w", (a2 + rest).cast("float").alias("p2"), F.log10(1 + a2 / rest).cast("float").alias("b")), "weighed")
+    for x in counts:
+        discard(x)
     own = F.coalesce(F.log10(p1 / F.lit(floor)), F.lit(0.0)) + F.coalesce(F.log10(gamma), F.lit(0.0))
     parts = [cut(words.select(F.col("x").alias("key"), own.cast("float").alias("value"), (F.coalesce("n_w", F.lit(0)) + F.coalesce("n_v", F.lit(0))).alias("n")), "weights")]
-    for k in range(ROUNDS):
-        as_gram, as_pair = (F.pmod(F.xxhash64(*c), F.lit(ROUNDS)) == k for c in (("u", "v"), ("v", "w")))
-        some = grams.where(as_gram | (F.col("b").isNotNull() & as_pair)).select("u", "v", "w", "c", F.when(as_gram, F.col("p2")).alias("p2"), F.when(as_pair, F.col("b")).alias("b"))
-        parts.append(cut(_by_context(some, d3), "weights"))
-    discard(grams)
     discard(words)
+    packs = []
+    for k in range(ROUNDS):
+        grams = texts.mapInArrow(trigrams(buckets, k), TRIGRAMS).groupBy("bucket")
+        packs.append(cut_by(grams.cogroup(weighed.where(F.col("bucket") % ROUNDS == k).groupBy("bucket")).applyInArrow(by_context(buckets), CONTEXTS), "packs", "round", ROUNDS))
+    discard(weighed)
+    discard(texts)
+    for some in zip(*packs, strict=True):
+        parts.append(cut(_all(list(some)).groupBy("bucket").applyInArrow(weigher(d3), "key long, value float, n long"), "weights"))
+        for x in some:
+            discard(x)
     return parts, floor
 
 
-def _by_context(grams: DataFrame, d3: list[float]) -> DataFrame:
-    """(key, value, n) of the trigrams of some contexts, and of the bigrams that these contexts are. grams: what ``keys_of`` takes."""
-    grams = grams.mapInArrow(tidy(keys_of), "uv long, t long, c long, p2 float, b float")
-    context = Window.partitionBy("uv")
-    of = F.col("t").isNotNull()
-    grams = grams.withColumn("off", F.sum(F.when(of, _off(F.col("c"), d3))).over(context)).withColumn("all", F.sum(F.when(of, F.col("c"))).over(context)).withColumn("own", F.sum("b").over(context))
-    grams = grams.withColumn("row", F.row_number().over(context.orderBy("t")))
-    mine = F.when(of, F.struct(F.col("t").alias("key"), F.log10(1 + (F.col("c") - _off(F.col("c"), d3)) / F.col("off") / F.col("p2")).cast("float").alias("value"), F.col("c").alias("n")))
-    left = F.coalesce(F.log10(F.col("off") / F.col("all")), F.lit(0.0)) + F.coalesce("own", F.lit(0.0))
-    both = F.when(F.col("row") == 1, F.struct(F.col("uv").alias("key"), left.cast("float").alias("value"), F.coalesce("all", F.lit(0)).alias("n")))
-    return grams.select(F.inline(F.filter(F.array(mine, both), lambda x: x.isNotNull())))
-
-
 def _all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def indexed(table: pa.Table) -> dict[str, np.ndarray]:
+    """Sorted keys with their values, and where the keys of each leading part start."""
     keys, values = table["key"].to_numpy().astype(np.int64).view(U64), table["value"].to_numpy().astype(np.float32)
     order = np.argsort(keys)
-    return keys[order], values[order]
+    return {"keys": keys[order], "values": values[order]} | _starts(keys[order])
+
+
+def _starts(keys: np.ndarray) -> dict[str, np.ndarray]:
+    shift = 64 - max(1, len(keys).bit_length())
+    return {"starts": np.searchsorted(keys, np.arange(1 << 64 - shift, dtype=U64) << U64(shift)).astype(np.int32), "shift": np.array([shift], U64)}
+
+
+def _found(model: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The value of each key, or 0, and whether the model has it."""
+    keys = model["keys"]
+    if not len(keys):
+        return np.zeros(len(x)), np.zeros(len(x), bool)
+    at = model["starts"][x >> model["shift"][0]]
+    past = at == len(keys)
+    at[past] = 0
+    here = keys[at]
+    hit = here == x
+    open_ = np.flatnonzero((here < x) & ~past)
+    while len(open_):  # keys of a part are few
+        at[open_] += 1
+        open_ = open_[at[open_] < len(keys)]
+        here = keys[at[open_]]
+        hit[open_] = here == x[open_]
+        open_ = open_[here < x[open_]]
+    values = np.zeros(len(x))
+    values[hit] = model["values"][at[hit]]
+    return values, hit
 
 
 def train(texts: DataFrame) -> dict[str, np.ndarray]:
     """All weights as sorted arrays, for texts (text,) that are few."""
     parts, floor = weights(texts)
-    keys, values = _sorted(_all(parts).toArrow())
-    return {"keys": keys, "values": values, "floor": np.array([floor])}
+    return indexed(_all(parts).toArrow()) | {"floor": np.array([floor])}
 
 
 def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,33 +344,28 @@ def bit_filter(table: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def look_up(model: dict[str, np.ndarray], buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """log10 probability and tokens of each row by the weights of the model; rows, in order, and keys of the n-grams that it lacks and its filter does not exclude."""
+def keys_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of all n-grams whose weights make up the rows' log10 probabilities, their rows, and tokens of each row."""
     out, firsts, counts = sequences(buf, offs)
     at = _tokens(out, firsts)
     n = len(counts)
     row = np.repeat(np.arange(n), counts)
     w, v = out[at], out[at - 1]
     heads = (np.full(n, START, U64), np.full(n, joined(np.full(1, START, U64), np.full(1, START, U64))[0], U64))
-    keys = np.concatenate([w, joined(v, w), joined(out[at - 2], v, w), *heads])
-    rows = np.concatenate([row, row, row, np.arange(n), np.arange(n)])
-    if "bits" in model:
-        place = keys >> U64(64 - FILTER)
-        some = np.flatnonzero(model["bits"][place >> U64(3)] >> (place & U64(7)).astype(np.uint8) & 1)
-        keys, rows = keys[some], rows[some]
-    values, hit = _found(model["keys"], model["values"], keys)
-    score = np.bincount(rows, weights=values, minlength=n) + counts * np.log10(model["floor"][0])
-    lost = np.flatnonzero(~hit)
-    lost = lost[np.argsort(rows[lost], kind="stable")]
-    return score, counts, rows[lost], keys[lost]
-
-
-def _found(keys: np.ndarray, values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(x)), np.zeros(len(x), bool)
-    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-    hit = keys[at] == x
-    return np.where(hit, values[at], np.float32(0)).astype(np.float64), hit
+    return np.concatenate([w, joined(v, w), joined(out[at - 2], v, w), *heads]), np.concatenate([row, row, row, np.arange(n), np.arange(n)]), counts
+
+
+def passed(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys the filter does not exclude."""
+    place = keys >> U64(64 - FILTER)
+    return np.flatnonzero(bits[place >> U64(3)] >> (place & U64(7)).astype(np.uint8) & 1)
+
+
+def look_up(model: dict[str, np.ndarray], buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log10 probability and tokens of each row by the weights of the model; keys of the n-grams that it lacks."""
+    keys, rows, counts = keys_of(buf, offs)
+    values, hit = _found(model, keys)
+    return np.bincount(rows, weights=values, minlength=len(counts)) + counts * np.log10(model["floor"][0]), counts, keys[~hit]
 
 
 def log_probabilities(model: dict[str, np.ndarray], buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,83 +373,126 @@ def log_probabilities(model: dict[str, np.ndarray], buf: np.ndarray, offs: np.nd
     return look_up(model, buf, offs)[:2]
 
 
-def scorer(model, text: int, rest: list[int], names: list[str]):
-    """Columns ``rest`` of each row, the number of tokens and the log10 probability of column ``text`` as far as the head knows it, a row's own number and the keys of what is left."""
+def scorer(model, text: int, rest: list[int], buckets: int, names: list[str]):
+    """Columns ``rest`` of each row, the number of tokens, the log10 probability of column ``text`` as far as the head knows it, and with a task's last row how many keys are left for each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = model.value
-        row_id = TaskContext.get().partitionId() << 40
+        tables, uses = model.value, np.zeros(buckets, np.int64)
+        held: list[pa.Array] | None = None
+
+        def out(last: bool) -> pa.RecordBatch:
+            none = pa.nulls(len(held[0]) - last, pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([*held, pa.concat_arrays([none, pa.array([uses], pa.list_(pa.int64()))]) if last else none], names)
+
         for batch in batches:
             for row, end, buf, offs in pieces(batch.column(text)):
-                score, counts, rows, keys = look_up(tables, buf, offs)
-                upto = np.searchsorted(rows, np.arange(end - row + 1)).astype(np.int32)
-                tail = pa.ListArray.from_arrays(pa.array(upto), pa.array(keys.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(row, end - row) for k in rest), pa.array(counts), pa.array(score), pa.array(row_id + np.arange(end - row)), tail], names)
-                row_id += end - row
+                if held:
+                    yield out(False)
+                score, counts, keys = look_up(tables, buf, offs)
+                uses += np.bincount(bucket_of(keys[passed(tables["bits"], keys)], buckets), minlength=buckets)
+                held = [*(batch.column(k).slice(row, end - row) for k in rest), pa.array(counts), pa.array(score)]
+        if held:
+            yield out(True)
 
     return tidy(run)
 
 
-def packer(parts: np.ndarray, copies: bool, round_: int):
-    """Packs (key, values) of a round into arrays by bucket; a bucket's packs go round its parts, or with ``copies`` to each of them."""
+USES, VALUES, SUMS = ("bucket int, part int, keys binary, at binary, ids binary", "bucket int, part int, keys binary, data binary", "place int, ids binary, sums binary")
+
+
+def uses_of(model, parts: np.ndarray, rounds: int, round_: int):
+    """Packs the keys of (id, text) that a round's buckets may have, with their rows' ids; a bucket's packs go round its parts."""
+    schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), *((c, pa.binary()) for c in ("keys", "at", "ids"))])
 
     def packs(held: list[tuple[np.ndarray, np.ndarray]], turn: int) -> pa.RecordBatch:
-        keys, values = (np.concatenate(x) for x in zip(*held, strict=True))
-        bucket = ((keys >> U64(1)) % U64(len(parts))).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        order = order[bucket[order] % ROUNDS == round_]
-        buckets, first = np.unique(bucket[order], return_index=True)
+        keys, ids = (np.concatenate(x) for x in zip(*held, strict=True))
         rows = []
-        for b, lo, hi in zip(buckets.tolist(), first.tolist(), [*first[1:].tolist(), len(order)][: len(first)], strict=True):
-            some = order[lo:hi]
-            x, y = keys[some].tobytes(), values[some].tobytes()
-            rows += [(b, p, x, y) for p in (range(parts[b]) if copies else (turn % int(parts[b]),))]
-        b, p, x, y = zip(*rows, strict=True) if rows else ((), (), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(p, pa.int32()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["bucket", "part", "keys", "data"])
+        for b, (x, y) in split_up(bucket_of(keys, len(parts)), [keys, ids]):
+            mine, at = np.unique(np.frombuffer(y, np.int64), return_inverse=True)
+            rows.append((b, turn % int(parts[b]), x, at.astype(np.uint32).tobytes(), mine.tobytes()))
+        return batch_of(rows, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, turn = [], 0, TaskContext.get().partitionId()
+        tables, held, n, turn = model.value, [], 0, TaskContext.get().partitionId()
         for batch in batches:
-            keys, values = batch.column(0), batch.column(1).to_numpy()
-            if pa.types.is_list(keys.type):
-                values, keys = np.repeat(values, np.diff(keys.offsets.to_numpy())), keys.flatten()
-            held.append((keys.to_numpy().view(U64), values))
-            n += len(keys)
-            if n >= PACK:
-                yield packs(held, turn)
-                held, n, turn = [], 0, turn + 1
+            ids = batch.column(0).to_numpy()
+            for row, _, buf, offs in pieces(batch.column(1)):
+                keys, rows, _ = keys_of(buf, offs)
+                some = np.flatnonzero(bucket_of(keys, len(parts)) % rounds == round_)
+                some = some[passed(tables["bits"], keys[some])]
+                some = some[~_found(tables, keys[some])[1]]
+                held.append((keys[some], ids[row + rows[some]]))
+                n += len(some)
+                if n >= PACK:
+                    yield packs(held, turn)
+                    held, n, turn = [], 0, turn + 1
         if n:
             yield packs(held, turn)
 
     return tidy(run)
 
 
-def meet(uses: pa.Table, table: pa.Table) -> pa.Table:
-    """(row_id, sum) of one part of a bucket."""
-    join = lambda t, c, kind: np.frombuffer(b"".join(t[c].to_pylist()), kind)
-    rows, values = join(uses, "data", np.int64), join(table, "data", np.float32)
-    keys = join(table, "keys", U64)
-    order = np.argsort(keys)
-    got, hit = _found(keys[order], values[order], join(uses, "keys", U64))
-    ids, at = np.unique(rows[hit], return_inverse=True)
-    return pa.table({"row_id": ids, "sum": np.bincount(at, weights=got[hit], minlength=len(ids)).astype(np.float64)})
-
-
-def tail_sums(uses: DataFrame, table: DataFrame) -> DataFrame:
-    """(row_id, sum) of the weights of each row's keys. uses: (tail array<long>, row_id long); table: (key, value)."""
-    n = uses.agg(F.sum(F.size("tail"))).first()[0] or 0
-    buckets = max(ROUNDS, -(-max(n, table.count()) // BUCKET))
-    at = F.pmod(F.shiftrightunsigned("key", 1), F.lit(buckets))
-    parts = np.ones(buckets, np.int64)
-    for b, many in uses.select(F.explode("tail").alias("key")).groupBy(at.alias("b")).count().collect():  # one row a bucket
-        parts[b] = max(1, many // BUCKET)
-    packed = "bucket int, part int, keys binary, data binary"
+def values_in(parts: np.ndarray):
+    """Packs (key, value) by bucket, for each of a bucket's parts."""
+    schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("data", pa.binary())])
+
+    def packs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        some = pa.Table.from_batches(held)
+        keys, values = some["key"].to_numpy().astype(np.int64).view(U64), some["value"].to_numpy().astype(np.float32)
+        return batch_of([(b, p, *x) for b, x in split_up(bucket_of(keys, len(parts)), [keys, values]) for p in range(parts[b])], schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= PACK:
+                yield packs(held)
+                held, n = [], 0
+        if n:
+            yield packs(held)
+
+    return tidy(run)
+
+
+def meet(places: int):
+    """The sums of one part of a bucket for each id, in packs by the ids' places."""
+    schema = pa.schema([("place", pa.int32()), ("ids", pa.binary()), ("sums", pa.binary())])
+
+    def run(uses: pa.Table, table: pa.Table) -> pa.Table:
+        keys, values = values_of(table, "keys", U64), values_of(table, "data", np.float32)
+        order = np.argsort(keys)
+        model = {"keys": keys[order], "values": values[order]} | _starts(keys[order])
+        got, hit = _found(model, values_of(uses, "keys", U64))
+        ids = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(i, np.int64)[np.frombuffer(x, np.uint32)] for i, x in zip(uses["ids"].to_pylist(), uses["at"].to_pylist(), strict=True))])
+        return pa.Table.from_batches([batch_of([(p, *x) for p, x in split_up(*_summed(ids[hit], got[hit], places))], schema)])
+
+    return run
+
+
+def _summed(ids: np.ndarray, values: np.ndarray, places: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    ids, at = np.unique(ids, return_inverse=True)
+    return bucket_of(ids.view(U64), places), [ids, np.bincount(at, weights=values, minlength=len(ids)).astype(np.float64)]
+
+
+def added(table: pa.Table) -> pa.Table:
+    """(id, sum) of a place."""
+    _, (ids, sums) = _summed(values_of(table, "ids", np.int64), values_of(table, "sums", np.float64), 1)
+    return pa.table({"id": ids, "sum": sums})
+
+
+def tail_sums(texts: DataFrame, table: DataFrame, model, uses: np.ndarray, rows: int) -> DataFrame:
+    """(id, sum) of the weights that ``table`` (key, value) has of all rows with the id. texts: (id, text); uses: keys for each bucket; rows: of texts."""
+    n = table.count()
+    rounds = int(min(MOST_ROUNDS, max(ROUNDS, -(-uses.sum() // max(1, n)))))
+    parts, places = np.maximum(1, uses // BUCKET), max(1, rows // PLACE)
+    at = F.pmod(F.shiftrightunsigned("key", 1), F.lit(len(uses)))
     sums = []
-    for k in range(ROUNDS):
-        left = uses.mapInArrow(packer(parts, False, k), packed).groupBy("bucket", "part")
-        right = table.where(F.pmod(at, F.lit(ROUNDS)) == k).select("key", "value").mapInArrow(packer(parts, True, k), packed).groupBy("bucket", "part")
-        sums.append(cut(left.cogroup(right).applyInArrow(meet, "row_id long, sum double"), "sums"))
-    out = cut(_all(sums).groupBy("row_id").agg(F.sum("sum").alias("sum")), "sums")
+    for k in range(rounds):
+        left = texts.mapInArrow(uses_of(model, parts, rounds, k), USES).groupBy("bucket", "part")
+        right = table.where(F.pmod(at, F.lit(rounds)) == k).select("key", "value").mapInArrow(values_in(parts), VALUES).groupBy("bucket", "part")
+        sums.append(cut(left.cogroup(right).applyInArrow(meet(places), SUMS).groupBy("place").applyInArrow(added, "id long, sum double"), "sums"))
+    out = cut(_all(sums), "sums")
     for x in sums:
         discard(x)
     return out
@@ -374,24 +527,32 @@ def _scored(docs: DataFrame, labels: DataFrame, quantile: float, trusted: int |
     """docs (without its text unless ``whole``) with the columns whose names follow: tokens, log10 probability, limit of the cost."""
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_t")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tokens, log, limit, lang, row_id, tail, more = (unused(docs, n) for n in ("_tokens", "_log10", "_limit", "_lang", "_row_id", "_tail", "_sum"))
+    tokens, log, limit, lang, id_, uses, more = (unused(docs, n) for n in ("_tokens", "_log10", "_limit", "_lang", "_id", "_uses", "_more"))
     at = [c.lower() for c in docs.columns].index("text")
-    rest = [k for k in range(len(docs.columns)) if whole or k != at]
-    own = [StructField(tokens, LongType()), StructField(log, DoubleType()), StructField(row_id, LongType()), StructField(tail, ArrayType(LongType()))]
-    schema = StructType([*(docs.schema.fields[k] for k in rest), *own])
-    with brief_shuffles(docs.sparkSession):
+    rest = [k for k in range(len(docs.columns) + 1) if whole or k != at]
+    ours = docs.withColumn(id_, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    own = [StructField(tokens, LongType()), StructField(log, DoubleType()), StructField(uses, ArrayType(LongType()))]
+    schema = StructType([*(ours.schema.fields[k] for k in rest), *own])
+    spark = docs.sparkSession
+    with brief_shuffles(spark):
         parts, floor = weights(chosen(texts, good) if trusted is None else sample(texts, good, trusted))
         table = _all(parts)
-        keys, values = _sorted(frequent(table, HEAD).select("key", "value").toArrow())  # at most HEAD rows
-        model = docs.sparkSession.sparkContext.broadcast({"keys": keys, "values": values, "floor": np.array([floor]), "bits": bit_filter(table)})
-        scored = cut(docs.mapInArrow(scorer(model, at, rest, schema.names), schema), "perplexity")
-        sums = tail_sums(scored.select(F.col(tail).alias("tail"), F.col(row_id).alias("row_id")), table)
+        often = is_frequent(table, HEAD)
+        tail = table.where(~often)
+        buckets = max(ROUNDS, -(-tail.count() // max(1, BUCKET >> 3)))
+        model = spark.sparkContext.broadcast(indexed(table.where(often).select("key", "value").toArrow()) | {"floor": np.array([floor]), "bits": bit_filter(tail)})  # at most HEAD rows
+        scored = cut(ours.mapInArrow(scorer(model, at, rest, buckets, schema.names), schema), "perplexity")
+        left = np.zeros(buckets, np.int64)
+        for b, n in scored.select(F.posexplode(uses).alias("b", "n")).groupBy("b").agg(F.sum("n")).collect():  # one row a bucket
+            left[b] = n
+        copies = scored.groupBy(F.col(id_).alias("id")).agg(F.count("*").alias("copies"))  # every copy of a text has added the text's sum
+        sums = tail_sums(ours.select(F.col(id_), F.col("text").cast("string")), tail, model, left, scored.count())
+        sums = cut(sums.groupBy("id").agg(F.sum("sum").alias("sum")).join(copies, "id").select(F.col("id").alias(id_), (F.col("sum") / F.col("copies")).alias(more)), "sums")
     for x in parts:
         discard(x)
-    model.unpersist()
+    model.destroy()
     first = scored
-    scored = scored.drop(tail).join(sums.select(F.col("row_id").alias(row_id), F.col("sum").alias(more)), row_id, "left")
-    scored = scored.withColumn(log, F.col(log) + F.coalesce(more, F.lit(0.0))).drop(more, row_id)
+    scored = scored.drop(uses).join(sums, id_, "left").withColumn(log, F.col(log) + F.coalesce(more, F.lit(0.0))).drop(more, id_)
     if not whole:
         scored = cut(scored, "perplexity")
         discard(first)

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epsforest.llm.textscan import LOWER, NOT_SPACE, U64, pieces, rows_of, span_hashes, spans
@@ -289,8 +289,8 @@ def train(learn: DataFrame, others: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut(dealt.mapInArrow(shards(low), "key long, n long, logp double"), "logs"), words
 
 
-def frequent(logs: DataFrame, most: int) -> DataFrame:
-    """The most frequent grams, at most so many."""
+def is_frequent(logs: DataFrame, most: int) -> Column:
+    """Whether a gram is among the most frequent ones, at most so many."""
     level = F.floor(4 * F.log2(F.col("n") + 1))
     left, least = most, None
     for row in sorted(logs.groupBy(level.alias("level")).count().collect(), reverse=True):  # a few hundred rows
@@ -298,7 +298,12 @@ def frequent(logs: DataFrame, most: int) -> DataFrame:
         if left < 0:
             break
         least = row["level"]
-    return logs.where(F.lit(False) if least is None else level >= least)
+    return F.lit(False) if least is None else level >= least
+
+
+def frequent(logs: DataFrame, most: int) -> DataFrame:
+    """The most frequent grams, at most so many."""
+    return logs.where(is_frequent(logs, most))
 
 
 def _looked_up(uses: DataFrame, table: DataFrame, key: str) -> DataFrame:

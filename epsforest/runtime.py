@@ -47,6 +47,17 @@ def cut(df: DataFrame, name: str = "cut", by: list[str] | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_by(df: DataFrame, name: str, column: str, n: int) -> list[DataFrame]:
+    """``cut`` to tables of their own, without ``column``, for its values 0 to n - 1: each can be discarded alone."""
+    spark = df.sparkSession
+    path = f"{_cuts(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(column).parquet(path)
+    schema = df.drop(column).schema
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    fs = of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    return [spark.read.schema(schema).parquet(x) if fs.exists(of(x)) else spark.createDataFrame([], schema) for x in (f"{path}/{column}={k}" for k in range(n))]
+
+
 @contextmanager
 def brief_shuffles(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of the queries inside are deleted as each query ends; only for queries whose plans do not run again."""
