@@ -37,7 +37,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 from pyspark.sql.window import Window
 
 from epsforest.llm.ppm import frequent, is_frequent
-from epsforest.llm.textscan import NOT_SPACE, U64, mix, pieces, rows_of, span_hashes, spans, tidy, unused
+from epsforest.llm.textscan import NOT_SPACE, U64, mix, pieces, release, rows_of, span_hashes, spans, tidy, unused
 from epsforest.runtime import brief_shuffles, cut, cut_by, discard
 
 #: Characters of a model whose texts the caller bounds.
@@ -45,10 +45,10 @@ TRUSTED_CHARS = 16_000_000
 #: N-grams that are broadcast; words that a join broadcasts at most; n-grams, or uses of them, of a bucket; n-grams of a pack.
 HEAD, MOST_WORDS, BUCKET, PACK = 1 << 20, 1 << 18, 1 << 19, 1 << 20
 #: Bits of a key that the filter looks at, and those of them that are the same in a part of it.
-FILTER, PART = 28, 12
+FILTER, PART = 27, 12
 #: Rounds in which trigrams meet their bigrams and their contexts, and texts their weights: only one round's shuffle is on disk at a time. Texts
-#: take more rounds, up to MOST_ROUNDS, until one has no more uses than there are weights. Texts whose sums are added up in one group.
-ROUNDS, MOST_ROUNDS, PLACE = 4, 16, 1 << 13
+#: take more rounds, up to MOST_ROUNDS, until one has no more uses than there are weights.
+ROUNDS, MOST_ROUNDS = 4, 16
 QUANTILE, LEAST_CALIBRATION, BIN = 0.995, 30, 0.01
 START, STOP = U64(0x5D0A11CE0FF1CE01), U64(0xE0F0D0C0B0A09081)
 
@@ -397,37 +397,58 @@ def scorer(model, text: int, rest: list[int], buckets: int, names: list[str]):
     return tidy(run)
 
 
-USES, VALUES, SUMS = ("bucket int, part int, keys binary, at binary, ids binary", "bucket int, part int, keys binary, data binary", "place int, ids binary, sums binary")
+USES, VALUES, SUMS = ("bucket int, part int, pack long, keys binary, at binary", "bucket int, part int, keys binary, data binary", "pack long, ids binary, at binary, sums binary")
+
+
+def steps_of(rows: np.ndarray) -> np.ndarray:
+    """Ascending row numbers as the steps between them, which compress well."""
+    return np.diff(rows, prepend=0).astype(np.uint32)
+
+
+def rows_at(steps: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(steps, np.uint32), dtype=np.int64)
+
+
+def narrowed(keys: np.ndarray) -> np.ndarray:
+    """The bytes of keys that tell those of a bucket apart: six, as a bucket holds few of all."""
+    return keys.view(np.uint8).reshape(-1, 8)[:, 2:]
+
+
+def widened(some: bytes) -> np.ndarray:
+    out = np.zeros((len(some) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(some, np.uint8).reshape(-1, 6)
+    return out.view(U64).reshape(-1)
 
 
 def uses_of(model, parts: np.ndarray, rounds: int, round_: int):
-    """Packs the keys of (id, text) that a round's buckets may have, with their rows' ids; a bucket's packs go round its parts."""
-    schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), *((c, pa.binary()) for c in ("keys", "at", "ids"))])
+    """Packs the keys of (id, text) that a round's buckets may have, with their rows; a bucket's packs go round its parts. The ids of a pack's rows go in a bucket -1."""
+    schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("pack", pa.int64()), ("keys", pa.binary()), ("at", pa.binary())])
 
-    def packs(held: list[tuple[np.ndarray, np.ndarray]], turn: int) -> pa.RecordBatch:
-        keys, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-        rows = []
-        for b, (x, y) in split_up(bucket_of(keys, len(parts)), [keys, ids]):
-            mine, at = np.unique(np.frombuffer(y, np.int64), return_inverse=True)
-            rows.append((b, turn % int(parts[b]), x, at.astype(np.uint32).tobytes(), mine.tobytes()))
-        return batch_of(rows, schema)
+    def packs(held: list[tuple[np.ndarray, np.ndarray]], ids: list[np.ndarray], pack: int) -> pa.RecordBatch:
+        keys, rows = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(rows, kind="stable")
+        found = split_up(bucket_of(keys[order], len(parts)), [narrowed(keys[order]), rows[order].astype(np.uint32)])
+        out = [(b, pack % int(parts[b]), pack, x, steps_of(np.frombuffer(y, np.uint32).astype(np.int64)).tobytes()) for b, (x, y) in found]
+        return batch_of([*out, (-1, pack % (1 << 16), pack, np.concatenate(ids).tobytes(), None)], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, held, n, turn = model.value, [], 0, TaskContext.get().partitionId()
+        tables, held, names, n, pack = model.value, [], [], 0, TaskContext.get().partitionId() << 32
+        pack += TaskContext.get().partitionId()  # so that tasks begin with different parts
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for row, _, buf, offs in pieces(batch.column(1)):
+            for row, end, buf, offs in pieces(batch.column(1)):
                 keys, rows, _ = keys_of(buf, offs)
                 some = np.flatnonzero(bucket_of(keys, len(parts)) % rounds == round_)
                 some = some[passed(tables["bits"], keys[some])]
                 some = some[~_found(tables, keys[some])[1]]
-                held.append((keys[some], ids[row + rows[some]]))
+                held.append((keys[some], rows[some] + sum(map(len, names))))
+                names.append(ids[row:end])
                 n += len(some)
                 if n >= PACK:
-                    yield packs(held, turn)
-                    held, n, turn = [], 0, turn + 1
+                    yield packs(held, names, pack)
+                    held, names, n, pack = [], [], 0, pack + 1
         if n:
-            yield packs(held, turn)
+            yield packs(held, names, pack)
 
     return tidy(run)
 
@@ -439,7 +460,7 @@ def values_in(parts: np.ndarray):
     def packs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         some = pa.Table.from_batches(held)
         keys, values = some["key"].to_numpy().astype(np.int64).view(U64), some["value"].to_numpy().astype(np.float32)
-        return batch_of([(b, p, *x) for b, x in split_up(bucket_of(keys, len(parts)), [keys, values]) for p in range(parts[b])], schema)
+        return batch_of([(b, p, *x) for b, x in split_up(bucket_of(keys, len(parts)), [narrowed(keys), values]) for p in range(parts[b])], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -455,43 +476,45 @@ def values_in(parts: np.ndarray):
     return tidy(run)
 
 
-def meet(places: int):
-    """The sums of one part of a bucket for each id, in packs by the ids' places."""
-    schema = pa.schema([("place", pa.int32()), ("ids", pa.binary()), ("sums", pa.binary())])
-
-    def run(uses: pa.Table, table: pa.Table) -> pa.Table:
-        keys, values = values_of(table, "keys", U64), values_of(table, "data", np.float32)
-        order = np.argsort(keys)
-        model = {"keys": keys[order], "values": values[order]} | _starts(keys[order])
-        got, hit = _found(model, values_of(uses, "keys", U64))
-        ids = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(i, np.int64)[np.frombuffer(x, np.uint32)] for i, x in zip(uses["ids"].to_pylist(), uses["at"].to_pylist(), strict=True))])
-        return pa.Table.from_batches([batch_of([(p, *x) for p, x in split_up(*_summed(ids[hit], got[hit], places))], schema)])
-
-    return run
-
-
-def _summed(ids: np.ndarray, values: np.ndarray, places: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    ids, at = np.unique(ids, return_inverse=True)
-    return bucket_of(ids.view(U64), places), [ids, np.bincount(at, weights=values, minlength=len(ids)).astype(np.float64)]
+def meet(uses: pa.Table, table: pa.Table) -> pa.Table:
+    """What one part of a bucket adds to the rows of each pack; the ids of packs' rows as they are."""
+    schema = pa.schema([("pack", pa.int64()), *((c, pa.binary()) for c in ("ids", "at", "sums"))])
+    keys, values = np.concatenate([np.zeros(0, U64), *map(widened, table["keys"].to_pylist())]), values_of(table, "data", np.float32)
+    order = np.argsort(keys)
+    model = {"keys": keys[order], "values": values[order]} | _starts(keys[order])
+    out = []
+    for bucket, pack, some, at in zip(*(uses[c].to_pylist() for c in ("bucket", "pack", "keys", "at")), strict=True):
+        if bucket < 0:
+            out.append((pack, some, None, None))
+            continue
+        got, hit = _found(model, widened(some))
+        rows, got = rows_at(at)[hit], got[hit]
+        first = np.flatnonzero(np.diff(rows, prepend=-1))
+        if len(first):
+            out.append((pack, None, steps_of(rows[first]).tobytes(), np.add.reduceat(got, first).astype(np.float32).tobytes()))
+    return pa.Table.from_batches([batch_of(out, schema)])
 
 
 def added(table: pa.Table) -> pa.Table:
-    """(id, sum) of a place."""
-    _, (ids, sums) = _summed(values_of(table, "ids", np.int64), values_of(table, "sums", np.float64), 1)
-    return pa.table({"id": ids, "sum": sums})
+    """(id, sum) of a pack's rows."""
+    ids = values_of(table, "ids", np.int64)
+    rows = np.concatenate([np.zeros(0, np.int64), *(rows_at(x) for x in table["at"].to_pylist() if x)])
+    sums = np.bincount(rows, weights=values_of(table, "sums", np.float32), minlength=len(ids))
+    ids, at = np.unique(ids, return_inverse=True)
+    return pa.table({"id": ids, "sum": np.bincount(at, weights=sums, minlength=len(ids)).astype(np.float64)})
 
 
-def tail_sums(texts: DataFrame, table: DataFrame, model, uses: np.ndarray, rows: int) -> DataFrame:
-    """(id, sum) of the weights that ``table`` (key, value) has of all rows with the id. texts: (id, text); uses: keys for each bucket; rows: of texts."""
+def tail_sums(texts: DataFrame, table: DataFrame, model, uses: np.ndarray) -> DataFrame:
+    """(id, sum) of the weights that ``table`` (key, value) has of all rows with the id. texts: (id, text); uses: keys for each bucket."""
     n = table.count()
     rounds = int(min(MOST_ROUNDS, max(ROUNDS, -(-uses.sum() // max(1, n)))))
-    parts, places = np.maximum(1, uses // BUCKET), max(1, rows // PLACE)
+    parts = np.maximum(1, uses // BUCKET)
     at = F.pmod(F.shiftrightunsigned("key", 1), F.lit(len(uses)))
     sums = []
     for k in range(rounds):
         left = texts.mapInArrow(uses_of(model, parts, rounds, k), USES).groupBy("bucket", "part")
         right = table.where(F.pmod(at, F.lit(rounds)) == k).select("key", "value").mapInArrow(values_in(parts), VALUES).groupBy("bucket", "part")
-        sums.append(cut(left.cogroup(right).applyInArrow(meet(places), SUMS).groupBy("place").applyInArrow(added, "id long, sum double"), "sums"))
+        sums.append(cut(left.cogroup(right).applyInArrow(meet, SUMS).groupBy("pack").applyInArrow(added, "id long, sum double"), "sums"))
     out = cut(_all(sums), "sums")
     for x in sums:
         discard(x)
@@ -545,8 +568,9 @@ def _scored(docs: DataFrame, labels: DataFrame, quantile: float, trusted: int |
         left = np.zeros(buckets, np.int64)
         for b, n in scored.select(F.posexplode(uses).alias("b", "n")).groupBy("b").agg(F.sum("n")).collect():  # one row a bucket
             left[b] = n
+        release()  # the driver keeps nothing of the model
         copies = scored.groupBy(F.col(id_).alias("id")).agg(F.count("*").alias("copies"))  # every copy of a text has added the text's sum
-        sums = tail_sums(ours.select(F.col(id_), F.col("text").cast("string")), tail, model, left, scored.count())
+        sums = tail_sums(ours.select(F.col(id_), F.col("text").cast("string")), tail, model, left)
         sums = cut(sums.groupBy("id").agg(F.sum("sum").alias("sum")).join(copies, "id").select(F.col("id").alias(id_), (F.col("sum") / F.col("copies")).alias(more)), "sums")
     for x in parts:
         discard(x)

@@ -49,6 +49,14 @@ def pieces(column: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, int, np.n
         row = end
 
 
+def release() -> None:
+    """Gives back to the system what this process has freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU library has it
+    if trim:
+        trim(0)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run``, with what it has freed given back to the system at its end: Python workers live on, and would keep the most that any task needed."""
 
@@ -56,10 +64,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU library has it
-            if trim:
-                trim(0)
+            release()
 
     return tidied
 

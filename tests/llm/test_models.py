@@ -338,3 +338,27 @@ def test_held_out_languages_of_the_given_documents(spark):
     by = collections.Counter(r["lang"] for r in got)
     right = collections.Counter(r["lang"] for r in got if r["lang"] == r["lang_pred"])
     assert len(by) == 4 and all(right[k] >= 0.98 * n for k, n in by.items()), (by, right)
+
+
+def test_sums_of_equal_texts_and_rows_of_meeting_weights(spark, monkeypatch):
+    """Weights that are not broadcast: copies of a text get the text's own sum, and what buckets add is packed, not a row for each document and bucket."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(12)) for _ in range(60)]
+    texts += [texts[3]] * 25 + [None, ""]
+    monkeypatch.setattr(kn, "HEAD", 8)
+    monkeypatch.setattr(kn, "BUCKET", 64)
+    made, meet = spark.sparkContext.accumulator(0), kn.meet
+
+    def counted(uses, table):
+        out = meet(uses, table)
+        made.add(len(out))
+        return out
+
+    monkeypatch.setattr(kn, "meet", counted)
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    half = lambda k: hashlib.md5(str(k).encode()).hexdigest()[-1] in "01234567"
+    train = [t for k, t in enumerate(texts[:60]) if half(k)]
+    got = rows(kn.classify(docs(spark, texts).coalesce(1), labels))
+    for k in (3, 4, 60, 84, 85, 86):
+        assert got[k]["log10_prob"] == pytest.approx(plain_kneser_ney(train, texts[k] or ""), rel=1e-4), k
+    assert len(got) == 87 and 0 < made.value < 500  # at most a row for each bucket and pack, and one for each pack's ids
