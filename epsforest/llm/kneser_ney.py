@@ -122,6 +122,7 @@ def trigrams(buckets: int, round_: int):
 
     def packs(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         _, u, v, w, n = counted(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        u, v, w, n = (x[order] for order in [np.argsort(w)] for x in (u, v, w, n))  # equal words side by side compress
         return batch_of([(b, *x) for b, x in split_up(bucket_of(joined(v, w), buckets), [u, v, w, n])], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,20 +157,21 @@ def pairs_of(table: pa.Table) -> pa.Table:
     return pa.table([bucket, v[first].view(np.int64), w[first].view(np.int64), c2, *once], ["bucket", "v", "w", "c2", "k1", "k2", "k3", "k4"])
 
 
-CONTEXTS = "round int, bucket int, uv binary, t binary, c binary, p2 binary, vw binary, b binary"
+CONTEXTS = "round int, bucket int, uv binary, w binary, c binary, p2 binary, vw binary, b binary"
 
 
 def by_context(buckets: int):
     """Of a bucket's trigrams and bigrams: trigrams with count and bigram's probability in packs by their context, and bigrams with their weight by themselves."""
-    schema = pa.schema([("round", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("uv", "t", "c", "p2", "vw", "b"))])
+    schema = pa.schema([("round", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("uv", "w", "c", "p2", "vw", "b"))])
 
     def run(grams: pa.Table, pairs: pa.Table) -> pa.Table:
-        t, u, v, w, n = unpacked(grams)
+        _, u, v, w, n = unpacked(grams)
+        u, v, w, n = (x[order] for order in [np.argsort(w)] for x in (u, v, w, n))  # a trigram's key follows from its context and its word, which compresses
         keys = joined(*(pairs[c].to_numpy().astype(np.int64).view(U64) for c in "vw"))
         order = np.argsort(keys)
         p2 = pairs["p2"].to_numpy().astype(np.float32)[order][np.searchsorted(keys[order], joined(v, w))]
         uv = joined(u, v)
-        rows = [(b % ROUNDS, b, *x, None, None) for b, x in split_up(bucket_of(uv, buckets), [uv, t, n, p2])]
+        rows = [(b % ROUNDS, b, *x, None, None) for b, x in split_up(bucket_of(uv, buckets), [uv, w, n, p2])]
         rows += [(b % ROUNDS, b, None, None, None, None, *x) for b, x in split_up(bucket_of(keys, buckets), [keys, pairs["b"].to_numpy().astype(np.float32)])]
         return pa.Table.from_batches([batch_of(rows, schema)])
 
@@ -181,7 +183,7 @@ def weigher(d3: list[float]):
     off = np.array([d3[0], *d3])
 
     def run(table: pa.Table) -> pa.Table:
-        uv, t, vw = (values_of(table, c, U64) for c in ("uv", "t", "vw"))
+        uv, w, vw = (values_of(table, c, U64) for c in ("uv", "w", "vw"))
         c, p2, b = values_of(table, "c", np.int64), values_of(table, "p2", np.float32).astype(float), values_of(table, "b", np.float32).astype(float)
         contexts, at = np.unique(np.concatenate([uv, vw]), return_inverse=True)
         at, own = at[: len(uv)], at[len(uv) :]
@@ -189,7 +191,7 @@ def weigher(d3: list[float]):
         rest, total = (np.bincount(at, weights=x, minlength=len(contexts)) for x in (taken, c))
         value = np.log10(1 + (c - taken) / rest[at] / p2)
         left = np.log10(np.where(total > 0, rest, 1) / np.maximum(total, 1)) + np.bincount(own, weights=b, minlength=len(contexts))
-        return pa.table([np.concatenate([t, contexts]).view(np.int64), np.concatenate([value, left]).astype(np.float32), np.concatenate([c, total.astype(np.int64)])], ["key", "value", "n"])
+        return pa.table([np.concatenate([joined(uv, w), contexts]).view(np.int64), np.concatenate([value, left]).astype(np.float32), np.concatenate([c, total.astype(np.int64)])], ["key", "value", "n"])
 
     return run
 
@@ -245,17 +247,18 @@ def weights(texts: DataFrame) -> tuple[list[DataFrame], float]:
     contexts = words.where("n_v is not null").select(F.col("x").alias("v"), gamma.alias("g2"), F.col("n_v").alias("all2"), F.col("n_v").alias("n"))
     a2, rest = (F.col("c2") - _off(F.col("c2"), d2)) / F.col("all2"), F.col("g2") * F.col("p1")
     weighed = _with_words(_with_words(pairs.select("bucket", "v", "w", "c2"), ends, "w"), contexts, "v")
-    weighed = cut(weighed.select("bucket", "v", "w", (a2 + rest).cast("float").alias("p2"), F.log10(1 + a2 / rest).cast("float").alias("b")), "weighed")
+    weighed = weighed.select("bucket", "v", "w", (a2 + rest).cast("float").alias("p2"), F.log10(1 + a2 / rest).cast("float").alias("b"))
+    by_round = cut_by(weighed.withColumn("round", F.col("bucket") % ROUNDS), "weighed", "round", ROUNDS)
     for x in counts:
         discard(x)
     own = F.coalesce(F.log10(p1 / F.lit(floor)), F.lit(0.0)) + F.coalesce(F.log10(gamma), F.lit(0.0))
     parts = [cut(words.select(F.col("x").alias("key"), own.cast("float").alias("value"), (F.coalesce("n_w", F.lit(0)) + F.coalesce("n_v", F.lit(0))).alias("n")), "weights")]
     discard(words)
     packs = []
-    for k in range(ROUNDS):
+    for k, bigrams in enumerate(by_round):
         grams = texts.mapInArrow(trigrams(buckets, k), TRIGRAMS).groupBy("bucket")
-        packs.append(cut_by(grams.cogroup(weighed.where(F.col("bucket") % ROUNDS == k).groupBy("bucket")).applyInArrow(by_context(buckets), CONTEXTS), "packs", "round", ROUNDS))
-    discard(weighed)
+        packs.append(cut_by(grams.cogroup(bigrams.groupBy("bucket")).applyInArrow(by_context(buckets), CONTEXTS), "packs", "round", ROUNDS))
+        discard(bigrams)  # as packs grow, what they are made of goes
     discard(texts)
     for some in zip(*packs, strict=True):
         parts.append(cut(_all(list(some)).groupBy("bucket").applyInArrow(weigher(d3), "key long, value float, n long"), "weights"))

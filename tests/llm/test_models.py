@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import zlib
 
@@ -362,3 +363,28 @@ def test_sums_of_equal_texts_and_rows_of_meeting_weights(spark, monkeypatch):
     for k in (3, 4, 60, 84, 85, 86):
         assert got[k]["log10_prob"] == pytest.approx(plain_kneser_ney(train, texts[k] or ""), rel=1e-4), k
     assert len(got) == 87 and 0 < made.value < 500  # at most a row for each bucket and pack, and one for each pack's ids
+
+
+def test_bigrams_go_as_packs_grow(spark, monkeypatch):
+    """While trigrams are packed by their contexts, the bigrams of past rounds are no longer on disk, and a trigram takes few bytes."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{int(300 * rng.random() ** 3)}" for _ in range(200)) for _ in range(400)]
+    cut_by, left, packed = kn.cut_by, [], []
+    size = lambda table: sum(os.path.getsize(f.removeprefix("file://")) for f in table.inputFiles())
+
+    def watched(df, name, column, n):
+        out = cut_by(df, name, column, n)
+        if name == "weighed":
+            left.extend({os.path.dirname(f.removeprefix("file://")) for x in out for f in x.inputFiles()})
+        if name == "packs":
+            packed.append((sum(map(os.path.isdir, left)), sum(map(size, out))))
+        return out
+
+    monkeypatch.setattr(kn, "cut_by", watched)
+    model = kn.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert [n for n, _ in packed] == [4, 3, 2, 1]
+    s = [["<", "<", *words(t), ">"] for t in texts]
+    grams = [len({tuple(x[i : i + n]) for x in s for i in range(len(x) - n + 1)}) for n in (2, 3)]
+    assert sum(b for _, b in packed) < 13 * grams[0] + 17 * grams[1]
+    data = np.frombuffer(texts[0][:30].encode(), np.uint8)
+    assert kn.log_probabilities(model, data, np.array([0, len(data)]))[0][0] == pytest.approx(plain_kneser_ney(texts, texts[0][:30]), rel=1e-4)
