@@ -3,7 +3,9 @@
 The network reads windows of WINDOW bytes in both directions, labels every byte position, and a document's probabilities
 are the mean over all its positions. It is trained in numpy by backpropagation through time on a bounded sample: about
 ``PER_LANGUAGE`` training documents of each language, in the order of a hash, and of each one passage of ``PASSAGE``
-characters. Prediction reads whole texts; its windows are steps of one matrix each, so a block of text takes WINDOW steps.
+characters (``fit``, for op5). The pipeline's network learns from every whole text that has a language and a letter (``fit_all``): in
+each of ``ROUNDS`` rounds a share of the texts, told by a hash, is dealt to tasks, each of which goes on from the round's network through all
+its windows, and the networks' mean, weighed by windows, begins the next round. Prediction reads whole texts; its windows are steps of one matrix each, so a block of text takes WINDOW steps.
 Both in training and in prediction a window starts from an empty state: backpropagation and context end at its edges.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0. A row without language is never trained
@@ -17,15 +19,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from epsforest.llm.textscan import pieces, tidy, unused
+from epsforest.runtime import brief_shuffles
 
 HIDDEN, WINDOW, PAD = 8, 64, 256
 PER_LANGUAGE, MOST_SAMPLED, PASSAGE = 800, 20_000, 256
 STEPS, BATCH, RATE, LEAST_SCORE = 240, 256, 0.02, 0.3
+#: Of training on all texts: rounds, bytes of a task in a round, windows of a step, groups in which networks are averaged, a language's largest weight.
+ROUNDS, SHARE, LEARN, LANES, MOST_WEIGHT = 4, 1 << 22, 1024, 32, 64
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -87,6 +93,60 @@ def loss_and_gradients(net: dict[str, np.ndarray], windows: np.ndarray, y: np.nd
     return loss, grads
 
 
+def gradients(net: dict[str, np.ndarray], windows: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """As ``loss_and_gradients``, with a weight for each window; features x batch, as in prediction."""
+    n, time, H = len(windows), windows.shape[1], HIDDEN
+    steps, L = np.ascontiguousarray(windows.T), len(net["bias"])
+    logits, kept = np.zeros((time, L, n), np.float32) + net["bias"][:, None], {}
+    for d in "fb":
+        x, u, o = (np.ascontiguousarray(net[k + d].T) for k in "xuo")
+        gates, new, own, states = (np.empty((time + (k == H), w, n), np.float32) for k, w in ((0, 2 * H), (0, H), (0, H), (H, H)))
+        order = list(range(time)) if d == "f" else list(range(time - 1, -1, -1))
+        states[0] = 0
+        for i, t in enumerate(order):
+            gx, gh, h = np.take(x, steps[t], axis=1, mode="clip"), u @ states[i], states[i + 1]
+            np.add(gx[: 2 * H], gh[: 2 * H], out=gates[i])
+            gates[i] *= 0.5
+            np.tanh(gates[i], out=gates[i])
+            gates[i] *= 0.5
+            gates[i] += 0.5
+            own[i] = gh[2 * H :]
+            np.multiply(gates[i, :H], own[i], out=new[i])
+            new[i] += gx[2 * H :]
+            np.tanh(new[i], out=new[i])
+            np.subtract(states[i], new[i], out=h)
+            h *= gates[i, H:]
+            h += new[i]
+            logits[t] += o @ h
+        kept[d] = order, gates, new, own, states
+    logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=1, keepdims=True)
+    real = steps != PAD
+    logits[:, y, np.arange(n)] -= 1
+    logits *= (real * (weight / max(1, int(real.sum()))).astype(np.float32))[:, None, :]
+    grads, where = {"bias": logits.sum(axis=(0, 2))}, steps.reshape(-1)
+    for d in "fb":
+        order, gates, new, own, states = kept[d]
+        u, o = net["u" + d], net["o" + d]
+        du, do, dh, dx, dg = np.zeros_like(u), np.zeros_like(o), np.zeros((H, n), np.float32), np.empty((3 * H, time, n), np.float32), np.empty((3 * H, n), np.float32)
+        for i in range(time - 1, -1, -1):
+            t, before, r, z = order[i], states[i], gates[i, :H], gates[i, H:]
+            do += states[i + 1] @ logits[t].T
+            dh += o @ logits[t]
+            through = dh * z
+            dnew = (dh - through) * (1 - new[i] * new[i])
+            np.multiply(through * (before - new[i]), 1 - z, out=dg[H : 2 * H])
+            np.multiply(dnew, r, out=dg[2 * H :])
+            np.multiply(dg[2 * H :] * own[i], 1 - r, out=dg[:H])
+            dx[: 2 * H, t], dx[2 * H :, t] = dg[: 2 * H], dnew
+            du += before @ dg.T
+            dh = through + u @ dg
+        grads["u" + d], grads["o" + d] = du, do
+        grads["x" + d] = np.stack([np.bincount(where, weights=dx[k].reshape(-1), minlength=PAD + 1) for k in range(3 * H)], axis=1).astype(np.float32)
+    return grads
+
+
 def train(windows: np.ndarray, y: np.ndarray, languages: int, steps: int = STEPS, seed: int = 7) -> dict[str, np.ndarray]:
     """Adam over seeded batches that take each language alike."""
     net, rng = new_network(languages, seed), np.random.default_rng(seed)
@@ -232,6 +292,80 @@ def fit(docs: DataFrame, modulus: int = 4, held: int = 2) -> tuple[dict[str, np.
     return train(windows, y, len(languages)), languages
 
 
+def learner(nets: list[dict[str, np.ndarray]], taken: int, languages: list[str], balance: np.ndarray, round_: int):
+    """Goes on from a network (and its means of gradients and of their squares, after ``taken`` steps) through all windows of a task's (lang, text): (part, lane, windows, steps, nets)."""
+    at = {x: k for k, x in enumerate(languages)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, first, second = ({k: v.copy() for k, v in x.items()} for x in nets)
+        part = TaskContext.get().partitionId()
+        rng, rate, steps, seen, kept = np.random.default_rng([round_, part]), RATE * (1 - round_ / ROUNDS), 0, 0, []
+
+        def learn(windows: np.ndarray, y: np.ndarray) -> int:
+            splits = np.array_split(rng.permutation(len(y)), -(-len(y) // LEARN))
+            for k, some in enumerate(splits, taken + steps + 1):
+                for name, g in gradients(net, windows[some], y[some], balance[y[some]]).items():
+                    first[name] = 0.9 * first[name] + 0.1 * g
+                    second[name] = 0.99 * second[name] + 0.01 * g * g
+                    net[name] = (net[name] - rate * (first[name] / (1 - 0.9**k)) / (np.sqrt(second[name] / (1 - 0.99**k)) + 1e-8)).astype(np.float32)
+            return len(splits)
+
+        for batch in batches:
+            langs = np.array([at[x] for x in batch.column(0).to_pylist()], np.int64)
+            for row, end, buf, offs in pieces(batch.column(1), 1 << 19):
+                windows, rows = cut_windows(buf, offs)
+                y = langs[row:end][rows]
+                if steps < STEPS // ROUNDS:  # few texts are gone through again
+                    kept.append((windows, y))
+                steps += learn(windows, y)
+                seen += len(y)
+        while kept and steps < STEPS // ROUNDS:
+            for some in kept:
+                steps += learn(*some)
+        if seen:
+            flat = np.concatenate([x[k].astype(np.float32).reshape(-1) for x in (net, first, second) for k in sorted(x)])
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, part % LANES, seen, taken + steps)] + [pa.array([flat.tobytes()], pa.binary())], ["part", "lane", "windows", "steps", "nets"])
+
+    return tidy(run)
+
+
+LEARNT = "part long, lane long, windows long, steps long, nets binary"
+
+
+def averaged(table: pa.Table) -> pa.Table:
+    """One row: the mean of the networks by windows, summed in the order of their parts."""
+    table = table.sort_by("part")
+    windows = np.array(table["windows"].to_pylist(), float)
+    nets = sum(w * np.frombuffer(x, np.float32) for w, x in zip(windows / windows.sum(), table["nets"].to_pylist(), strict=True))
+    steps = int(np.dot(windows, table["steps"].to_pylist()) / windows.sum())
+    return pa.table({"part": [table["part"][0].as_py()], "lane": [table["lane"][0].as_py()], "windows": [int(windows.sum())], "steps": [steps], "nets": pa.array([nets.astype(np.float32).tobytes()], pa.binary())})
+
+
+def fit_all(docs: DataFrame, modulus: int = 4, held: int | None = None) -> tuple[dict[str, np.ndarray], list[str]]:
+    """The network and its languages, from all whole texts with a language and a letter (outside a fold, if ``held`` names one)."""
+    rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), (fold(modulus) if held is not None else F.lit(-1)).alias("fold"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.col("fold") != F.lit(-2 if held is None else held)))
+    sizes = {r["lang"]: r["size"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size")).collect()}  # one row a language
+    languages, total = sorted(sizes), sum(sizes.values())
+    net, steps = new_network(max(1, len(languages))), 0
+    if not languages:
+        return net, []
+    balance = np.minimum([total / len(languages) / sizes[x] for x in languages], MOST_WEIGHT)
+    nets = [net, *({k: np.zeros_like(v) for k, v in net.items()} for _ in range(2))]
+    with brief_shuffles(docs.sparkSession):
+        for k in range(ROUNDS):
+            some = rows.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == k).select("lang", "text").repartition(max(1, -(-total // (ROUNDS * SHARE))))
+            got = some.mapInArrow(learner(nets, steps, languages, balance, k), LEARNT).groupBy("lane").applyInArrow(averaged, LEARNT).toArrow()  # at most LANES rows
+            if len(got):
+                got = averaged(got)
+                steps, flat, at = got["steps"][0].as_py(), np.frombuffer(got["nets"][0].as_py(), np.float32), 0
+                for x in nets:
+                    for name in sorted(x):
+                        x[name] = flat[at : at + x[name].size].reshape(x[name].shape).copy()
+                        at += x[name].size
+    return nets[0], languages
+
+
 def identify(docs: DataFrame, modulus: int = 4, held: int = 2) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of ``docs`` (doc_id, text, lang)."""
     net, languages = fit(docs, modulus, held)
@@ -242,8 +376,8 @@ def identify(docs: DataFrame, modulus: int = 4, held: int = 2) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs`` in a language that the network knows, each by its own text; no row is moved."""
-    net, languages = fit(docs)
+    """The rows of ``docs`` in a language that the network knows, each by its own text; no row of the result is moved."""
+    net, languages = fit_all(docs)
     at = [c.lower() for c in docs.columns].index("text")
     x = docs.withColumn(unused(docs, "_letters"), F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
     return x.mapInArrow(keeper(net, languages, at, least), docs.schema)

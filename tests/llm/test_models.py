@@ -75,6 +75,42 @@ def test_many_languages_share_the_sample(spark, monkeypatch):
     assert all(8 <= taken.get(k, 0) <= 40 for k in range(3)), taken
 
 
+def test_weighed_gradients_equal_the_plain_ones():
+    rng = np.random.default_rng(1)
+    net, windows, y = li.new_network(3), rng.integers(0, 256, (9, 12)), rng.integers(0, 3, 9)
+    windows[2, 5:] = li.PAD
+    want, got = li.loss_and_gradients(net, windows, y)[1], li.gradients(net, windows, y, np.ones(9))
+    assert sorted(want) == sorted(got)
+    for k in want:
+        assert np.allclose(want[k], got[k], rtol=1e-3, atol=1e-6), k
+
+
+def test_all_whole_texts_train_the_network_of_the_pipeline(spark, monkeypatch):
+    """More texts than the sample takes, and longer ones; what is learnt of them holds for texts that were not trained on."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(("ab", "ba") if k % 2 else ("xy", "yx")) for _ in range(rng.randrange(20, 400))) for k in range(300)] + ["12 34", None]
+    windows, gradients = spark.sparkContext.accumulator(0), li.gradients
+    monkeypatch.setattr(li, "PER_LANGUAGE", 5)
+    monkeypatch.setattr(li, "SHARE", 1 << 14)
+
+    def counted(net, some, y, weight):
+        windows.add(len(some))
+        return gradients(net, some, y, weight)
+
+    monkeypatch.setattr(li, "gradients", counted)
+    x = docs(spark, texts, [("one", "two")[k % 2] for k in range(302)])
+    monkeypatch.setattr(li, "STEPS", li.ROUNDS)  # no text is gone through twice
+    assert li.keep_identified(x).count() == 300
+    assert windows.value == sum(-(-len(t) // li.WINDOW) for t in texts[:300])
+    monkeypatch.setattr(li, "STEPS", 60)
+    net, languages = li.fit_all(x, held=2)
+    held = [k for k in range(300) if zlib.crc32(str(k).encode()) % 4 == 2]
+    buf = "".join(texts[k] for k in held).encode()
+    offs = np.concatenate([[0], np.cumsum([len(texts[k]) for k in held])])
+    right = li.pooled(net, np.frombuffer(buf, np.uint8), offs).argmax(axis=1) == np.array(held) % 2
+    assert languages == ["one", "two"] and right.mean() >= 0.98
+
+
 def plain_kneser_ney(train, text):
     """Probabilities by their textbook definition, from counts in dictionaries."""
     c3 = collections.Counter()
