@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from epsforest.llm.ppm import frequent, is_frequent
-from epsforest.llm.textscan import NOT_SPACE, U64, mix, pieces, release, rows_of, span_hashes, spans, tidy, unused
-from epsforest.runtime import brief_shuffles, cut, cut_by, discard
+from epsforest.llm.ppm import frequent
+from epsforest.llm.textscan import NOT_SPACE, U64, mix, pieces, release, spans, tidy, unused, word_hashes
+from epsforest.runtime import brief_shuffles, cut, cut_by, discard, small_batches
 
 #: Characters of a model whose texts the caller bounds.
 TRUSTED_CHARS = 16_000_000
@@ -54,23 +54,30 @@ START, STOP = U64(0x5D0A11CE0FF1CE01), U64(0xE0F0D0C0B0A09081)
 
 
 def joined(*parts: np.ndarray) -> np.ndarray:
-    """The key of an n-gram of word hashes."""
+    """The key of an n-gram of word hashes, or of the key of its first words and the others; its class is the last word's."""
     h = parts[0]
     for p in parts[1:]:
         h = mix(h * U64(0xD6E8FEB86659FD93) + p)
+        h &= ~U64(MOST_ROUNDS - 1)
+        h |= p & U64(MOST_ROUNDS - 1)
     return h
 
 
+def of_round(keys: np.ndarray, rounds: int, round_: int) -> np.ndarray:
+    """Where the keys of a round stand: those of its classes, the last bits of keys."""
+    return np.flatnonzero(keys & U64(rounds - 1) == U64(round_))
+
+
 def sequences(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of all rows, each as START START words STOP; where the words begin; tokens of each row, the end included."""
     starts, ends = spans(buf, offs, NOT_SPACE)
     n = len(offs) - 1
-    counts = np.bincount(rows_of(starts, offs), minlength=n) if len(starts) else np.zeros(n, np.int64)
+    counts = np.diff(np.searchsorted(starts, offs))
     out = np.full(len(starts) + 3 * n, START, U64)
     firsts = np.cumsum(counts + 3) - (counts + 3) + 2
     word = np.ones(len(out), bool)
     word[firsts - 1] = word[firsts - 2] = word[firsts + counts] = False
-    out[word] = span_hashes(buf, starts, ends)
+    out[word] = word_hashes(buf, starts, ends)
     out[firsts + counts] = STOP
     return out, firsts, counts + 1
 
@@ -83,8 +90,12 @@ def _tokens(out: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 
 def split_up(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, list[bytes]]]:
     """Each bucket that occurs, and the bytes of its part of the columns."""
+    if len(bucket) and bucket.max() < 1 << 16:
+        bucket = bucket.astype(np.uint16)  # sorted in time linear in the rows
     order = np.argsort(bucket, kind="stable")
-    buckets, first = np.unique(bucket[order], return_index=True)
+    bucket = bucket[order]
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    buckets = bucket[first]
     parts = [[x.tobytes() for x in np.split(c[order], first[1:])] for c in columns]
     yield from zip(buckets.tolist(), map(list, zip(*parts, strict=True)), strict=True)
 
@@ -99,7 +110,12 @@ def values_of(table: pa.Table, name: str, kind) -> np.ndarray:
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> U64(1)) % U64(buckets)).astype(np.int64)
+    """Buckets, a multiple of MOST_ROUNDS, of keys: each has keys of one class, its number modulo MOST_ROUNDS."""
+    return (keys // U64(MOST_ROUNDS) % U64(buckets // MOST_ROUNDS) * U64(MOST_ROUNDS) + keys % U64(MOST_ROUNDS)).astype(np.int64)
+
+
+def buckets_for(n: int, most: int) -> int:
+    return MOST_ROUNDS * max(1, -(-n // (most * MOST_ROUNDS)))
 
 
 def counted(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -131,7 +147,7 @@ def trigrams(buckets: int, round_: int):
             for _, _, buf, offs in pieces(batch.column(0)):
                 out, firsts, _ = sequences(buf, offs)
                 at = _tokens(out, firsts)
-                at = at[bucket_of(joined(out[at - 1], out[at]), buckets) % ROUNDS == round_]
+                at = at[of_round(out[at], ROUNDS, round_)]
                 held.append((out[at - 2], out[at - 1], out[at], np.ones(len(at), np.int64)))
                 n += len(at)
                 if n >= PACK:
@@ -148,13 +164,12 @@ def unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
 
 
 def pairs_of(table: pa.Table) -> pa.Table:
-    """(bucket, v, w, c2, k1, .., k4): a bucket's bigrams with the number of words before them; its first row has the numbers of its trigrams with count 1 to 4."""
+    """(bucket, v, w, c2, once): a bucket's bigrams with the number of words before them; its first row has the numbers of its trigrams with count 1 to 4."""
     _, _, v, w, n = unpacked(table)
     keys, first, c2 = np.unique(joined(v, w), return_index=True, return_counts=True)
-    once = np.zeros((4, len(keys)), np.int64)
-    once[:, :1] = np.bincount(np.minimum(n, 5), minlength=6)[1:5, None]
+    once = pa.array([np.bincount(np.minimum(n, 5), minlength=6)[1:5].tolist()] + [None] * (len(keys) - 1), pa.list_(pa.int64()))
     bucket = np.full(len(keys), table["bucket"][0].as_py(), np.int32)
-    return pa.table([bucket, v[first].view(np.int64), w[first].view(np.int64), c2, *once], ["bucket", "v", "w", "c2", "k1", "k2", "k3", "k4"])
+    return pa.table([bucket, v[first].view(np.int64), w[first].view(np.int64), c2, once], ["bucket", "v", "w", "c2", "once"])
 
 
 CONTEXTS = "round int, bucket int, uv binary, w binary, c binary, p2 binary, vw binary, b binary"
@@ -178,8 +193,27 @@ def by_context(buckets: int):
     return run
 
 
+WEIGHTS = "keys binary, data binary, level binary, levels array<long>"
+
+
+def weighed_packs(keys: np.ndarray, values: np.ndarray, n: np.ndarray) -> pa.Table:
+    """N-grams with their weights and the levels of their counts, in packs of bounded size with the number of n-grams of each level."""
+    level = np.floor(4 * np.log2(n + 1.0)).astype(np.uint8)
+    at = range(0, len(keys), PACK >> 4)
+    columns = [[x[k : k + (PACK >> 4)].tobytes() for k in at] for x in (keys, values.astype(np.float32), level)]
+    levels = pa.array([np.bincount(level[k : k + (PACK >> 4)]).tolist() for k in at], pa.list_(pa.int64()))
+    return pa.table([*(pa.array(x, pa.binary()) for x in columns), levels], ["keys", "data", "level", "levels"])
+
+
+def packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """WEIGHTS of rows (key, value, n)."""
+    for batch in batches:
+        if batch.num_rows:
+            yield from weighed_packs(batch.column(0).to_numpy().view(U64), batch.column(1).to_numpy(), batch.column(2).to_numpy()).to_batches()
+
+
 def weigher(d3: list[float]):
-    """(key, value, n) of a bucket's trigrams, and of the bigrams that are their contexts."""
+    """WEIGHTS of a bucket's trigrams, and of the bigrams that are their contexts."""
     off = np.array([d3[0], *d3])
 
     def run(table: pa.Table) -> pa.Table:
@@ -191,7 +225,7 @@ def weigher(d3: list[float]):
         rest, total = (np.bincount(at, weights=x, minlength=len(contexts)) for x in (taken, c))
         value = np.log10(1 + (c - taken) / rest[at] / p2)
         left = np.log10(np.where(total > 0, rest, 1) / np.maximum(total, 1)) + np.bincount(own, weights=b, minlength=len(contexts))
-        return pa.table([np.concatenate([joined(uv, w), contexts]).view(np.int64), np.concatenate([value, left]).astype(np.float32), np.concatenate([c, total.astype(np.int64)])], ["key", "value", "n"])
+        return weighed_packs(np.concatenate([joined(uv, w), contexts]), np.concatenate([value, left]), np.concatenate([c, total.astype(np.int64)]))
 
     return run
 
@@ -225,14 +259,14 @@ def _with_words(grams: DataFrame, words: DataFrame, key: str) -> DataFrame:
 
 
 def weights(texts: DataFrame) -> tuple[list[DataFrame], float]:
-    """Tables (key, value, n) of all words, bigrams and trigrams of the texts (text,): log10 weights, and counts to rank them by; and an unknown word's probability."""
+    """Tables (WEIGHTS) of all words, bigrams and trigrams of the texts (text,): log10 weights, and levels of counts to rank them by; and an unknown word's probability."""
     texts = cut(texts.select("text"), "trusted")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(ROUNDS, -(-size // (6 * BUCKET)))  # words of about six bytes
-    found = "bucket int, v long, w long, c2 long, k1 long, k2 long, k3 long, k4 long"
+    buckets = buckets_for(size, 6 * BUCKET)  # words of about six bytes
+    found = "bucket int, v long, w long, c2 long, once array<long>"
     counts = [cut(texts.mapInArrow(trigrams(buckets, k), TRIGRAMS).groupBy("bucket").applyInArrow(pairs_of, found), "pairs") for k in range(ROUNDS)]
     pairs = _all(counts)
-    d3 = _discounts([0, *(x or 0 for x in pairs.agg(*(F.sum(f"k{k}") for k in (1, 2, 3, 4))).first())])
+    d3 = _discounts([0, *(x or 0 for x in pairs.where("once is not null").agg(*(F.sum(F.col("once")[k]) for k in range(4))).first())])
     d2 = discounts(pairs, "c2")
     after = pairs.groupBy(F.col("w").alias("x")).agg(F.count("*").alias("c"), F.sum("c2").alias("n_w"))
     before = pairs.groupBy(F.col("v").alias("x")).agg(F.sum("c2").alias("n_v"), F.sum(_off(F.col("c2"), d2)).alias("off"))
@@ -252,7 +286,8 @@ def weights(texts: DataFrame) -> tuple[list[DataFrame], float]:
     for x in counts:
         discard(x)
     own = F.coalesce(F.log10(p1 / F.lit(floor)), F.lit(0.0)) + F.coalesce(F.log10(gamma), F.lit(0.0))
-    parts = [cut(words.select(F.col("x").alias("key"), own.cast("float").alias("value"), (F.coalesce("n_w", F.lit(0)) + F.coalesce("n_v", F.lit(0))).alias("n")), "weights")]
+    ones = words.select(F.col("x").alias("key"), own.cast("float").alias("value"), (F.coalesce("n_w", F.lit(0)) + F.coalesce("n_v", F.lit(0))).alias("n"))
+    parts = [cut(ones.mapInArrow(packed_rows, WEIGHTS), "weights")]
     discard(words)
     packs = []
     for k, bigrams in enumerate(by_round):
@@ -261,7 +296,7 @@ def weights(texts: DataFrame) -> tuple[list[DataFrame], float]:
         discard(bigrams)  # as packs grow, what they are made of goes
     discard(texts)
     for some in zip(*packs, strict=True):
-        parts.append(cut(_all(list(some)).groupBy("bucket").applyInArrow(weigher(d3), "key long, value float, n long"), "weights"))
+        parts.append(cut(_all(list(some)).groupBy("bucket").applyInArrow(weigher(d3), WEIGHTS), "weights"))
         for x in some:
             discard(x)
     return parts, floor
@@ -271,9 +306,66 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def levels_of(table: DataFrame) -> dict[int, int]:
+    """The number of n-grams of each level that occurs."""
+    counts = table.select(F.posexplode("levels").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect()  # at most 253 rows
+    return {r["level"]: r["n"] for r in counts if r["n"]}
+
+
+def least_level(levels: dict[int, int], most: int) -> int:
+    """The least level of the most frequent n-grams, at most ``most``; above all levels if there are none."""
+    left, least = most, 256
+    for level in sorted(levels, reverse=True):
+        left -= levels[level]
+        if left < 0:
+            break
+        least = level
+    return least
+
+
+def frequent_weights(least: int):
+    """(keys, data) of the n-grams of WEIGHTS that have this level or more."""
+    schema = pa.schema([("keys", pa.binary()), ("data", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for keys, data, level in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                some = np.frombuffer(level, np.uint8) >= least
+                if some.any():
+                    rows.append((np.frombuffer(keys, U64)[some].tobytes(), np.frombuffer(data, np.float32)[some].tobytes()))
+            yield batch_of(rows, schema)
+
+    return tidy(run)
+
+
+def dealt_weights(least: int, buckets: int):
+    """The n-grams of WEIGHTS below this level by bucket, as round, bucket, narrowed keys and data."""
+    schema = pa.schema([("round", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("data", pa.binary())])
+
+    def packs(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, data = (np.concatenate(x) for x in zip(*held, strict=True))
+        return batch_of([(b % ROUNDS, b, *x) for b, x in split_up(bucket_of(keys, buckets), [narrowed(keys), data])], schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for keys, data, level in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                some = np.frombuffer(level, np.uint8) < least
+                held.append((np.frombuffer(keys, U64)[some], np.frombuffer(data, np.float32)[some]))
+                n += len(held[-1][0])
+                if n >= PACK:
+                    yield packs(held)
+                    held, n = [], 0
+        if n:
+            yield packs(held)
+
+    return tidy(run)
+
+
 def indexed(table: pa.Table) -> dict[str, np.ndarray]:
     """Sorted keys with their values, and where the keys of each leading part start."""
-    keys, values = table["key"].to_numpy().astype(np.int64).view(U64), table["value"].to_numpy().astype(np.float32)
+    keys, values = values_of(table, "keys", U64), values_of(table, "data", np.float32)
     order = np.argsort(keys)
     return {"keys": keys[order], "values": values[order]} | _starts(keys[order])
 
@@ -308,27 +400,35 @@ def _found(model: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.
 def train(texts: DataFrame) -> dict[str, np.ndarray]:
     """All weights as sorted arrays, for texts (text,) that are few."""
     parts, floor = weights(texts)
-    return indexed(_all(parts).toArrow()) | {"floor": np.array([floor])}
+    return indexed(_all(parts).select("keys", "data").toArrow()) | {"floor": np.array([floor])}
 
 
-def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The filter's bits of a task's keys: (part, bits) with the sorted places in a part."""
+def fragments(least: int):
+    """The filter's bits of a task's keys below a level: (part, bits) with the sorted places in a part."""
 
     def out(held: list[np.ndarray]) -> pa.RecordBatch:
-        places = np.unique(np.concatenate(held))
-        parts, first = np.unique(places >> U64(FILTER - PART), return_index=True)
-        low = (places & U64((1 << FILTER - PART) - 1)).astype(np.uint16)
-        return pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array([x.tobytes() for x in np.split(low, first[1:])], pa.binary())], ["part", "bits"])
+        places = np.sort(np.concatenate(held))
+        places = places[np.concatenate([[True], places[1:] != places[:-1]])] if len(places) else places
+        part = places >> np.uint32(FILTER - PART)
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+        low = (places & np.uint32((1 << FILTER - PART) - 1)).astype(np.uint16)
+        bits = [x.tobytes() for x in np.split(low, first[1:])] if len(first) else []
+        return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), pa.array(bits, pa.binary())], ["part", "bits"])
 
-    held, n = [], 0
-    for batch in batches:
-        held.append(batch.column(0).to_numpy().view(U64) >> U64(64 - FILTER))
-        n += batch.num_rows
-        if n > 4 * PACK:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for keys, level in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+                some = np.frombuffer(keys, U64)[np.frombuffer(level, np.uint8) < least]
+                held.append((some >> U64(64 - FILTER)).astype(np.uint32))
+                n += len(held[-1])
+                if n > 4 * PACK:
+                    yield out(held)
+                    held, n = [], 0
+        if n:
             yield out(held)
-            held, n = [], 0
-    if n:
-        yield out(held)
+
+    return tidy(run)
 
 
 def united(table: pa.Table) -> pa.Table:
@@ -338,24 +438,32 @@ def united(table: pa.Table) -> pa.Table:
     return pa.table({"part": table["part"].slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
 
-def bit_filter(table: DataFrame) -> np.ndarray:
-    """2**FILTER bits, whatever the table: those of the leading bits of its keys are set."""
-    got = table.select("key").mapInArrow(tidy(fragments), "part int, bits binary").groupBy("part").applyInArrow(united, "part int, bits binary").toArrow()
+def bit_filter(table: DataFrame, least: int) -> np.ndarray:
+    """2**FILTER bits, whatever the table: those of the leading bits of its keys below a level are set."""
+    got = table.select("keys", "level").mapInArrow(fragments(least), "part int, bits binary").groupBy("part").applyInArrow(united, "part int, bits binary").toArrow()
     out = np.zeros((1 << PART, 1 << FILTER - PART - 3), np.uint8)
     for part, bits in zip(got["part"].to_pylist(), got["bits"], strict=True):
         out[part] = np.frombuffer(bits.as_buffer(), np.uint8)
     return out.reshape(-1)
 
 
-def keys_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The keys of all n-grams whose weights make up the rows' log10 probabilities, their rows, and tokens of each row."""
+def keys_of(buf: np.ndarray, offs: np.ndarray, rounds: int = 1, round_: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys, of one of the rounds, of all n-grams whose weights make up the rows' log10 probabilities, their rows, and tokens of each row."""
     out, firsts, counts = sequences(buf, offs)
     at = _tokens(out, firsts)
     n = len(counts)
     row = np.repeat(np.arange(n), counts)
-    w, v = out[at], out[at - 1]
-    heads = (np.full(n, START, U64), np.full(n, joined(np.full(1, START, U64), np.full(1, START, U64))[0], U64))
-    return np.concatenate([w, joined(v, w), joined(out[at - 2], v, w), *heads]), np.concatenate([row, row, row, np.arange(n), np.arange(n)]), counts
+    if rounds > 1:
+        some = of_round(out[at], rounds, round_)
+        at, row = at[some], row[some]
+        w, v = out[at], out[at - 1]
+        vw, uv = joined(v, w), joined(out[at - 2], v)
+    else:
+        w, pairs = out[at], joined(out[:-1], out[1:])
+        vw, uv = pairs[at - 1], pairs[at - 2]
+    once = np.arange(n if len(of_round(np.full(1, START, U64), rounds, round_)) else 0)
+    heads = (np.full(len(once), START, U64), np.full(len(once), joined(np.full(1, START, U64), np.full(1, START, U64))[0], U64))
+    return np.concatenate([w, vw, joined(uv, w), *heads]), np.concatenate([row, row, row, once, once]), counts
 
 
 def passed(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -440,9 +548,8 @@ def uses_of(model, parts: np.ndarray, rounds: int, round_: int):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for row, end, buf, offs in pieces(batch.column(1)):
-                keys, rows, _ = keys_of(buf, offs)
-                some = np.flatnonzero(bucket_of(keys, len(parts)) % rounds == round_)
-                some = some[passed(tables["bits"], keys[some])]
+                keys, rows, _ = keys_of(buf, offs, rounds, round_)
+                some = passed(tables["bits"], keys)
                 some = some[~_found(tables, keys[some])[1]]
                 held.append((keys[some], rows[some] + sum(map(len, names))))
                 names.append(ids[row:end])
@@ -457,24 +564,14 @@ def uses_of(model, parts: np.ndarray, rounds: int, round_: int):
 
 
 def values_in(parts: np.ndarray):
-    """Packs (key, value) by bucket, for each of a bucket's parts."""
-    schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("data", pa.binary())])
-
-    def packs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        some = pa.Table.from_batches(held)
-        keys, values = some["key"].to_numpy().astype(np.int64).view(U64), some["value"].to_numpy().astype(np.float32)
-        return batch_of([(b, p, *x) for b, x in split_up(bucket_of(keys, len(parts)), [narrowed(keys), values]) for p in range(parts[b])], schema)
+    """Packs (bucket, keys, data) for each of their buckets' parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
         for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= PACK:
-                yield packs(held)
-                held, n = [], 0
-        if n:
-            yield packs(held)
+            many = parts[batch.column(0).to_numpy()]
+            out = batch.take(pa.array(np.repeat(np.arange(len(many)), many)))
+            part = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            yield pa.RecordBatch.from_arrays([out.column(0), pa.array(part.astype(np.int32)), out.column(1), out.column(2)], ["bucket", "part", "keys", "data"])
 
     return tidy(run)
 
@@ -507,17 +604,20 @@ def added(table: pa.Table) -> pa.Table:
     return pa.table({"id": ids, "sum": np.bincount(at, weights=sums, minlength=len(ids)).astype(np.float64)})
 
 
-def tail_sums(texts: DataFrame, table: DataFrame, model, uses: np.ndarray) -> DataFrame:
-    """(id, sum) of the weights that ``table`` (key, value) has of all rows with the id. texts: (id, text); uses: keys for each bucket."""
-    n = table.count()
-    rounds = int(min(MOST_ROUNDS, max(ROUNDS, -(-uses.sum() // max(1, n)))))
+def tail_sums(texts: DataFrame, tables: list[list[DataFrame]], n: int, model, uses: np.ndarray) -> DataFrame:
+    """(id, sum) of the weights of the tables' ``n`` n-grams in all rows with the id; a table goes when its rounds are over. texts: (id, text); tables: those of each round, (bucket, keys, data); uses: keys for each bucket."""
+    rounds = ROUNDS
+    while rounds < MOST_ROUNDS and rounds * n < uses.sum():
+        rounds *= 2
     parts = np.maximum(1, uses // BUCKET)
-    at = F.pmod(F.shiftrightunsigned("key", 1), F.lit(len(uses)))
     sums = []
-    for k in range(rounds):
-        left = texts.mapInArrow(uses_of(model, parts, rounds, k), USES).groupBy("bucket", "part")
-        right = table.where(F.pmod(at, F.lit(rounds)) == k).select("key", "value").mapInArrow(values_in(parts), VALUES).groupBy("bucket", "part")
-        sums.append(cut(left.cogroup(right).applyInArrow(meet, SUMS).groupBy("pack").applyInArrow(added, "id long, sum double"), "sums"))
+    for first, some in enumerate(tables):
+        for k in range(first, rounds, ROUNDS):
+            left = texts.mapInArrow(uses_of(model, parts, rounds, k), USES).groupBy("bucket", "part")
+            right = _all(some).where(F.col("bucket") % rounds == k).mapInArrow(values_in(parts), VALUES).groupBy("bucket", "part")
+            sums.append(cut(left.cogroup(right).applyInArrow(meet, SUMS).groupBy("pack").applyInArrow(added, "id long, sum double"), "sums"))
+        for x in some:
+            discard(x)
     out = cut(_all(sums), "sums")
     for x in sums:
         discard(x)
@@ -549,43 +649,42 @@ def sample(docs: DataFrame, good: DataFrame, trusted: int) -> DataFrame:
     return texts.select("doc_id", "text").dropDuplicates()
 
 
-def _scored(docs: DataFrame, labels: DataFrame, quantile: float, trusted: int | None, whole: bool) -> tuple[DataFrame, str, str, str]:
-    """docs (without its text unless ``whole``) with the columns whose names follow: tokens, log10 probability, limit of the cost."""
+def _scored(docs: DataFrame, labels: DataFrame, quantile: float, trusted: int | None) -> DataFrame:
+    """Of all rows of docs (doc_id, lang, text): doc_id, lang, and a hash of the text, tokens, log10 probability, limit of the cost as _id, _tokens, _log10, _limit."""
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_t")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tokens, log, limit, lang, id_, uses, more = (unused(docs, n) for n in ("_tokens", "_log10", "_limit", "_lang", "_id", "_uses", "_more"))
-    at = [c.lower() for c in docs.columns].index("text")
-    rest = [k for k in range(len(docs.columns) + 1) if whole or k != at]
-    ours = docs.withColumn(id_, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    own = [StructField(tokens, LongType()), StructField(log, DoubleType()), StructField(uses, ArrayType(LongType()))]
-    schema = StructType([*(ours.schema.fields[k] for k in rest), *own])
-    spark = docs.sparkSession
-    with brief_shuffles(spark):
-        parts, floor = weights(chosen(texts, good) if trusted is None else sample(texts, good, trusted))
-        table = _all(parts)
-        often = is_frequent(table, HEAD)
-        tail = table.where(~often)
-        buckets = max(ROUNDS, -(-tail.count() // max(1, BUCKET >> 3)))
-        model = spark.sparkContext.broadcast(indexed(table.where(often).select("key", "value").toArrow()) | {"floor": np.array([floor]), "bits": bit_filter(tail)})  # at most HEAD rows
-        scored = cut(ours.mapInArrow(scorer(model, at, rest, buckets, schema.names), schema), "perplexity")
+    ours = docs.select("doc_id", "lang", text_id("text").alias("_id"), "text")
+    names = ["doc_id", "lang", "_id", "_tokens", "_log10", "_uses"]
+    schema = StructType([*ours.schema.fields[:3], StructField("_tokens", LongType()), StructField("_log10", DoubleType()), StructField("_uses", ArrayType(LongType()))])
+    with brief_shuffles(docs.sparkSession), small_batches(docs.sparkSession):
+        texts = docs.select("doc_id", "text")
+        weighed, floor = weights(chosen(texts, good) if trusted is None else sample(texts, good, trusted))
+        levels = levels_of(_all(weighed))
+        least = least_level(levels, HEAD)
+        n = sum(x for level, x in levels.items() if level < least)
+        buckets = buckets_for(n, max(1, BUCKET >> 3))
+        head = _all(weighed).select("keys", "data", "level").mapInArrow(frequent_weights(least), "keys binary, data binary").toArrow()  # at most HEAD n-grams
+        model = docs.sparkSession.sparkContext.broadcast(indexed(head) | {"floor": np.array([floor]), "bits": bit_filter(_all(weighed), least)})
+        tables: list[list[DataFrame]] = [[] for _ in range(ROUNDS)]
+        for part in weighed:
+            dealt = part.select("keys", "data", "level").mapInArrow(dealt_weights(least, buckets), "round int, bucket int, keys binary, data binary")
+            for some, x in zip(tables, cut_by(dealt, "tail", "round", ROUNDS), strict=True):
+                some.append(x)
+            discard(part)
+        scored = cut(ours.mapInArrow(scorer(model, 3, [0, 1, 2], buckets, names), schema), "perplexity")
         left = np.zeros(buckets, np.int64)
-        for b, n in scored.select(F.posexplode(uses).alias("b", "n")).groupBy("b").agg(F.sum("n")).collect():  # one row a bucket
-            left[b] = n
+        for b, k in scored.select(F.posexplode("_uses").alias("b", "n")).groupBy("b").agg(F.sum("n")).collect():  # one row a bucket
+            left[b] = k
         release()  # the driver keeps nothing of the model
-        copies = scored.groupBy(F.col(id_).alias("id")).agg(F.count("*").alias("copies"))  # every copy of a text has added the text's sum
-        sums = tail_sums(ours.select(F.col(id_), F.col("text").cast("string")), tail, model, left)
-        sums = cut(sums.groupBy("id").agg(F.sum("sum").alias("sum")).join(copies, "id").select(F.col("id").alias(id_), (F.col("sum") / F.col("copies")).alias(more)), "sums")
-    for x in parts:
-        discard(x)
+        copies = scored.groupBy(F.col("_id").alias("id")).agg(F.count("*").alias("copies"))  # every copy of a text has added the text's sum
+        sums = tail_sums(ours.select("_id", "text"), tables, n, model, left)
+        sums = cut(sums.groupBy("id").agg(F.sum("sum").alias("sum")).join(copies, "id").select(F.col("id").alias("_id"), (F.col("sum") / F.col("copies")).alias("_more")), "sums")
     model.destroy()
     first = scored
-    scored = scored.drop(uses).join(sums, id_, "left").withColumn(log, F.col(log) + F.coalesce(more, F.lit(0.0))).drop(more, id_)
-    if not whole:
-        scored = cut(scored, "perplexity")
-        discard(first)
+    scored = scored.drop("_uses").join(sums, "_id", "left").withColumn("_log10", F.col("_log10") + F.coalesce("_more", F.lit(0.0))).drop("_more")
+    scored = cut(scored, "perplexity")
+    discard(first)
 
-    cost = -F.col(log) / F.col(tokens)
-    narrow = scored.where(F.col(tokens) > 1).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.ceil(cost / BIN).cast("long").alias("bin"))
+    narrow = scored.where("_tokens > 1").select("doc_id", "lang", F.ceil(-F.col("_log10") / F.col("_tokens") / BIN).cast("long").alias("bin"))
     known = narrow.join(good.where(~_half("_t")), F.col("doc_id") == F.col("_t"), "left_semi")
     bins = cut(known.groupBy("lang", "bin").agg(F.count("*").alias("n")), "bins")  # languages x bins of a bounded range
 
@@ -598,9 +697,21 @@ def _scored(docs: DataFrame, labels: DataFrame, quantile: float, trusted: int |
     everywhere = bins.groupBy("bin").agg(F.sum("n").alias("n")).withColumn("one", F.lit(1))
     common = limits(everywhere, "one").first()
     common = float(common["limit"]) if common else float("inf")
-    own = limits(bins, "lang").where(F.col("all") >= LEAST_CALIBRATION).select(F.col("lang").alias(lang), F.col("limit").alias(limit))
-    out = scored.join(own, scored["lang"].cast("string").eqNullSafe(F.col(lang)), "left").drop(lang)
-    return out.withColumn(limit, F.coalesce(limit, F.lit(common))), tokens, log, limit
+    own = limits(bins, "lang").where(F.col("all") >= LEAST_CALIBRATION).select(F.col("lang").alias("_lang"), F.col("limit").alias("_limit"))
+    out = scored.join(own, scored["lang"].eqNullSafe(F.col("_lang")), "left").drop("_lang")
+    return out.withColumn("_limit", F.coalesce("_limit", F.lit(common)))
+
+
+def text_id(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def _narrow(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+
+
+def _kept() -> Column:
+    return (F.col("_tokens") > 1) & (-F.col("_log10") / F.col("_tokens") <= F.col("_limit"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, trusted: int | None = None) -> DataFrame:
@@ -608,14 +719,13 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, tru
 
     labels: (doc_id, quality, toxic); trusted are the documents of quality 1 that are not toxic.
     """
-    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    out, tokens, log, limit = _scored(x, labels, quantile, trusted, False)
-    cost = -F.col(log) / F.col(tokens)
-    kept = (F.col(tokens) > 1) & (cost <= F.col(limit))
-    return out.select("doc_id", "lang", F.col(tokens).alias("n_tokens"), F.col(log).alias("log10_prob"), F.pow(F.lit(10.0), cost).alias("perplexity"), F.pow(F.lit(10.0), F.col(limit)).alias("threshold"), kept.alias("kept"))
+    out = _scored(_narrow(docs), labels, quantile, trusted)
+    perplexity = F.pow(F.lit(10.0), -F.col("_log10") / F.col("_tokens"))
+    return out.select("doc_id", "lang", F.col("_tokens").alias("n_tokens"), F.col("_log10").alias("log10_prob"), perplexity.alias("perplexity"), F.pow(F.lit(10.0), F.col("_limit")).alias("threshold"), _kept().alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, each by its own text and language."""
-    out, tokens, log, limit = _scored(docs, labels, QUANTILE, None, True)
-    return out.where((F.col(tokens) > 1) & (-F.col(log) / F.col(tokens) <= F.col(limit))).select(*(out[c] for c in docs.columns))
+    """The rows of ``docs`` that are not rejected, each by its own text and language: rows of equal text and language have one verdict."""
+    id_, lang = unused(docs, "_id"), unused(docs, "_lang")
+    bad = _scored(_narrow(docs), labels, QUANTILE, None).where(~_kept()).select(F.col("_id").alias(id_), F.col("lang").alias(lang)).distinct()
+    return docs.join(bad, (text_id("text") == F.col(id_)) & F.col("lang").cast("string").eqNullSafe(F.col(lang)), "left_anti")

@@ -135,6 +135,29 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ascending byte ranges, by eight bytes at once: faster than ``span_hashes`` for words, of which few are long."""
+    held = np.zeros(len(buf) // 8 + 2, U64)
+    held.view(np.uint8)[: len(buf)] = buf
+
+    def eight(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        place, bit = at >> 3, ((at & 7) << 3).astype(U64)
+        x = held[place] >> bit | held[place + 1] << U64(1) << (U64(63) - bit)
+        return x & U64(0xFFFFFFFFFFFFFFFF) >> ((8 - np.minimum(left, 8)) << 3).astype(U64)
+
+    n = ends - starts
+    out = mix(n.astype(U64) * U64(BASE) + eight(starts, n))
+    some = np.flatnonzero(n > 8)
+    done = 8
+    while len(some) and done < 64:
+        out[some] = mix(out[some] * U64(0xD6E8FEB86659FD93) + eight(starts[some] + done, n[some] - done))
+        done += 8
+        some = some[n[some] > done]
+    if len(some):
+        out[some] = span_hashes(buf, starts[some], ends[some])
+    return out
+
+
 def rows_of(starts: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """The row of each start."""
     return np.searchsorted(offs, starts, "right") - 1

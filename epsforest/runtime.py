@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,11 +59,9 @@ def cut_by(df: DataFrame, name: str, column: str, n: int) -> list[DataFrame]:
 
 
 @contextmanager
-def brief_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the queries inside are deleted as each query ends; only for queries whose plans do not run again."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
@@ -73,6 +71,16 @@ def brief_shuffles(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
+def brief_shuffles(spark: SparkSession) -> AbstractContextManager[None]:
+    """Shuffle files of the queries inside are deleted as each query ends; only for queries whose plans do not run again."""
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def small_batches(spark: SparkSession) -> AbstractContextManager[None]:
+    """What queries inside send to Python goes in batches of about 4 MB (a larger row alone): else a task holds thousands of whole texts outside the heap."""
+    return _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def discard(table: DataFrame) -> None:
     """Deletes a table that ``cut`` has written, once nothing reads it any more."""
     spark = table.sparkSession

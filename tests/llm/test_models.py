@@ -424,3 +424,32 @@ def test_bigrams_go_as_packs_grow(spark, monkeypatch):
     assert sum(b for _, b in packed) < 13 * grams[0] + 17 * grams[1]
     data = np.frombuffer(texts[0][:30].encode(), np.uint8)
     assert kn.log_probabilities(model, data, np.array([0, len(data)]))[0][0] == pytest.approx(plain_kneser_ney(texts, texts[0][:30]), rel=1e-4)
+
+
+def test_no_texts_beside_scores_and_no_row_for_each_weight(spark, monkeypatch):
+    """The quality stage writes no text but the trusted ones, Python gets small batches, and weights are packed; verdicts are by text and language."""
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(30)) for _ in range(80)] + [" ".join(f"#{rng.random()}" for _ in range(30))] * 2 + [None]
+    cut, seen = kn.cut, []
+
+    def watched(df, name="cut", by=None):
+        out = cut(df, name, by)
+        seen.append((name, out.columns, out.count(), spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)))
+        return out
+
+    monkeypatch.setattr(kn, "cut", watched)
+    monkeypatch.setattr(kn, "HEAD", 8)
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(80)], "doc_id long, quality int, toxic int")
+    x = docs(spark, texts)
+    good = {r["doc_id"] for r in kn.keep_good(x, labels).collect()}
+    assert not good & {80, 81, 82} and len(good) >= 75
+    assert [name for name, columns, *_ in seen if "text" in columns] == ["trusted"]
+    assert sum(n for name, _, n, _ in seen if name == "weights") < 100  # of some thousand n-grams
+    assert any(b == "4m" for name, *_, b in seen if name == "weights")
+
+
+def test_hashes_of_words_whatever_their_place():
+    some = [b"a", b"ab", b"abcdefgh", b"abcdefghi", b"\x01" * 16, b"\x01" * 17, b"x" * 64, b"x" * 65, b"x" * 200, b"\x01\x00"]
+    ends = np.cumsum([len(x) + 1 for x in some]) - 1
+    got = [kn.word_hashes(np.frombuffer(b"q" * k + b" ".join(some), np.uint8), ends - [len(x) for x in some] + k, ends + k) for k in range(9)]
+    assert all((x == got[0]).all() for x in got) and len(set(got[0].tolist())) == len(some)
