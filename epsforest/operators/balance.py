@@ -41,8 +41,12 @@ def loads(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("task").agg(F.count("*").alias("pairs"), F.sum("cost").alias("cost"))
 
 
-def _groups(run: Callable[[pd.DataFrame], pd.DataFrame]):
-    """Calls ``run`` with the rows of each (i, j) of a partition that is sorted by them; holds one group at a time."""
+def _groups(run: Callable[[pd.DataFrame], pd.DataFrame | Iterator[pd.DataFrame]]):
+    """Calls ``run`` with the rows of each (i, j) of a partition that is sorted by them; holds one group at a time, and one frame of its results."""
+
+    def found(held: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = run(pd.concat(held, ignore_index=True))
+        yield from [out] if isinstance(out, pd.DataFrame) else out
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, key = [], None
@@ -53,18 +57,18 @@ def _groups(run: Callable[[pd.DataFrame], pd.DataFrame]):
             for lo, hi in zip(starts, starts[1:]):
                 now = (x["i"].iat[lo], x["j"].iat[lo])
                 if key != now and held:
-                    yield run(pd.concat(held, ignore_index=True))
+                    yield from found(held)
                     held = []
                 key = now
                 held.append(x.iloc[lo:hi])
         if held:
-            yield run(pd.concat(held, ignore_index=True))
+            yield from found(held)
 
     return stream
 
 
-def each_pair(rows: DataFrame, pairs: DataFrame, number: int, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``run`` of the rows (block, ..) of each dealt pair; a pair is one group of one task, in the task that it was dealt to."""
+def each_pair(rows: DataFrame, pairs: DataFrame, number: int, run: Callable[[pd.DataFrame], pd.DataFrame | Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """``run`` of the rows (block, ..) of each dealt pair, a frame or several; a pair is one group of one task, in the task that it was dealt to."""
     sides = pairs.select("i", "j", "task", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     placed = rows.join(sides, "block").repartitionById(number, "task").sortWithinPartitions("i", "j")
     return placed.mapInPandas(_groups(run), schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import isqrt
 
 import numpy as np
@@ -14,8 +15,10 @@ from epsforest.operators import balance, space
 from epsforest.runtime import cut
 
 GRID_COLUMNS, BLOCK_ROWS = 3, 4096
-#: Rows that are compared with a block at a time; columns after which pairs that are too far are left out, if no more than this share is left.
-CHUNK, COLUMNS, FEW_LEFT = 256, 32, 0.1
+#: Rows that are compared with so many others at a time; columns after which pairs that are too far are left out, if no more than this share is left.
+CHUNK, STRIP, COLUMNS, FEW_LEFT = 256, 4096, 32, 0.1
+#: Rows and blocks of one side of a tile at most.
+TILE_ROWS, TILE_BLOCKS = 16384, 512
 
 
 def collapse(points: DataFrame) -> DataFrame:
@@ -69,27 +72,49 @@ def within(left: DataFrame, right: DataFrame, t: int, by: list[str], extra: Colu
     return l.join(r, names).where(on).withColumn("d2", d2).drop("own", *names)
 
 
-def _compared(cols: list[str], t: int, label: str | None):
-    """Edges of one group: rows of a block with themselves, or of two blocks with each other."""
+def _near_parts(x: np.ndarray, starts: np.ndarray, width: int, t: int) -> np.ndarray:
+    """Whether two parts may hold rows within t, for all pairs of parts: by the box of their first ``width`` columns, and by the others, which are distances to pivots."""
+    lo, hi = np.minimum.reduceat(x, starts), np.maximum.reduceat(x, starts)
+    box, ok = np.zeros((len(starts), len(starts))), True
+    for k in range(x.shape[1]):
+        gap = np.maximum(0, np.maximum(lo[None, :, k] - hi[:, None, k], lo[:, None, k] - hi[None, :, k]))
+        if k < width:
+            box += gap * gap
+        else:  # rounded down, so two of them may be nearer by less than one
+            ok &= np.maximum(0, gap - 1) ** 2 <= t
+    return ok & (box <= t)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        first = rows["block"].to_numpy() == rows["block"].min()
-        same = bool(first.all())
-        x, ids = space.frame(rows, cols), rows["event_id"].to_numpy(np.int64)
+
+def _compared(width: int, t: int, label: str | None):
+    """Edges of one tile, a frame for each strip of a chunk: rows of a group of blocks with themselves, or of two groups with each other."""
+
+    def run(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        rows = rows.sort_values(["block", "part"], kind="stable")
+        own, part, ids = rows["block"].to_numpy(), rows["part"].to_numpy(), rows["event_id"].to_numpy(np.int64)
+        x = np.stack(rows["v"].to_list()).astype(np.float64)
         mark = rows[label].to_numpy() if label else None
-        u, v = np.flatnonzero(first), np.flatnonzero(first if same else ~first)
-        out = []
-        for lo in range(0, len(u), CHUNK):
-            i = u[lo : lo + CHUNK]
-            a, b = _within(x[i], x[v], t)
-            a, b = i[a], v[b]
-            keep = ids[a] < ids[b] if same else ids[a] != ids[b]
-            if label:
-                keep &= mark[a] != mark[b]
-            a, b = a[keep], b[keep]
-            d = x[a] - x[b]
-            out.append(pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b]), "d2": (d * d).sum(axis=1).astype(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "d2": []}).astype("int64")
+        first = int((own == own[0]).sum())
+        same = first == len(own)
+        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        place = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(part)]))
+        near, x = _near_parts(x, starts, width, t), np.ascontiguousarray(x[:, :width])
+        for lo in range(0, first, CHUNK):
+            end = min(lo + CHUNK, first)
+            meets = near[place[lo] : place[end - 1] + 1].any(axis=0)
+            others = np.arange(lo if same else first, len(own))
+            others = others[meets[place[others]]]
+            for at in range(0, len(others), STRIP):
+                v = others[at : at + STRIP]
+                a, b = _within(x[lo:end], x[v], t)
+                a, b = a + lo, v[b]
+                keep = ids[a] != ids[b]
+                if same:
+                    keep &= a < b
+                if label:
+                    keep &= mark[a] != mark[b]
+                a, b = a[keep], b[keep]
+                d = x[a] - x[b]
+                yield pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b]), "d2": (d * d).sum(axis=1).astype(np.int64)})
 
     return run
 
@@ -113,29 +138,49 @@ def _within(x: np.ndarray, y: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarra
     return np.nonzero(total <= t) if near is None else near
 
 
+def _meeting(laid: space.Blocks, t: int) -> DataFrame:
+    """Pairs (i, j) of blocks, i <= j, that may hold points within t."""
+    near = space.nearest(laid.columns, laid.pivots)
+    keep = lambda pairs: pairs.where((F.col("i") <= F.col("j")) & (near <= t))
+    return space.descend(laid.bounds, laid.bounds, (laid.count, laid.count), laid.columns + laid.pivots, keep).select("i", "j")
+
+
 def _near_blocks(points: DataFrame, t: int, block_rows: int, label: str | None = None) -> tuple[space.Blocks, DataFrame]:
     laid = space.lay(points.select("event_id", *columns_of(points), *([label] if label else [])), rows=max(1, block_rows // 2))
     if laid.bounds is None:
         return laid, points.sparkSession.createDataFrame([(0, 0)], "i int, j int")
-    near = space.nearest(laid.columns, laid.pivots)
-    keep = lambda pairs: pairs.where((F.col("i") <= F.col("j")) & (near <= t))
-    pairs = space.descend(laid.bounds, laid.bounds, (laid.count, laid.count), laid.columns + laid.pivots, keep).select("i", "j")
+    pairs = _meeting(laid, t)
     return laid, cut(pairs, "pairs") if laid.count > space.DIRECT else pairs
 
 
+def _tiled(laid: space.Blocks, wanted: int) -> space.Blocks:
+    """laid in groups of blocks as large as a tile's side may be, or smaller, so that there are several tiles for each of the wanted tasks."""
+    by = min(TILE_ROWS // laid.rows_each, TILE_BLOCKS, laid.count // (isqrt(8 * wanted) + 1))
+    return space.coarser(laid, max(1, by))
+
+
 def block_pairs(points: DataFrame, t: int, label: str | None = None, block_rows: int = BLOCK_ROWS, tasks: int | None = None) -> DataFrame:
     """(a, b, d2) by comparing blocks of rows with numpy; for many columns, where a grid cuts nothing.
 
-    Blocks hold rows of one pivot at like distances; two meet only if the triangle inequality and their boxes leave room for a pair. Each
-    group is at most about ``block_rows`` rows. tasks: the pairs of blocks are dealt by cost to so many tasks; where there are many blocks, to as many as they need.
+    Blocks hold up to ``block_rows`` rows of one pivot at like distances (two of them, if not a single one); two meet only if the triangle inequality
+    and their boxes leave room for a pair. What travels are not pairs of blocks but tiles, pairs of groups of up to TILE_BLOCKS blocks and TILE_ROWS rows:
+    a row is sent once for each tile of its group, and a task finds out which of a tile's blocks meet. Tiles are dealt by cost to ``tasks`` tasks,
+    or to as many as they need. Rows without an id or a value are near none.
     """
-    laid, pairs = _near_blocks(points, t, block_rows, label)
-    rows = laid.rows.select("event_id", *laid.columns, "block", *([label] if label else []))
-    run, schema = _compared(laid.columns, t, label), "a long, b long, d2 long"
-    if laid.bounds is not None and (tasks or laid.count > space.DIRECT):
-        return balance.each_pair(rows, *balance.dealt(pairs, space.cost(laid), tasks), run, schema)
-    sides = pairs.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
-    return rows.join(sides, "block").groupBy("i", "j").applyInPandas(run, schema)
+    names = columns_of(points)
+    laid = space.lay(points.select("event_id", *names, *([label] if label else [])).dropna(subset=["event_id", *names]), rows=max(1, block_rows // 2))
+    spark, kind = points.sparkSession, "long"
+    if laid.bounds is None:
+        rows, pairs, number = laid.rows.withColumn("part", F.lit(0)), spark.createDataFrame([(0, 0, 0)], "i int, j int, task int"), 1
+    else:
+        all_names = laid.columns + laid.pivots
+        laid = _tiled(laid, tasks or int(spark.conf.get("spark.sql.shuffle.partitions")))
+        ends = laid.bounds.agg(F.min(F.least(*(f"lo_{c}" for c in all_names), F.lit(0))), F.max(F.greatest(*(f"hi_{c}" for c in all_names), F.lit(0)))).first()
+        kind = "smallint" if -(1 << 15) <= ends[0] and ends[1] < 1 << 15 else kind
+        rows, (pairs, number) = laid.rows, balance.dealt(_meeting(laid, t), space.cost(laid), tasks)
+    values = F.array(*(F.col(c).cast(kind) for c in laid.columns + laid.pivots)).alias("v")
+    rows = rows.select("event_id", "block", "part", values, *([label] if label else []))
+    return balance.each_pair(rows, pairs, number, _compared(len(names), t, label), "a long, b long, d2 long")
 
 
 def compared_share(points: DataFrame, t: int, block_rows: int = BLOCK_ROWS) -> DataFrame:

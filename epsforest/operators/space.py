@@ -9,7 +9,7 @@ distance of two nodes follow. Pairs of nodes are followed from the top down, and
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from math import ceil, isqrt
 
@@ -127,6 +127,14 @@ def lay(points: DataFrame, floor: int = 0, rows: int = BLOCK, pivots: np.ndarray
     return Blocks(ranked.drop("rank"), cut(bounds, "bounds"), count, cols, names, celled, rows, ends["n"] - rows * (count - 1))
 
 
+def coarser(laid: Blocks, by: int) -> Blocks:
+    """The same points in blocks that hold ``by`` of laid's blocks each; rows keep theirs as ``part``."""
+    count, n = ceil(laid.count / by), laid.rows_each * (laid.count - 1) + laid.rows_last
+    bounds = laid.bounds if by == 1 else cut(_raised(laid.bounds, laid.columns + laid.pivots, by, []), "bounds")
+    rows = laid.rows.withColumn("part", F.col("block")).withColumn("block", F.expr(f"cast(block div {by} as int)"))
+    return replace(laid, rows=rows, bounds=bounds, count=count, rows_each=laid.rows_each * by, rows_last=n - laid.rows_each * by * (count - 1))
+
+
 def cost(laid: Blocks) -> Column:
     """How many pairs of rows a pair (i, j) of blocks has."""
     size = lambda k: F.when(F.col(k) == laid.count - 1, laid.rows_last).otherwise(laid.rows_each).cast("long")
