@@ -1,4 +1,4 @@
-"""Pairs of points within a squared distance: a grid equi-join for few columns, blocks of pairs for many."""
+"""Pairs of points within a squared distance: a grid equi-join for few columns, of bundles of copies where there are many; blocks of pairs for many columns."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from math import isqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from epsforest.functions.points import columns_of, squared_distance
@@ -15,6 +15,8 @@ from epsforest.operators import balance, space
 from epsforest.runtime import cut
 
 GRID_COLUMNS, BLOCK_ROWS = 3, 4096
+#: Rows that share a row's vector, on average, from which on copies are joined as bundles; packs of a bundle and ids of a pack at most; squared copies for a task.
+COPIES, PACKS, PACK, SQUARES = 8, 16, 64, 1 << 22
 #: Rows that are compared with so many others at a time; columns after which pairs that are too far are left out, if no more than this share is left.
 CHUNK, STRIP, COLUMNS, FEW_LEFT = 256, 4096, 32, 0.1
 #: Rows and blocks of one side of a tile at most.
@@ -27,10 +29,16 @@ def collapse(points: DataFrame) -> DataFrame:
     return points.groupBy(*cols).agg(F.min("event_id").alias("event_id"), F.count("*").alias("weight")).select("event_id", *cols, "weight")
 
 
-def grid_columns(points: DataFrame, t: int) -> list[str]:
-    """Up to GRID_COLUMNS columns that cells of the needed width cut most often; one aggregation of all columns."""
+def _facts(points: DataFrame) -> Row:
+    """Least and largest of each column, the number of points, and the sum of squares of how many share a vector; one aggregation."""
     cols = columns_of(points)
-    bounds = points.agg(*(f(c).alias(f"{n}{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    vectors = points.groupBy(*cols).agg(F.count("*").cast("double").alias("n"))
+    return vectors.agg(*(f(c).alias(f"{n}{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares")).first()
+
+
+def grid_columns(points: DataFrame, t: int, facts: Row | None = None) -> list[str]:
+    """Up to GRID_COLUMNS columns that cells of the needed width cut most often."""
+    cols, bounds = columns_of(points), facts or _facts(points)
     width = isqrt(t) + 1
     cells = {c: ((bounds[f"hi{c}"] or 0) - (bounds[f"lo{c}"] or 0)) // width + 1 for c in cols}
     chosen = sorted((c for c in cols if cells[c] > 3), key=lambda c: -cells[c])[:GRID_COLUMNS]
@@ -48,13 +56,13 @@ def _offsets(columns: int) -> list[list[int]]:
     return out
 
 
-def within(left: DataFrame, right: DataFrame, t: int, by: list[str], extra: Column | None = None, half: bool = False) -> DataFrame:
+def within(left: DataFrame, right: DataFrame, t: int, by: list[str], extra: Column | None = None, half: bool = False, itself: bool = False) -> DataFrame:
     """``(l.*, r.*, d2)`` of all pairs with d2 <= t: left rows meet right rows of the neighbouring cells of ``by``.
 
     left's columns are prefixed ``l_``, right's ``r_``. Any two points within the distance differ by less than a cell's
     width in every column, so neighbouring cells are all that is needed; the exact distance is checked in the join. With
     ``half``, for a table with itself, each pair of rows comes once: only half of the neighbours are visited, and in
-    the own cell only larger ids.
+    the own cell only larger ids, and with ``itself`` each row with itself.
     """
     if not by:  # one cell: dealt as blocks by the caller
         raise ValueError("no column to cut")
@@ -68,7 +76,8 @@ def within(left: DataFrame, right: DataFrame, t: int, by: list[str], extra: Colu
     d2 = squared_distance("l_", "r_", cols)
     on = d2 <= t
     on = on & extra if extra is not None else on
-    on = on & (~F.col("own") | (F.col("l_event_id") < F.col("r_event_id"))) if half else on
+    after = F.col("l_event_id") <= F.col("r_event_id") if itself else F.col("l_event_id") < F.col("r_event_id")
+    on = on & (~F.col("own") | after) if half else on
     return l.join(r, names).where(on).withColumn("d2", d2).drop("own", *names)
 
 
@@ -189,13 +198,37 @@ def compared_share(points: DataFrame, t: int, block_rows: int = BLOCK_ROWS) -> D
     return pairs.agg(F.lit(laid.count).alias("blocks"), F.count("*").alias("compared"), F.lit(laid.count * (laid.count + 1) // 2).alias("all"))
 
 
+def _bundles(points: DataFrame, also: list[str]) -> DataFrame:
+    """Points that share a vector (and ``also``) as bundles: event_id, a bundle's number, c*, ``packs``, arrays of ids. However many share one, a task sorts only its part of them."""
+    by = [*columns_of(points), *also]
+    placed = points.dropna(subset=["event_id"]).repartitionByRange(*by, "event_id").sortWithinPartitions(*by, "event_id").withColumn("_at", F.monotonically_increasing_id())
+    bundles = placed.groupBy(*by, F.expr(f"_at div {PACKS * PACK}").alias("_bundle")).agg(F.min("_at").alias("event_id"), F.collect_list("event_id").alias("ids"))
+    packs = F.expr(f"transform(sequence(0, (size(ids) - 1) div {PACK}), k -> slice(ids, k * {PACK} + 1, {PACK}))").alias("packs")
+    return cut(bundles.select("event_id", *by, packs), "bundles")
+
+
+def _edges_of_bundles(points: DataFrame, t: int, by: list[str], label: str | None, tasks: int) -> DataFrame:
+    """The grid join of bundles; each pair of bundles is dealt to one of ``tasks`` tasks, which makes its pairs of ids."""
+    bundles = _bundles(points, [label] if label else [])
+    extra = F.col(f"l_{label}") != F.col(f"r_{label}") if label else None
+    pairs = within(bundles, bundles, t, by, extra, half=True, itself=True).select("l_event_id", "r_event_id", "l_packs", "r_packs", "d2").repartition(tasks, "l_event_id", "r_event_id")
+    same = (F.col("l_event_id") == F.col("r_event_id")).alias("same")
+    packs = pairs.select(same, "r_packs", "d2", F.explode("l_packs").alias("l")).select("same", "d2", "l", F.explode("r_packs").alias("r"))
+    # generated loops hold all that a row becomes; the sort ends them, so that is a pair of packs and not of bundles
+    each = packs.sortWithinPartitions("d2").select("same", "d2", "r", F.explode("l").alias("l")).select("same", "d2", "l", F.explode("r").alias("r"))
+    return each.where("l < r or l > r and not same").select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b"), "d2")
+
+
 def edges(points: DataFrame, t: int, label: str | None = None, strategy: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b, d2) with a < b and d2 <= t. ``label``: a column; pairs that share its value are left out."""
-    by = grid_columns(points, t) if strategy != "blocks" else []
+    facts = _facts(points) if strategy != "blocks" else None
+    by = grid_columns(points, t, facts) if facts else []
     if not by or strategy == "blocks":
         return block_pairs(points, t, label, block_rows)
+    if facts["squares"] >= COPIES * facts["n"]:
+        return _edges_of_bundles(points, t, by, label, max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(facts["squares"] // SQUARES)))
     extra = F.col(f"l_{label}") != F.col(f"r_{label}") if label else None
-    found = within(points, points, t, by, extra, half=True)
+    found = within(points, points, t, by, extra, half=True).where("l_event_id <> r_event_id")
     return found.select(F.least("l_event_id", "r_event_id").alias("a"), F.greatest("l_event_id", "r_event_id").alias("b"), "d2")
 
 

@@ -66,3 +66,35 @@ def test_parts_that_may_be_near():
     near = nb._near_parts(np.hstack([points, pivots]).astype(float), np.arange(0, 180, 6), 3, 400)
     d2 = ((points[:, None] - points[None]) ** 2).sum(axis=2).reshape(30, 6, 30, 6).min(axis=(1, 3))
     assert near[d2 <= 400].all() and near.mean() < 0.3
+
+
+def test_copies_are_joined_as_bundles(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [(i, *map(int, r), 0) for i, r in enumerate(rng.integers(0, 10, (2000, 2)))]  # 100 vectors
+    within, joined = nb.within, []
+
+    def counted(*args, **kwargs):
+        out = within(*args, **kwargs)
+        joined.append(out.count())
+        return out
+
+    monkeypatch.setattr(nb, "within", counted)
+    want = brute(rows, 2)
+    assert found(nb.edges(frame(spark, rows), 2)) == want
+    assert len(joined) == 1 and joined[0] < len(want) / 100  # a row for each pair of copies: len(want)
+
+
+@pytest.mark.parametrize("copies", [0, 10**9])
+def test_bundles_on_odd_rows(spark, monkeypatch, copies):
+    monkeypatch.setattr(nb, "COPIES", copies)
+    monkeypatch.setattr(nb, "PACK", 3)
+    monkeypatch.setattr(nb, "PACKS", 2)
+    rng = np.random.default_rng(13)
+    rows = [(i, *map(int, r), i % 3) for i, r in enumerate(rng.integers(0, 14, (300, 2)))] + [(1000 + i, 5, 5, i % 2) for i in range(40)]
+    rows += [(5, *rows[9][1:]), (5, *rows[5][1:]), (7, rows[7][1] + 1, *rows[7][2:]), (7, *rows[7][1:])]  # repeated ids, on equal and on near vectors
+    points = frame(spark, [*rows, (None, *rows[7][1:]), (None, 5, 5, 1), (901, None, 3, 0), (902, None, 3, 1), (903, None, None, 1)])
+    for t in (2, 9):
+        assert found(nb.edges(points, t)) == brute(rows, t)
+        assert found(nb.edges(points, t, "mark")) == brute(rows, t, "mark")
+    got = nb.edges(points.where("event_id < 0"), 2)
+    assert got.count() == 0 and got.columns == ["a", "b", "d2"]
